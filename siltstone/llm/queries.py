@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm import packing
 from siltstone.llm.quality import quality
 
 
@@ -23,8 +24,22 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 ids: where every piece lies."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.tokenized_pieces(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_packing": op3_packing,
 }
 
 #: None of the ten can be written in SQL: they hash, tokenise, train, draw or write files. Tests hold them against brute force.
