@@ -1,7 +1,7 @@
 """Ids by the tokenizers library, remembered per chunk of text.
 
-A text is cut only where the tokenizer's own pre-tokenisation cuts whatever stands on either side, so the
-ids of the chunks, joined, are the ids of the text; the library encodes each distinct chunk once per worker.
+A text is cut only where the tokenizer's own pre-tokenisation cuts whatever follows, so the ids of the
+chunks, joined, are the ids of the text; the library encodes each distinct chunk once per worker.
 Texts with characters on which regular-expression engines differ go to the library whole.
 """
 
@@ -16,10 +16,19 @@ import numpy as np
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-#: Cut at blanks (they are dropped), or before one blank and around longer runs of them (they are kept).
+#: ASCII letters and letters of Latin-1, and ASCII punctuation but the apostrophe, which can begin a contraction.
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+_P = "!-&(-/:-@\\[-`{-~"
+
+_LETTERS = re.compile(f" ?[{_L}]+")
+
+#: Both tokenisers end a run of letters before punctuation, and a run of punctuation before a letter, digit or blank.
+#: Whatever else stands between blanks stays whole. Blanks are dropped, or kept as the tokeniser groups them.
 _CHUNKS = {
-    "word": re.compile(f"[^{WHITE_SPACE}]+"),
-    "byte": re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"),
+    kind: re.compile(
+        f"{blank}[{_L}]+(?=[{_P}{WHITE_SPACE}]|\\Z)|{blank}[{_P}][{_P}']*(?=[{_L}0-9{WHITE_SPACE}]|\\Z)|{blank}[^{WHITE_SPACE}]+{rest}"
+    )
+    for kind, blank, rest in (("word", "", ""), ("byte", " ?", f"|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"))
 }
 #: Control, format and unassigned characters, spaces beyond ASCII, and the mark that begins special tokens.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0͏؜ᅟᅠ ឴឵᠋-᠏ -‏ -  -⁯　ㅤ︀-️﻿ﾠ￰-￿\U000e0000-\U000e0fff]|<\\|")
@@ -33,11 +42,16 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tok = Tokenizer.from_file(path)
-        kind = self._tok.to_str()
-        self._chunks = _CHUNKS["byte" if '"pre_tokenizer":{"type":"ByteLevel"' in kind else "word"]
+        self._kind = "byte" if isinstance(self._tok.pre_tokenizer, pre_tokenizers.ByteLevel) else "word"
+        self._chunks = _CHUNKS[self._kind]
+        # For a chunk of letters: it is one pre-token already, and normalisation only lowers its case.
+        self._letters = Tokenizer.from_file(path)
+        if self._kind == "word":
+            self._letters.normalizer = None
+        self._letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
 
     def _forget(self) -> None:
@@ -46,7 +60,11 @@ class Encoder:
         self._first = np.zeros(1 << 16, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self._tok.encode_batch_fast(new, add_special_tokens=False)]
+        plain = [bool(_LETTERS.fullmatch(c)) for c in new]
+        lowered = str.lower if self._kind == "word" else str
+        simple = iter(self._letters.encode_batch_fast([lowered(c) for c, x in zip(new, plain, strict=True) if x], add_special_tokens=False))
+        other = iter(self._tok.encode_batch_fast([c for c, x in zip(new, plain, strict=True) if not x], add_special_tokens=False))
+        ids = [next(simple if x else other).ids for x in plain]
         n, lengths = len(self._place), np.fromiter(map(len, ids), np.int64, len(ids))
         ends = self._first[n] + np.cumsum(lengths)
         while len(self._first) <= n + len(new):
