@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import packing
+from siltstone.llm import packing, sharding, token_counts, token_files, toxicity, warc
 from siltstone.llm.quality import quality
+from siltstone.llm.storage import new_folder, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +38,61 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents, the same batch again, copies taken out, padded texts revised."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    versions = {"byte_bpe_50k": vocabulary("byte_bpe_50k.json"), "word_bpe_49k": vocabulary("word_bpe_49k.json")}
+    counted = written(token_counts.count_tokens(docs, versions), "token-counts")
+    rollup = token_counts.Rollup(spark, new_folder(spark, "token-rollup"))
+    rollup.commit("load", token_counts.inserts(counted))
+    rollup.commit("load", token_counts.inserts(counted))
+    first = counted.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
+    joined = counted.join(first, "text_key")
+    rollup.commit("copies", token_counts.deletes(joined.where("doc_id <> first_id")))
+    blanks = F.lit(" \t\r\n")
+    padded = docs.where(F.col("text") != F.btrim("text", blanks))
+    trimmed = token_counts.count_tokens(padded.withColumn("text", F.btrim("text", blanks)), versions)
+    kept = joined.where("doc_id = first_id").drop("text_key", "first_id")
+    both = kept.join(trimmed.select("doc_id", "tokenizer_version", F.col("n_tokens").alias("n_new")), ["doc_id", "tokenizer_version"])
+    both = written(both, "token-revisions")
+    rollup.commit("trim", token_counts.revisions(both, both.withColumn("n_tokens", F.col("n_new"))))
+    return rollup.totals()
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives, then what the archives say of every record."""
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least_bytes=0))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards whose row counts are at most one apart."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    dealt = sharding.shuffle_into_shards(rows, ["doc_id", "size", "text_crc32"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as compressed ids, then what the files say of each."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write_token_files(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_token_files(manifest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
+    "op6_sharding": op6_sharding,
+    "op9_token_files": op9_token_files,
 }
 
 #: None of the ten can be written in SQL: they hash, tokenise, train, draw or write files. Tests hold them against brute force.
