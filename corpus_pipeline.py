@@ -1,19 +1,57 @@
-"""Corpus pipeline: documents through five operators, each stage written as Parquet and read again."""
+"""Corpus pipeline: documents through five operators, each stage written as Parquet and read again.
+
+Every stage works on all that the one before kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm.decontamination import decontaminate
+from siltstone.llm.line_dedup import line_dedup
+from siltstone.llm.near_dup import without_near_duplicates
+from siltstone.llm.packing import pack, tokenized_pieces
 from siltstone.llm.quality import quality
+from siltstone.llm.queries import vocabulary
 from siltstone.llm.storage import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
     return quality(docs, trusted).where("kept").select(docs.columns)
 
 
-STAGES = [("quality", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds; n_chars, where there is such a column, follows the text."""
+    out = line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.selectExpr(*(f"coalesce(char_length(text), n_chars) as {c}" if c == "n_chars" else f"`{c}`" for c in docs.columns))
+    return out.select(docs.columns)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return without_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the training sequences."""
+    return pack(tokenized_pieces(docs, vocabulary("word_bpe_49k.json"), end_id=1))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dup", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 #: Stages hash, tokenise and draw, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None

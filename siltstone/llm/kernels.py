@@ -56,13 +56,17 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """Hashes of byte ranges of one buffer; equal bytes have equal hashes wherever they stand."""
+    """Hashes of ranges of a sequence of 64-bit codes; equal ranges have equal hashes wherever they stand."""
 
-    def __init__(self, raw: np.ndarray):
-        up, self._down = _tables(len(raw))
-        self._sum = np.empty(len(raw) + 1, np.uint64)
+    def __init__(self, codes: np.ndarray):
+        up, self._down = _tables(len(codes))
+        self._sum = np.empty(len(codes) + 1, np.uint64)
         self._sum[0] = 0
-        np.cumsum(_byte_code[raw] * up[: len(raw)], out=self._sum[1:])
+        np.cumsum(codes * up[: len(codes)], out=self._sum[1:])
+
+    @classmethod
+    def of_bytes(cls, raw: np.ndarray) -> RangeHash:
+        return cls(_byte_code[raw])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import packing, sharding, token_counts, token_files, toxicity, warc
+from siltstone.llm import decontamination, line_dedup, near_dup, packing, sharding, token_counts, token_files, toxicity, warc
 from siltstone.llm.quality import quality
 from siltstone.llm.storage import new_folder, written
 
@@ -78,6 +78,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the passages that an earlier one holds."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as compressed ids, then what the files say of each."""
     docs = table(spark, sf_dir, "documents")
@@ -85,6 +95,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage similar to a benchmark item, and which."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -92,7 +107,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_near_dup": op8_near_dup,
     "op9_token_files": op9_token_files,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: None of the ten can be written in SQL: they hash, tokenise, train, draw or write files. Tests hold them against brute force.
