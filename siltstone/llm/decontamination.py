@@ -35,8 +35,8 @@ LADDER = 4 / 3
 STRIDES = 8
 #: Items that are searched at once; more items are searched in further passes over the texts.
 ITEMS_A_PASS = 20_000
-#: Words of texts that are fingerprinted at once.
-_WORDS_AT_ONCE = 100_000
+#: Words of texts that are fingerprinted at once: their running sums stay in a core's own cache.
+_WORDS_AT_ONCE = 8192
 
 
 def _bits(codes: np.ndarray) -> np.ndarray:
@@ -51,9 +51,10 @@ def pair_codes(codes: np.ndarray) -> np.ndarray:
 
 
 def running(pairs: np.ndarray) -> np.ndarray:
-    """Running sums of the bits, (n + 1, 64)."""
-    out = np.zeros((len(pairs) + 1, 64), np.int32)
-    np.cumsum(_bits(pairs), axis=0, dtype=np.int32, out=out[1:])
+    """Running sums of the bits, (n + 1, 64). Narrow sums wrap, and differences over shorter runs are right all the same."""
+    kind = np.int16 if len(pairs) < 1 << 14 else np.int32
+    out = np.zeros((len(pairs) + 1, 64), kind)
+    np.cumsum(_bits(pairs), axis=0, dtype=kind, out=out[1:])
     return out
 
 
@@ -121,22 +122,28 @@ class Index:
             if len(near):
                 yield near, item, at
 
-    def similarity(self, item: int, codes: np.ndarray) -> float:
+    def similarity(self, item: int, runs: list[int]) -> float:
         """Weighted Jaccard of the shingles of an item and of a run of words."""
         a = self.shingles[item]
-        b = Counter(shingles(codes, np.array([0, len(codes)]), SHINGLE)[0].tolist())
-        both = sum((a & b).values())
-        return both / (a.total() + b.total() - both) if a and b else 0.0
-
-    def best(self, item: int, codes: np.ndarray, begin: int, slack: int) -> tuple[float, int]:
-        """The best similarity of the item and an item-sized run of the words codes, and where it begins.
-
-        Runs begin within slack words of begin.
-        """
+        left = dict(a)
+        both = 0
+        for r in runs:
+            if left.get(r, 0):
+                left[r] -= 1
+                both += 1
+        return both / (a.total() + len(runs) - both) if a and runs else 0.0
+
+    def best(self, item: int, codes: np.ndarray, starts: list[int]) -> tuple[float, int]:
+        """The best similarity of the item and an item-sized run of the words codes that begins at one of starts, and where."""
         n = len(self.codes[item])
-        low, high = max(0, min(begin - slack, len(codes) - n)), max(0, min(begin + slack, len(codes) - n))
-        found = [(self.similarity(item, codes[s : s + n]), -s) for s in range(low, high + 1)]
-        value, at = max(found)
+        if n < SHINGLE:
+            whole = lambda s: shingles(codes[s : s + n], np.array([0, min(n, len(codes) - s)]), SHINGLE)[0].tolist()
+            value, at = max((self.similarity(item, whole(s)), -s) for s in starts)
+            return value, -at
+        low, high = starts[0], min(starts[-1] + n, len(codes))
+        runs = shingles(codes[low:high], np.array([0, high - low]), SHINGLE)[0].tolist()
+        size = max(1, min(n, len(codes)) - SHINGLE + 1)
+        value, at = max((self.similarity(item, runs[s - low : s - low + size]), -s) for s in starts)
         return value, -at
 
 
@@ -146,7 +153,7 @@ def matches(column: pa.Array, index: Index, similarity: float = SIMILARITY) -> I
     w = words(raw, offsets)
     codes = RangeHash.of_bytes(raw)(w.start, w.end)
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    tried: set[tuple[int, int, int]] = set()
+    tried: dict[tuple[int, int], set[int]] = {}
     reach = max(index.by_length, default=0)
     n_words = len(codes)
     # Runs of words overlap by the longest window, and windows never cross the end of a text.
@@ -165,15 +172,19 @@ def matches(column: pa.Array, index: Index, similarity: float = SIMILARITY) -> I
             if not len(start):
                 continue
             for near, item, at in index.candidates(length, fingerprints(part, sums, start, length)):
-                for k in near.tolist():
-                    t = int(text[k])
-                    begin = int(start[k]) + a - int(w.first[t]) - at
-                    if (t, item, begin) in tried:
-                        continue
-                    tried.add((t, item, begin))
-                    value, where = index.best(item, codes[w.first[t] : w.first[t + 1]], begin, stride)
-                    if value >= similarity and (value, -where) > (best.get((t, item), (0.0, 0))[0], -best.get((t, item), (0.0, 0))[1]):
-                        best[t, item] = (value, where)
+                for t in np.unique(text[near]).tolist():
+                    own = codes[w.first[t] : w.first[t + 1]]
+                    last = max(0, len(own) - len(index.codes[item]))
+                    begins = start[near[text[near] == t]] + a - int(w.first[t]) - at
+                    # Runs begin within a stride of what the windows say; each is checked once.
+                    around = np.unique(np.clip(begins[:, None] + np.arange(-stride, stride + 1), 0, last)).tolist()
+                    seen = tried.setdefault((t, item), set())
+                    if fresh := [x for x in around if x not in seen]:
+                        seen.update(fresh)
+                        value, where = index.best(item, own, fresh)
+                        old = best.get((t, item), (0.0, 0))
+                        if value >= similarity and (value, -where) > (old[0], -old[1]):
+                            best[t, item] = (value, where)
     for (t, item), (value, where) in sorted(best.items()):
         yield t, item, value, where, min(len(index.codes[item]), int(w.first[t + 1] - w.first[t]))
 
