@@ -20,8 +20,8 @@ _BLANK_RUN = r"[\x20\x09-\x0D]+"
 _WORD_CHAR = r"[^\x20\x09-\x0D]"
 
 N_BUCKETS = 1 << 16
-#: Pseudo-counts a bucket, in units of the mean count: keeps ratios finite where the target has no n-gram.
-SMOOTHING = 1e-3
+#: Pseudo-count of every bucket in both multinomials: an n-gram seen once or twice says nothing either way.
+SMOOTHING = 1.0
 #: Mean log ratio below which a document is rejected.
 THRESHOLD = -0.2
 WINDOW = 8
@@ -115,8 +115,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS,
         F.coalesce(F.sum("raw"), F.lit(0)).alias("n_raw"),
         F.coalesce(F.sum("target"), F.lit(0)).alias("n_target"),
     )
-    # Counts are divided by the mean count, so that smoothing means the same at every corpus size.
-    share = lambda n, total: F.log((n * n_buckets / total + smoothing) / (1 + smoothing))
+    share = lambda n, total: F.log((n + smoothing) / (total + smoothing * n_buckets))
     return table.select(
         F.when(F.col("n_target") == 0, F.transform("t", lambda x: F.lit(0.0)))
         .otherwise(F.transform("t", lambda x: share(x["target"], F.col("n_target")) - share(x["raw"], F.col("n_raw"))))

@@ -39,7 +39,7 @@ def verdicts(rows, trusted, n=quality.N_BUCKETS):
         raw.update(g)
         if i in trusted:
             target.update(g)
-    part = lambda c, b: math.log((c[b] * n / c.total() + quality.SMOOTHING) / (1 + quality.SMOOTHING))
+    part = lambda c, b: math.log((c[b] + quality.SMOOTHING) / (c.total() + quality.SMOOTHING * n))
     out = []
     for i, t in rows:
         g = buckets(WORD.findall(t or ""), n)
