@@ -32,12 +32,14 @@ EPOCHS = 12
 BATCH = 32
 #: Texts of the sample in which an n-gram must stand to be learned.
 LEAST_TEXTS = 4
+#: Bytes of text whose n-grams are held at once; each byte takes about 150 while they are found.
+RUN_BYTES = 500_000
 #: Shares of n-grams are about a thousandth, so embeddings take long steps; the softmax takes short ones.
 RATE, SOFTMAX_RATE = 4000.0, 0.02
 
 
 def ngram_buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, buckets, first bucket number of each text) for runs of texts of some MB.
+    """(first, last + 1, buckets, first bucket number of each text) for runs of texts of RUN_BYTES or one longer text.
 
     N-grams lie within one word and the blank on either side of it.
     """
@@ -46,7 +48,7 @@ def ngram_buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
     ends = np.cumsum(sizes)
     a = 0
     while a < len(low):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2_000_000, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + RUN_BYTES, "right")))
         raw, offsets = buffer(low.slice(a, b - a))
         n = b - a
         # Every text gets a blank before and after it, and all blanks become one byte.
@@ -91,6 +93,31 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
+def _bags(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(buckets, counts) of each text, its number of n-grams (1 at least), and the number of texts of each bucket.
+
+    The bags of a run are slices of two arrays, five bytes an entry; a count over 255 takes several entries. Buckets of
+    fewer than LEAST_TEXTS texts are left out of the bags.
+    """
+    runs, totals, spread = [], [], np.zeros(BUCKETS, np.int64)
+    for a, b, codes, first in ngram_buckets(column):
+        key, n = np.unique(np.repeat(np.arange(b - a) * BUCKETS, np.diff(first)) + codes, return_counts=True)
+        bucket = (key % BUCKETS).astype(np.int32)
+        spread += np.bincount(bucket, minlength=BUCKETS)
+        parts = -(-n // 255)
+        counts = np.full(int(parts.sum()), 255, np.uint8)
+        counts[np.cumsum(parts) - 1] = n - 255 * (parts - 1)
+        runs.append((np.repeat(bucket, parts), counts, np.bincount(np.repeat(key // BUCKETS, parts), minlength=b - a)))
+        totals.append(np.maximum(1, np.diff(first)))
+    bags = []
+    for k, (bucket, counts, sizes) in enumerate(runs):
+        keep = spread[bucket] >= LEAST_TEXTS
+        ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+        bucket, counts, runs[k] = bucket[keep], counts[keep], None
+        bags += [(bucket[x:y], counts[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    return bags, np.concatenate(totals), spread
+
+
 def train(texts: list[str | None], labels: np.ndarray, seed: int = 1) -> Model:
     """Fit by minibatches of gradient descent with a falling rate; classes weigh the same. Without both classes every score is the class share."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -100,26 +127,20 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 1) -> Model:
     y = np.asarray(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros_like(embedding), softmax, np.array([0, 0] if not len(y) else [-5, 5][:: 1 if y[0] else -1], np.float32))
-    bags: list[tuple[np.ndarray, np.ndarray]] = []
-    spread = np.zeros(BUCKETS, np.int64)
-    for a, b, codes, first in ngram_buckets(pa.array(texts, pa.string())):
-        for k in range(b - a):
-            f, n = np.unique(codes[first[k] : first[k + 1]], return_counts=True)
-            spread[f] += 1
-            bags.append((f, (n / max(1, n.sum())).astype(np.float32)))
+    bags, totals, spread = _bags(pa.array(texts, pa.string()))
     embedding *= np.float32(0.01)
     known = spread >= LEAST_TEXTS
     embedding[~known] = 0
-    bags = [(f[k], x[k]) for f, x in bags for k in (known[f],)]
     class_weight = len(y) / 2 / np.bincount(y, minlength=2)
     for epoch in range(EPOCHS):
         fall = 1 - epoch / EPOCHS
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
-            feats, share = np.concatenate([bags[d][0] for d in docs]), np.concatenate([bags[d][1] for d in docs])
+            feats, counts = np.concatenate([bags[d][0] for d in docs]), np.concatenate([bags[d][1] for d in docs])
             sizes = np.array([len(bags[d][0]) for d in docs])
             doc, some = np.repeat(np.arange(len(docs)), sizes), sizes > 0
+            share = (counts / totals[docs][doc]).astype(np.float32)
             mean = np.zeros((len(docs), DIM), np.float32)
             if some.any():
                 mean[some] = np.add.reduceat(embedding[feats] * share[:, None], (np.cumsum(sizes) - sizes)[some], axis=0)
