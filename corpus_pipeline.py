@@ -11,7 +11,7 @@ from siltstone.llm.decontamination import decontaminate
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.near_dup import without_near_duplicates
 from siltstone.llm.packing import pack, tokenized_pieces
-from siltstone.llm.quality import quality
+from siltstone.llm.quality import kept_documents
 from siltstone.llm.queries import vocabulary
 from siltstone.llm.storage import written
 
@@ -19,7 +19,7 @@ from siltstone.llm.storage import written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return quality(docs, trusted).where("kept").select(docs.columns)
+    return kept_documents(docs, trusted)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,3 +163,13 @@ def quality(
         .withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
         .drop("_m", "_r")
     )
+
+
+def kept_documents(docs: DataFrame, trusted: DataFrame, **how) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs.
+
+    The verdict passes through a generator of one row. A filter stays above a generator; it would move below the
+    projection that measures a text, and measure it anew for every column that the verdict names.
+    """
+    judged = quality(docs, trusted, **how).withColumn("_kept", F.explode(F.array("kept")))
+    return judged.where("_kept").select(docs.columns)
