@@ -31,15 +31,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Exponents whose powers a worker keeps; those of larger buffers are computed each time, so a long text leaves no tables behind.
+KEPT_POWERS = 1 << 22
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64, for the exponents 0 to n at least."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 2 * len(_powers[0]))
-        for k, b in enumerate((_BASE, _INV)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    made = []
+    for b in (_BASE, _INV):
+        steps = np.full(min(2 * n, KEPT_POWERS) if n < KEPT_POWERS else n + 1, b, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps, out=steps))
+    if n < KEPT_POWERS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
