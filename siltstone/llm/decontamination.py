@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kernels import RangeHash, buffer, mix, shingles, words
+from siltstone.llm.kernels import RangeHash, buffer, frugal, mix, shingles, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -210,7 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                     columns = list(zip(*found, strict=True)) if found else [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
-        return rows.mapInArrow(run, kinds)
+        return rows.mapInArrow(frugal(run), kinds)
 
     out, ids, texts = None, [], []
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().orderBy("item_id", "text")

@@ -6,6 +6,8 @@ are differences of one running sum over the buffer, so a word, a line or an n-gr
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,25 @@ _blank[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which then gives freed memory back to the system: workers wait for other tasks and would hold it meanwhile."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over all output bits."""
     x = x.astype(np.uint64, copy=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kernels import RangeHash, buffer, mix, words
+from siltstone.llm.kernels import RangeHash, buffer, frugal, mix, words
 from siltstone.llm.storage import written
 
 SEEDS = (11, 23, 47)
@@ -116,7 +116,7 @@ def chunks(rows: DataFrame) -> DataFrame:
                 out = [part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), (b - first[t]).astype(np.int32), (e - first[t]).astype(np.int32), h1.view(np.int64), h2.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], schema=pa.schema(fields))
 
-    return rows.select("_id", "_key", "_text").mapInArrow(run, "_id long, _key long, begin int, end int, h1 long, h2 long")
+    return rows.select("_id", "_key", "_text").mapInArrow(frugal(run), "_id long, _key long, begin int, end int, h1 long, h2 long")
 
 
 def ranges(later: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def ranges(later: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     grouped = later.withColumn("shift", (F.col("begin") - F.col("f_begin")).cast("long")).groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias("parts"))
-    return grouped.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return grouped.mapInArrow(frugal(run), ", ".join(f"{c} long" for c in names))
 
 
 def bodies(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def bodies(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     spans = wanted.distinct().groupBy("f_id", "f_key").agg(F.collect_list(F.struct("f_begin", "f_end")).alias("spans"))
     # A text that stands twice under one id is read once.
     one = rows.join(spans, (F.col("_id") == F.col("f_id")) & (F.col("_key") == F.col("f_key"))).select("_id", "_key", "_text", "spans").dropDuplicates(["_id", "_key"])
-    return one.mapInArrow(run, "f_id long, f_key long, f_begin long, f_end long, before binary, body binary, after binary")
+    return one.mapInArrow(frugal(run), "f_id long, f_key long, f_begin long, f_end long, before binary, body binary, after binary")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -232,4 +232,4 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, pa.int64()) for c in counts)], names=[*names, *added])
 
-    return joined.mapInArrow(run, docs.withColumns({c: F.lit(0).cast("long") for c in added}).schema)
+    return joined.mapInArrow(frugal(run), docs.withColumns({c: F.lit(0).cast("long") for c in added}).schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kernels import RangeHash, buffer, distinct_counts, mix, shingles, words
+from siltstone.llm.kernels import RangeHash, buffer, distinct_counts, frugal, mix, shingles, words
 from siltstone.llm.storage import written
 
 SHINGLE = 5
@@ -155,7 +155,7 @@ def _verified(blocks: DataFrame, similarity: float) -> DataFrame:
 
     n = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = blocks.select("bucket", "block", "node", "side", "label", "text").repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "node")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(frugal(run), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
                 offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))], names=["_id", "_k1", "_k2", "bands"])
 
-    sketched = keyed.mapInArrow(sketch, "_id long, _k1 long, _k2 long, bands array<long>")
+    sketched = keyed.mapInArrow(frugal(sketch), "_id long, _k1 long, _k2 long, bands array<long>")
     nodes = sketched.groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", "_id", "_k1", "_k2", F.explode("bands").alias("bucket"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.llm.kernels import frugal
 from siltstone.llm.storage import written
 from siltstone.llm.tokens import encoder, slices
 
@@ -161,7 +162,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], schema=pa.schema(fields))
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(cut), kinds)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
@@ -196,4 +197,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     schema = fixed.select(names).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return placed.select(*names, (F.col("_rank") + F.col("_before")).cast("long").alias("_rank")).mapInArrow(assign, schema)
+    return placed.select(*names, (F.col("_rank") + F.col("_before")).cast("long").alias("_rank")).mapInArrow(frugal(assign), schema)
