@@ -1,19 +1,23 @@
-"""Removal of passages that repeat across the corpus, by content-defined chunks of lines.
-
-A text is cut into lines at line breaks and after sentence ends. A rolling hash over the hashes of the last `WINDOW`
-lines decides whether a chunk ends there, so the cuts inside a passage are the same wherever the passage stands;
-`SEEDS` independent rolling hashes make it likely that a passage holds a whole chunk of several lines in one of the
-chunkings. Chunks of two lines or more and `MIN_WORDS` words are grouped over the whole corpus. Of equal chunks the
-first (lowest doc_id, then place) is kept. Neighbouring chunks of a document that repeat one other document at the
-same distance are one range; each range is compared with the first occurrence byte by byte, extended line by line on
-both sides as long as the bytes agree, and removed.
-
-Every removed line has an equal line earlier in this order, so one occurrence always stays.
+"""Removal of passages that repeat across the corpus, by the shortest runs that make a passage.
+
+A text is cut into lines at line breaks and after sentence ends. What is looked for are equal
+- runs of two whole lines or more and `MIN_WORDS` words or more,
+- runs of `LONE_WORDS` words or more inside one line, whatever stands around them,
+- whole documents, however short.
+For each line the shortest such run that begins with it and the shortest that ends with it are candidates, and so is
+every run of LONE_WORDS words inside a line. These depend on nothing outside the run, and every repeated passage is a
+union of them, so none is lost. Candidates are grouped by a 64-bit hash over the whole corpus. Of equal ones the first
+(lowest doc_id, then place) is kept. Neighbouring candidates of a document that repeat one other document at the same
+distance are one range; each range is compared with the first occurrence byte by byte, but for the blanks between
+lines (or between words, inside a line), and removed.
+
+Every removed line or word has an equal one earlier in this order, so one occurrence always stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kernels import RangeHash, buffer, frugal, mix, words
+from siltstone.llm.kernels import RangeHash, Words, buffer, frugal, mix, words
 from siltstone.llm.storage import written
 
 SEEDS = (11, 23, 47)
@@ -30,13 +34,14 @@ WINDOW = 2
 MEAN_LINES = 2
 MIN_LINES = 2
 MIN_WORDS = 12
+#: Words of a run inside one line that make a passage: over 50.
+LONE_WORDS = 51
 #: A chunk that never meets a cut ends after so many lines; its next one starts there.
 MAX_LINES = 64
-#: Lines beside a range that are compared with it: what a passage holds beyond its whole chunks.
-AROUND = 8
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _CUT = re.compile(rb"\n[\x20\x09-\x0D]*|[.!?][\x20\x09-\x0D]+")
+_WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _NO_ID = -(1 << 63)
 
 
@@ -48,13 +53,18 @@ def line_ends(raw: bytes) -> list[int]:
     return ends
 
 
+def word_ends(raw: bytes) -> list[int]:
+    """Where words end, with the blanks after them."""
+    return [m.end() for m in _WORD.finditer(raw)]
+
+
 def content(raw: bytes, ends: list[int], begin: int, end: int) -> bytes:
-    """The lines from begin to end without the blanks after them, one a line. ends begins with 0."""
-    return b"\n".join(raw[ends[i] : ends[i + 1]].rstrip(_BLANK) for i in range(begin, end))
+    """The lines (or words) from begin to end without the blanks around them, one a line. ends begins with 0."""
+    return b"\n".join(raw[ends[i] : ends[i + 1]].strip(_BLANK) for i in range(begin, end))
 
 
-def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and number of words of all lines; the n + 1 line numbers at which texts begin."""
+def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, RangeHash, Words]:
+    """Hash and number of words of all lines; the n + 1 line numbers at which texts begin; hashes of bytes; all words."""
     raw, offsets = buffer(column)
     whole = raw.tobytes()
     ends, counts = [], []
@@ -67,7 +77,8 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = words(raw, offsets)
     before, upto = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
     stop = np.where(upto > before, np.append(w.end, 0)[upto - 1], start) if len(end) else end
-    return RangeHash.of_bytes(raw)(start, stop), upto - before, first
+    of_bytes = RangeHash.of_bytes(raw)
+    return of_bytes(start, stop), upto - before, first, of_bytes, w
 
 
 def chunk_table(hashes: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,135 +106,164 @@ def _key_columns() -> dict[str, Column]:
     return {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_key": F.xxhash64(text)}
 
 
+def line_runs(n_words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First line and last line + 1 of the shortest passages that begin or end with each line, and of texts that hold none."""
+    total = np.concatenate([[0], np.cumsum(n_words)])
+    at = np.arange(len(n_words))
+    low, high = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
+    end = np.maximum(np.searchsorted(total, total[at] + MIN_WORDS), at + MIN_LINES)
+    begin = np.minimum(np.searchsorted(total, total[at + 1] - MIN_WORDS, "right") - 1, at + 1 - MIN_LINES)
+    on, back = end <= high, begin >= low
+    size = total[first[1:]] - total[first[:-1]]
+    small = np.flatnonzero((size > 0) & ((size < MIN_WORDS) | (np.diff(first) < MIN_LINES)))
+    pairs = np.concatenate([at[on], begin[back], first[small]]), np.concatenate([end[on], at[back] + 1, first[small + 1]])
+    key = np.unique(pairs[0] * (len(at) + 1) + pairs[1])
+    return key // (len(at) + 1), key % (len(at) + 1)
+
+
+def word_runs(n_words: np.ndarray, of_bytes: RangeHash, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of every run of LONE_WORDS words inside one line."""
+    long = np.flatnonzero(n_words >= LONE_WORDS)
+    if not len(long):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    upto, sizes = np.cumsum(n_words)[long], n_words[long]
+    held = np.cumsum(sizes)
+    place = np.arange(held[-1])
+    left = np.repeat(held, sizes) - place
+    word = np.repeat(upto, sizes) - left
+    runs = RangeHash(mix(of_bytes(w.start[word], w.end[word]) + np.uint64(LONE_WORDS)))
+    ok = place[left >= LONE_WORDS]
+    return word[ok], runs(ok, ok + LONE_WORDS)
+
+
 def chunks(rows: DataFrame) -> DataFrame:
-    """_id, _key, begin and end (lines), h1, h2 (128 bits of its lines' hashes) of all chunks that are long enough."""
-    fields = [("_id", pa.int64()), ("_key", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
+    """_id, _key, span, h: the candidates. span: first line or word * 2**32 + their number * 2 + 1 if they are words."""
+    fields = pa.schema([(c, pa.int64()) for c in ("_id", "_key", "span", "h")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                hashes, n_words, first = _lines(part.column(2))
+                hashes, n_words, first, of_bytes, w = _lines(part.column(2))
                 if not len(hashes):
                     continue
-                word_sum = np.concatenate([[0], np.cumsum(n_words)])
-                pairs = [chunk_table(hashes, first, s) for s in SEEDS]
-                b, e = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-                keep = (e - b >= MIN_LINES) & (word_sum[e] - word_sum[b] >= MIN_WORDS)
-                b, e = np.unique(np.stack([b[keep], e[keep]]), axis=1)
+                b, e = line_runs(n_words, first)
                 t = np.searchsorted(first, b, "right") - 1
-                h1, h2 = RangeHash(mix(hashes))(b, e), RangeHash(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))(b, e)
-                out = [part.column(0).take(pa.array(t)), part.column(1).take(pa.array(t)), (b - first[t]).astype(np.int32), (e - first[t]).astype(np.int32), h1.view(np.int64), h2.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], schema=pa.schema(fields))
+                span = ((b - first[t]) << 32) + (e - b) * 2
+                word, h = word_runs(n_words, of_bytes, w)
+                u = np.searchsorted(w.first, word, "right") - 1
+                text = pa.array(np.concatenate([t, u]))
+                span = np.concatenate([span, ((word - w.first[u]) << 32) + (LONE_WORDS * 2 + 1)])
+                h = np.concatenate([RangeHash(mix(hashes))(b, e), h])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(text), part.column(1).take(text), pa.array(span), pa.array(h.view(np.int64))], schema=fields)
 
-    return rows.select("_id", "_key", "_text").mapInArrow(frugal(run), "_id long, _key long, begin int, end int, h1 long, h2 long")
+    return rows.select("_id", "_key", "text").mapInArrow(frugal(run), "_id long, _key long, span long, h long")
 
 
 def ranges(later: DataFrame) -> DataFrame:
-    """_id, _key, begin, end, f_id, f_key, f_begin, f_end: chunks of a document that repeat another at one distance, joined.
+    """_id, _key, words, begin, end, f_id, f_key, f_begin, f_end: candidates of a document that repeat another at one distance, joined.
 
-    later: _id, _key, begin, end, f_id, f_key, f_begin.
+    later: _id, _key, span, f_id, f_key, f_span. words: 1 if begin and end are words, 0 if they are lines.
     """
-    keys = ["_id", "_key", "f_id", "f_key", "shift"]
-    names = ["_id", "_key", "begin", "end", "f_id", "f_key", "f_begin", "f_end"]
+    keys = ["_id", "_key", "words", "f_id", "f_key", "shift"]
+    names = ["_id", "_key", "words", "begin", "end", "f_id", "f_key", "f_begin", "f_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in [*keys, "parts"]), strict=True):
-                i, k, f_i, f_k, shift, parts = row
+            for i, k, w, f_i, f_k, shift, parts in zip(*(batch.column(c).to_pylist() for c in [*keys, "parts"]), strict=True):
                 last = None
-                for p in sorted(parts, key=lambda p: p["begin"]):
-                    if last is not None and p["begin"] <= last[3]:
-                        last[3] = max(last[3], p["end"])
-                        last[7] = last[3] - shift
+                for span in sorted(parts):
+                    begin, end = span >> 32, (span >> 32) + (span % (1 << 32) >> 1)
+                    if last is not None and begin <= last[4]:
+                        last[4] = max(last[4], end)
+                        last[8] = last[4] - shift
                     else:
-                        last = [i, k, p["begin"], p["end"], f_i, f_k, p["begin"] - shift, p["end"] - shift]
+                        last = [i, k, w, begin, end, f_i, f_k, begin - shift, end - shift]
                         out.append(last)
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            columns = list(zip(*out, strict=True)) if out else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    grouped = later.withColumn("shift", (F.col("begin") - F.col("f_begin")).cast("long")).groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias("parts"))
-    return grouped.mapInArrow(frugal(run), ", ".join(f"{c} long" for c in names))
+    place = lambda c: F.shiftright(F.col(c), 32)
+    keyed = later.withColumns({"shift": place("span") - place("f_span"), "words": F.col("span") % 2})
+    return keyed.groupBy(*keys).agg(F.collect_list("span").alias("parts")).mapInArrow(frugal(run), ", ".join(f"{c} long" for c in names))
 
 
 def bodies(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """f_id, f_key, f_begin, f_end, before, body, after: the lines of every wanted range and those around it."""
-    kinds = [*((c, pa.int64()) for c in ("f_id", "f_key", "f_begin", "f_end")), *((c, pa.binary()) for c in ("before", "body", "after"))]
+    """f_id, f_key, words, f_begin, f_end, body: the lines or words of every wanted range."""
+    kinds = [*((c, pa.int64()) for c in ("f_id", "f_key", "words", "f_begin", "f_end")), ("body", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, k, text, spans in zip(*(batch.column(c).to_pylist() for c in ("_id", "_key", "_text", "spans")), strict=True):
-                raw = text.encode()
-                ends = [0, *line_ends(raw)]
+            for i, k, text, spans in zip(*(batch.column(c).to_pylist() for c in ("_id", "_key", "text", "spans")), strict=True):
+                raw = (text or "").encode()
+                ends: dict[int, list[int]] = {}
                 for s in spans:
-                    b, e = s["f_begin"], s["f_end"]
-                    left, right = max(0, b - AROUND), min(len(ends) - 1, e + AROUND)
-                    out.append((i, k, b, e, content(raw, ends, left, b), content(raw, ends, b, e), content(raw, ends, e, right)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+                    w, b, e = s["words"], s["f_begin"], s["f_end"]
+                    if w not in ends:
+                        ends[w] = [0, *(word_ends(raw) if w else line_ends(raw))]
+                    out.append((i, k, w, b, e, content(raw, ends[w], b, e)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
 
-    spans = wanted.distinct().groupBy("f_id", "f_key").agg(F.collect_list(F.struct("f_begin", "f_end")).alias("spans"))
-    # A text that stands twice under one id is read once.
-    one = rows.join(spans, (F.col("_id") == F.col("f_id")) & (F.col("_key") == F.col("f_key"))).select("_id", "_key", "_text", "spans").dropDuplicates(["_id", "_key"])
-    return one.mapInArrow(frugal(run), "f_id long, f_key long, f_begin long, f_end long, before binary, body binary, after binary")
+    spans = wanted.distinct().groupBy("f_id", "f_key").agg(F.collect_list(F.struct("words", "f_begin", "f_end")).alias("spans"))
+    # A text that stands twice under one id is read once. All columns are kept, so that one shuffle of the texts serves this and the last join.
+    one = rows.join(spans, (F.col("_id") == F.col("f_id")) & (F.col("_key") == F.col("f_key"))).drop("f_id", "f_key").dropDuplicates(["_id", "_key"])
+    return one.mapInArrow(frugal(run), "f_id long, f_key long, words long, f_begin long, f_end long, body binary")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """_id, _key, found: array of (begin, end, before, body, after), one row per text that holds later occurrences."""
-    rows = docs.withColumns(_key_columns()).select("_id", "_key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+def removals(rows: DataFrame) -> DataFrame:
+    """_id, _key, found: array of (words, begin, end, body), one row per text that holds later occurrences."""
     all_chunks = written(chunks(rows), "line-chunks")
-    groups = all_chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_key", "begin")).alias("f")).where("n > 1")
-    groups = groups.select("h1", "h2", F.col("f._id").alias("f_id"), F.col("f._key").alias("f_key"), F.col("f.begin").alias("f_begin"))
-    later = all_chunks.join(groups, ["h1", "h2"]).where("_id <> f_id or _key <> f_key or begin <> f_begin")
+    # Most candidates stand once: their hashes alone tell, before their places are shuffled.
+    repeated = written(all_chunks.groupBy("h").count().where("count > 1").select("h"), "line-hashes")
+    again = written(all_chunks.join(repeated, "h"), "line-repeats")
+    groups = again.groupBy("h").agg(F.min(F.struct("_id", "_key", "span")).alias("f"))
+    groups = groups.select("h", F.col("f._id").alias("f_id"), F.col("f._key").alias("f_key"), F.col("f.span").alias("f_span"))
+    later = again.join(groups, "h").where("_id <> f_id or _key <> f_key or span <> f_span")
     found = written(ranges(later), "line-ranges")
-    span = ["f_id", "f_key", "f_begin", "f_end"]
-    return found.join(bodies(rows, found.select(span)), span).groupBy("_id", "_key").agg(F.collect_list(F.struct("begin", "end", "before", "body", "after")).alias("found"))
-
-
-def extended(raw: bytes, ends: list[int], begin: int, end: int, before: bytes, after: bytes) -> tuple[int, int]:
-    """The range with the lines beside it that are equal to those beside the first occurrence."""
-    for line in reversed(before.split(b"\n")) if before else ():
-        if begin == 0 or content(raw, ends, begin - 1, begin) != line:
-            break
-        begin -= 1
-    for line in after.split(b"\n") if after else ():
-        if end == len(ends) - 1 or content(raw, ends, end, end + 1) != line:
-            break
-        end += 1
-    return begin, end
+    span = ["f_id", "f_key", "words", "f_begin", "f_end"]
+    return found.join(bodies(rows, found.select(span)), span).groupBy("_id", "_key").agg(F.collect_list(F.struct("words", "begin", "end", "body")).alias("found"))
 
 
 def cleaned(text: str | None, found: list[dict] | None) -> tuple[str | None, int, int, int]:
-    """What is left of a text, its lines, and the lines and words removed from it."""
+    """What is left of a text, its lines, and the whole lines and the words removed from it."""
     raw = (text or "").encode()
-    ends = [0, *line_ends(raw)]
-    gone = [False] * (len(ends) - 1)
+    ends = {0: [0, *line_ends(raw)]}
+    lines = ends[0]
+    gone: list[list[int]] = []
     for s in found or ():
-        b, e = s["begin"], s["end"]
-        if content(raw, ends, b, e) == s["body"]:
-            b, e = extended(raw, ends, b, e, s["before"], s["after"])
-            gone[b:e] = [True] * (e - b)
-    if not any(gone):
-        return text, len(gone), 0, 0
-    lines = [raw[ends[i] : ends[i + 1]] for i in range(len(gone))]
-    left = b"".join(x for x, g in zip(lines, gone, strict=True) if not g)
-    removed = b"".join(x for x, g in zip(lines, gone, strict=True) if g)
-    return left.decode(), len(gone), sum(gone), len(removed.split())
+        w = s.get("words", 0)
+        if w not in ends:
+            ends[w] = [0, *word_ends(raw)]
+        if content(raw, ends[w], s["begin"], s["end"]) == s["body"]:
+            gone.append([ends[w][s["begin"]], ends[w][s["end"]]])
+    if not gone:
+        return text, len(lines) - 1, 0, 0
+    apart: list[list[int]] = []
+    for a, b in sorted(gone):
+        if apart and a <= apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], b)
+        else:
+            apart.append([a, b])
+    left = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in apart)], [*(a for a, _ in apart), len(raw)], strict=True))
+    n_gone = sum(max(0, bisect_right(lines, b) - bisect_left(lines, a) - 1) for a, b in apart)
+    return left.decode(), len(lines) - 1, n_gone, sum(len(raw[a:b].split()) for a, b in apart)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with the text that is left, n_lines, n_removed_lines and n_removed_words.
 
     docs: doc_id, text and any other columns. A null text stays null and an empty one empty. A later copy of a whole
-    document is left empty. Rows that share id and text are one document that stands twice: they get the same text.
+    document is left empty, unless it is blank. Rows that share id and text are one document that stands twice: they get the same text.
     A null id comes first in the order. An empty table gives no rows.
     """
     added = ["n_lines", "n_removed_lines", "n_removed_words"]
     names = [c for c in docs.columns if c not in (*added, "_id", "_key", "found")]
     docs = docs.select(names).withColumn("text", F.col("text").cast("string"))
-    joined = docs.withColumns(_key_columns()).join(removals(docs), ["_id", "_key"], "left").select(*names, "found")
+    rows = docs.withColumns(_key_columns())
+    joined = rows.join(removals(rows), ["_id", "_key"], "left").select(*names, "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -131,6 +131,33 @@ def test_repeated_passages_go_and_everything_else_stays(spark):
     assert line_dedup.line_dedup(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("lines,per_line", [(1, 54), (2, 27), (3, 18), (4, 14), (5, 11), (6, 9)])
+def test_repeated_passages_of_any_line_length_go(spark, lines, per_line):
+    rnd = random.Random(lines)
+    own, shared = [], []
+    for _ in range(40):
+        p = "\n".join(sentence(rnd, per_line) + "." for _ in range(lines))
+        for _ in range(2):
+            own.append((passage(rnd, 2), passage(rnd, 2)))
+            shared.append(p)
+    rows = [(i, f"{a}\n{p}\n{b}") for i, ((a, b), p) in enumerate(zip(own, shared, strict=True))]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, b) in enumerate(own):
+        assert got[i] == (f"{a}\n{b}" if i % 2 else rows[i][1])
+
+
+def test_runs_inside_lines_and_short_copies_go(spark):
+    rnd = random.Random(6)
+    p, q = sentence(rnd, 51), sentence(rnd, 50)
+    a, b, c, d = (sentence(rnd, 9) for _ in range(4))
+    rows = [(1, f"{a} {p} {b}"), (2, f"{c} {p} {d}"), (3, f"{a} {q} {b}"), (4, f"{d} {q} {a}"), (5, "One line."), (6, "One line."), (7, f"{c}. One line. {b}"), (8, p), (9, sentence(rnd, 20)), (10, " ")]
+    rows += [(11, rows[8][1]), (12, f"{b}. {c}. {rows[8][1]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed_lines, r.n_removed_words) for r in line_dedup.line_dedup(docs).collect()}
+    want = {i: (t, 0, 0) for i, t in rows} | {2: (f"{c} {d}", 0, 51), 6: ("", 1, 2), 8: ("", 1, 51), 11: ("", 1, 20)}
+    assert got == want
+
+
 def test_lines_join_to_the_text_and_chunks_cover_it():
     rnd = random.Random(2)
     for _ in range(200):
