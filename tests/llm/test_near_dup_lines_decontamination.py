@@ -131,7 +131,7 @@ def test_repeated_passages_go_and_everything_else_stays(spark):
     assert line_dedup.line_dedup(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("lines,per_line", [(1, 54), (2, 27), (3, 18), (4, 14), (5, 11), (6, 9)])
+@pytest.mark.parametrize("lines,per_line", [(1, 54), (2, 27), (3, 18), (4, 14), (5, 11), (6, 9), (31, 2), (61, 1), (240, 1)])
 def test_repeated_passages_of_any_line_length_go(spark, lines, per_line):
     rnd = random.Random(lines)
     own, shared = [], []
