@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,16 +122,99 @@ def bootstrap_indices(strata: dict[str, int], draws: int, seed: int) -> list[tup
     return [(d, s, rnd.randrange(strata[s])) for d in range(draws) for s in sorted(strata) for _ in range(strata[s])]
 
 
-def paired_bootstrap(scores: DataFrame, draws: int, seed: int) -> DataFrame:
+class RandrangeStream:
+    """What randrange(size) of one random.Random(seed) gives, call after call, in numpy. skip: generator words used before."""
+
+    def __init__(self, seed: int, skip: int = 0):
+        *key, pos = random.Random(seed).getstate()[1]
+        self.words = np.random.MT19937()
+        self.words.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": pos}}
+        self.words.random_raw(skip, output=False)
+        self.used, self.left = skip, np.zeros(0, np.uint64)
+
+    def take(self, n: int, size: int) -> np.ndarray:
+        bits, out = size.bit_length(), []
+        if bits > 32:
+            raise ValueError("a stratum of 2**32 cases or more")
+        while n:
+            if not len(self.left):
+                self.left = self.words.random_raw(2 * n + 64)
+            # Python draws `bits` bits, the high ones of a word, until they are below size.
+            values = self.left[: 2 * n + 64] >> np.uint64(32 - bits)
+            ok = np.flatnonzero(values < size)[:n]
+            out.append(values[ok].astype(np.int64))
+            n -= len(ok)
+            end = len(values) if n else int(ok[-1]) + 1
+            self.used += end
+            self.left = self.left[end:]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+#: Scores (cases times candidates) up to which every task of a bootstrap over one stream holds them: 16 bytes each.
+STREAM_SCORES = 4_000_000
+
+
+def _stream_draws(scores: DataFrame, sizes: dict[str, int], draws: int, seed: int, blocks: int = 64) -> DataFrame:
+    """candidate, draw, m: means of the strata's means, with the indices of one random.Random(seed) in draw order."""
+    spark = scores.sparkSession
+    cases = scores.groupBy("candidate", "stratum", "case_pos").agg(F.sum(F.col("score").cast("double")).alias("s"), F.count("score").alias("n"))
+    strata = sorted(sizes)
+    # The driver walks through the stream once and keeps where each block of draws begins in it.
+    step, walk, begins = max(1, -(-draws // blocks)), RandrangeStream(seed), []
+    for d in range(draws):
+        if d % step == 0:
+            begins.append((d, min(step, draws - d), walk.used))
+        for s in strata:
+            walk.take(sizes[s], sizes[s])
+    table = spark.createDataFrame(begins, "first long, n long, skip long").repartition(len(begins))
+    names = [r["candidate"] for r in scores.select("candidate").distinct().collect()]
+    if sum(sizes.values()) * len(names) > STREAM_SCORES:
+        def drawn(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    stream = RandrangeStream(seed, row["skip"])
+                    for d in range(row["first"], row["first"] + row["n"]):
+                        for s in strata:
+                            at = stream.take(sizes[s], sizes[s])
+                            yield pa.RecordBatch.from_pydict({"draw": np.full(len(at), d), "stratum": [s] * len(at), "case_pos": at})
+
+        index = table.mapInArrow(drawn, "draw long, stratum string, case_pos long")
+        means = index.join(cases, ["stratum", "case_pos"]).groupBy("candidate", "draw", "stratum").agg((F.sum("s") / F.sum("n")).alias("m"))
+        return means.groupBy("candidate", "draw").agg(F.avg("m").alias("m"))
+    order = {c: k for k, c in enumerate(names)}
+    held = {s: np.zeros((2, len(names), n)) for s, n in sizes.items()}
+    for r in cases.toLocalIterator():
+        if 0 <= r["case_pos"] < sizes[r["stratum"]]:
+            held[r["stratum"]][:, order[r["candidate"]], r["case_pos"]] = r["s"] or 0.0, r["n"]
+    shared = spark.sparkContext.broadcast(held)
+
+    def averaged(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                stream = RandrangeStream(seed, row["skip"])
+                for d in range(row["first"], row["first"] + row["n"]):
+                    times = {s: np.bincount(stream.take(sizes[s], sizes[s]), minlength=sizes[s]) for s in strata}
+                    sums = np.stack([shared.value[s] @ times[s] for s in strata])
+                    means = [[x / n for x, n in zip(a, b, strict=True) if n] for a, b in zip(sums[:, 0].T.tolist(), sums[:, 1].T.tolist(), strict=True)]
+                    m = [sum(x) / len(x) if x else None for x in means]
+                    yield pa.RecordBatch.from_pydict({"candidate": pa.array(names, pa.string()), "draw": np.full(len(names), d), "m": pa.array(m, pa.float64())})
+
+    return table.mapInArrow(averaged, "candidate string, draw long, m double")
+
+
+def paired_bootstrap(scores: DataFrame, draws: int, seed: int, one_stream: bool = False) -> DataFrame:
     """candidate, standard error of the mean of its strata's means over paired stratified draws.
 
-    scores: candidate, stratum, case_pos, score. The table of draws has draws times cases rows; draw numbers and seeds are
-    spread over the executors, so it never stands on the driver.
+    scores: candidate, stratum, case_pos, score. With one_stream the indices are those of one random.Random(seed), as in
+    the reference. Without, each draw has a seed of its own; the table of draws has draws times cases rows; draw numbers
+    and seeds are spread over the executors, so it never stands on the driver.
     """
     import pandas as pd
 
     sizes = {r["stratum"]: r["n"] for r in scores.groupBy("stratum").agg(F.count_distinct("case_pos").alias("n")).collect()}
     spark = scores.sparkSession
+    if one_stream and sizes:
+        return _stream_draws(scores, sizes, draws, seed).groupBy("candidate").agg(F.stddev_samp("m").alias("standard_error"))
 
     def drawn(batches):
         for pdf in batches:

@@ -334,12 +334,12 @@ def agg22_stratum_summary(spark, d):
 
 @query()
 def agg24_paired_bootstrap(spark, d):
-    """Standard errors of two candidates' mean scores, strata by toxicity; the draws come from Python's generator."""
+    """Standard errors of two candidates' mean scores, strata by toxicity; the indices of 10,000 draws come from one stream of Python's generator."""
     rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     pos = F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id")) - 1
     rows = rows.select(F.col("toxic").cast("string").alias("stratum"), pos.cast("long").alias("case_pos"), "quality", "n_chars")
     pair = F.array(F.struct(F.lit("label").alias("candidate"), F.col("quality").cast("double").alias("score")), F.struct(F.lit("length").alias("candidate"), (F.col("n_chars") > 1000).cast("double").alias("score")))
-    return metrics.paired_bootstrap(rows.select("stratum", "case_pos", F.inline(pair)), draws=200, seed=20260916)
+    return metrics.paired_bootstrap(rows.select("stratum", "case_pos", F.inline(pair)), draws=10_000, seed=20260916, one_stream=True)
 
 
 # Windows and ranking

@@ -1,6 +1,7 @@
 import hashlib
 import io
 import json
+import random
 import statistics
 import tarfile
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import numbers, text
 from siltstone.operators import metrics, ranking, relations
+from siltstone.plans import catalog
 from siltstone.sources import records
 from siltstone.streaming import incremental
 
@@ -65,6 +67,40 @@ def test_selection_and_bootstrap(spark):
     assert got == pytest.approx(statistics.stdev(means))
 
 
+def plain_bootstrap(strata, draws, seed):
+    """Standard errors as the reference takes them: strata is candidate -> stratum -> scores."""
+    rnd, means = random.Random(seed), {c: [] for c in strata}
+    sizes = {s: len(x) for s, x in sorted(next(iter(strata.values())).items())}
+    for _ in range(draws):
+        at = {s: [rnd.randrange(n) for _ in range(n)] for s, n in sizes.items()}
+        for c, x in strata.items():
+            means[c].append(statistics.fmean(statistics.fmean(x[s][i] for i in at[s]) for s in sizes))
+    return {c: statistics.stdev(m) for c, m in means.items()}
+
+
+def test_bootstrap_over_one_stream(spark, monkeypatch):
+    rnd = random.Random(5)
+    strata = {c: {s: [rnd.random() for _ in range(n)] for s, n in (("p", 37), ("qq", 1), ("r", 64))} for c in "ab"}
+    rows = [(c, s, i, v) for c, x in strata.items() for s, y in x.items() for i, v in enumerate(y)]
+    scores = spark.createDataFrame(rows, "candidate string, stratum string, case_pos long, score double")
+    want = plain_bootstrap(strata, 70, 9)
+    for bound in (metrics.STREAM_SCORES, 1):
+        monkeypatch.setattr(metrics, "STREAM_SCORES", bound)
+        got = {r.candidate: r.standard_error for r in metrics.paired_bootstrap(scores, 70, 9, one_stream=True).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_the_registered_bootstrap_takes_all_draws(spark, tmp_path):
+    sizes = [(i, 40 * i * (i % 3 + 1) + 200) for i in range(12)]
+    labels = [(i, i % 4 // 2, i % 5 // 4) for i, _ in sizes]
+    spark.createDataFrame(sizes, "doc_id long, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    by = lambda f: {str(t): [float(f(i)) for i, _, toxic in labels if toxic == t] for t in (0, 1)}
+    want = plain_bootstrap({"label": by(lambda i: labels[i][1]), "length": by(lambda i: sizes[i][1] > 1000)}, 10_000, 20260916)
+    got = {r.candidate: r.standard_error for r in catalog.agg24_paired_bootstrap(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_ranking(spark):
     pos = ranking.with_positions(spark.range(8).select((F.lit(8) - F.col("id")).alias("k")), ["k"])
     assert sorted((r.k, r._pos) for r in pos.collect()) == [(k + 1, k) for k in range(8)]
