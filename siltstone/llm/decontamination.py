@@ -99,10 +99,16 @@ class Index:
         # length -> fingerprints, their items, where in its item each begins, and the block tables
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]] = {}
         rungs: dict[int, list[tuple[int, int]]] = {}
+        #: Words of every item, and all items' shingles in ascending order with their items.
+        self.sizes = sizes
         for k, n in enumerate(sizes.tolist()):
             if n:
                 length = max(x for x in ladder if x <= n)
                 rungs.setdefault(length, []).extend((k, at) for at in sorted({0, n - length}))
+        pairs = [(np.fromiter(c, np.uint64, len(c)), np.full(len(c), k, np.int32)) for k, c in enumerate(self.shingles)]
+        values, owners = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        order = np.argsort(values, kind="stable")
+        self.shingle_values, self.shingle_items = values[order], owners[order]
         for length, places in rungs.items():
             prints = np.concatenate([fingerprints(self.codes[k], running(pair_codes(self.codes[k])), np.array([at]), length) for k, at in places])
             tables = [_near_values(np.unique(_blocks(prints)[:, b]), radius // BLOCKS) for b in range(BLOCKS)]
@@ -122,6 +128,28 @@ class Index:
             if len(near):
                 yield near, item, at
 
+    def short(self, codes: np.ndarray, first: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+        """(text, item) where the text has fewer words than the item and can be similar all the same: it may hold no window of the item.
+
+        It shares a shingle with the item then, and has at least similarity times as many.
+        """
+        sizes = np.diff(first)
+        texts = np.flatnonzero((sizes > 0) & (sizes < self.sizes.max(initial=0)))
+        if not len(texts):
+            return []
+        own = np.concatenate([[0], np.cumsum(sizes[texts])])
+        runs, run_first = shingles(codes[np.repeat(first[texts] - own[:-1], sizes[texts]) + np.arange(own[-1])], own, SHINGLE)
+        low, high = np.searchsorted(self.shingle_values, runs), np.searchsorted(self.shingle_values, runs, "right")
+        found: set[tuple[int, int]] = set()
+        for h in np.flatnonzero(high > low):
+            t = int(texts[np.searchsorted(run_first, h, "right") - 1])
+            n = int(sizes[t])
+            for item in self.shingle_items[low[h] : high[h]].tolist():
+                most = max(1, int(self.sizes[item]) - SHINGLE + 1)
+                if n < self.sizes[item] and max(1, n - SHINGLE + 1) >= similarity * most - 1e-9:
+                    found.add((t, item))
+        return sorted(found)
+
     def similarity(self, item: int, runs: list[int]) -> float:
         """Weighted Jaccard of the shingles of an item and of a run of words."""
         a = self.shingles[item]
@@ -164,10 +192,10 @@ def matches(column: pa.Array, index: Index, similarity: float = SIMILARITY) -> I
             stride = max(1, length // STRIDES)
             start = np.arange(0, min(_WORDS_AT_ONCE, n_words - a), stride)
             text = np.searchsorted(w.first, start + a, "right") - 1
-            # A window that would cross the end of its text starts earlier; a text shorter than it has one window of its own.
+            # A window that would cross the end of its text starts earlier; a text shorter than an item is checked apart, below.
             room = w.first[text + 1] - a - length
-            start = np.where(start <= room, start, np.maximum(room, w.first[text] - a))
-            ok = (start >= 0) & (start + length <= w.first[text + 1] - a)
+            start = np.where(start <= room, start, room)
+            ok = start >= np.maximum(0, w.first[text] - a)
             start, text = start[ok], text[ok]
             if not len(start):
                 continue
@@ -185,6 +213,10 @@ def matches(column: pa.Array, index: Index, similarity: float = SIMILARITY) -> I
                         old = best.get((t, item), (0.0, 0))
                         if value >= similarity and (value, -where) > (old[0], -old[1]):
                             best[t, item] = (value, where)
+    for t, item in index.short(codes, w.first, similarity):
+        value, where = index.best(item, codes[w.first[t] : w.first[t + 1]], [0])
+        if value >= similarity:
+            best[t, item] = (value, where)
     for (t, item), (value, where) in sorted(best.items()):
         yield t, item, value, where, min(len(index.codes[item]), int(w.first[t + 1] - w.first[t]))
 

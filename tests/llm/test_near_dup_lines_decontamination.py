@@ -219,6 +219,19 @@ def test_contaminated_documents_against_brute_force(spark):
     assert decontamination.decontaminate(table.where("false"), bench).count() == 0
 
 
+def test_documents_shorter_than_an_item_against_brute_force(spark):
+    rnd = random.Random(12)
+    items = [(k, sentence(rnd, 15 + k)) for k in range(45)]
+    docs = []
+    for k, t in items:
+        w = t.split(" ")
+        docs += [(100 * k + 10 * a + b, " ".join(w[a : len(w) - b])) for a in range(4) for b in range(8)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_hits(docs, items)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_the_multi_index_finds_every_fingerprint_in_the_radius():
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{rng.integers(1 << 30)}" for _ in range(20)) for _ in range(12)]
