@@ -2,17 +2,18 @@
 
 One file holds one run of documents in ascending order. Its ids lie in blocks of whole documents; every block has
 its own grammar. Re-Pair replaces the most frequent pairs of neighbouring symbols by new symbols, again and
-again, until no pair is frequent enough or the rounds are used up; pairs never cross the end of a document. A
+again, until no pair is frequent enough; pairs never cross the end of a document. All pairs are counted in every
+round, and those that are more frequent than the pairs they overlap with are replaced together. A
 block stores its rules and how many ids each of them expands to, so a reader finds the symbols of a document, or
 of any range of its ids, without decoding what lies before.
 
 File, little-endian:
     magic "RPR1", u32 number of blocks, u64 length of the header that follows
     header: per block u64 place, u64 bytes, u32 documents, u64 ids
-    block:  u32 first free symbol, u32 rules, u32 documents, u64 symbols, u64 symbol width in bytes,
+    block:  u32 first free symbol, u32 rules, u32 documents, u64 symbols, u64 symbol width in bits,
             rules u32 x 2 (left, right; a symbol of a rule is an id or an earlier rule), expansion lengths u32,
             doc_id i64 and a null flag u8 per document, first symbol u64 per document and one more,
-            first id u64 per document and one more, symbols
+            first id u64 per document and one more, symbols (bits, high ones first, without gaps)
 """
 
 from __future__ import annotations
@@ -35,16 +36,19 @@ from siltstone.llm.tokens import encoder, slices
 MAGIC = b"RPR1"
 #: Ids up to which documents share a block; a longer document has one of its own.
 BLOCK_IDS = 1 << 21
-ROUNDS = 4
-#: Pairs replaced in one round at most, and occurrences below which a rule does not pay.
-RULES_A_ROUND = 1024
-LEAST = 8
-#: Symbols of which pairs are counted. A pair is at most as frequent as its rarer symbol, so every pair that occurs more
-#: often than the first symbol left out is found.
-FREQUENT = 1024
+#: Occurrences below which a pair is not replaced, and uses below which a rule waits for another round.
+LEAST, LEAST_USES = 8, 4
 
 
-def compress(ids: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def _alternate(where: np.ndarray) -> np.ndarray:
+    """Of every run of neighbouring places every other one, from the left."""
+    new_run = np.ones(len(where), bool)
+    new_run[1:] = np.diff(where) > 1
+    begin = np.flatnonzero(new_run)
+    return where[(np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) & 1 == 0]
+
+
+def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """symbols, first symbol of every document (and one more), rules (n, 2), expansion lengths, first free symbol."""
     base = int(ids.max()) + 1 if len(ids) else 1
     s = ids.astype(np.int64)
@@ -52,44 +56,40 @@ def compress(ids: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[
     filled = first[1:] > first[:-1]
     ends[first[1:][filled] - 1] = True
     rules, size, free = [], np.ones(base, np.int64), base
-    side = FREQUENT + 1
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        count = np.bincount(s, minlength=free)
-        top = np.argpartition(-count, FREQUENT - 1)[:FREQUENT] if free > FREQUENT else np.arange(free)
-        top = np.sort(top[count[top] >= LEAST])
-        rank = np.full(free, FREQUENT, np.int64)
-        rank[top] = np.arange(len(top))
-        place = rank[s]
-        code = place[:-1] * side + place[1:]
-        code[ends[:-1]] = side * side - 1
-        pairs = np.bincount(code, minlength=side * side).reshape(side, side)
-        pairs[FREQUENT] = pairs[:, FREQUENT] = 0
-        best = np.flatnonzero(pairs.ravel() >= LEAST)
-        if not len(best):
+    while len(s) > 1:
+        often = np.bincount(s, minlength=free) >= LEAST
+        known = often[s]
+        maybe = np.flatnonzero(known[:-1] & known[1:] & ~ends[:-1])
+        code = s[maybe] * free + s[maybe + 1]
+        ordered = np.sort(code)
+        begin = np.flatnonzero(np.diff(ordered, prepend=-1))
+        n = np.diff(np.append(begin, len(ordered)))
+        pairs, n = ordered[begin[n >= LEAST]], n[n >= LEAST]
+        if not len(pairs):
             break
-        if len(best) > RULES_A_ROUND:
-            best = np.sort(best[np.argsort(-pairs.ravel()[best], kind="stable")[:RULES_A_ROUND]])
-        rule_of = np.full(side * side, -1, np.int64)
-        rule_of[best] = np.arange(len(best))
-        rule = rule_of[code]
-        where = np.flatnonzero(rule >= 0)
-        # In a run of overlapping matches every other one is taken, from the left.
-        new_run = np.ones(len(where), bool)
-        new_run[1:] = np.diff(where) > 1
-        begin = np.flatnonzero(new_run)
-        odd = (np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) & 1
-        where = where[odd == 0]
-        s[where] = free + rule[where]
+        place = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+        hit = pairs[place] == code
+        where, pair = maybe[hit], place[hit]
+        # A pair is replaced where no pair that it overlaps with is more frequent.
+        rank = np.zeros(len(s) + 1, np.int64)
+        rank[where] = n[pair]
+        best = _alternate(where[(rank[where] >= rank[where - 1]) & (rank[where] >= rank[where + 1])])
+        pair_at = np.full(len(s), -1, np.int32)
+        pair_at[where] = pair
+        used = np.bincount(pair_at[best], minlength=len(pairs)) >= LEAST_USES
+        if not used.any():
+            used[np.argmax(n)] = True
+            best = _alternate(where[pair == np.argmax(n)])
+        where = best[used[pair_at[best]]]
+        s[where] = free + (np.cumsum(used) - 1)[pair_at[where]]
         keep = np.ones(len(s), bool)
         keep[where + 1] = False
         ends[where] = ends[where + 1]
         s, ends = s[keep], ends[keep]
-        new = np.stack([top[best // side], top[best % side]], 1)
+        new = np.stack([pairs[used] // free, pairs[used] % free], 1)
         rules.append(new)
         size = np.concatenate([size, size[new[:, 0]] + size[new[:, 1]]])
-        free += len(best)
+        free += len(new)
     at = np.concatenate([[0], np.flatnonzero(ends) + 1])
     n_before = np.concatenate([[0], np.cumsum(filled)])
     rules_out = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
@@ -115,7 +115,7 @@ class Grammar:
 
 def _block(doc_ids: list[int | None], ids: np.ndarray, first: np.ndarray) -> bytes:
     symbols, sym_first, rules, lengths, base = compress(ids, first)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
+    width = max(1, (base + len(rules) - 1).bit_length())
     out = io.BytesIO()
     out.write(struct.pack("<IIIQQ", base, len(rules), len(doc_ids), len(symbols), width))
     out.write(rules.astype("<u4").tobytes())
@@ -124,7 +124,8 @@ def _block(doc_ids: list[int | None], ids: np.ndarray, first: np.ndarray) -> byt
     out.write(np.array([x is None for x in doc_ids], "u1").tobytes())
     out.write(sym_first.astype("<u8").tobytes())
     out.write(first.astype("<u8").tobytes())
-    out.write(symbols.astype(f"<u{width}").tobytes())
+    bits = np.unpackbits(symbols.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
+    out.write(np.packbits(bits.ravel()).tobytes())
     return out.getvalue()
 
 
@@ -146,7 +147,9 @@ class Block:
         ids, null = part("<i8", n_docs), part("u1", n_docs)
         self.doc_ids = [None if x else int(i) for i, x in zip(ids, null, strict=True)]
         self.first_symbol, self.first_id = part("<u8", n_docs + 1).astype(np.int64), part("<u8", n_docs + 1).astype(np.int64)
-        self.symbols = part(f"<u{width}", n_symbols)
+        wide = np.zeros((n_symbols, 32), np.uint8)
+        wide[:, 32 - width :] = np.unpackbits(part("u1", -(-width * n_symbols // 8)), count=width * n_symbols).reshape(n_symbols, width)
+        self.symbols = np.packbits(wide, axis=1).view(">u4").ravel().astype(np.uint32)
         self.grammar = Grammar(self.rules, self.lengths, self.base)
 
     def document(self, k: int) -> np.ndarray:

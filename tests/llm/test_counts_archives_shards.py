@@ -92,6 +92,23 @@ def test_grammar_round_trip_ranges_and_gain():
     assert len(empty[0]) == 0
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    passage = rng.permutation(40000)[:400]
+    own = [rng.integers(0, 3000, 300) for _ in range(120)]
+    docs = [np.concatenate([o, passage]) for o in own] + [np.full(4000, 7)]
+    ids, first = np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    symbols, sym_first, rules, lengths, base = token_files.compress(ids, first)
+    # 48,000 ids of copies shrink to a symbol or a few for each copy.
+    assert len(symbols) < 36000 + 120 * 4 + 40
+    inner = np.ones(len(symbols), bool)
+    inner[sym_first[1:].astype(np.int64) - 1] = False
+    pairs = list(zip(symbols[:-1][inner[:-1]].tolist(), symbols[1:][inner[:-1]].tolist(), strict=True))
+    assert max(Counter(pairs).values()) < token_files.LEAST
+    block = token_files.Block(token_files._block(list(range(len(docs))), ids, first))
+    assert block.all_ids().tolist() == ids.tolist() and block.ids(5, 310, 420).tolist() == docs[5][310:420].tolist()
+
+
 def test_op6_is_exact_gapless_and_seeded(spark, tmp_path):
     documents(spark, tmp_path, [None, "", "é"] + ["same"] * 40 + [f"t{i}" for i in range(60)])
     got = queries.op6_sharding(spark, str(tmp_path)).collect()
