@@ -173,9 +173,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
     rows, texts, ys, size = found.select("text", "_y", "_bytes").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * max_rows), [], [], 0
     for r in rows.toLocalIterator():
+        # A text that does not fit is left out; shorter ones after it can fit.
+        if size + r["_bytes"] > max_bytes:
+            continue
         size += r["_bytes"]
-        if size > max_bytes and texts:
-            break
         texts.append(r["text"])
         ys.append(r["_y"])
     return texts, np.array(ys, np.int64)

@@ -49,3 +49,11 @@ def test_one_class_or_no_rows(spark):
     assert toxicity.toxicity(docs.where("false"), none).count() == 0
     clean = toxicity.train(["a b", "c"], np.array([0, 0]))
     assert clean.offset < -5
+
+
+def test_a_text_that_does_not_fit_does_not_end_the_sample(spark):
+    for long in range(6):
+        docs = spark.createDataFrame([(i, "x" * (500 if i == long else 10)) for i in range(6)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+        texts, ys = toxicity.training_sample(docs, labels, max_bytes=100)
+        assert texts == ["x" * 10] * 5 and sorted(ys.tolist()) == sorted(i % 2 for i in range(6) if i != long)
