@@ -14,12 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
+#: Schemes that workers can open, and what pyarrow calls them.
+_SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfss": "abfss"}
+
+
+def _path(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder."""
+    """URI of the shared folder, with its scheme: a path without one lies on the cluster's default file system."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        path, fs = _path(spark, named.rstrip("/"))
+        return str(path.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
     if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
@@ -30,10 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """URI of a new folder, which is not created yet."""
-    path = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+    uri = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    path, fs = _path(spark, uri)
+    fs.deleteOnExit(path)
+    return uri
+
+
+def worker_folder(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """URI of a folder (a new one, unless given) whose files Python workers write and read; an error if they cannot."""
+    path, fs = _path(spark, folder or new_folder(spark, label))
+    uri = str(path.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
+    if uri.partition(":")[0] not in _SCHEMES:
+        raise ValueError(f"Python workers cannot open {uri}")
+    return uri
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -44,9 +62,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def filesystem(uri: str):
-    """A pyarrow file system and the path in it, for executors that write or range-read single files."""
+    """A pyarrow file system and the path in it, for executors that write or range-read single files.
+
+    The URI has a scheme: worker_folder sees to that on the driver, as only Spark knows the default one.
+    """
     from pyarrow import fs
 
-    if ":/" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme not in _SCHEMES or not rest.startswith("/"):
+        raise ValueError(f"not a URI that workers can open: {uri}")
+    return fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}:{'//' if not rest.startswith('//') else ''}{rest}")

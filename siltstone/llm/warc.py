@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.storage import filesystem, new_folder, written
+from siltstone.llm.kernels import frugal
+from siltstone.llm.storage import filesystem, worker_folder, written
 
 #: Fixed values of the ZIP format: signatures and layouts of its records.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -31,6 +32,8 @@ _END64, _LOCATOR64 = struct.Struct("<4sQ2H2I4Q"), struct.Struct("<4sIQI")
 _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
 
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
+#: Bytes of records after which a task goes on in another package.
+PACKAGE_BYTES = 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -218,45 +221,51 @@ class Package:
         return self.path
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write a record per row of pages (page_id, url, html) and return the manifest: folder, path, n_records.
 
     Of the records with equal payloads of at least least_bytes, that with the largest page_id is the response and the
-    others revisit it. A null html is an empty payload. Rows that share the largest page_id and the payload are all
-    responses; a null page_id counts as the smallest. Only packages that the manifest names count, so attempts of
-    lost executors leave nothing that is read.
+    others revisit it. A null html is an empty payload; a null page_id counts as the smallest. Of rows that share the
+    largest page_id and the payload one is the response and the others revisit it, by its page_id. Packages hold
+    package_bytes and a record at most, however much a task is given. Only packages that the manifest names count, so
+    attempts of lost executors leave nothing that is read.
     """
-    folder = folder or new_folder(pages.sparkSession, "warc")
+    folder = worker_folder(pages.sparkSession, "warc", folder)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    # The number of a row parts those that share page_id and payload.
+    rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "n": F.octet_length("html"), "x": F.xxhash64("html"), "row": F.monotonically_increasing_id()})
     # Payloads are equal if length, SHA-1 and a second hash are.
-    key = [F.octet_length("html").alias("n"), "sha", F.xxhash64("html").alias("x")]
-    best = rows.groupBy(*key).agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where(f"copies > 1 and n >= {int(least_bytes)}").drop("copies")
-    keyed = rows.withColumns({"n": F.octet_length("html"), "x": F.xxhash64("html")})
-    joined = keyed.join(best, ["n", "sha", "x"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
+    best = rows.groupBy("n", "sha", "x").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count("*").alias("copies")).where(f"copies > 1 and n >= {int(least_bytes)}").drop("copies")
+    is_best = F.col("best").isNull() | (F.col("row") == F.col("best.row"))
+    joined = rows.join(best, ["n", "sha", "x"], "left").select("page_id", "url", "html", F.col("best.page_id").alias("refers_to"), is_best.alias("response"))
     joined = joined.withColumn("part", F.spark_partition_id())
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, files = None, 0
+
+        def named() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"path": [out.close()], "n_records": pa.array([len(out.index)], pa.int64())})
+
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page_id, url, html, refers_to, part = r
-                out = out or Package(folder, f"pages-{part:06d}")
+            for page_id, url, html, refers_to, response, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = out or Package(folder, f"pages-{part:06d}-{files:06d}")
                 body = html.encode()
-                kind = "response" if refers_to is None else "revisit"
+                kind = "response" if response else "revisit"
                 uri = _line(url)
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest(body)}"), ("Content-Type", "application/http; msgtype=response")]
-                if refers_to is not None:
+                if not response:
                     fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
                     body = b""
                 out.add(page_id, uri, record(fields, http + body), kind)
+                if out.size >= package_bytes:
+                    yield named()
+                    out, files = None, files + 1
         if out is not None:
-            n = len(out.index)
-            yield pa.RecordBatch.from_pydict({"path": [out.close()], "n_records": pa.array([n], pa.int64())})
+            yield named()
 
-    manifest = written(joined.mapInArrow(save, "path string, n_records long"), "warc-manifest")
+    manifest = written(joined.mapInArrow(frugal(save), "path string, n_records long"), "warc-manifest")
     return manifest.withColumn("folder", F.lit(folder))
 
 
