@@ -2,9 +2,8 @@
 
 Sizes are whole numbers up to the capacity, so a packing is decided on the histogram of sizes alone: at most
 `capacity` counters reach the driver, whatever the number of documents. Pieces above one third of the capacity
-are matched greedily, the largest first, each with the largest partner that fits, twice at most per bin (one
-opener and two further large pieces can never exceed three); the smaller ones then best-fit the gaps, largest
-first. Equal bins are handled as one run of bins, so the plan has a bounded number of steps too.
+are matched greedily, the largest first, each with the largest partner that fits; three of them exceed the
+capacity, so a bin holds two at most. The smaller ones then best-fit the gaps, largest first. Equal bins are handled as one run of bins, so the plan has a bounded number of steps too.
 
 The plan says which bins take the k-th piece of a size. Pieces are numbered within their size by counting in
 salted groups, so a size that holds a third of all pieces is not ranked in one task.
@@ -70,13 +69,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         opener = large[-1]
         room = capacity - opener
         partners = [opener]
-        for _ in range(2):
-            counts = {s: left[s] - partners.count(s) for s in set(partners)}
-            at = bisect_right(large, room) - 1
-            while at >= 0 and counts.get(large[at], left[large[at]]) < 1:
-                at -= 1
-            if at < 0:
-                break
+        at = bisect_right(large, room) - 1
+        if at >= 0 and large[at] == opener and left[opener] == 1:
+            at -= 1
+        if at >= 0:
             partners.append(large[at])
             room -= large[at]
         bins = min(left[s] // partners.count(s) for s in set(partners))
@@ -145,7 +141,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            ids_col, texts = batch.column(0), batch.column(1).to_pylist()
+            ids_col, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
                 ids, begin = enc.encode(texts[a:b], end_id)
                 lengths = np.diff(begin)
@@ -171,21 +167,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     Offsets are gapless from 0 in every sequence. Pieces of one length are ranked by their number in
     the table of pieces, which is written once, so a lost executor changes nothing. An empty table gives no rows.
     """
-    own = ["sequence_id", "offset", "_row", "_salt", "_rank", "_before"]
+    own = ["sequence_id", "offset", "_row", "_salt", "_rank", "_upto"]
     numbered = pieces.drop(*own).withColumn("_row", F.monotonically_increasing_id())
     fixed = written(numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")), "pieces")
-    counted = fixed.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counted = written(counted.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
-    totals = counted.groupBy("length").agg(F.sum("n").alias("n")).collect()  # capacity rows at most
+    counted = fixed.groupBy("length", "_salt").agg(F.count("*").alias("n")).groupBy("length").agg(F.sum("n").alias("n"), F.collect_list(F.struct("_salt", "n")).alias("parts"))
+    upto = lambda k: F.aggregate(F.filter("parts", lambda p: p["_salt"] < k), F.lit(0).cast("long"), lambda x, p: x + p["n"])
+    counted = written(counted.select("length", "n", F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), upto).alias("_upto")), "piece-counts")
+    totals = counted.select("length", "n").collect()  # capacity rows at most
     found = plan({int(r["length"]): int(r["n"]) for r in totals}, capacity)
     # Segments of a size begin at key size * (n + 1) + rank, so one binary search finds a piece's segment.
     wide = max((int(r["n"]) for r in totals), default=0) + 1
     keys = found.size * wide + found.rank
 
     ranked = fixed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1)
-    # The counts have capacity * salts rows at most; the bound is what allows the broadcast.
-    placed = ranked.join(F.broadcast(counted.select("length", "_salt", "_before")), ["length", "_salt"])
+    # One row a size, capacity rows of `salts` numbers at most (2 MB): the bound is what allows the broadcast.
+    placed = ranked.join(F.broadcast(counted.select("length", "_upto")), "length")
     names = [c for c in fixed.columns if c not in ("_salt", "_row")]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,4 +193,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     schema = fixed.select(names).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return placed.select(*names, (F.col("_rank") + F.col("_before")).cast("long").alias("_rank")).mapInArrow(frugal(assign), schema)
+    return placed.select(*names, (F.col("_rank") + F.get("_upto", F.col("_salt"))).cast("long").alias("_rank")).mapInArrow(frugal(assign), schema)

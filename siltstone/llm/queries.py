@@ -42,20 +42,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents, the same batch again, copies taken out, padded texts revised."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     versions = {"byte_bpe_50k": vocabulary("byte_bpe_50k.json"), "word_bpe_49k": vocabulary("word_bpe_49k.json")}
-    counted = written(token_counts.count_tokens(docs, versions), "token-counts")
+    trimmed = F.btrim("text", F.lit(" \t\r\n"))
+    padded = docs.withColumn("trimmed", F.when(trimmed != F.col("text"), trimmed))
+    counted = written(token_counts.count_tokens(padded, versions, revised="trimmed"), "token-counts")
     rollup = token_counts.Rollup(spark, new_folder(spark, "token-rollup"))
     rollup.commit("load", token_counts.inserts(counted))
     rollup.commit("load", token_counts.inserts(counted))
-    first = counted.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-    joined = counted.join(first, "text_key")
-    rollup.commit("copies", token_counts.deletes(joined.where("doc_id <> first_id")))
-    blanks = F.lit(" \t\r\n")
-    padded = docs.where(F.col("text") != F.btrim("text", blanks))
-    trimmed = token_counts.count_tokens(padded.withColumn("text", F.btrim("text", blanks)), versions)
-    kept = joined.where("doc_id = first_id").drop("text_key", "first_id")
-    both = kept.join(trimmed.select("doc_id", "tokenizer_version", F.col("n_tokens").alias("n_new")), ["doc_id", "tokenizer_version"])
-    both = written(both, "token-revisions")
-    rollup.commit("trim", token_counts.revisions(both, both.withColumn("n_tokens", F.col("n_new"))))
+    kept = token_counts.first_of_copies(counted)
+    rollup.commit("copies", token_counts.revisions(counted, kept))
+    rollup.commit("trim", token_counts.revisions(kept, kept.withColumn("n_tokens", F.col("n_revised"))))
     return rollup.totals()
 
 

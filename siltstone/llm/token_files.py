@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.llm.storage import filesystem, new_folder, written
+from siltstone.llm.kernels import frugal
+from siltstone.llm.storage import filesystem, worker_folder, written
 from siltstone.llm.tokens import encoder, slices
 
 MAGIC = b"RPR1"
@@ -38,62 +39,90 @@ MAGIC = b"RPR1"
 BLOCK_IDS = 1 << 21
 #: Occurrences below which a pair is not replaced, and uses below which a rule waits for another round.
 LEAST, LEAST_USES = 8, 4
+#: Bytes after which a task goes on in another file.
+FILE_BYTES = 1 << 30
 
 
-def _alternate(where: np.ndarray) -> np.ndarray:
-    """Of every run of neighbouring places every other one, from the left."""
+def _alternate(where: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of every run of neighbouring places every other one, from the left (a mask)."""
     new_run = np.ones(len(where), bool)
-    new_run[1:] = np.diff(where) > 1
+    new_run[1:] = right[where[:-1]] != where[1:]
     begin = np.flatnonzero(new_run)
-    return where[(np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) & 1 == 0]
+    return (np.arange(len(where)) - np.repeat(begin, np.diff(np.append(begin, len(where))))) & 1 == 0
 
 
 def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """symbols, first symbol of every document (and one more), rules (n, 2), expansion lengths, first free symbol."""
-    base = int(ids.max()) + 1 if len(ids) else 1
-    s = ids.astype(np.int64)
-    ends = np.zeros(len(s), bool)
+    """symbols, first symbol of every document (and one more), rules (n, 2), expansion lengths, first free symbol.
+
+    Symbols stay at the places of their first ids, linked to their neighbours; only places whose pair is frequent are
+    looked at. A pair can get more frequent only by places next to a symbol of the same round, so a pair that was
+    counted once and is rare is rare for good, and after a round only those places are counted anew.
+    """
+    base, n = int(ids.max()) + 1 if len(ids) else 1, len(ids)
     filled = first[1:] > first[:-1]
-    ends[first[1:][filled] - 1] = True
+    heads = first[:-1][filled]
+    s = np.append(ids, 0).astype(np.int64)
+    # The neighbours of every place; n stands for none.
+    left, right = np.arange(-1, n, dtype=np.int32), np.arange(1, n + 2, dtype=np.int32)
+    left[heads], right[np.append(heads[1:], n) - 1] = n, n
+    # How often the pair at a place stands, if it is frequent, and the number of the pair.
+    rank, pair = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    gone, marked = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     rules, size, free = [], np.ones(base, np.int64), base
-    while len(s) > 1:
-        often = np.bincount(s, minlength=free) >= LEAST
-        known = often[s]
-        maybe = np.flatnonzero(known[:-1] & known[1:] & ~ends[:-1])
-        code = s[maybe] * free + s[maybe + 1]
-        ordered = np.sort(code)
-        begin = np.flatnonzero(np.diff(ordered, prepend=-1))
-        n = np.diff(np.append(begin, len(ordered)))
-        pairs, n = ordered[begin[n >= LEAST]], n[n >= LEAST]
-        if not len(pairs):
+    codes, active = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    often = np.append((np.bincount(ids, minlength=1) >= LEAST)[ids], False)
+    fresh = np.flatnonzero(often[:n] & often[right[:n]])
+    while True:
+        # New pairs: those that are frequent get numbers.
+        found = pa.array(s[fresh] << 32 | s[right[fresh]]).dictionary_encode()
+        which, known = found.indices.to_numpy(), found.dictionary.to_numpy()
+        many = np.bincount(which, minlength=len(known)) >= LEAST
+        pair[fresh] = (np.cumsum(many) - 1 + len(codes))[which]
+        codes = np.concatenate([codes, known[many]])
+        active = np.concatenate([active, fresh[many[which]]])
+        active.sort(kind="stable")
+        p = pair[active]
+        count = np.bincount(p, minlength=len(codes)).astype(np.int32)
+        keep = count[p] >= LEAST
+        rank[active[~keep]] = 0
+        active, p = active[keep], p[keep]
+        if not len(active):
             break
-        place = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-        hit = pairs[place] == code
-        where, pair = maybe[hit], place[hit]
+        c = rank[active] = count[p]
         # A pair is replaced where no pair that it overlaps with is more frequent.
-        rank = np.zeros(len(s) + 1, np.int64)
-        rank[where] = n[pair]
-        best = _alternate(where[(rank[where] >= rank[where - 1]) & (rank[where] >= rank[where + 1])])
-        pair_at = np.full(len(s), -1, np.int32)
-        pair_at[where] = pair
-        used = np.bincount(pair_at[best], minlength=len(pairs)) >= LEAST_USES
+        top = (c >= rank[left[active]]) & (c >= rank[right[active]])
+        at, p_at = active[top], p[top]
+        apart = _alternate(at, right)
+        at, p_at = at[apart], p_at[apart]
+        used = np.bincount(p_at, minlength=len(codes)) >= LEAST_USES
         if not used.any():
-            used[np.argmax(n)] = True
-            best = _alternate(where[pair == np.argmax(n)])
-        where = best[used[pair_at[best]]]
-        s[where] = free + (np.cumsum(used) - 1)[pair_at[where]]
-        keep = np.ones(len(s), bool)
-        keep[where + 1] = False
-        ends[where] = ends[where + 1]
-        s, ends = s[keep], ends[keep]
-        new = np.stack([pairs[used] // free, pairs[used] % free], 1)
-        rules.append(new)
-        size = np.concatenate([size, size[new[:, 0]] + size[new[:, 1]]])
+            most = int(count.argmax())
+            at = active[p == most]
+            at = at[_alternate(at, right)]
+            p_at = np.full(len(at), most)
+            used[most] = True
+        at, p_at = at[used[p_at]], p_at[used[p_at]]
+        s[at] = free + (np.cumsum(used) - 1)[p_at]
+        taken = right[at]
+        gone[taken] = True
+        right[at] = right[taken]
+        left[right[at]] = at
+        new = codes[used]
+        rules.append(np.stack([new >> 32, new & 0xFFFFFFFF], 1))
+        size = np.concatenate([size, size[new >> 32] + size[new & 0xFFFFFFFF]])
         free += len(new)
-    at = np.concatenate([[0], np.flatnonzero(ends) + 1])
-    n_before = np.concatenate([[0], np.cumsum(filled)])
+        # The pairs at and before the new symbols are others now.
+        before = left[at]
+        rank[taken] = rank[at] = rank[before] = 0
+        active = active[rank[active] > 0]
+        marked[at] = marked[before] = True
+        marked[at[right[at] == n]] = marked[n] = False
+        fresh = np.flatnonzero(marked)
+        marked[fresh] = False
+    there = ~gone[:n]
+    before_doc = np.concatenate([[0], np.cumsum(there)])[first]
     rules_out = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return s.astype(np.uint32), at[n_before].astype(np.uint64), rules_out.astype(np.uint32), size[base:].astype(np.uint32), base
+    return s[:n][there].astype(np.uint32), before_doc.astype(np.uint64), rules_out.astype(np.uint32), size[base:].astype(np.uint32), base
 
 
 class Grammar:
@@ -218,21 +247,22 @@ def blocks(file) -> Iterator[Block]:
         yield Block(file.read(n))
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write all documents in ascending doc_id order (nulls first, then by text) and return the manifest.
 
-    Manifest, one row per file: shard (ascending with doc_id), path, n_docs, n_ids, start (ids of all files before).
-    Only files that the manifest names count, so attempts of lost executors leave nothing that is read. A null
-    text is an empty one; repeated rows are written as often as they stand; an empty table makes no file.
+    Manifest, one row per file: shard and part (ascending with doc_id), path, n_docs, n_ids, start (ids of all files
+    before). A file holds file_bytes and a block at most, however much a task is given. Only files that the manifest
+    names count, so attempts of lost executors leave nothing that is read. A null text is an empty one; repeated rows
+    are written as often as they stand; an empty table makes no file.
     """
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "token-files")
+    folder = worker_folder(spark, "token-files", folder)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_tie"))
     ordered = rows.repartitionByRange(shards, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, shard = encoder(tokenizer), None, None
+        enc, out, shard, parts = encoder(tokenizer), None, None, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def flush() -> None:
@@ -241,25 +271,31 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                 out.block([d for h in held for d in h[0]], np.concatenate([h[1] for h in held]), first)
                 held.clear()
 
+        def named() -> pa.RecordBatch:
+            row = {"shard": pa.array([shard], pa.int32()), "part": pa.array([parts], pa.int32()), "path": [out.close()]}
+            return pa.RecordBatch.from_pydict(row | {"n_docs": pa.array([out.n_docs], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if out is None:
-                shard = batch.column(2)[0].as_py()
-                out = Writer(folder, f"shard-{shard:06d}")
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            shard = batch.column(2)[0].as_py()
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(texts, 1_500_000):
+                out = out or Writer(folder, f"shard-{shard:06d}-{parts:06d}")
                 ids, begin = enc.encode(texts[a:b], end_id)
                 if held and sum(len(h[1]) for h in held) + len(ids) > BLOCK_IDS:
                     flush()
                 held.append((doc_ids[a:b], ids, begin))
+                if out.size >= file_bytes:
+                    flush()
+                    yield named()
+                    out, parts = None, parts + 1
         if out is not None:
             flush()
-            path = out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": pa.array([out.n_docs], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
+            yield named()
 
-    manifest = written(ordered.mapInArrow(save, "shard int, path string, n_docs long, n_ids long"), "token-manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = written(ordered.mapInArrow(frugal(save), "shard int, part int, path string, n_docs long, n_ids long"), "token-manifest")
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     # One small row per file: the running total is the only step that sees them together.
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).withColumn("folder", F.lit(folder))
 
@@ -284,6 +320,5 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         at += int(first[-1])
 
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    # One file a task: the number of files is that of the writing tasks.
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("shard", "folder", "path", "start").repartition(n, "shard").mapInArrow(load, kinds)
+    return manifest.select("folder", "path", "start").repartition(n, "path").mapInArrow(frugal(load), kinds)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -19,13 +20,13 @@ TEXTS = ["It's a b,c", None, "", " x ", "a b", "a b", "z" * 5000 + " ", "été,
 def test_encoder_agrees_with_the_library_on_odd_texts():
     rnd = random.Random(3)
     parts = [*"abcZ.,%$-_ \n\t.!-éÉß漢🙂0123<|>́ ​\x1c\x85İ's", "'ll", "<|endoftext|>", "  ", "\r\n", "don't", "≠"]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(30000)]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = queries.vocabulary(name)
-        ids, first = Encoder(path).encode(texts)
+        ids, first = Encoder(path).encode(pa.array(texts, pa.string()))
         want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want
-        assert Encoder(path).counts(texts).tolist() == [len(x) for x in want]
+        assert Encoder(path).counts(pa.array(texts, pa.string())).tolist() == [len(x) for x in want]
 
 
 def documents(spark, tmp_path, texts):
@@ -36,21 +37,49 @@ def documents(spark, tmp_path, texts):
 
 
 def test_op2_totals_are_those_of_the_final_documents(spark, tmp_path):
-    rows = documents(spark, tmp_path, TEXTS)
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}", "x") for i, t in enumerate(TEXTS)]
+    # Ids that stand twice, with the same text or another, and without any id.
+    rows += [(1, " x y ", "en", "s0", "x"), (1, " x y ", "en", "s0", "x"), (1, "hello ", "en", "s0", "x"), (None, "hello", "en", "s1", "x"), (None, "hello", None, "s1", "x"), (7, None, None, None, "x"), (7, None, None, None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_tokens string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in queries.op2_token_counts(spark, str(tmp_path)).collect()}
     want, seen = Counter(), set()
     docs = Counter()
-    for doc_id, text, lang, source, _ in rows:
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[3] is not None, r[3] or "", r[2] is not None, r[2] or ""))
+    for _, text, lang, source, _ in order:
         if text is not None and text in seen:
             continue
         seen.add(text)
         for v in ("byte_bpe_50k", "word_bpe_49k"):
             enc = Encoder(queries.vocabulary(f"{v}.json"))
-            want[source, lang, v] += int(enc.counts([(text or "").strip(" \t\r\n")])[0])
+            want[source, lang, v] += int(enc.counts(pa.array([(text or "").strip(" \t\r\n")]))[0])
             docs[source, lang, v] += 1
     assert got == {k: (docs[k], want[k]) for k in docs}
 
 
+def test_op2_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op2_token_counts(spark, str(tmp_path)).count() == 0
+
+
+def test_snapshots_hold_what_was_committed(spark):
+    rollup = token_counts.Rollup(spark, new_folder(spark, "t"))
+    kinds = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long"
+    for k in range(3):
+        one = spark.createDataFrame([(k, "s", "en", "v", k + 1), (9, f"s{k}", None, "v", 5)], kinds)
+        assert rollup.commit(str(k), token_counts.inserts(one))
+        assert rollup.commit(f"-{k}", token_counts.deletes(one.where("doc_id = 9")))
+        if k < 2:
+            assert rollup.compact()
+            assert not rollup.commit(str(k), token_counts.inserts(one))
+    assert len(rollup._open()[1]) == 2
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "v", 3, 6)]
+    # A marker that says nothing is that of a lost committer.
+    rollup._fs.create(rollup._path(rollup._place("x")), False).close()
+    assert not rollup.committed("x") and rollup.totals().count() == 1
+    assert rollup.commit("x", token_counts.deletes(spark.createDataFrame([(0, "s", "en", "v", 6)], kinds))) and rollup.committed("x")
+    assert [tuple(r) for r in rollup.totals().collect()] == [("s", "en", "v", 2, 0)]
+
+
 def test_commits_are_idempotent_and_keys_can_vanish(spark):
     rollup = token_counts.Rollup(spark, new_folder(spark, "t"))
     assert rollup.totals().count() == 0
@@ -141,11 +170,15 @@ def test_op5_against_brute_force(spark, tmp_path):
     best = {}
     for page_id, _, h, _ in rows:
         best[h or ""] = max(best.get(h or "", -1), -1 if page_id is None else page_id)
-    want = []
+    want, answered = [], set()
     for page_id, _, h, _ in rows:
-        own = page_id == best[h or ""]
+        # Of rows with the same page_id and payload one is the response.
+        own = page_id == best[h or ""] and (page_id, h or "") not in answered
+        answered.add((page_id, h or ""))
         want.append((page_id, len((h or "").encode()), warc.digest((h or "").encode()), "response" if own else "revisit", None if own else best[h or ""]))
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    small = warc.write_archives(spark.read.parquet(f"{tmp_path}/pages.parquet").coalesce(1), package_bytes=300)
+    assert small.count() > 3 and warc.read_archives(small).count() == len(rows)
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
