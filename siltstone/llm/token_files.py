@@ -39,6 +39,8 @@ MAGIC = b"RPR1"
 BLOCK_IDS = 1 << 21
 #: Occurrences below which a pair is not replaced, and uses below which a rule waits for another round.
 LEAST, LEAST_USES = 8, 4
+#: Pairs are first counted by a hash of so many bits.
+SLOT_BITS = 20
 #: Bytes after which a task goes on in another file.
 FILE_BYTES = 1 << 30
 
@@ -73,8 +75,12 @@ def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     often = np.append((np.bincount(ids, minlength=1) >= LEAST)[ids], False)
     fresh = np.flatnonzero(often[:n] & often[right[:n]])
     while True:
-        # New pairs: those that are frequent get numbers.
-        found = pa.array(s[fresh] << 32 | s[right[fresh]]).dictionary_encode()
+        # New pairs: those that are frequent get numbers. Most are rare, and so are whole slots of them.
+        code = s[fresh] << 32 | s[right[fresh]]
+        slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        maybe = (np.bincount(slot, minlength=1) >= LEAST)[slot]
+        fresh = fresh[maybe]
+        found = pa.array(code[maybe]).dictionary_encode()
         which, known = found.indices.to_numpy(), found.dictionary.to_numpy()
         many = np.bincount(which, minlength=len(known)) >= LEAST
         pair[fresh] = (np.cumsum(many) - 1 + len(codes))[which]
@@ -129,12 +135,18 @@ class Grammar:
     """Rules with their expansions side by side, so symbols are expanded by one gather."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int):
-        parts: list[np.ndarray] = []
-        for left, right in rules.tolist():
-            parts.append(np.concatenate([parts[x - base] if x >= base else np.array([x], np.uint32) for x in (left, right)]))
         self.size = np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])
-        self.flat = np.concatenate([np.arange(base, dtype=np.uint32), *parts])
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.empty(int(self.size.sum()), np.uint32)
+        self.flat[:base] = np.arange(base)
+        # Rules whose sides are all known are expanded together.
+        highest, k = rules.max(1).astype(np.int64) - base if len(rules) else np.zeros(0, np.int64), 0
+        while k < len(rules):
+            later = np.flatnonzero(highest[k:] >= k)
+            upto = k + int(later[0]) if len(later) else len(rules)
+            ends = self.start[base + upto] if base + upto < len(self.start) else len(self.flat)
+            self.flat[self.start[base + k] : ends] = self.expand(rules[k:upto].ravel())
+            k = upto
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.size[symbols]

@@ -35,7 +35,7 @@ _SUSPECT[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x7F, 0x3C, 0xC2, 0xCD, 0xD8,
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0͏؜ᅟᅠ ឴឵᠋-᠏ -‏ -  -⁯　ㅤ︀-️﻿ﾠ￰-￿\U000e0000-\U000e0fff]|<\\|")
 
 #: Chunks remembered at most, some 60 bytes each; the memory is emptied then, which changes no result.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 #: Bytes of a chunk that fit in two 64-bit numbers beside its length.
 SHORT = 15
 #: The low bytes of a 64-bit number, by how many.
@@ -122,7 +122,11 @@ class ShortChunks:
     def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Numbers of the keys, -1 where there is none."""
         at = self._slot(low, high)
-        out, todo = np.full(len(low), -1, np.int64), np.arange(len(low))
+        there = self.high[at]
+        hit = (there == high) & (self.low[at] == low)
+        out = np.where(hit, self.number[at], -1).astype(np.int64)
+        todo = np.flatnonzero(~hit & (there != 0))
+        at[todo] = at[todo] + 1 & (1 << self.bits) - 1
         while len(todo):
             slot, there = at[todo], self.high[at[todo]]
             hit = (there == high[todo]) & (self.low[slot] == low[todo])
