@@ -63,7 +63,7 @@ def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     base, n = int(ids.max()) + 1 if len(ids) else 1, len(ids)
     filled = first[1:] > first[:-1]
     heads = first[:-1][filled]
-    s = np.append(ids, 0).astype(np.int64)
+    s = np.append(ids, 0).astype(np.uint32)
     # The neighbours of every place; n stands for none.
     left, right = np.arange(-1, n, dtype=np.int32), np.arange(1, n + 2, dtype=np.int32)
     left[heads], right[np.append(heads[1:], n) - 1] = n, n
@@ -76,11 +76,11 @@ def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     fresh = np.flatnonzero(often[:n] & often[right[:n]])
     while True:
         # New pairs: those that are frequent get numbers. Most are rare, and so are whole slots of them.
-        code = s[fresh] << 32 | s[right[fresh]]
-        slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        maybe = (np.bincount(slot, minlength=1) >= LEAST)[slot]
+        one, two = s[fresh], s[right[fresh]]
+        slot = (one * np.uint32(0x9E3779B1) ^ two * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOT_BITS)
+        maybe = np.flatnonzero((np.bincount(slot, minlength=1) >= LEAST)[slot])
         fresh = fresh[maybe]
-        found = pa.array(code[maybe]).dictionary_encode()
+        found = pa.array(one[maybe].astype(np.int64) << 32 | two[maybe]).dictionary_encode()
         which, known = found.indices.to_numpy(), found.dictionary.to_numpy()
         many = np.bincount(which, minlength=len(known)) >= LEAST
         pair[fresh] = (np.cumsum(many) - 1 + len(codes))[which]
@@ -128,7 +128,7 @@ def compress(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     there = ~gone[:n]
     before_doc = np.concatenate([[0], np.cumsum(there)])[first]
     rules_out = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return s[:n][there].astype(np.uint32), before_doc.astype(np.uint64), rules_out.astype(np.uint32), size[base:].astype(np.uint32), base
+    return s[:n][there], before_doc.astype(np.uint64), rules_out.astype(np.uint32), size[base:].astype(np.uint32), base
 
 
 class Grammar:

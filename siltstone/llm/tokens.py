@@ -34,8 +34,8 @@ _SUSPECT[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x7F, 0x3C, 0xC2, 0xCD, 0xD8,
 #: Control, format and unassigned characters, spaces beyond ASCII, and the mark that begins special tokens.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0͏؜ᅟᅠ ឴឵᠋-᠏ -‏ -  -⁯　ㅤ︀-️﻿ﾠ￰-￿\U000e0000-\U000e0fff]|<\\|")
 
-#: Chunks remembered at most, some 60 bytes each; the memory is emptied then, which changes no result.
-REMEMBERED = 1_000_000
+#: Chunks remembered at most, some 50 bytes each; the memory is emptied then, which changes no result.
+REMEMBERED = 1_500_000
 #: Bytes of a chunk that fit in two 64-bit numbers beside its length.
 SHORT = 15
 #: The low bytes of a 64-bit number, by how many.
@@ -137,8 +137,8 @@ class ShortChunks:
 
     def add(self, low: np.ndarray, high: np.ndarray, first: int) -> None:
         """Number distinct keys that are not there from first on."""
-        if 2 * (self.n + len(low)) > 1 << self.bits:
-            bits = (2 * (self.n + len(low))).bit_length()
+        if 4 * (self.n + len(low)) > 3 << self.bits:
+            bits = (4 * (self.n + len(low)) // 3).bit_length()
             held = np.flatnonzero(self.high)
             old = self.low[held], self.high[held], self.number[held]
             self.__init__(bits)
@@ -163,11 +163,14 @@ class Encoder:
 
         self._tok = Tokenizer.from_file(path)
         self._word = not isinstance(self._tok.pre_tokenizer, pre_tokenizers.ByteLevel)
-        # For a chunk of letters: it is one pre-token already, and normalisation only lowers its case.
+        # For a chunk of letters: it is one pre-token already, normalisation only lowers its case, and what stands for its
+        # bytes is known.
         self._letters = Tokenizer.from_file(path)
-        if self._word:
-            self._letters.normalizer = None
-        self._letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._letters.normalizer = self._letters.pre_tokenizer = None
+        self._letters.model._resize_cache(0)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in [" ", *filter(_LETTERS.fullmatch, map(chr, range(0x80, 0x100)))]})
+        self._blank = self._bytes[32]
         self._forget()
 
     def _forget(self) -> None:
@@ -182,6 +185,7 @@ class Encoder:
         letters = [c for c, x in zip(new, plain, strict=True) if x]
         if self._word:
             letters = [c.lstrip(" ").lower() for c in letters]
+        letters = [c.replace(" ", self._blank) if c.isascii() else c.translate(self._bytes) for c in letters]
         simple = iter(self._letters.encode_batch_fast(letters, add_special_tokens=False))
         other = iter(self._tok.encode_batch_fast([c for c, x in zip(new, plain, strict=True) if not x], add_special_tokens=False))
         ids = [next(simple if x else other).ids for x in plain]
