@@ -6,10 +6,10 @@ A text is cut into lines at line breaks and after sentence ends. What is looked
 - whole documents, however short.
 For each line the shortest such run that begins with it and the shortest that ends with it are candidates, and so is
 every run of LONE_WORDS words inside a line. These depend on nothing outside the run, and every repeated passage is a
-union of them, so none is lost. Candidates are grouped by a 64-bit hash over the whole corpus. Of equal ones the first
-(lowest doc_id, then place) is kept. Neighbouring candidates of a document that repeat one other document at the same
-distance are one range; each range is compared with the first occurrence byte by byte, but for the blanks between
-lines (or between words, inside a line), and removed.
+union of them, so none is lost. Their rolling hashes over line (or word) hashes are grouped over the whole corpus, one row
+a document and hash. Of equal ones the first (lowest doc_id, then place) is kept. Neighbouring candidates of a document
+that repeat one other document at the same distance are one range; each range is compared with the first occurrence
+byte by byte, but for the blanks between lines (or between words, inside a line), and removed.
 
 Every removed line or word has an equal one earlier in this order, so one occurrence always stays.
 """
@@ -22,35 +22,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kernels import RangeHash, Words, buffer, frugal, mix, words
+from siltstone.llm.kernels import RangeHash, Words, _blank, buffer, frugal, mix, words
 from siltstone.llm.storage import written
 
-SEEDS = (11, 23, 47)
-WINDOW = 2
-#: One line in so many ends a chunk, on average.
-MEAN_LINES = 2
 MIN_LINES = 2
 MIN_WORDS = 12
 #: Words of a run inside one line that make a passage: over 50.
 LONE_WORDS = 51
-#: A chunk that never meets a cut ends after so many lines; its next one starts there.
-MAX_LINES = 64
 
-_BLANK = b" \t\n\x0b\x0c\r"
-_CUT = re.compile(rb"\n[\x20\x09-\x0D]*|[.!?][\x20\x09-\x0D]+")
+_BLANKS = b" \t\n\x0b\x0c\r"
 _WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _NO_ID = -(1 << 63)
 
 
+def line_table(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lines of all texts end, with the blanks after them, and the n + 1 line numbers at which texts begin.
+
+    A line ends with a run of blanks that holds a line break or follows a sentence end, and with its text. The lines of a
+    text joined are the text.
+    """
+    n = len(raw)
+    blank = _blank[raw]
+    head = np.zeros(n + 1, bool)
+    head[offsets] = True
+    before = np.zeros(n, bool)
+    before[1:] = blank[:-1]
+    before &= ~head[:n]
+    begin = np.flatnonzero(blank & ~before)
+    after = np.zeros(n, bool)
+    after[:-1] = blank[1:]
+    after &= ~head[1:]
+    end = np.flatnonzero(blank & ~after) + 1
+    breaks = np.flatnonzero(raw == 0x0A)
+    broken = np.searchsorted(breaks, begin) < np.searchsorted(breaks, end)
+    mark = raw[np.maximum(begin - 1, 0)] if n else raw
+    ended = ((mark == 0x2E) | (mark == 0x21) | (mark == 0x3F)) & ~head[begin]
+    tails = offsets[1:][offsets[1:] > offsets[:-1]]
+    found = np.unique(np.concatenate([end[broken | ended], tails]))
+    return found, np.searchsorted(found, offsets, "right")
+
+
 def line_ends(raw: bytes) -> list[int]:
-    """Where lines end, with the blanks after them; the last ends with the text. The lines joined are the text."""
-    ends = [m.end() for m in _CUT.finditer(raw)]
-    if raw and (not ends or ends[-1] != len(raw)):
-        ends.append(len(raw))
-    return ends
+    """Where the lines of one text end."""
+    return line_table(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
 
 
 def word_ends(raw: bytes) -> list[int]:
@@ -58,46 +76,24 @@ def word_ends(raw: bytes) -> list[int]:
     return [m.end() for m in _WORD.finditer(raw)]
 
 
-def content(raw: bytes, ends: list[int], begin: int, end: int) -> bytes:
-    """The lines (or words) from begin to end without the blanks around them, one a line. ends begins with 0."""
-    return b"\n".join(raw[ends[i] : ends[i + 1]].strip(_BLANK) for i in range(begin, end))
+def plain(raw: bytes, by_words: int) -> bytes:
+    """The lines (or words) without the blanks around them, one a line."""
+    if by_words:
+        return b"\n".join(raw.split())
+    ends = line_ends(raw)
+    return b"\n".join(raw[a:b].strip(_BLANKS) for a, b in zip([0, *ends], ends, strict=False))
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, RangeHash, Words]:
     """Hash and number of words of all lines; the n + 1 line numbers at which texts begin; hashes of bytes; all words."""
     raw, offsets = buffer(column)
-    whole = raw.tobytes()
-    ends, counts = [], []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        found = line_ends(whole[a:b])
-        counts.append(len(found))
-        ends += [a + x for x in found]
-    end, first = np.array(ends, np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    end, first = line_table(raw, offsets)
     start = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(end) else end
     w = words(raw, offsets)
-    before, upto = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
-    stop = np.where(upto > before, np.append(w.end, 0)[upto - 1], start) if len(end) else end
+    low, upto = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
+    stop = np.where(upto > low, np.append(w.end, 0)[upto - 1], start) if len(end) else end
     of_bytes = RangeHash.of_bytes(raw)
-    return of_bytes(start, stop), upto - before, first, of_bytes, w
-
-
-def chunk_table(hashes: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """First line and last line + 1 of every chunk of all texts, in order."""
-    n = len(hashes)
-    at = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-    rolling = np.zeros(n, np.uint64)
-    for k in range(WINDOW - 1, -1, -1):
-        ok = np.flatnonzero(at >= k)
-        rolling[ok] = rolling[ok] * np.uint64(0x9E3779B97F4A7C15) + hashes[ok - k]
-    cut = mix(rolling + np.uint64(seed)) % np.uint64(MEAN_LINES) == 0
-    cut[first[1:][np.diff(first) > 0] - 1] = True
-    ends = np.flatnonzero(cut) + 1
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    long = np.flatnonzero(ends - starts > MAX_LINES)
-    if len(long):
-        ends = np.unique(np.concatenate([ends, *(np.arange(starts[i] + MAX_LINES, ends[i], MAX_LINES) for i in long)]))
-        starts = np.concatenate([[0], ends[:-1]])
-    return starts, ends
+    return of_bytes(start, stop), upto - low, first, of_bytes, w
 
 
 def _key_columns() -> dict[str, Column]:
@@ -137,8 +133,11 @@ def word_runs(n_words: np.ndarray, of_bytes: RangeHash, w: Words) -> tuple[np.nd
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """_id, _key, span, h: the candidates. span: first line or word * 2**32 + their number * 2 + 1 if they are words."""
-    fields = pa.schema([(c, pa.int64()) for c in ("_id", "_key", "span", "h")])
+    """_id, _key, h, spans: the candidates, one row a text and hash, with all places of the hash in the text in order.
+
+    span: first line or word * 2**32 + their number * 2 + 1 if they are words.
+    """
+    names = ["_id", "_key", "h", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,46 +151,74 @@ def chunks(rows: DataFrame) -> DataFrame:
                 span = ((b - first[t]) << 32) + (e - b) * 2
                 word, h = word_runs(n_words, of_bytes, w)
                 u = np.searchsorted(w.first, word, "right") - 1
-                text = pa.array(np.concatenate([t, u]))
+                text = np.concatenate([t, u])
                 span = np.concatenate([span, ((word - w.first[u]) << 32) + (LONE_WORDS * 2 + 1)])
                 h = np.concatenate([RangeHash(mix(hashes))(b, e), h])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(text), part.column(1).take(text), pa.array(span), pa.array(h.view(np.int64))], schema=fields)
+                order = np.lexsort((span, h, text))
+                text, span, h = text[order], span[order], h[order]
+                at = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])))
+                spans = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)).astype(np.int32)), pa.array(span))
+                who = pa.array(text[at])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), pa.array(h[at].view(np.int64)), spans], names=names)
+
+    return rows.select("_id", "_key", "text").mapInArrow(frugal(run), "_id long, _key long, h long, spans array<long>")
 
-    return rows.select("_id", "_key", "text").mapInArrow(frugal(run), "_id long, _key long, span long, h long")
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where the rows of ordered columns change."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
 def ranges(later: DataFrame) -> DataFrame:
-    """_id, _key, words, begin, end, f_id, f_key, f_begin, f_end: candidates of a document that repeat another at one distance, joined.
+    """_id, _key, words, size, begins, f_id, f_key, f_begin: candidates of a text that repeat another at one distance, joined.
 
-    later: _id, _key, span, f_id, f_key, f_span. words: 1 if begin and end are words, 0 if they are lines.
+    later: _id, _key, spans, f_id, f_key, f_span. words: 1 if places are words, 0 if they are lines. Each row is one
+    range of the first occurrence and all places of the text that repeat it.
     """
-    keys = ["_id", "_key", "words", "f_id", "f_key", "shift"]
-    names = ["_id", "_key", "words", "begin", "end", "f_id", "f_key", "f_begin", "f_end"]
+    names = ["_id", "_key", "words", "size", "begins", "f_id", "f_key", "f_begin"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = []
-            for i, k, w, f_i, f_k, shift, parts in zip(*(batch.column(c).to_pylist() for c in [*keys, "parts"]), strict=True):
-                last = None
-                for span in sorted(parts):
-                    begin, end = span >> 32, (span >> 32) + (span % (1 << 32) >> 1)
-                    if last is not None and begin <= last[4]:
-                        last[4] = max(last[4], end)
-                        last[8] = last[4] - shift
-                    else:
-                        last = [i, k, w, begin, end, f_i, f_k, begin - shift, end - shift]
-                        out.append(last)
-            columns = list(zip(*out, strict=True)) if out else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    place = lambda c: F.shiftright(F.col(c), 32)
-    keyed = later.withColumns({"shift": place("span") - place("f_span"), "words": F.col("span") % 2})
-    return keyed.groupBy(*keys).agg(F.collect_list("span").alias("parts")).mapInArrow(frugal(run), ", ".join(f"{c} long" for c in names))
+            parts = batch.column("parts")
+            spans, f_span = parts.flatten().flatten()
+            item = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy())
+            of_item = np.repeat(np.arange(batch.num_rows), parts.value_lengths().to_numpy())
+            span, f, group = spans.flatten().to_numpy(), f_span.to_numpy()[item], of_item[item]
+            i, k, f_i, f_k = (batch.column(c).to_numpy() for c in ("_id", "_key", "f_id", "f_key"))
+            # The first occurrence itself stays.
+            other = ((i != f_i) | (k != f_k))[group] | (span != f)
+            span, f, group = span[other], f[other], group[other]
+            begin, by_words, size = span >> 32, span & 1, (span & 0xFFFFFFFF) >> 1
+            shift = begin - (f >> 32)
+            order = np.lexsort((begin, shift, by_words, group))
+            begin, by_words, size, shift, group = (x[order] for x in (begin, by_words, size, shift, group))
+            heads = _heads(group, by_words, shift)
+            run_no = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(begin)))) << 33
+            far = np.maximum.accumulate(begin + size + run_no) - run_no if len(begin) else begin
+            new = np.ones(len(begin), bool)
+            new[1:] = begin[1:] > far[:-1]
+            new[heads] = True
+            at = np.flatnonzero(new)
+            begin, by_words, shift, group, end = begin[at], by_words[at], shift[at], group[at], far[np.append(at[1:], len(far)) - 1] if len(at) else far
+            size, f_begin = end - begin, begin - shift
+            order = np.lexsort((begin, size, f_begin, by_words, group))
+            begin, by_words, size, f_begin, group = (x[order] for x in (begin, by_words, size, f_begin, group))
+            at = _heads(group, by_words, f_begin, size)
+            begins = pa.ListArray.from_arrays(pa.array(np.append(at, len(begin)).astype(np.int32)), pa.array(begin))
+            group = group[at]
+            yield pa.RecordBatch.from_arrays([pa.array(i[group]), pa.array(k[group]), pa.array(by_words[at]), pa.array(size[at]), begins, pa.array(f_i[group]), pa.array(f_k[group]), pa.array(f_begin[at])], names=names)
+
+    grouped = later.groupBy("_id", "_key", "f_id", "f_key").agg(F.collect_list(F.struct("spans", "f_span")).alias("parts"))
+    return grouped.mapInArrow(frugal(run), "_id long, _key long, words long, size long, begins array<long>, f_id long, f_key long, f_begin long")
 
 
 def bodies(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """f_id, f_key, words, f_begin, f_end, body: the lines or words of every wanted range."""
-    kinds = [*((c, pa.int64()) for c in ("f_id", "f_key", "words", "f_begin", "f_end")), ("body", pa.binary())]
+    """f_id, f_key, words, size, f_begin, body: the bytes of every wanted range."""
+    kinds = [*((c, pa.int64()) for c in ("f_id", "f_key", "words", "size", "f_begin")), ("body", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,47 +227,53 @@ def bodies(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = (text or "").encode()
                 ends: dict[int, list[int]] = {}
                 for s in spans:
-                    w, b, e = s["words"], s["f_begin"], s["f_end"]
+                    w, n, b = s["words"], s["size"], s["f_begin"]
                     if w not in ends:
                         ends[w] = [0, *(word_ends(raw) if w else line_ends(raw))]
-                    out.append((i, k, w, b, e, content(raw, ends[w], b, e)))
+                    out.append((i, k, w, n, b, raw[ends[w][b] : ends[w][b + n]].strip(_BLANKS)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
 
-    spans = wanted.distinct().groupBy("f_id", "f_key").agg(F.collect_list(F.struct("words", "f_begin", "f_end")).alias("spans"))
+    spans = wanted.distinct().groupBy("f_id", "f_key").agg(F.collect_list(F.struct("words", "size", "f_begin")).alias("spans"))
     # A text that stands twice under one id is read once. All columns are kept, so that one shuffle of the texts serves this and the last join.
     one = rows.join(spans, (F.col("_id") == F.col("f_id")) & (F.col("_key") == F.col("f_key"))).drop("f_id", "f_key").dropDuplicates(["_id", "_key"])
-    return one.mapInArrow(frugal(run), "f_id long, f_key long, words long, f_begin long, f_end long, body binary")
+    return one.mapInArrow(frugal(run), "f_id long, f_key long, words long, size long, f_begin long, body binary")
 
 
 def removals(rows: DataFrame) -> DataFrame:
-    """_id, _key, found: array of (words, begin, end, body), one row per text that holds later occurrences."""
+    """_id, _key, found: array of (words, size, begins, body), one row per text that holds later occurrences."""
     all_chunks = written(chunks(rows), "line-chunks")
     # Most candidates stand once: their hashes alone tell, before their places are shuffled.
-    repeated = written(all_chunks.groupBy("h").count().where("count > 1").select("h"), "line-hashes")
+    counted = all_chunks.groupBy("h").agg(F.count("*").alias("n"), F.max(F.size("spans")).alias("most"))
+    repeated = written(counted.where("n > 1 or most > 1").select("h"), "line-hashes")
     again = written(all_chunks.join(repeated, "h"), "line-repeats")
-    groups = again.groupBy("h").agg(F.min(F.struct("_id", "_key", "span")).alias("f"))
-    groups = groups.select("h", F.col("f._id").alias("f_id"), F.col("f._key").alias("f_key"), F.col("f.span").alias("f_span"))
-    later = again.join(groups, "h").where("_id <> f_id or _key <> f_key or span <> f_span")
+    groups = again.groupBy("h").agg(F.min(F.struct("_id", "_key", F.get("spans", F.lit(0)).alias("span"))).alias("f"))
+    # Written, so that both sides of the join come from shuffles of their own and a hot hash can be split.
+    groups = written(groups.select("h", F.col("f._id").alias("f_id"), F.col("f._key").alias("f_key"), F.col("f.span").alias("f_span")), "line-firsts")
+    later = again.join(groups, "h").where("_id <> f_id or _key <> f_key or size(spans) > 1")
     found = written(ranges(later), "line-ranges")
-    span = ["f_id", "f_key", "words", "f_begin", "f_end"]
-    return found.join(bodies(rows, found.select(span)), span).groupBy("_id", "_key").agg(F.collect_list(F.struct("words", "begin", "end", "body")).alias("found"))
+    span = ["f_id", "f_key", "words", "size", "f_begin"]
+    return found.join(bodies(rows, found.select(span)), span).groupBy("_id", "_key").agg(F.collect_list(F.struct("words", "size", "begins", "body")).alias("found"))
 
 
-def cleaned(text: str | None, found: list[dict] | None) -> tuple[str | None, int, int, int]:
-    """What is left of a text, its lines, and the whole lines and the words removed from it."""
-    raw = (text or "").encode()
-    ends = {0: [0, *line_ends(raw)]}
-    lines = ends[0]
+def cleaned(raw: bytes, lines: list[int], found: list[dict]) -> tuple[str | None, int, int]:
+    """What is left of a text whose lines end there (None: all of it), and the whole lines and the words removed from it."""
+    ends = {0: [0, *lines]}
     gone: list[list[int]] = []
-    for s in found or ():
-        w = s.get("words", 0)
+    for s in found:
+        w, n, body = s["words"], s["size"], s["body"]
         if w not in ends:
             ends[w] = [0, *word_ends(raw)]
-        if content(raw, ends[w], s["begin"], s["end"]) == s["body"]:
-            gone.append([ends[w][s["begin"]], ends[w][s["end"]]])
+        own, other = ends[w], None
+        for b in s["begins"]:
+            part = raw[own[b] : own[b + n]]
+            if part.strip(_BLANKS) != body:
+                other = plain(body, w) if other is None else other
+                if plain(part, w) != other:
+                    continue
+            gone.append([own[b], own[b + n]])
     if not gone:
-        return text, len(lines) - 1, 0, 0
+        return None, 0, 0
     apart: list[list[int]] = []
     for a, b in sorted(gone):
         if apart and a <= apart[-1][1]:
@@ -248,8 +281,8 @@ def cleaned(text: str | None, found: list[dict] | None) -> tuple[str | None, int
         else:
             apart.append([a, b])
     left = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in apart)], [*(a for a, _ in apart), len(raw)], strict=True))
-    n_gone = sum(max(0, bisect_right(lines, b) - bisect_left(lines, a) - 1) for a, b in apart)
-    return left.decode(), len(lines) - 1, n_gone, sum(len(raw[a:b].split()) for a, b in apart)
+    n_gone = sum(max(0, bisect_right(ends[0], b) - bisect_left(ends[0], a) - 1) for a, b in apart)
+    return left.decode(), n_gone, sum(len(raw[a:b].split()) for a, b in apart)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -267,9 +300,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [cleaned(t, f) for t, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True)]
-            texts, *counts = zip(*rows, strict=True) if rows else ([], [], [], [])
-            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, pa.int64()) for c in counts)], names=[*names, *added])
+            texts, found = batch.column("text"), batch.column("found")
+            raw, offsets = buffer(texts)
+            ends, first = line_table(raw, offsets)
+            counts = np.zeros((3, batch.num_rows), np.int64)
+            counts[0] = np.diff(first)
+            changed, left = np.zeros(batch.num_rows, bool), []
+            for t in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                lines = (ends[first[t] : first[t + 1]] - offsets[t]).tolist()
+                text, counts[1, t], counts[2, t] = cleaned(raw[offsets[t] : offsets[t + 1]].tobytes(), lines, found[t].as_py())
+                if text is not None:
+                    changed[t] = True
+                    left.append(text)
+            texts = pc.replace_with_mask(texts, pa.array(changed), pa.array(left, pa.string()))
+            arrays = [texts if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c) for c in counts)], names=[*names, *added])
 
     return joined.mapInArrow(frugal(run), docs.withColumns({c: F.lit(0).cast("long") for c in added}).schema)

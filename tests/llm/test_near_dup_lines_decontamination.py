@@ -158,25 +158,65 @@ def test_runs_inside_lines_and_short_copies_go(spark):
     assert got == want
 
 
-def test_lines_join_to_the_text_and_chunks_cover_it():
+LINE = re.compile(rb"\n[\x20\x09-\x0D]*|[.!?][\x20\x09-\x0D]+")
+
+
+def test_lines_join_to_the_text():
     rnd = random.Random(2)
-    for _ in range(200):
-        raw = "".join(rnd.choice("ab.!? \n\té") for _ in range(rnd.randint(0, 60))).encode()
-        ends = [0, *line_dedup.line_ends(raw)]
-        assert ends[-1] == len(raw) and ends == sorted(set(ends))
-    hashes, first = np.random.default_rng(0).integers(0, 1 << 60, 900).astype(np.uint64), np.array([0, 0, 300, 301, 900])
-    for seed in line_dedup.SEEDS:
-        starts, ends = line_dedup.chunk_table(hashes, first, seed)
-        assert starts[0] == 0 and ends[-1] == 900 and (starts[1:] == ends[:-1]).all() and {300, 301} <= set(ends.tolist())
-    same = np.concatenate([hashes[:50], hashes[100:140], hashes[60:70], hashes[100:140]])
-    s, e = line_dedup.chunk_table(same, np.array([0, len(same)]), 11)
-    inside = lambda a: {(x - a, y - a) for x, y in zip(s, e, strict=True) if x >= a + 5 and y <= a + 40}
-    assert inside(50) == inside(100)
+    texts = ["".join(rnd.choice("ab.!? \n\té") for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    want = []
+    for t in texts:
+        raw = t.encode()
+        ends = [m.end() for m in LINE.finditer(raw)]
+        want.append(ends + [len(raw)] * bool(raw and (not ends or ends[-1] != len(raw))))
+        assert line_dedup.line_ends(raw) == want[-1]
+    raw, offsets = line_dedup.buffer(pa.array(texts))
+    ends, first = line_dedup.line_table(raw, offsets)
+    assert [(ends[a:b] - o).tolist() for a, b, o in zip(first[:-1], first[1:], offsets, strict=False)] == want
 
 
 def test_hash_collisions_are_not_removed():
-    found = [{"begin": 0, "end": 2, "before": b"", "body": b"other.\nlines.", "after": b""}]
-    assert line_dedup.cleaned("some.\nlines.", found) == ("some.\nlines.", 2, 0, 0)
+    found = [{"words": 0, "size": 2, "begins": [0], "body": b"other.\nlines."}, {"words": 1, "size": 1, "begins": [0, 1], "body": b"x"}]
+    raw = b"some.\nlines."
+    assert line_dedup.cleaned(raw, line_dedup.line_ends(raw), found) == (None, 0, 0)
+
+
+def brute_passages(texts):
+    """What is left of each text: all equal runs of lines, of words in a line, and whole texts are looked at, in order."""
+    seen, left = {}, []
+    for d, t in enumerate(texts):
+        raw, gone = t.encode(), set()
+        ends = [0, *line_dedup.line_ends(raw)]
+        lines = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        runs = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)]
+        places = []
+        for i, j in runs:
+            n = sum(len(x.split()) for x in lines[i:j])
+            if (j - i >= 2 and n >= 12) or (i == 0 and j == len(lines) and n):
+                places.append((("lines", *(x.strip() for x in lines[i:j])), ends[i], ends[j]))
+        for i, line in enumerate(lines):
+            w = [0, *line_dedup.word_ends(line)]
+            for k in range(len(w) - 51):
+                places.append((("words", *line[w[k] : w[k + 51]].split()), ends[i] + w[k], ends[i] + w[k + 51]))
+        for key, a, b in sorted(places, key=lambda x: x[1]):
+            if seen.setdefault(key, (d, a)) != (d, a):
+                gone |= set(range(a, b))
+        left.append(bytes(x for k, x in enumerate(raw) if k not in gone).decode())
+    return left
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    pool = [sentence(rnd, n) + rnd.choice([".", "", "!"]) for n in (1, 1, 2, 3, 5, 8, 9, 12, 12, 20, 40, 52, 60, 70)] + ["la " * 130 + "la"]
+    blanks = ["\n", " \n", "\n\n", " "]
+    texts = []
+    for _ in range(70):
+        texts.append("".join(rnd.choice([rnd.choice(pool), sentence(rnd, 4) + "."]) + rnd.choice(blanks) for _ in range(rnd.randint(0, 7))))
+    texts += texts[:5] + [pool[-1] + " " + pool[-1], "", "\n \n", sentence(rnd, 2), "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
+    assert got == dict(enumerate(brute_passages(texts)))
 
 
 def brute_hits(docs, items):
