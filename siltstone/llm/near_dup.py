@@ -8,9 +8,11 @@ candidates, and candidates are verified by the exact probability Jaccard similar
 
 Equal texts are one node from the start. A bucket of a band is searched in blocks of `BLOCK` texts at most, each with the
 bucket's lowest node. Within a block a text is compared with those it is not yet connected to, so a group of near copies
-of one text costs one comparison a text; only a spanning forest of the links is emitted. Blocks of one bucket that are
-not connected by then are compared pairwise, so no pair of a bucket is left out. Buckets with the same texts are
-searched once. Classes are the connected components, found by alternating large-star and small-star steps.
+of one text costs one comparison a text; only a spanning forest of the links is emitted. Buckets with the same texts are
+searched once. The texts of large buckets that are not one component by then are dealt anew by longer bands, which keep
+apart what is merely related and still bring a pair at the threshold together, and searched alike; texts that are
+connected already are not compared. Blocks of a long band's bucket that are still not connected are compared pairwise, so
+no pair of it is left out. Classes are the connected components, found by alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 0.0007.
 BANDS, ROWS = 24, 6
+#: Longer bands for the texts of large buckets; here the probability is 0.0006, and a pair of 0.5 shares one with 0.025 (above: 0.31).
+LONG_BANDS, LONG_ROWS = 104, 12
 BLOCK = 1000
 #: Elements of which the arrivals are drawn at once.
 _ELEMENTS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(1 << 63)
+_KEYS = ["_id", "_k1", "_k2"]
 
 
 def weighted_shingles(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,55 +186,82 @@ def _keys() -> dict:
     return {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), text)}
 
 
-def text_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """_k1, _k2 (128 bits of a text), class_id, r1, r2: the class of every distinct text, and the text that stands for it.
-
-    class_id is the lowest doc_id of the class, r1 and r2 the key of a text with this id.
-    """
-    keyed = docs.withColumns(_keys()).select("_id", "_k1", "_k2", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _sketched(keyed: DataFrame, bands: int, rows: int) -> DataFrame:
+    """keyed without its column text but with bands: the hashes of the text's bands, none for a text without words."""
+    names = [c for c in keyed.columns if c != "text"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                hashes, counts, first = weighted_shingles(part.column(3))
+                hashes, counts, first = weighted_shingles(part.column("text"))
                 found = band_hashes(signatures(hashes, counts, first, bands * rows), bands, rows)
                 some = np.diff(first) > 0
                 offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))], names=["_id", "_k1", "_k2", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], names=[*names, "bands"])
 
-    sketched = keyed.mapInArrow(frugal(sketch), "_id long, _k1 long, _k2 long, bands array<long>")
-    nodes = sketched.groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = nodes.select("node", "_id", "_k1", "_k2", F.explode("bands").alias("bucket"))
+    return keyed.mapInArrow(frugal(sketch), keyed.select(names).withColumn("bands", F.array().cast("array<long>")).schema)
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """members (node, label, keys, bucket) of buckets of several labels, with the bucket's lowest node, its number of blocks and the node's block."""
     buckets = members.groupBy("bucket").agg(
         F.count("*").alias("n"),
         F.min("node").alias("pivot"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"),
         F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("x"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
     )
     # Of buckets with the same members one is enough.
-    buckets = buckets.where("n > 1").groupBy("n", "pivot", "s", "x").agg(F.min("bucket").alias("bucket"))
+    buckets = buckets.where("low <> high").groupBy("n", "pivot", "s", "x").agg(F.min("bucket").alias("bucket"))
     parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = written(members.join(buckets.select("bucket", "pivot", parts.alias("parts")), "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), "parts").cast("int")), "members")
-    texts = keyed.select("_id", "_k1", "_k2", "text")
+    joined = members.join(buckets.select("bucket", "pivot", parts.alias("parts")), "bucket")
+    return written(joined.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), "parts").cast("int")), "members")
+
+
+def _links_in_blocks(dealt: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     # The lowest node of a bucket is in each of its blocks.
     places = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
-    cells = dealt.select("bucket", "node", "_id", "_k1", "_k2", F.explode(places).alias("block"), F.lit(-1).alias("side"), F.col("node").alias("label"))
-    links = written(_verified(cells.join(texts, ["_id", "_k1", "_k2"]).dropDuplicates(["bucket", "block", "node"]), similarity), "links")
-    labels = components(links)
-    split = dealt.where("parts > 1")
-    if split.limit(1).count():
-        labelled = written(split.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-        # A text meets every other block: block pairs are numbered by their lower and their higher block.
-        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
-        pairs = labelled.join(open_, "bucket", "left_semi").withColumn("other", other)
-        pairs = pairs.withColumn("block", F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).withColumn("side", F.col("own"))
-        cells = pairs.select("bucket", "block", "node", "side", "label", "_id", "_k1", "_k2")
-        more = _verified(cells.join(texts, ["_id", "_k1", "_k2"]).dropDuplicates(["bucket", "block", "node"]), similarity)
-        labels = components(links.unionByName(written(more, "links")))
-    labels = written(labels, "labels")
+    cells = dealt.select("bucket", "node", "label", *_KEYS, F.explode(places).alias("block"), F.lit(-1).alias("side"))
+    return written(_verified(cells.join(texts, _KEYS).dropDuplicates(["bucket", "block", "node"]), similarity), "links")
+
+
+def _open_members(dealt: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets of several blocks that are not one component, with their present labels."""
+    split = dealt.where("parts > 1").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = written(split, "labelled")
+    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+    return written(labelled.join(open_, "bucket", "left_semi"), "open")
+
+
+def text_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """_k1, _k2 (128 bits of a text), class_id, r1, r2: the class of every distinct text, and the text that stands for it.
+
+    class_id is the lowest doc_id of the class, r1 and r2 the key of a text with this id.
+    """
+    keyed = docs.withColumns(_keys()).select("_id", "_k1", "_k2", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    nodes = _sketched(keyed, bands, rows).groupBy("_k1", "_k2").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts = keyed.select(*_KEYS, "text")
+    dealt = _dealt(nodes.select("node", F.col("node").alias("label"), *_KEYS, F.explode("bands").alias("bucket")), block)
+    links = _links_in_blocks(dealt, texts, similarity)
+    labels = written(components(links), "labels")
+    if dealt.where("parts > 1").limit(1).count():
+        again = _open_members(dealt, labels).select("node", "label", *_KEYS).distinct()
+        long = written(_sketched(again.join(texts, _KEYS).dropDuplicates(["node"]), LONG_BANDS, LONG_ROWS), "long-bands")
+        dealt = _dealt(long.select("node", "label", *_KEYS, F.explode("bands").alias("bucket")), block)
+        links = links.unionByName(_links_in_blocks(dealt, texts, similarity))
+        labels = written(components(links), "labels")
+        if dealt.where("parts > 1").limit(1).count():
+            # A text meets every other block: block pairs are numbered by their lower and their higher block.
+            other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
+            pairs = _open_members(dealt, labels).withColumn("other", other)
+            pairs = pairs.withColumn("block", F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).withColumn("side", F.col("own"))
+            cells = pairs.select("bucket", "block", "node", "side", "label", *_KEYS)
+            more = _verified(cells.join(texts, _KEYS).dropDuplicates(["bucket", "block", "node"]), similarity)
+            labels = written(components(links.unionByName(written(more, "links"))), "labels")
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = named.groupBy("label").agg(F.min(F.struct("_id", "_k1", "_k2")).alias("b"), F.count("*").alias("n_texts"))
     return named.join(best, "label").select("_k1", "_k2", F.col("b._id").alias("class_id"), F.col("b._k1").alias("r1"), F.col("b._k2").alias("r2"), "n_texts")
@@ -253,11 +285,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **how: int)
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **how: int) -> DataFrame:
-    """One row of docs for each class. Of rows that share id and text an arbitrary one stays."""
+    """One row of docs for each class. Of rows that share id and text that with the lowest hash of all columns stays."""
     names = {k: "_" + k for k in _keys()}
     first = text_classes(docs.select("doc_id", "text"), similarity, **how).select("class_id", "r1", "r2").distinct().toDF(*names.values())
     kept = docs.withColumns({names[k]: v for k, v in _keys().items()}).join(first, list(names.values()), "left_semi")
     copies = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
     if copies.limit(1).count():
-        kept = kept.dropDuplicates(list(names.values()))
+        one = kept.groupBy(*names.values()).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+        return one.select("_row.*")
     return kept.select(docs.columns)
