@@ -1,18 +1,18 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-The rows lie in blocks. How many rows of each block go to each shard is drawn from the law that a uniform
-permutation of all rows would give: row by row of the matrix, a multivariate hypergeometric draw from what the
-shards still need. Within its block a row's place in a random order decides its shard; after the exchange the rows
-of a shard are put into random order again. Shard sizes are exact (at most one apart) and every assignment is
-equally likely.
-
-All rows move by DataFrame functions. Only block counts, of which there is one per `BLOCK_ROWS` rows, reach the
-driver, and the matrix goes back as a table of that many rows. Random orders come from seeded hashes, so a task
-that is run again makes the same rows.
+The blocks are the partitions in which the rows lie (neighbouring ones together, if there are more than `MAX_BLOCKS`). How
+many rows of each block go to each shard is drawn from the law that a uniform permutation of all rows would give: row by
+row of the matrix, a multivariate hypergeometric draw from what the shards still need. Within its block a row's place in
+a random order decides its shard; after the exchange the rows of a shard are put into random order again. Shard sizes
+are exact (at most one apart) and every assignment is equally likely.
+
+All rows move by DataFrame functions. Only the sizes of blocks, MAX_BLOCKS at most, reach the driver, and the matrix goes
+back as a table of that many rows. Random orders come from seeded hashes, so a task that is run again makes the same rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -23,9 +23,11 @@ from pyspark.sql.window import Window
 from siltstone.llm.storage import written
 
 SHARDS = 16
-BLOCK_ROWS = 100_000
-#: Parts of a shard that are put in order separately; a shard is never in one task.
-PARTS_PER_SHARD = 16
+MAX_BLOCKS = 16_384
+#: Rows of a part of a shard, on average; parts are put in order separately, so a shard is never in one task.
+PART_ROWS = 50_000
+#: Numbers of the matrix up to which it is broadcast (8 bytes each); a larger one is joined by a shuffle.
+BROADCAST_NUMBERS = 1 << 20
 
 
 def hypergeometric(rnd: random.Random, good: int, bad: int, n: int) -> int:
@@ -74,41 +76,38 @@ def _key(seed: int, salt: int, names: list[str]) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(salt), *names)
 
 
-def shuffle_into_shards(rows: DataFrame, identity: list[str], shards: int = SHARDS, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def shuffle_into_shards(rows: DataFrame, identity: list[str], shards: int = SHARDS, seed: int = 0, max_blocks: int = MAX_BLOCKS, part_rows: int = PART_ROWS) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (its place in the shard, gapless from 0).
 
     identity: the columns whose hash orders the rows; rows that agree in all of them stand in an arbitrary order
     among themselves. Nulls are values like others. An empty table gives no rows; with fewer rows than shards some
     shards are empty.
     """
-    own = ["shard", "slot", "_block", "_part", "_rank", "_upto", "_before"]
+    own = ["shard", "slot", "_row", "_block", "_part", "_rank", "_upto", "_before"]
     rows = rows.drop(*own)
     names = rows.columns
     spark = rows.sparkSession
-    total = rows.count()
-    blocks = max(1, -(-total // block_rows))
-    # A copy of a row has the same hash: its number in the written table tells copies apart.
-    placed = written(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.pmod(_key(seed, 1, [*identity, "_row"]), F.lit(blocks)).cast("int")), "shard-rows")
-    counts = {r["_block"]: r["n"] for r in placed.groupBy("_block").agg(F.count("*").alias("n")).collect()}
-    sizes = [counts.get(b, 0) for b in range(blocks)]
+    # The number of a row tells copies apart; its high bits are the partition that wrote it.
+    placed = written(rows.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
+    partition = F.shiftright("_row", 33)
+    total, last = placed.agg(F.count("*"), F.coalesce(F.max(partition), F.lit(0))).first()
+    placed = placed.withColumn("_block", (partition / F.lit(-(-(last + 1) // max_blocks))).cast("int"))
+    sizes = sorted((r["_block"], r["n"]) for r in placed.groupBy("_block").agg(F.count("*").alias("n")).collect())
     shard_sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    matrix = communication_matrix(sizes, shard_sizes, seed)
-    upto = []
-    for b, row in enumerate(matrix):
-        sums, at = [], 0
-        for x in row:
-            at += x
-            sums.append(at)
-        upto.append((b, sums))
+    matrix = communication_matrix([n for _, n in sizes], shard_sizes, seed)
+    upto = [(b, list(itertools.accumulate(row))) for (b, _), row in zip(sizes, matrix, strict=True)]
     limits = spark.createDataFrame(upto, "_block int, _upto array<long>")
+    if len(sizes) * shards <= BROADCAST_NUMBERS:
+        limits = F.broadcast(limits)
+    parts_per_shard = max(1, -(-total // (shards * part_rows)))
 
     in_block = Window.partitionBy("_block").orderBy(_key(seed, 2, [*identity, "_row"]), "_row")
     dealt = (
         placed.withColumn("_rank", F.row_number().over(in_block) - 1)
-        .join(F.broadcast(limits), "_block")
+        .join(limits, "_block")
         # The shard is the number of limits that the rank has reached.
         .withColumn("shard", F.size(F.filter("_upto", lambda x: x <= F.col("_rank"))))
-        .withColumn("_part", F.pmod(_key(seed, 3, [*identity, "_row"]), F.lit(PARTS_PER_SHARD * blocks)).cast("int"))
+        .withColumn("_part", F.pmod(_key(seed, 3, [*identity, "_row"]), F.lit(parts_per_shard)).cast("int"))
         .drop("_block", "_upto", "_rank")
     )
     dealt = written(dealt, "shard-dealt")
