@@ -160,26 +160,30 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 1) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
-    """Texts and labels (0 or 1) of at most max_rows labelled rows a class, lowest hashes of the id first.
+    """Texts and labels (0 or 1) of at most max_rows labelled ids a class, lowest hashes of the id first, and max_bytes of text.
 
-    docs: doc_id, text. labels: doc_id, toxic; rows without either are left out.
+    docs: doc_id, text. labels: doc_id, toxic; rows without either are left out. Sizes alone decide which texts are fetched:
+    one that does not fit is left out, and shorter ones after it can fit. An id with several texts teaches them all,
+    equal ones once; an id that is labelled both ways teaches both.
     """
     picked = None
     for y in (0, 1):
         rows = labels.where((F.col("toxic") == y) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(y).alias("_y"))
         rows = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = rows if picked is None else picked.unionByName(rows)
-    # At most 2 * max_rows ids are broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
-    rows, texts, ys, size = found.select("text", "_y", "_bytes").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * max_rows), [], [], 0
-    for r in rows.toLocalIterator():
-        # A text that does not fit is left out; shorter ones after it can fit.
-        if size + r["_bytes"] > max_bytes:
-            continue
-        size += r["_bytes"]
-        texts.append(r["text"])
-        ys.append(r["_y"])
-    return texts, np.array(ys, np.int64)
+    keyed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("_t"))
+    # At most 2 * max_rows ids are broadcast, and as many sizes come back.
+    sizes = keyed.join(F.broadcast(picked), "doc_id").select("doc_id", "_t", "_y", F.octet_length("text").alias("_bytes")).distinct()
+    chosen, size = [], 0
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "_t", "_y").limit(2 * max_rows).collect():
+        if size + r["_bytes"] <= max_bytes:
+            size += r["_bytes"]
+            chosen.append((r["doc_id"], r["_t"], r["_y"]))
+    if not chosen:
+        return [], np.zeros(0, np.int64)
+    wanted = docs.sparkSession.createDataFrame(sorted({c[:2] for c in chosen}), picked.select("doc_id", F.lit(0).cast("long").alias("_t")).schema)
+    texts = {(r["doc_id"], r["_t"]): r["text"] for r in keyed.join(F.broadcast(wanted), ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"]).collect()}
+    return [texts[c[:2]] for c in chosen], np.array([c[2] for c in chosen], np.int64)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm import queries, sharding, token_counts, token_files, warc
@@ -152,6 +153,28 @@ def test_op6_is_exact_gapless_and_seeded(spark, tmp_path):
     assert sharding.shuffle_into_shards(copies, ["a"], shards=2).count() == 3
 
 
+def test_op6_over_many_blocks_and_parts(spark):
+    n, shards = 3000, 5
+    rows = spark.range(n, numPartitions=30).withColumnRenamed("id", "a").withColumn("_block", F.lit("own"))
+    for blocks in (64, 7, 1):
+        got = sharding.shuffle_into_shards(rows.drop("_block"), ["a"], shards=shards, max_blocks=blocks, part_rows=90).collect()
+        assert sorted(r.a for r in got) == list(range(n))
+        counts = Counter(r.shard for r in got)
+        assert set(counts.values()) == {n // shards}
+        place = {r.a: (r.shard, r.slot) for r in got}
+        for s in range(shards):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(n // shards))
+        # A uniform order keeps nothing of the old one: shares of the old partitions, order, and neighbours.
+        cells = Counter((a // 100, place[a][0]) for a in range(n))
+        chi = sum((cells[p, s] - 20) ** 2 / 20 for p in range(30) for s in range(shards))
+        assert 70 < chi < 170  # 116 degrees of freedom
+        assert abs(np.corrcoef(range(n), [place[a][0] * (n // shards) + place[a][1] for a in range(n)])[0, 1]) < 0.08
+        order = sorted(range(n), key=place.get)
+        assert sum(abs(x - y) == 1 for x, y in zip(order[:-1], order[1:], strict=True)) < 10
+    few = spark.range(3, numPartitions=8)
+    assert Counter(r.shard for r in sharding.shuffle_into_shards(few, ["id"], shards=2).collect()) == {0: 2, 1: 1}
+
+
 def test_the_matrix_has_the_law_of_a_permutation():
     draws = Counter(sharding.hypergeometric(random.Random(i), 6, 4, 5) for i in range(20000))
     from math import comb

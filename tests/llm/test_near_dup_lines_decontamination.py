@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import decontamination, line_dedup, near_dup, queries
 
@@ -76,6 +77,27 @@ def test_near_duplicate_classes_against_brute_force(spark, block):
     assert kept.columns == ["doc_id", "text", "class_id", "label"] and kept.count() == len({(v is None, v) for v in want.values()})
 
 
+def test_large_buckets_of_related_texts_are_dealt_again(spark):
+    # All texts share most of one frame: large buckets of many classes.
+    rnd = random.Random(31)
+    frame = [sentence(rnd, 6) for _ in range(10)]
+    rows = []
+    for k in range(40):
+        t = " ".join(f if rnd.random() < 0.8 else sentence(rnd, 6) for f in frame)
+        rows += [t, edited(rnd, t, 1)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (5, 20):
+        got = {(r.doc_id, r.text): r.class_id for r in near_dup.near_duplicates(docs, block=block).collect()}
+        assert got == brute_classes(rows)
+
+
+def test_of_rows_that_share_id_and_text_the_same_stays(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (2, "a b", "z"), (None, None, "n")], "doc_id long, text string, lang string")
+    kept = near_dup.without_near_duplicates(docs).collect()
+    assert len(kept) == 2 and {tuple(r) for r in kept} == {tuple(r) for r in near_dup.without_near_duplicates(docs.orderBy(F.desc("lang"))).collect()}
+
+
 def test_signatures_estimate_the_probability_jaccard_and_do_not_depend_on_the_batch():
     a = Counter({i: 1 + i % 3 for i in range(100)})
     b = Counter({i: 1 + i % 2 for i in range(20, 120)})
@@ -287,6 +309,27 @@ def test_the_multi_index_finds_every_fingerprint_in_the_radius():
     assert got == want
 
 
+def test_two_thousand_items_against_brute_force():
+    rnd = random.Random(21)
+    items = [sentence(rnd, rnd.randint(3, 60)) for _ in range(2000)] + [sentence(rnd, 400)]
+    texts = [sentence(rnd, rnd.randint(1, 200)) for _ in range(40)]
+    for k in range(120):
+        w = items[(k * 17) % 2001].split(" ")
+        cut = w[rnd.randint(0, 1 + len(w) // 20) : len(w) - rnd.randint(0, 1 + len(w) // 20)]
+        texts.append(" ".join(cut) if k % 2 else f"{sentence(rnd, rnd.randint(0, 90))} {' '.join(w)} {sentence(rnd, 30)}")
+    holders = {}
+    for k, t in enumerate(items):
+        for r in runs(t):
+            holders.setdefault(r, set()).add(k)
+    want = {}
+    for t, text in enumerate(texts):
+        near = sorted({k for r in runs(text) for k in holders.get(r, ())} | {k for k, x in enumerate(items) if len(x.split()) < 5 and x in text})
+        want |= {(t, k): v for (_, k), v in brute_hits([(t, text)], [(k, items[k]) for k in near]).items()}
+    index = decontamination.Index(list(range(2001)), items)
+    got = {(t, k): v for t, k, v, *_ in decontamination.matches(pa.array(texts), index)}
+    assert len(want) >= 110 and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_long_texts_are_searched_beyond_one_run():
     rnd = random.Random(5)
     item = sentence(rnd, 30)

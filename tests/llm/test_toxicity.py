@@ -57,3 +57,41 @@ def test_a_text_that_does_not_fit_does_not_end_the_sample(spark):
         labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
         texts, ys = toxicity.training_sample(docs, labels, max_bytes=100)
         assert texts == ["x" * 10] * 5 and sorted(ys.tolist()) == sorted(i % 2 for i in range(6) if i != long)
+
+
+def brute_score(text, model):
+    """The mean of the n-grams' weights, n-gram by n-gram, with the bucket hash written out on whole numbers."""
+    top, total, n = (1 << 64) - 1, 0.0, 0
+    weight = model.weight.astype(np.float32)
+    for word in (text or "").lower().encode().split():
+        framed = b" " + word + b" "
+        for w in toxicity.WIDTHS:
+            for i in range(len(framed) - w + 1):
+                code = 0
+                for byte in framed[i : i + w]:
+                    code = (code * 0x100000001B3 + byte + 1) & top
+                x = (code + w) & top
+                x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & top
+                x = ((x ^ x >> 27) * 0x94D049BB133111EB) & top
+                total += float(weight[(x ^ x >> 31) % toxicity.BUCKETS])
+                n += 1
+    return 1 / (1 + np.exp(-(total / max(1, n) + model.offset)))
+
+
+def test_scores_against_brute_force(spark):
+    rnd = random.Random(2)
+    texts = [make(rnd, 3 if i % 2 else 0, 30) for i in range(200)]
+    model = toxicity.train(texts, np.arange(200) % 2)
+    odd = [None, "", " \n ", "Été ÉTÉ\tx", "a", "don't " * 400, texts[0], texts[1]]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t in enumerate(odd):
+        assert abs(got[i] - brute_score(t, model)) < 1e-5
+    assert got[6] < 0.5 < got[7]
+
+
+def test_the_sample_of_repeated_and_contradicting_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "bb"), (2, "c"), (3, None), (None, "d"), (4, "y" * 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 1), (3, 1), (None, 1), (4, 0), (5, 1)], "doc_id long, toxic int")
+    texts, ys = toxicity.training_sample(docs, labels, max_bytes=100)
+    assert sorted(zip(texts, ys.tolist(), strict=True)) == [("a", 0), ("a", 1), ("bb", 0), ("bb", 1), ("c", 1)]
