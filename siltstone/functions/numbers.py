@@ -43,6 +43,16 @@ def resample_positions(n: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (n - 1) / F.lit(k - 1), 0).cast("long"))
 
 
+def strided_frames(n: Column, k: int) -> Column:
+    """Every (n div k)-th position of 0 to n - 1: k of them or more."""
+    return F.sequence(F.lit(0).cast("long"), n - 1, F.greatest(F.lit(1).cast("long"), F.floor(n / k)))
+
+
+def spaced_frames(n: Column, k: int) -> Column:
+    """Exactly k positions, n div k apart."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i * F.greatest(F.lit(1).cast("long"), F.floor(n / k)))
+
+
 def align_frames(n: Column) -> Column:
     """The largest 4k + 1 up to n."""
     return n - F.pmod(n - 1, F.lit(4))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,13 +13,36 @@ WORD = r"([\p{L}\p{N}_]+)"
 BLANKS = " \t\n\r\x0b\x0c"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What full case folding does beyond lower case: letters for letters, and letters for several."""
+    pairs = {chr(c).lower(): chr(c).casefold() for c in range(0x110000) if chr(c).lower() != chr(c).casefold()}
+    # Java writes the last sigma of a word in its own form.
+    single = {a: b for a, b in pairs.items() if len(a) == len(b) == 1} | {"\u03c2": "\u03c3"}
+    return "".join(single), "".join(single.values()), {a: b for a, b in pairs.items() if len(b) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding, as Python's str.casefold: sharp s becomes ss, for example."""
+    one, other, many = _folds()
+    lower = F.translate(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), one, other)
+    rare = {a: b for a, b in many.items() if a != "\u00df"}
+    spelled = lambda x: reduce(lambda c, k: F.replace(c, F.lit(k), F.lit(rare[k])), rare, x)
+    return bound(lower, lambda x: F.when(x.rlike("[" + "".join(rare) + "]"), spelled(x)).otherwise(x))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case word tokens, in order; null has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(1))
+    """Case-folded word tokens, in order; null has none."""
+    return F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(1))
 
 
 def normalize(text: Column) -> Column:
-    """Lower-case word tokens joined by single spaces."""
+    """Case-folded word tokens joined by single spaces."""
     return F.array_join(tokens(text), " ")
 
 
@@ -40,12 +66,18 @@ def contains_phrase(normal_text: Column, normal_phrase: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """The set of runs of n words; texts of fewer words have none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return bound(words, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(runs(w))))
+
 
+def safe_id(text: Column, longest: int | None = 100, prefix: Column | None = None) -> Column:
+    """Runs of other characters than letters, digits, - and _ become _, none at either end; after `prefix` and _, if given.
 
-def safe_id(text: Column, longest: int = 100) -> Column:
-    return F.substring(F.btrim(F.regexp_replace(text, "[^A-Za-z0-9_-]+", "_"), F.lit("_")), 1, longest)
+    Null where nothing is left: an empty key has no id.
+    """
+    clean = F.nullif(F.btrim(F.regexp_replace(text, "[^A-Za-z0-9_-]+", "_"), F.lit("_")), F.lit(""))
+    named = F.concat(prefix, F.lit("_"), clean) if prefix is not None else clean
+    return F.substring(named, 1, longest) if longest else named
 
 
 def collapse(text: Column) -> Column:
@@ -67,8 +99,17 @@ def host_root(url: Column) -> Column:
     return F.when(root != "", root)
 
 
-def strip_tags(html: Column) -> Column:
-    return F.regexp_replace(html, "<[^>]*>", "")
+def strip_bold(html: Column) -> Column:
+    """Without the tags that search results mark hits with."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), "</?b>", "")
+
+
+def plain_text(html: Column) -> Column:
+    """Without tags, with the five named entities of XML and the blank one read, in single spaces."""
+    out = F.regexp_replace(html, "<[^>]*>", " ")
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def html_escape(text: Column) -> Column:
@@ -78,13 +119,40 @@ def html_escape(text: Column) -> Column:
 
 
 def pluralize(phrase: Column, irregular: dict[str, str]) -> Column:
-    """The phrase with its last word in the plural: the irregular form, or with an s."""
-    words = F.split(phrase, " ")
-    last = F.element_at(words, -1)
-    plural = F.concat(last, F.lit("s"))
-    for one, many in irregular.items():
-        plural = F.when(last == one, F.lit(many)).otherwise(plural)
-    return F.array_join(F.concat(F.slice(words, 1, F.size(words) - 1), F.array(plural)), " ")
+    """The phrase, in single spaces, with its last word in the plural: the irregular form, or with an s."""
+
+    def ended(words: Column) -> Column:
+        last = F.element_at(words, -1)
+        plural = F.concat(last, F.lit("s"))
+        for one, many in irregular.items():
+            plural = F.when(last == one, F.lit(many)).otherwise(plural)
+        return F.array_join(F.concat(F.slice(words, 1, F.size(words) - 1), F.array(plural)), " ")
+
+    return bound(F.split(F.trim(F.regexp_replace(phrase, r"\s+", " ")), " "), ended)
+
+
+def paraphrase(key: Column, request: Column, pick: Column) -> Column:
+    """The request, flattened, in one of five wordings that `pick` (0 to 4) chooses, its first letter lowered; if nothing is left, as it was."""
+    flat = bound(F.trim(F.regexp_replace(F.rtrim(strip(request), F.lit(".")), r"\s+", " ")), lambda x: x)
+    verbs = (None, ("Remove", "get rid of"), ("Add", "put"), ("Replace", "swap"), ("Change", "make"))
+    said = bound(flat, lambda x: F.get(F.array(*(x if v is None else F.regexp_replace(x, rf"(?i)^(Please\s+)?{v[0]}\b", v[1]) for v in verbs)), pick.cast("int")))
+    return bound(said, lambda x: F.when(x == "", request).otherwise(F.concat(F.lower(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))))
+
+
+def first_filled(*values: Column) -> Column:
+    """The first text that is neither null nor empty, else an empty one."""
+    return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
+
+
+def refined_query(query: Column, context: Column, word: str = "logo") -> Column:
+    """The query, stripped, with the word at its end if the context mentions it and the query does not."""
+    q = strip(query)
+    return F.when(F.lower(context).contains(word) & ~F.lower(q).contains(word), F.concat(q, F.lit(f" {word}"))).otherwise(q)
+
+
+def looks_like_image(url: Column) -> Column:
+    """Does the URL's path end like an image's name, whatever query follows?"""
+    return F.lower(F.regexp_replace(url, r"[?#].*$", "")).rlike(r"\.(png|jpe?g|webp|gif|bmp)$")
 
 
 def template_signature(normal_text: Column, slots: list[str]) -> Column:
@@ -118,6 +186,38 @@ def template(pattern: str, **values: Column) -> Column:
     return out
 
 
+def is_enabled(value: Column) -> Column:
+    """A flag that was written as text: null, "", "false" and "False" are off, anything else is on."""
+    return ~F.coalesce(value, F.lit("")).isin("", "false", "False")
+
+
+def not_blank(text: Column) -> Column:
+    """Is there a character that is no blank of any script?"""
+    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+
+
+def strip(text: Column) -> Column:
+    """Without the blanks of any script at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def count_of(text: Column, part: str) -> Column:
+    return F.size(F.split(text, part.replace("<", "[<]"))) - 1
+
+
+def natural_tokens(name: Column) -> Column:
+    """Digit runs as numbers and other characters one by one, as structs that sort numbers by value and before characters."""
+    runs = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9])"), F.lit(1))
+    number = lambda x: F.when(x.rlike("^[0-9]"), x.cast("decimal(38,0)"))
+    return F.transform(runs, lambda x: F.struct(F.coalesce(number(x), F.lit(-1)).alias("number"), F.when(x.rlike("^[0-9]"), "").otherwise(x).alias("char")))
+
+
+def candidate_number(said: Column, n: Column | int) -> Column:
+    """The number after the word Image in a model's answer, 1 if there is none, kept between 1 and n."""
+    found = F.regexp_extract(said, r"Image\s+([0-9]+)", 1).try_cast("int")
+    return F.greatest(F.lit(1), F.least(n if isinstance(n, Column) else F.lit(n), F.coalesce(found, F.lit(1))))
+
+
 def is_false_text(text: Column) -> Column:
     """Texts that a planner writes for no: empty, false, none, null, no."""
     return F.coalesce(F.lower(F.trim(text)), F.lit("")).isin("", "false", "none", "null", "no")

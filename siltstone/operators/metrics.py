@@ -34,8 +34,10 @@ def binary_metrics(df: DataFrame, gold: str, predicted: str, by: str | None = No
     return out.withColumns(precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def agreement(df: DataFrame, a: str, b: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """One row: usable, exact and directional agreement, tie rates and Cohen's kappa of two label columns.
+def agreement(df: DataFrame, a: str, b: str, labels: tuple[str, ...] = LABELS, by: str | None = None) -> DataFrame:
+    """Usable rows, exact and directional agreement, tie rates and Cohen's kappa of two label columns.
+
+    One row, or with `by` one overall (by is null) and one for each of its values; rows without a value count as unknown.
 
     Rows in which either label is not one of labels are counted as excluded. Directional agreement leaves ties out.
     Kappa is 1 if chance alone would agree always, and null without rows.
@@ -46,7 +48,10 @@ def agreement(df: DataFrame, a: str, b: str, labels: tuple[str, ...] = LABELS) -
     sums = [F.count("*").alias("rows"), F.count_if(ok).alias("usable"), F.count_if(ok & same).alias("agreed"), F.count_if(both).alias("directed"), F.count_if(both & same).alias("directed_agreed")]
     for k, one in enumerate(labels):
         sums += [F.count_if(ok & (x == one)).alias(f"a{k}"), F.count_if(ok & (y == one)).alias(f"b{k}")]
-    s = df.agg(*sums)
+    if by is None:
+        s, keys = df.agg(*sums), []
+    else:
+        s, keys = df.withColumn(by, F.coalesce(by, F.lit("unknown"))).groupingSets([[], [F.col(by)]], F.col(by)).agg(*sums), [by]
     n = F.col("usable")
     chance = sum((F.col(f"a{k}") * F.col(f"b{k}") for k in range(len(labels))), F.lit(0).cast("long"))
     n2 = n * n
@@ -54,7 +59,7 @@ def agreement(df: DataFrame, a: str, b: str, labels: tuple[str, ...] = LABELS) -
     tie = labels.index("tie") if "tie" in labels else None
     ties = [ratio(F.col(f"{c}{tie}"), n).alias(f"{c}_tie_rate") for c in "ab"] if tie is not None else []
     return s.select(
-        "rows", "usable", (F.col("rows") - n).alias("excluded"), ratio(n, F.col("rows")).alias("coverage"),
+        *keys, "rows", "usable", (F.col("rows") - n).alias("excluded"), ratio(n, F.col("rows")).alias("coverage"),
         ratio(F.col("agreed"), n, None).alias("exact"), ratio(F.col("directed_agreed"), F.col("directed"), None).alias("directional"), *ties, kappa.alias("kappa"),
     )
 
@@ -74,11 +79,12 @@ def rollup_means(df: DataFrame, groups: list[str], values: list[str]) -> DataFra
     return df.groupingSets(sets, *groups).agg(level, F.count("*").alias("n"), *(F.avg(v).alias(f"mean_{v}") for v in values))
 
 
-def audit(df: DataFrame, position: str, total: int, by: list[str]) -> DataFrame:
+def audit(df: DataFrame, position: str, total: int, by: list[str], overall: bool = False) -> DataFrame:
     """How well sampled positions cover 0 to total - 1: rows, distinct positions, coverage, range and quarters."""
     quarter = F.least(F.lit(4), F.floor(F.col(position) * 4 / total) + 1)
     quarters = [F.count_if(quarter == k).alias(f"q{k}") for k in (1, 2, 3, 4)]
-    return df.groupBy(*by).agg(
+    grouped = df.groupingSets([[], [F.col(c) for c in by]], *by) if overall else df.groupBy(*by)
+    return grouped.agg(
         F.count("*").alias("n"), F.count_distinct(position).alias("n_distinct"), (F.count_distinct(position) / F.lit(float(total))).alias("coverage"),
         F.min(position).alias("low"), F.max(position).alias("high"), *quarters,
     )
@@ -116,12 +122,6 @@ def one_standard_error(candidates: DataFrame, utility: str, size: str, error: fl
     return near.orderBy(size).limit(1).drop("_best")
 
 
-def bootstrap_indices(strata: dict[str, int], draws: int, seed: int) -> list[tuple[int, str, int]]:
-    """draw, stratum, position: the same positions for every candidate, strata in sorted order, from Python's generator."""
-    rnd = random.Random(seed)
-    return [(d, s, rnd.randrange(strata[s])) for d in range(draws) for s in sorted(strata) for _ in range(strata[s])]
-
-
 class RandrangeStream:
     """What randrange(size) of one random.Random(seed) gives, call after call, in numpy. skip: generator words used before."""
 
@@ -202,25 +202,33 @@ def _stream_draws(scores: DataFrame, sizes: dict[str, int], draws: int, seed: in
     return table.mapInArrow(averaged, "candidate string, draw long, m double")
 
 
-def paired_bootstrap(scores: DataFrame, draws: int, seed: int, one_stream: bool = False) -> DataFrame:
-    """candidate, standard error of the mean of its strata's means over paired stratified draws.
+def four_way(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: pairs, exact agreement over all labels, and precision, recall and F1 of calling a pair invalid (null where there is nothing to divide by)."""
+    x, y = F.col(a), F.col(b)
+    hit, said, true = F.count_if((x == "invalid") & (y == "invalid")), F.count_if(y == "invalid"), F.count_if(x == "invalid")
+    s = df.agg(F.count("*").alias("num_pairs"), F.count_if(x == y).alias("_same"), hit.alias("_hit"), said.alias("_said"), true.alias("_true"))
+    precision, recall = ratio(F.col("_hit"), F.col("_said"), None), ratio(F.col("_hit"), F.col("_true"), None)
+    f1 = F.when((recall > 0) & precision.isNotNull(), 2 * precision * recall / (precision + recall))
+    return s.select("num_pairs", ratio(F.col("_same"), F.col("num_pairs"), None).alias("four_way_agreement"), precision.alias("invalid_precision"), recall.alias("invalid_recall"), f1.alias("invalid_f1"))
 
-    scores: candidate, stratum, case_pos, score. With one_stream the indices are those of one random.Random(seed), as in
-    the reference. Without, each draw has a seed of its own; the table of draws has draws times cases rows; draw numbers
-    and seeds are spread over the executors, so it never stands on the driver.
-    """
-    import pandas as pd
 
-    sizes = {r["stratum"]: r["n"] for r in scores.groupBy("stratum").agg(F.count_distinct("case_pos").alias("n")).collect()}
-    spark = scores.sparkSession
-    if one_stream and sizes:
-        return _stream_draws(scores, sizes, draws, seed).groupBy("candidate").agg(F.stddev_samp("m").alias("standard_error"))
+def valid_score_means(df: DataFrame, score: str, kind: str, low: float = 1, high: float = 5) -> DataFrame:
+    """n and mean of the scores between low and high, overall (kind null) and by kind."""
+    return df.where(F.col(score).between(low, high)).groupingSets([[], [F.col(kind)]], F.col(kind)).agg(F.count("*").alias("n"), F.avg(score).alias("mean"))
+
 
-    def drawn(batches):
-        for pdf in batches:
-            rows = [(int(d), s, p) for d in pdf["id"] for _, s, p in bootstrap_indices(sizes, 1, seed * 1_000_003 + int(d))]
-            yield pd.DataFrame(rows, columns=["draw", "stratum", "case_pos"])
+def unequal_groups(df: DataFrame, keys: list[str], want: int | Column) -> DataFrame:
+    """Groups whose number of rows is not the wanted one: a balanced table has none."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") != want)
 
-    index = spark.range(draws).mapInPandas(drawn, "draw long, stratum string, case_pos long")
-    means = index.join(scores, ["stratum", "case_pos"]).groupBy("candidate", "draw", "stratum").agg(F.avg("score").alias("m"))
-    return means.groupBy("candidate", "draw").agg(F.avg("m").alias("m")).groupBy("candidate").agg(F.stddev_samp("m").alias("standard_error"))
+
+def paired_bootstrap(scores: DataFrame, draws: int, seed: int) -> DataFrame:
+    """candidate, standard error of the mean of its strata's means over paired stratified draws.
+
+    scores: candidate, stratum, case_pos, score. The indices are those of one random.Random(seed): draw by draw, strata in
+    order, one randrange a case; every candidate gets the same ones.
+    """
+    sizes = {r["stratum"]: r["n"] for r in scores.groupBy("stratum").agg(F.count_distinct("case_pos").alias("n")).collect()}
+    if not sizes:
+        return scores.sparkSession.createDataFrame([], "candidate string, standard_error double")
+    return _stream_draws(scores, sizes, draws, seed).groupBy("candidate").agg(F.stddev_samp("m").alias("standard_error"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.numbers import stable_hash
+from siltstone.sources.shared import fixed
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -31,29 +32,38 @@ def quota(df: DataFrame, keys: list[str], order: list[Column | str], most: int |
 def with_positions(df: DataFrame, order: list[Column | str], name: str = "_pos") -> DataFrame:
     """df with gapless positions from 0 in a total order, without gathering the rows in one task.
 
-    Rows are range-partitioned and numbered in their partitions; the counts of the partitions give the offsets.
+    Rows are range-partitioned, written once and numbered in their partitions; the counts of the partitions give the offsets.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    dealt = fixed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "positions")
     local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(before.select("_part", "_before"), "_part").withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_part", "_rn", "_before")
 
 
+def ranked(df: DataFrame, group: str, order: list[Column | str], name: str) -> DataFrame:
+    """df with the place of each row in its group, from 1. A group that holds most rows is in many tasks: places are differences of positions."""
+    placed = with_positions(df, [group, *order], "_position")
+    first = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_position").alias("_first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_position") - F.col("_first") + 1).drop("_group", "_first", "_position")
+
+
 def hash_ranked(df: DataFrame, salt: str, key: str, most: int) -> DataFrame:
     """A bottom-k sample: the rows with the lowest salted hashes of their key."""
     return df.withColumn("rank_hash", stable_hash(F.lit(salt), F.col(key).cast("string"))).orderBy("rank_hash", key).limit(most)
 
 
-def distinct_first(df: DataFrame, concept: str, order: list[Column | str]) -> DataFrame:
-    """df with occurrence (1 for the first row of a concept); rows of new concepts come before repeats."""
-    return df.withColumn("occurrence", F.row_number().over(Window.partitionBy(concept).orderBy(*order)))
+def distinct_first(df: DataFrame, concept: str, concept_order: Column, order: list[Column | str]) -> DataFrame:
+    """df with occurrence (1 for the first row of a concept) and place: first all new concepts in their order, then the repeats."""
+    counted = ranked(df.withColumn("_concept_order", concept_order), concept, order, "occurrence")
+    keys = [F.least(F.col("occurrence"), F.lit(2)), "_concept_order", *order]
+    return with_positions(counted, keys, "place").drop("_concept_order")
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column | str]) -> DataFrame:
-    """df with turn: one row of each group a turn."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """df with turn (one row of each group a turn) and place: turn by turn, groups in order within it."""
+    return with_positions(ranked(df, group, order, "turn"), ["turn", group], "place")
 
 
 def evenly_spaced_rows(df: DataFrame, position: str, total: int, count: int) -> DataFrame:

@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import ngrams, padded, signature_pattern, tokens
 
 
+#: Distinct runs of the right side up to which their hashes are broadcast (8 bytes each) to thin out the left side's.
+BROADCAST_RUNS = 500_000
+
+
 def shared_ngrams(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, n: int) -> DataFrame:
-    """left_id, right_id, n_shared: pairs of texts that share runs of n words. An equi-join on the runs, never a cross join."""
+    """left_id, right_id, n_shared: pairs of texts that share runs of n words. An equi-join on the runs, never a cross join.
+
+    Most runs of the left side are in no text of the right one: they go by their hashes before anything is shuffled.
+    """
     run = lambda df, key: df.select(key, F.explode(ngrams(tokens(F.col(text)), n)).alias("_run"))
-    return run(left, left_id).join(run(right, right_id), "_run").groupBy(left_id, right_id).agg(F.count("*").alias("n_shared"))
+    wanted, held = run(right, right_id), run(left, left_id)
+    hashes = wanted.select(F.xxhash64("_run").alias("_hash")).distinct()
+    if hashes.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        held = held.join(F.broadcast(hashes), F.xxhash64("_run") == F.col("_hash"), "left_semi")
+    return held.join(wanted, "_run").groupBy(left_id, right_id).agg(F.count("*").alias("n_shared"))
 
 
 def paired_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, texts: list[str], n: int) -> DataFrame:
@@ -22,27 +33,75 @@ def paired_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return reduce(lambda a, b: a.join(b, [left_id, right_id]), pairs)
 
 
-def signature_matches(signatures: DataFrame, texts: DataFrame, signature: str, text: str, most_signatures: int = 10_000) -> DataFrame:
+def signature_matches(signatures: DataFrame, texts: DataFrame, signature: str, text: str, at_once: int = 10_000) -> DataFrame:
     """Texts that match a template signature, __slot__ standing for any words.
 
-    The theta join needs one side on every executor: the signatures, whose number is checked.
+    Signatures without a slot are an equi-join. The others are a theta join, which needs one side on every executor: the
+    signatures, at_once of them; more are matched in further passes.
     """
-    if signatures.limit(most_signatures + 1).count() > most_signatures:
-        raise ValueError(f"more than {most_signatures} signatures; match them in parts")
-    patterns = signatures.select(signature).distinct().withColumn("_pattern", signature_pattern(F.col(signature)))
-    return texts.join(F.broadcast(patterns), F.rlike(F.col(text), F.col("_pattern"))).drop("_pattern")
+    distinct = signatures.select(signature).where(F.col(signature).isNotNull()).distinct()
+    slotted = F.col(signature).contains("__slot__")
+    out = texts.join(distinct.where(~slotted), F.col(text) == F.col(signature))
+    patterns = distinct.where(slotted).withColumn("_pattern", signature_pattern(F.col(signature)))
+    parts = max(1, -(-patterns.count() // at_once))
+    for k in range(parts):
+        part = patterns.where(F.pmod(F.xxhash64(signature), F.lit(parts)) == k)
+        out = out.unionByName(texts.join(F.broadcast(part), F.rlike(F.col(text), F.col("_pattern"))).drop("_pattern"))
+    return out
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, normal: str, phrase: str, most_words: int = 8) -> DataFrame:
-    """key, phrase: normalised texts that contain a normalised phrase. An equi-join on the runs of each phrase's length."""
+    """key, phrase: normalised texts that contain a normalised phrase. An equi-join on runs of words of the phrase's length.
+
+    A phrase of more than most_words words is found by its first so many, and then checked whole.
+    """
     words = F.split(F.col(normal), " ")
-    sizes = [r["n"] for r in phrases.select(F.size(F.split(phrase, " ")).alias("n")).distinct().collect()]
-    if any(n > most_words for n in sizes):
-        raise ValueError(f"a phrase has more than {most_words} words")
+    wanted = phrases.select(phrase).where(F.col(phrase) != "").distinct().withColumn("_n", F.least(F.size(F.split(phrase, " ")), F.lit(most_words)))
+    wanted = wanted.withColumn("_head", F.array_join(F.slice(F.split(phrase, " "), 1, F.col("_n")), " "))
+    sizes = sorted(r["_n"] for r in wanted.select("_n").distinct().collect())
     if not sizes:
         return texts.select(key, F.lit(None).cast("string").alias(phrase)).where("false")
-    runs = reduce(DataFrame.unionByName, [texts.select(key, F.explode(ngrams(words, n)).alias(phrase)) for n in sorted(sizes)])
-    return runs.join(phrases.select(phrase).where(F.col(phrase) != "").distinct(), phrase).select(key, phrase).distinct()
+    runs = reduce(DataFrame.unionByName, [texts.select(key, normal, F.explode(ngrams(words, n)).alias("_head")) for n in sizes])
+    found = runs.join(wanted.drop("_n"), "_head").where(padded(F.col(normal)).contains(padded(F.col(phrase))))
+    return found.select(key, phrase).distinct()
+
+
+def value_overlap(values: DataFrame, texts: DataFrame, keys: list[str], value: str, text: str, n: int) -> DataFrame:
+    """keys, n_shared: values that have runs of n words in common with any of the texts, and how many different ones."""
+    known = texts.select(F.explode(ngrams(tokens(F.col(text)), n)).alias("_run"))
+    own = values.select(*keys, F.explode(ngrams(tokens(F.col(value)), n)).alias("_run")).distinct()
+    hashes = own.select(F.xxhash64("_run").alias("_hash")).distinct()
+    if hashes.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        known = known.join(F.broadcast(hashes), F.xxhash64("_run") == F.col("_hash"), "left_semi").drop("_hash")
+    return own.join(known.distinct(), "_run", "left_semi").groupBy(*keys).agg(F.count("*").alias("n_shared"))
+
+
+def missing_partners(rows: DataFrame, partners: DataFrame, key: str, message: str) -> DataFrame:
+    """key, violation: rows without a partner."""
+    return rows.join(partners, key, "left_anti").select(key, F.lit(message).alias("violation"))
+
+
+def with_records(cases: DataFrame, records: DataFrame, key: str, required: Column) -> DataFrame:
+    """cases with their records; a case that requires one goes without it, another keeps nulls."""
+    joined = cases.join(records.withColumn("_have", F.lit(True)), key, "left")
+    return joined.where(F.col("_have").isNotNull() | ~required).drop("_have")
+
+
+def product(tables: list[DataFrame], most: int = 10_000_000) -> DataFrame:
+    """Every combination of rows of small tables; an error if there would be more than `most`. All tables but the largest are broadcast."""
+    sizes = [x.count() for x in tables]
+    total = reduce(lambda a, b: a * b, sizes, 1)
+    if total > most:
+        raise ValueError(f"{total} combinations, at most {most} are made")
+    first = max(range(len(tables)), key=lambda i: sizes[i])
+    return reduce(lambda a, b: a.join(F.broadcast(b)), [tables[i] for i in range(len(tables)) if i != first], tables[first])
+
+
+def not_exactly_one(rows: DataFrame, places: list[DataFrame], key: str) -> DataFrame:
+    """key, n: rows that lie in none or in several of the places."""
+    held = reduce(DataFrame.unionByName, [p.select(key).distinct() for p in places]).groupBy(key).agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    return rows.select(key).join(held, key, "left").select(key, n.alias("n")).where("n <> 1")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -57,14 +116,17 @@ def resume(todo: DataFrame, done: DataFrame, key: str, accepted: Column | None =
 
 
 def resume_by_identity(todo: DataFrame, done: DataFrame, key: str, identity: list[str], position: str, payload: str) -> DataFrame:
-    """todo with the payload of earlier results: by key if the identity still agrees, else by an identity that is unique."""
-    from siltstone.operators.ranking import last_wins
+    """todo with the payload of earlier results, the last by position of those that count.
 
-    by_key = last_wins(done, [key], position).select(key, *(F.col(c).alias(f"_{c}") for c in identity), F.col(payload).alias("_by_key"))
-    unique = done.groupBy(*identity).agg(F.count("*").alias("_n"), F.first(payload).alias("_by_identity")).where("_n = 1").drop("_n")
+    A result with a key counts if the row of that key still has its identity; one without a key if exactly one row of todo has it.
+    """
+    rows = todo.select(key, *(F.col(c).alias(f"_{c}") for c in identity))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in identity])
-    joined = todo.join(by_key, key, "left").join(unique, identity, "left")
-    return joined.withColumn(payload, F.coalesce(F.when(same, F.col("_by_key")), F.col("_by_identity"))).select(*todo.columns, payload)
+    by_key = done.where(F.col(key).isNotNull()).join(rows, key).where(same)
+    once = todo.groupBy(*identity).agg(F.count("*").alias("_n"), F.min(key).alias(key)).where("_n = 1")
+    by_identity = done.where(F.col(key).isNull()).drop(key).join(once, identity)
+    found = by_key.select(key, position, payload).unionByName(by_identity.select(key, position, payload))
+    return todo.join(found.groupBy(key).agg(F.max_by(payload, position).alias(payload)), key, "left").select(*todo.columns, payload)
 
 
 def disagreements(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:

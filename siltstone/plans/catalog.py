@@ -18,7 +18,8 @@ from siltstone.operators import metrics, ranking, relations
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+#: In these tables only sharp s folds to more than its lower case.
+_WORDS = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')"
 
 
 def query(sql: str | None = None):
@@ -71,11 +72,6 @@ def prj11_counterfactual_pairs(spark, d):
     return t(spark, d, "benchmark").select("item_id", F.inline(pair))
 
 
-@query("select doc_id, ('0x' || substr(sha256(doc_id::varchar), 1, 8))::bigint % 5 as variant from documents")
-def prj09_hash_choice(spark, d):
-    return t(spark, d, "documents").select("doc_id", numbers.hash_choice(F.col("doc_id").cast("string"), 5).alias("variant"))
-
-
 @query("select doc_id, case when ('0x' || substr(sha256('drop' || doc_id::varchar), 1, 8))::bigint / 4294967296.0 < 0.1 then '' else source end as source from documents")
 def prj20_conditional_dropout(spark, d):
     u = numbers.hash_uniform(F.concat(F.lit("drop"), F.col("doc_id").cast("string")))
@@ -180,11 +176,14 @@ def agg20_overlap_summary(spark, d):
     return pairs.agg(F.count("*").alias("pair_count"), F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("item_id").alias("n_items"))
 
 
-@query()
+@query("""
+with p as (select p_partkey, lower(p_brand) as brand from part), g as (select distinct regexp_replace(brand, '[0-9]', '__slot__', 'g') as signature from p union select distinct brand from p where p_partkey % 50 = 0)
+select p_partkey, count(*) as n from p, g where case when contains(signature, '__slot__') then regexp_full_match(brand, replace(signature, '__slot__', '.+?')) else brand = signature end group by p_partkey
+""")
 def join12_template_signatures(spark, d):
-    """Texts by wildcard template: the patterns come from the brands, __slot__ for their numbers."""
+    """Texts by template: the patterns come from the brands, __slot__ for their digits, and some brands as they are."""
     part = t(spark, d, "part").select("p_partkey", F.lower("p_brand").alias("brand"))
-    signatures = part.select(F.regexp_replace("brand", "[0-9]", "__slot__").alias("signature"))
+    signatures = part.select(F.regexp_replace("brand", "[0-9]", "__slot__").alias("signature")).unionByName(part.where("p_partkey % 50 = 0").select(F.col("brand").alias("signature")))
     return relations.signature_matches(signatures, part, "signature", "brand").groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
@@ -250,11 +249,6 @@ def agg01_confusion(spark, d):
     return metrics.binary_metrics(_flags(spark, d), "g", "p")
 
 
-@query(f"select lang, tp, fp, fn, tn, {_PRF} from (select lang, {_COUNTS} from ({_FLAGS}) group by grouping sets ((), (lang)))")
-def agg02_planner_metrics(spark, d):
-    return metrics.binary_metrics(_flags(spark, d), "g", "p", by="lang")
-
-
 @query(f"select lang, sum(kept)::bigint as kept, sum(n)::bigint as n, sum(kept) / sum(n)::double as micro, count_if(kept = n) as whole from (select lang, len(w) as n, len(list_filter(w, lambda x: length(x) > 3)) as kept from (select lang, {_WORDS.format('text')} as w from documents) where len(w) > 0) group by lang")
 def agg04_micro_and_case_ratio(spark, d):
     w = text.tokens(F.col("text"))
@@ -262,14 +256,9 @@ def agg04_micro_and_case_ratio(spark, d):
     return rows.groupBy("lang").agg(F.sum("kept").alias("kept"), F.sum("n").alias("n"), (F.sum("kept") / F.sum("n")).alias("micro"), F.count_if(F.col("kept") == F.col("n")).alias("whole"))
 
 
-@query("select lang, list_sort(list(doc_id)) as ids from documents where n_chars < 60 group by lang")
-def agg05_id_lists(spark, d):
-    return t(spark, d, "documents").where("n_chars < 60").groupBy("lang").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-
-
 def _votes(spark, d):
     pick = lambda c, k: F.when(F.pmod(c, F.lit(k)) == 0, "A").when(F.pmod(c, F.lit(k)) == 1, "B").when(F.pmod(c, F.lit(k)) == 2, "tie").otherwise("invalid")
-    return t(spark, d, "documents").select(pick(F.col("doc_id"), 4).alias("a"), pick(F.col("doc_id") + F.length("lang") + F.col("n_chars"), 5).alias("b"))
+    return t(spark, d, "documents").select("doc_id", "source", pick(F.col("doc_id"), 4).alias("a"), pick(F.col("doc_id") + F.length("lang") + F.col("n_chars"), 5).alias("b"))
 
 
 _VOTE = "case {0} % {1} when 0 then 'A' when 1 then 'B' when 2 then 'tie' else 'invalid' end"
@@ -339,7 +328,7 @@ def agg24_paired_bootstrap(spark, d):
     pos = F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id")) - 1
     rows = rows.select(F.col("toxic").cast("string").alias("stratum"), pos.cast("long").alias("case_pos"), "quality", "n_chars")
     pair = F.array(F.struct(F.lit("label").alias("candidate"), F.col("quality").cast("double").alias("score")), F.struct(F.lit("length").alias("candidate"), (F.col("n_chars") > 1000).cast("double").alias("score")))
-    return metrics.paired_bootstrap(rows.select("stratum", "case_pos", F.inline(pair)), draws=10_000, seed=20260916, one_stream=True)
+    return metrics.paired_bootstrap(rows.select("stratum", "case_pos", F.inline(pair)), draws=10_000, seed=20260916)
 
 
 # Windows and ranking
@@ -361,16 +350,6 @@ def win02_group_quota(spark, d):
     return ranking.quota(t(spark, d, "documents").select("source", "doc_id"), ["source"], [h, "doc_id"], 10)
 
 
-@query("select doc_id, source, row_number() over (partition by source order by doc_id) as occurrence from documents")
-def win03_distinct_concept_first(spark, d):
-    return ranking.distinct_first(t(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"])
-
-
-@query("select doc_id, lang, row_number() over (partition by lang order by n_chars desc, doc_id) as turn from documents")
-def win04_round_robin(spark, d):
-    return ranking.round_robin(t(spark, d, "documents"), "lang", [F.desc("n_chars"), "doc_id"]).select("doc_id", "lang", "turn")
-
-
 @query("select i.item_id, n.n_name from (select item_id, (row_number() over (order by item_id) - 1) % 25 as r from benchmark) i join nation n on i.r = n.n_nationkey")
 def win06_cyclic_assignment(spark, d):
     items = ranking.with_positions(t(spark, d, "benchmark").select("item_id"), ["item_id"])
@@ -483,14 +462,14 @@ def str05_ngram_sets(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(text.ngrams(text.tokens(F.col("text")), 3)).cast("long").alias("n_grams")).where("n_grams > 0")
 
 
-@query("select page_id, substr(trim(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '_'), 1, 100) as id from pages")
+@query("select page_id, 'web_' || nullif(trim(regexp_replace(url, '[^A-Za-z0-9_-]+', '_', 'g'), '_'), '') as id from pages")
 def str08_safe_ids(spark, d):
-    return t(spark, d, "pages").select("page_id", text.safe_id(F.col("url")).alias("id"))
+    return t(spark, d, "pages").select("page_id", text.safe_id(F.col("url"), None, F.lit("web")).alias("id"))
 
 
-@query("select page_id, regexp_replace(html, '<[^>]*>', '', 'g') as plain from pages")
+@query("select page_id, regexp_replace('<b>' || html || '</b>', '</?b>', '', 'g') as plain from pages")
 def str11_strip_tags(spark, d):
-    return t(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
+    return t(spark, d, "pages").select("page_id", text.strip_bold(F.concat(F.lit("<b>"), "html", F.lit("</b>"))).alias("plain"))
 
 
 @query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as escaped from pages")
@@ -515,12 +494,3 @@ def hsh01_stable_hashes(spark, d):
     return t(spark, d, "documents").select("doc_id", numbers.stable_hash("source", "lang", F.col("doc_id").cast("string")).alias("h"), F.md5("source").alias("m"))
 
 
-@query("select doc_id, n_chars - (n_chars - 1) % 4 as aligned, greatest(10, least(250, floor(ceil(n_chars / 8) / 6)))::bigint as warmup from documents where n_chars > 0")
-def mth05_aligned_lengths(spark, d):
-    docs = t(spark, d, "documents").where("n_chars > 0")
-    return docs.select("doc_id", numbers.align_frames(F.col("n_chars")).alias("aligned"), numbers.warmup_steps(F.col("n_chars")).cast("long").alias("warmup"))
-
-
-@query("select doc_id, [round_even(i * (n_chars - 1) / 7.0::double, 0)::bigint for i in range(8)] as positions from documents where n_chars > 0")
-def mth03_resample_positions(spark, d):
-    return t(spark, d, "documents").where("n_chars > 0").select("doc_id", numbers.resample_positions(F.col("n_chars"), 8).alias("positions"))

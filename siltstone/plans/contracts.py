@@ -17,29 +17,6 @@ def prj03_struct_override(spark, d):
     return t(spark, d, "documents").select("doc_id", "lang", "source").withColumns({"lang": F.lit("xx"), "version": F.lit(1)})
 
 
-@query("select doc_id, '{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}' as record from documents")
-def prj05_canonical_json(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.to_json(F.struct("doc_id", "n_chars"), {"ignoreNullFields": "false"}).alias("record"))
-
-
-@query("select event_id, case when lower(trim(event_type)) in ('click', 'purchase') then lower(trim(event_type)) else 'combined_tasks' end as subtask from events")
-def prj08_plan_normalisation(spark, d):
-    kind = F.lower(F.trim("event_type"))
-    return t(spark, d, "events").select("event_id", F.when(kind.isin("click", "purchase"), kind).otherwise("combined_tasks").alias("subtask"))
-
-
-@query("select item_id, coalesce(nullif(trim(substr(text, 1, 0)), ''), nullif(trim(text), ''), 'none') as value from benchmark")
-def prj12_first_non_empty(spark, d):
-    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return t(spark, d, "benchmark").select("item_id", F.coalesce(filled(F.substring("text", 1, 0)), filled(F.col("text")), F.lit("none")).alias("value"))
-
-
-@query("select page_id, case when url like '%logo%' or html not like '%logo%' then url else url || ' logo' end as query from pages")
-def prj13_refined_query(spark, d):
-    keep = F.col("url").contains("logo") | ~F.col("html").contains("logo")
-    return t(spark, d, "pages").select("page_id", F.when(keep, F.col("url")).otherwise(F.concat("url", F.lit(" logo"))).alias("query"))
-
-
 @query("select d.doc_id, case when l.quality = 1 then 'trusted' else d.source end as source from documents d left join labels l on d.doc_id = l.doc_id")
 def prj14_override_by_flag(spark, d):
     labels = t(spark, d, "labels").select("doc_id", "quality")
@@ -55,54 +32,16 @@ def prj24_last_matching(spark, d):
 # Filters and validators
 
 
-@query("""
-select conv_id, case when min(turn) <> 0 then 'start' when count(distinct turn) <> count(*) then 'repeated turn'
-  when count_if(role not in ('system', 'user', 'assistant')) > 0 then 'role' when count_if(trim(coalesce(text, '')) = '') > 0 then 'blank' else 'ok' end as verdict
-from conversations group by conv_id
-""")
-def flt04_chat_contract(spark, d):
-    rules = [
-        ("start", F.min("turn") != 0),
-        ("repeated turn", F.count_distinct("turn") != F.count("*")),
-        ("role", F.count_if(~F.col("role").isin("system", "user", "assistant")) > 0),
-        ("blank", F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "") > 0),
-    ]
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.coalesce(relations.first_reason(rules), F.lit("ok")).alias("verdict"))
-
-
 @query(f"select doc_id from documents where contains(' ' || array_to_string({_WORDS.format('text')}, ' ') || ' ', ' of the ')")
 def flt09_phrase_containment(spark, d):
     return t(spark, d, "documents").where(text.contains_phrase(text.normalize(F.col("text")), F.lit("of the"))).select("doc_id")
 
 
-@query(f"select item_id, contains(n, 'er') or contains(n, 'ing') as retained from (select item_id, array_to_string({_WORDS.format('text')}, ' ') as n from benchmark)")
-def flt11_constraint_retained(spark, d):
-    n = text.normalize(F.col("text"))
-    return t(spark, d, "benchmark").select("item_id", (n.contains("er") | n.contains("ing")).alias("retained"))
-
-
-@query("select w.id, d.doc_id is not null as known from (select unnest(range(0, 4000, 37)) as id) w left join documents d on d.doc_id = w.id")
-def flt18_id_list(spark, d):
-    wanted = spark.range(0, 4000, 37)
-    found = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(True).alias("known"))
-    return wanted.join(found, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
-
-
 @query("select event_type, count(*) as n from events where props is not null and json_extract(props, '$.error') is null group by event_type")
 def flt22_error_rows(spark, d):
     return t(spark, d, "events").where(F.col("props").isNotNull() & F.get_json_object("props", "$.error").isNull()).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("select page_id, regexp_matches(lower(url), '\\.(png|jpe?g|webp|gif)$') as looks_like_image, octet_length(encode(html)) >= 1024 as large_enough from pages")
-def flt23_candidate_shape(spark, d):
-    return t(spark, d, "pages").select("page_id", F.rlike(F.lower("url"), F.lit(r"\.(png|jpe?g|webp|gif)$")).alias("looks_like_image"), (F.octet_length("html") >= 1024).alias("large_enough"))
-
-
-@query("select doc_id from documents where lang is not null or source is not null and source <> ''")
-def flt27_any_condition(spark, d):
-    return t(spark, d, "documents").where("lang is not null or (source is not null and source <> '')").select("doc_id")
-
-
 # Joins
 
 
@@ -124,19 +63,6 @@ def join19_semi(spark, d):
     return t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi")
 
 
-@query("select n_name, style, palette from nation, (values ('plain'), ('bold')) s(style), (values ('warm'), ('cold'), ('grey')) p(palette)")
-def join22_catalog_product(spark, d):
-    many = lambda name, *xs: F.explode(F.array(*map(F.lit, xs))).alias(name)
-    return t(spark, d, "nation").select("n_name", many("style", "plain", "bold")).select("*", many("palette", "warm", "cold", "grey"))
-
-
-@query("select o_orderkey, n from (select o_orderkey, (o_orderstatus = 'F')::int + (o_totalprice > 100000)::int + (o_orderkey % 7 = 0)::int as n from orders) where n <> 1")
-def join25_exactly_one_place(spark, d):
-    places = [F.col("o_orderstatus") == "F", F.col("o_totalprice") > 100000, F.col("o_orderkey") % 7 == 0]
-    n = sum((p.cast("int") for p in places[1:]), places[0].cast("int"))
-    return t(spark, d, "orders").select("o_orderkey", n.alias("n")).where("n <> 1")
-
-
 # Aggregations
 
 
@@ -146,13 +72,6 @@ def agg03_ratio_with_default(spark, d):
     return joined.groupBy("lang").agg(numbers.ratio(F.sum("quality"), F.count("quality"), 1.0).alias("retention"))
 
 
-@query("select n, total, case when n = 0 then null else total / n end::double as mean from (select count(q) as n, sum(case when q is null or x is null then null else q + x end)::bigint as total from (select quality as q, toxic as x from labels))")
-def agg11_rubric_rollup(spark, d):
-    """A row's total stands only if every axis does."""
-    s = t(spark, d, "labels").agg(F.count("quality").alias("n"), F.sum(F.col("quality") + F.col("toxic")).alias("total"))
-    return s.withColumn("mean", numbers.ratio(F.col("total"), F.col("n"), None))
-
-
 @query("select source, a, b, case when a > b then 'A' when a < b then 'B' else 'tie' end as label from (select source, count_if(lang = 'en') as a, count_if(lang = 'fr') as b from documents group by source)")
 def agg12_label_by_comparison(spark, d):
     s = t(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("a"), F.count_if(F.col("lang") == "fr").alias("b"))
@@ -171,34 +90,9 @@ def agg23_uniqueness_contract(spark, d):
     return t(spark, d, "documents").agg((n == F.count_distinct("doc_id")).alias("ids_unique"), (n == F.count_distinct("text")).alias("texts_unique"), F.count_distinct("lang").alias("n_langs"))
 
 
-@query("select source, 0.5 * (count_if(lang = 'en') / count(*)::double) + 0.5 * (count_if(n_chars > 500) / count(*)::double) as utility from documents group by source")
-def agg25_utility(spark, d):
-    share = lambda c: F.lit(0.5) * (F.count_if(c) / F.count("*"))
-    return t(spark, d, "documents").groupBy("source").agg((share(F.col("lang") == "en") + share(F.col("n_chars") > 500)).alias("utility"))
-
-
-@query("select e.lang, e.expected, coalesce(n, 0) as n, coalesce(n, 0) = e.expected as passed from (values ('en', 400), ('de', 200), ('zz', 0)) e(lang, expected) left join (select lang, count(*) as n from documents group by lang) c on c.lang = e.lang")
-def agg31_expected_counts(spark, d):
-    expected = spark.createDataFrame([("en", 400), ("de", 200), ("zz", 0)], "lang string, expected int")
-    counts = t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0).cast("long"))
-    return expected.join(counts, "lang", "left").select("lang", "expected", n.alias("n"), (n == F.col("expected")).alias("passed"))
-
-
-@query("select count(distinct conv_id) as n, min(k) as low, max(k) as high, count(distinct k) = 1 as same from (select conv_id, count(*) as k from conversations group by conv_id)")
-def agg33_invariants(spark, d):
-    k = t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("k"))
-    return k.agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), (F.count_distinct("k") == 1).alias("same"))
-
-
 # Windows and ranking
 
 
-@query("select ord, 100 // 7 + case when ord < 100 % 7 then 1 else 0 end as quota from (select unnest(range(7)) as ord)")
-def win09_balanced_counts(spark, d):
-    return spark.range(7).select(F.col("id").alias("ord"), (F.lit(100 // 7).cast("long") + (F.col("id") < 100 % 7).cast("long")).alias("quota"))
-
-
 @query("select source, lang, doc_id from (select *, row_number() over (partition by source, lang order by sha256('m' || chr(31) || doc_id::varchar), doc_id) as k from documents) where k <= 32")
 def win10_matrix_selection(spark, d):
     h = numbers.stable_hash(F.lit("m"), F.col("doc_id").cast("string"))
@@ -211,11 +105,6 @@ def win15_rotating_template(spark, d):
     return items.selectExpr("item_id", "i % 6 as concept", "(i % 6 + i div 6) % 4 as template")
 
 
-@query("select i, (i // 5 + i) % 3 as phase from (select unnest(range(60)) as i)")
-def win17_cyclic_phase(spark, d):
-    return spark.range(60).selectExpr("id as i", "(id div 5 + id) % 3 as phase")
-
-
 @query("select s.i, b.item_id from (select row_number() over (order by item_id) - 1 as p, item_id from benchmark) b, (select count(*) as n from benchmark), (select unnest(range(3)) as r), lateral (select r * n + p as i) s")
 def win20_wrapped_repeat(spark, d):
     bench = t(spark, d, "benchmark").select("item_id")
@@ -249,15 +138,6 @@ def set06_group_overlap(spark, d):
     return both.agg(F.count("*").alias("shared"), (F.count("*") == 0).alias("disjoint"))
 
 
-@query("""
-with n as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark)
-select item_id, len(list_filter(w, lambda x: x in ('the', 'of', 'and'))) as shared, len(list_filter(w, lambda x: x not in ('the', 'of', 'and'))) as others from n
-""")
-def set08_token_sets(spark, d):
-    w, common = text.ascii_token_set(F.col("text")), F.array(F.lit("the"), F.lit("of"), F.lit("and"))
-    return t(spark, d, "benchmark").select("item_id", F.size(F.array_intersect(w, common)).cast("long").alias("shared"), F.size(F.array_except(w, common)).cast("long").alias("others"))
-
-
 # Text, JSON, numbers, arrays and maps
 
 
@@ -266,41 +146,6 @@ def str09_collapse(spark, d):
     return t(spark, d, "benchmark").select("item_id", text.collapse(F.col("text")).alias("flat"))
 
 
-@query("select n_nationkey, case when n_name = 'CHINA' then 'CHINAS' else n_name || 's' end as plural from nation where not contains(n_name, ' ')")
-def str10_pluralize(spark, d):
-    return t(spark, d, "nation").where(~F.col("n_name").contains(" ")).select("n_nationkey", text.pluralize(F.col("n_name"), {"CHINA": "CHINAS"}).alias("plural"))
-
-
-@query("select event_id, regexp_extract(p, '(?s)(\\{.*\\})', 1) as inner_json from (select event_id, 'answer: ' || props || ' end' as p from events where props is not null)")
-def json04_embedded_object(spark, d):
-    wrapped = F.concat(F.lit("answer: "), "props", F.lit(" end"))
-    return t(spark, d, "events").where("props is not null").select("event_id", text.strip_fences(wrapped).alias("inner_json"))
-
-
-@query("select doc_id, [n_chars, n_chars + 1] as scores, n_chars + 0.5::double as mean from documents")
-def json07_numbers_after_colons(spark, d):
-    said = F.concat(F.lit("clarity: "), F.col("n_chars").cast("string"), F.lit("\ntruth:"), (F.col("n_chars") + 1).cast("string"))
-    numbers_said = text.numbers_after_colons(said)
-    return t(spark, d, "documents").select("doc_id", F.transform(numbers_said, lambda x: x.cast("long")).alias("scores"), F.aggregate(numbers_said, F.lit(0.0), lambda a, x: a + x, lambda a: a / 2).alias("mean"))
-
-
-@query("select doc_id, lower(trim(coalesce(source, ''))) not in ('', 'false', 'none', 'null', 'no') as enabled from documents")
-def json08_boolish(spark, d):
-    return t(spark, d, "documents").select("doc_id", (~text.is_false_text(F.col("source"))).alias("enabled"))
-
-
-@query("select doc_id, least(4, doc_id * 4 // t + 1) as quarter from documents, (select max(doc_id) + 1 as t from documents)")
-def mth07_quarters(spark, d):
-    docs = t(spark, d, "documents").select("doc_id")
-    total = docs.agg((F.max("doc_id") + 1).alias("t"))
-    return docs.join(F.broadcast(total)).select("doc_id", F.least(F.lit(4).cast("long"), F.floor(F.col("doc_id") * 4 / F.col("t")) + 1).alias("quarter"))
-
-
-@query("select i, i / 8.0::double as x, 'lambda_' || lpad((i * 125)::varchar, 4, '0') as slug from (select unnest(range(9)) as i)")
-def mth10_linspace_slugs(spark, d):
-    return spark.range(9).select(F.col("id").alias("i"), (F.col("id") / 8.0).alias("x"), F.concat(F.lit("lambda_"), F.lpad((F.col("id") * 125).cast("string"), 4, "0")).alias("slug"))
-
-
 @query("select o_orderkey, len(list(l_linenumber)) as n, list_sort(list(l_linenumber))[1:3] as head, list_reverse_sort(list(l_linenumber)) as back from lineitem join orders on l_orderkey = o_orderkey group by o_orderkey")
 def arr01_array_operations(spark, d):
     lines = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").join(t(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
@@ -322,12 +167,3 @@ def map01_map_lookup(spark, d):
     return m.select("source", get("en").alias("en"), get("zz").alias("zz"), F.size("m").cast("long").alias("n_keys"))
 
 
-@query("select user_id, event_id, count(*) over (partition by user_id order by event_id) as running from events")
-def agg28_running_totals(spark, d):
-    return t(spark, d, "events").select("user_id", "event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("event_id")).alias("running"))
-
-
-@query("select name, value, operator, bound, passed from (select 'mean' as name, avg(quality) as value, '>' as operator, 0.5::double as bound, avg(quality) > 0.5 as passed from labels)")
-def int03_recomputed_gate(spark, d):
-    value = t(spark, d, "labels").agg(F.avg("quality").alias("value")).select(F.lit("mean").alias("name"), "value")
-    return metrics.gates(value, [("mean", ">", 0.5)])

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.exact import lenient_object
+from siltstone.sources.shared import fixed
+
 
 def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a trusted file: blank lines are skipped, a bad line fails the read."""
@@ -19,11 +22,10 @@ def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def collecting_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and bad lines as error texts."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.withColumn("_row", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    good = parsed.where("_row._bad is null").select("_row.*").drop("_bad")
-    return good, parsed.where("_row._bad is not null").select(F.concat(F.lit("bad JSON: "), "value").alias("error"))
+    """Good rows, and bad lines as error texts. A line is good if Python's parser reads one object from all of it."""
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_object", lenient_object("value"))
+    good = lines.where("_object is not null").select(F.from_json("_object", schema).alias("_row")).select("_row.*")
+    return good, lines.where("_object is null").select(F.concat(F.lit("bad JSON: "), "value").alias("error"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -109,6 +111,44 @@ def tar_members(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(scan, "shard string, key string, suffix string, offset long, size long, content binary")
 
 
+def tar_index(spark: SparkSession, path: str) -> DataFrame:
+    """shard, name, offset, size of the files of tar shards, without their contents."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, raw in zip(pdf["path"], pdf["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
+                    rows = [(p, m.name, m.offset_data, m.size) for m in tar if m.isfile()]
+                    yield pd.DataFrame(rows, columns=["shard", "name", "offset", "size"])
+
+    return files.mapInPandas(scan, "shard string, name string, offset long, size long")
+
+
+def read_members(index: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """wanted (key, name) with content: only the bytes of the wanted members are read, shard by shard, each shard opened once a task."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        opened = {}
+        for pdf in batches:
+            out = []
+            for shard, offset, size in zip(pdf["shard"], pdf["offset"], pdf["size"], strict=True):
+                if shard not in opened:
+                    system, inside = fs.FileSystem.from_uri(shard)
+                    opened[shard] = system.open_input_file(inside)
+                opened[shard].seek(int(offset))
+                out.append(opened[shard].read(int(size)))
+            yield pd.DataFrame({key: pdf[key], "name": pdf["name"], "content": out})
+        for f in opened.values():
+            f.close()
+
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = wanted.join(index, "name").repartition(n, "shard").sortWithinPartitions("shard", "offset")
+    return found.select(key, "name", "shard", "offset", "size").mapInPandas(read, f"{key} {wanted.schema[key].dataType.simpleString()}, name string, content binary")
+
+
 def paired_members(members: DataFrame, needed: list[str]) -> DataFrame:
     """Members whose key has all the needed suffixes in its shard; others are dropped."""
     whole = members.groupBy("shard", "key").agg(F.collect_set("suffix").alias("_s")).where(F.size(F.array_intersect("_s", F.array(*map(F.lit, needed)))) == len(needed))
@@ -149,9 +189,10 @@ def write_jsonl(df: DataFrame, path: str, create_only: bool = False) -> None:
 
 def write_routed(df: DataFrame, accepted: Column, good: str, bad: str) -> None:
     """Append rows to one of two places, by a test; null counts as rejected."""
-    ok = F.coalesce(accepted, F.lit(False))
-    df.where(ok).write.mode("append").json(good)
-    df.where(~ok).write.mode("append").json(bad)
+    # Written once, so a step that is not deterministic cannot send a row to both places or to none.
+    done = fixed(df.withColumn("_good", F.coalesce(accepted, F.lit(False))), "routed")
+    done.where("_good").drop("_good").write.mode("append").json(good)
+    done.where("not _good").drop("_good").write.mode("append").json(bad)
 
 
 def with_average_row(df: DataFrame, label: str, values: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import fixed
+
 
 def new_rows(stream: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been seen; the state lies in the query's checkpoint."""
@@ -26,10 +28,10 @@ def run_routed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], accept
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        done = work(df)
-        ok = F.coalesce(accepted, F.lit(False))
-        for rows, place in ((done.where(ok), good), (done.where(~ok), bad)):
-            rows.write.mode("overwrite").parquet(f"{place}/batch={number}")
+        # The work is done once and written; both routes are read from that.
+        done = fixed(work(df).withColumn("_good", F.coalesce(accepted, F.lit(False))), "routed")
+        for test, place in (("_good", good), ("not _good", bad)):
+            done.where(test).drop("_good").write.mode("overwrite").parquet(f"{place}/batch={number}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -55,7 +55,7 @@ def difference(spark, db, sf_dir: str, query, sql: str) -> str | None:
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from siltstone.plans import catalog, contracts  # noqa: F401
+    from siltstone.plans import catalog, contracts, files, judging, more, planner, selection  # noqa: F401
 
     spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

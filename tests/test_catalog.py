@@ -1,6 +1,6 @@
 import pytest
 
-from siltstone.plans import catalog, contracts  # noqa: F401
+from siltstone.plans import catalog, contracts, files, judging, more, planner, selection  # noqa: F401
 from tests.compare import database, difference
 
 SF = "/root/testdata/sf0.001"

@@ -62,9 +62,7 @@ def test_selection_and_bootstrap(spark):
     got = metrics.paired_bootstrap(scores, 100, 17).first().standard_error
     assert got > 0 and got == metrics.paired_bootstrap(scores, 100, 17).first().standard_error
     value = {(r.stratum, r.case_pos): r.score for r in scores.collect()}
-    draws = [[(s, p) for _, s, p in metrics.bootstrap_indices({"p": 3, "qq": 2}, 1, 17 * 1_000_003 + d)] for d in range(100)]
-    means = [statistics.mean(statistics.mean(value[x] for x in draw if x[0] == s) for s in ("p", "qq")) for draw in draws]
-    assert got == pytest.approx(statistics.stdev(means))
+    assert got == pytest.approx(plain_bootstrap({"x": {"p": [value["p", i] for i in range(3)], "qq": [value["qq", i] for i in range(2)]}}, 100, 17)["x"])
 
 
 def plain_bootstrap(strata, draws, seed):
@@ -86,7 +84,7 @@ def test_bootstrap_over_one_stream(spark, monkeypatch):
     want = plain_bootstrap(strata, 70, 9)
     for bound in (metrics.STREAM_SCORES, 1):
         monkeypatch.setattr(metrics, "STREAM_SCORES", bound)
-        got = {r.candidate: r.standard_error for r in metrics.paired_bootstrap(scores, 70, 9, one_stream=True).collect()}
+        got = {r.candidate: r.standard_error for r in metrics.paired_bootstrap(scores, 70, 9).collect()}
         assert got == pytest.approx(want, rel=1e-9)
 
 
@@ -124,7 +122,7 @@ def test_relations(spark):
     with pytest.raises(ValueError):
         relations.exclude_rules("k")
     todo = spark.createDataFrame([(1, "a", "p"), (2, "b", "q"), (3, "c", "r")], "idx int, v string, prompt string")
-    done = spark.createDataFrame([(1, "a", "p", 0, 5), (2, "changed", "q", 1, 6), (9, "c", "r", 2, 7), (1, "a", "p", 3, 8)], "idx int, v string, prompt string, pos int, score int")
+    done = spark.createDataFrame([(1, "a", "p", 0, 5), (2, "changed", "q", 1, 6), (9, "c", "r", 2, 6), (None, "c", "r", 2, 7), (1, "a", "p", 3, 8), (1, "new", "p", 4, 9)], "idx int, v string, prompt string, pos int, score int")
     got = relations.resume_by_identity(todo, done, "idx", ["v", "prompt"], "pos", "score")
     assert {r.idx: r.score for r in got.collect()} == {1: 8, 2: None, 3: 7}
     left = spark.createDataFrame([(1, "a b c d e", "u v w x")], "l int, p string, q string")
@@ -140,7 +138,8 @@ def test_strict_and_resumable_lines(spark, tmp_path):
     _, bad = records.resumable_jsonl(spark, str(f))
     assert sorted(r.line for r in bad.collect()) == [3, 4, 5, 6]
     good, errors = records.collecting_jsonl(spark, str(f), "a int")
-    assert errors.count() >= 1 and good.count() >= 2
+    # Of a key that stands twice the last value counts here, and NaN is read; a list, text after the end and a cut line are errors.
+    assert sorted(str(r.a) for r in good.collect()) == ["1", "2", "None", "None"] and errors.count() == 3
 
 
 def test_documents_tables_and_tars(spark, tmp_path):
