@@ -19,21 +19,25 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 @cache
-def _folds() -> tuple[str, str, dict[str, str]]:
-    """What full case folding does beyond lower case: letters for letters, and letters for several."""
+def _folds() -> tuple[str, str, dict[str, str], str]:
+    """What full case folding does beyond lower case, but for sharp s: letters for letters, letters for several, and a character class that holds them all."""
     pairs = {chr(c).lower(): chr(c).casefold() for c in range(0x110000) if chr(c).lower() != chr(c).casefold()}
     # Java writes the last sigma of a word in its own form.
     single = {a: b for a, b in pairs.items() if len(a) == len(b) == 1} | {"\u03c2": "\u03c3"}
-    return "".join(single), "".join(single.values()), {a: b for a, b in pairs.items() if len(b) > 1}
+    many = {a: b for a, b in pairs.items() if len(b) > 1 and a != "\u00df"}
+    # A class of a few ranges with some other letters in them is much faster than one of many letters.
+    places = sorted(map(ord, "".join([*single, *many])))
+    ends = [i for i in range(1, len(places)) if places[i] - places[i - 1] > 8]
+    ranges = [(places[i], places[j - 1]) for i, j in zip([0, *ends], [*ends, len(places)], strict=True)]
+    return "".join(single), "".join(single.values()), many, "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in ranges)
 
 
 def casefold(text: Column) -> Column:
     """Full case folding, as Python's str.casefold: sharp s becomes ss, for example."""
-    one, other, many = _folds()
-    lower = F.translate(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), one, other)
-    rare = {a: b for a, b in many.items() if a != "\u00df"}
-    spelled = lambda x: reduce(lambda c, k: F.replace(c, F.lit(k), F.lit(rare[k])), rare, x)
-    return bound(lower, lambda x: F.when(x.rlike("[" + "".join(rare) + "]"), spelled(x)).otherwise(x))
+    one, other, many, held = _folds()
+    spelled = lambda x: reduce(lambda c, k: F.replace(c, F.lit(k), F.lit(many[k])), many, F.translate(x, one, other))
+    # Most texts hold no such letter but sharp s: looking for one costs less than replacing them all.
+    return bound(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), lambda x: F.when(x.rlike(f"[{held}]"), spelled(x)).otherwise(x))
 
 
 def tokens(text: Column) -> Column:
