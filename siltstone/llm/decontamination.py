@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.kernels import RangeHash, buffer, frugal, mix, shingles, words
-from siltstone.llm.storage import written
+from siltstone.llm.storage import set_aside, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -315,8 +315,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that hold no benchmark item. Rows that share a contaminated id and text go together."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_key": F.xxhash64("text")})
+    held, restored = set_aside(docs)
     # The row's own key stands in for its id during the search.
-    marks = keyed.select(F.xxhash64("_id", "_key").alias("doc_id"), "text")
-    bad = contaminated(marks, benchmark, similarity).select(F.col("doc_id").alias("_mark")).distinct()
-    return keyed.withColumn("_mark", F.xxhash64("_id", "_key")).join(bad, "_mark", "left_anti").select(docs.columns)
+    keyed = held.withColumn("_mark", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64("text")))
+    bad = contaminated(keyed.select(F.col("_mark").alias("doc_id"), "text"), benchmark, similarity).select(F.col("doc_id").alias("_mark")).distinct()
+    return restored(keyed.join(bad, "_mark", "left_anti"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.kernels import RangeHash, Words, _blank, buffer, frugal, mix, words
-from siltstone.llm.storage import written
+from siltstone.llm.storage import set_aside, written
 
 MIN_LINES = 2
 MIN_WORDS = 12
@@ -317,3 +317,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c) for c in counts)], names=[*names, *added])
 
     return joined.mapInArrow(frugal(run), docs.withColumns({c: F.lit(0).cast("long") for c in added}).schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the columns it has, and the text that is left."""
+    held, restored = set_aside(docs)
+    return restored(line_dedup(held))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.kernels import RangeHash, buffer, distinct_counts, frugal, mix, shingles, words
-from siltstone.llm.storage import written
+from siltstone.llm.storage import set_aside, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -286,11 +286,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **how: int)
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **how: int) -> DataFrame:
     """One row of docs for each class. Of rows that share id and text that with the lowest hash of all columns stays."""
-    names = {k: "_" + k for k in _keys()}
-    first = text_classes(docs.select("doc_id", "text"), similarity, **how).select("class_id", "r1", "r2").distinct().toDF(*names.values())
-    kept = docs.withColumns({names[k]: v for k, v in _keys().items()}).join(first, list(names.values()), "left_semi")
-    copies = docs.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
+    held, restored = set_aside(docs)
+    first = text_classes(held.select("doc_id", "text"), similarity, **how).select(F.col("class_id").alias("_id"), F.col("r1").alias("_k1"), F.col("r2").alias("_k2")).distinct()
+    kept = held.withColumns(_keys()).join(first, _KEYS, "left_semi")
+    copies = held.groupBy("doc_id", F.xxhash64("text")).count().where("count > 1")
     if copies.limit(1).count():
-        one = kept.groupBy(*names.values()).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
-        return one.select("_row.*")
-    return kept.select(docs.columns)
+        kept = kept.groupBy(*_KEYS).agg(F.min_by(F.struct(*held.columns), F.xxhash64(*held.columns)).alias("_row")).select("_row.*")
+    return restored(kept)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.storage import set_aside
+
 #: The blanks between words.
 BLANKS = "\t\n\x0b\x0c\r "
 _BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -171,5 +173,6 @@ def kept_documents(docs: DataFrame, trusted: DataFrame, **how) -> DataFrame:
     The verdict passes through a generator of one row. A filter stays above a generator; it would move below the
     projection that measures a text, and measure it anew for every column that the verdict names.
     """
-    judged = quality(docs, trusted, **how).withColumn("_kept", F.explode(F.array("kept")))
-    return judged.where("_kept").select(docs.columns)
+    held, restored = set_aside(docs)
+    judged = quality(held, trusted, **how).withColumn("_kept", F.explode(F.array("kept")))
+    return restored(judged.where("_kept"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -61,6 +63,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """doc_id, text and all other columns in one, so that none can clash with an operator's own; and what brings them back as they were."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(0)
+    one = lambda c: F.col("_rest").getField(c).alias(c) if c in rest else F.col(c)
+    return docs.select("doc_id", "text", held.alias("_rest")), lambda df: df.select(*map(one, docs.columns))
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path in it, for executors that write or range-read single files.
 

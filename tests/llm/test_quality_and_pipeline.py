@@ -117,3 +117,33 @@ def test_pipeline_keeps_clean_documents_once_and_packs_them(spark, tmp_path):
     # The copy is emptied by line removal and nothing else is empty, so it stays as an empty document of its own.
     assert {r.doc_id for r in got} == want and {i: t for i, t in texts.items() if t} == {i: t for i, t in clean if i in want}
     assert packing.CAPACITY >= max(r.offset + r.length for r in got)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    rnd = random.Random(10)
+    text = lambda: ". ".join(" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(5)) + "."
+    texts = [text() for _ in range(8)]
+    # Sentences of two documents in turn: no two neighbours stand together elsewhere.
+    mixed = " ".join(x + "." for pair in zip(texts[1].split(". "), texts[2].split(". "), strict=True) for x in pair)
+    # Nulls in every column, rows that stand twice, ties, a very long text, and columns named like those of the operators.
+    rows = [(i, t, None, f"s{i}", None, 1, "b") for i, t in enumerate(texts)] + [(0, texts[0], None, "s0", None, 1, "b"), (0, texts[0], "zz", "other", 3, None, None), (None, mixed, None, None, None, None, None)]
+    rows += [(50, None, None, None, None, None, None), (51, "", "en", "s", 0, 1, "c"), (52, " \n", "en", "s", 2, 1, "c"), (53, " ".join(text() for _ in range(300)), "en", "s", 9, 1, "c")]
+    kinds = "doc_id long, text string, lang string, found string, n_lines int, _id int, bands string"
+    docs = spark.createDataFrame(rows, kinds)
+    folder = tmp_path / "odd"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([*((i, 1, None) for i in (*range(8), 53)), (None, None, 1), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (2, texts[3])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(folder))
+        assert out.columns == docs.columns, name
+    left = [(r.doc_id, bool(r.text)) for r in out.collect()]
+    assert {i for i, t in left if t} == {0, 1, 2, 4, 5, 6, 7, 53, None} and all(t for _, t in left)
+    assert all(n == 1 for n in {i: sum(x == (i, True) for x in left) for i, t in left if t}.values())
+    got = corpus_pipeline.run(spark, str(folder)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in left}
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
