@@ -97,6 +97,14 @@ def src07_json_map(spark, d):
     return documents.editing_cases(records.json_map_rows(spark, path, "prompt string, video string"), "prompt", "video", "/bench/clips", ids)
 
 
+@query("select item_id, text, length(text)::int as n from benchmark")
+def src08_metadata_csv(spark, d):
+    """Metadata with quoted line breaks, read by an explicit schema."""
+    path = folder(spark, "meta")
+    t(spark, d, "benchmark").select("item_id", "text", F.length("text").alias("n")).write.option("header", True).option("escape", '"').csv(path)
+    return records.metadata_csv(spark, path, "item_id long, text string, n int")
+
+
 @query("select item_id, row_number() over (order by item_id) - 1 as idx, '/data/' || item_id || '.mp4' as media from benchmark")
 def src09_indexed_csv(spark, d):
     rows = t(spark, d, "benchmark").orderBy("item_id").coalesce(1)
@@ -158,6 +166,15 @@ def src14_ranged_members(spark, d):
     return read.select("item_id", F.length(F.col("content").cast("string")).alias("n"))
 
 
+@query("select case when n_nationkey % 3 = 0 then 'unsafe_path' when n_nationkey % 3 = 1 then 'format' else 'duplicate_path' end as rule, case when n_nationkey % 3 = 0 then '../' || n_name when n_nationkey % 3 = 1 then 'no digest ' || n_name else n_name end as key from nation")
+def src20_manifest_faults(spark, d):
+    """Lines of a manifest that are no such lines, paths that leave the bundle, and paths that stand twice."""
+    k, digest = F.col("n_nationkey") % 3, F.lit("0" * 64 + "  ")
+    good = F.concat(digest, "n_name")
+    line = F.when(k == 0, F.concat(digest, F.lit("../"), "n_name")).when(k == 1, F.concat(F.lit("no digest "), "n_name")).otherwise(F.concat(good, F.lit("\n"), good))
+    return records.read_manifest(spark, _lines(t(spark, d, "nation"), "faults", line))[1]
+
+
 def _small_files(spark, d) -> str:
     """For each nation a media file, for most a prompt beside it; and cached tensors in a folder of their own."""
     root = folder(spark, "files")

@@ -165,6 +165,21 @@ def prj29_resolved_paths(spark, d):
     return good.select("path", F.col("at").alias("at_path"), none.cast("long").alias("n")).unionByName(bad.select("path", none.cast("string").alias("at_path"), "n"))
 
 
+@query("select doc_id, '{\"source\":\"' || source || '\",\"plan\":{\"lang\":\"' || lang || '\",\"mask\":null},\"n\":[' || n_chars || ',1]}' as record from documents")
+def prj05_compact_json(spark, d):
+    """Nested records in compact JSON, in the order of their fields and with nulls."""
+    plan = F.struct("lang", F.lit(None).cast("string").alias("mask"))
+    return t(spark, d, "documents").select("doc_id", F.to_json(F.struct("source", plan.alias("plan"), F.array("n_chars", F.lit(1).cast("long")).alias("n")), {"ignoreNullFields": "false"}).alias("record"))
+
+
+@query("select p_partkey, regexp_full_match(lower(p_brand), 'brand#.+?1.+?') or lower(p_brand) = 'brand#2' as matches from part")
+def flt13_signature_match(spark, d):
+    """Does a text match one of two signatures, of which one has slots?"""
+    brand = F.lower("p_brand")
+    tests = [F.rlike(brand, text.signature_pattern(F.lit(s))) for s in ("brand#__slot__1__slot__", "brand#2")]
+    return t(spark, d, "part").select("p_partkey", (tests[0] | tests[1]).alias("matches"))
+
+
 # Filters and predicates
 
 
