@@ -421,11 +421,12 @@ def mth08_warmup_steps(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(numbers.warmup_steps(F.sum("n_chars")).cast("long").alias("warmup"))
 
 
-@query("select o_orderpriority, round_even(favg(o_totalprice), 4) as mean, var_samp(o_totalprice) as variance from orders group by o_orderpriority")
+@query("select o_orderpriority, round_even(favg(o_totalprice / 1000), 6) as mean, round_even(var_samp(o_totalprice / 1000), 6) as variance from orders group by o_orderpriority")
 def mth09_accurate_means(spark, d):
     """Means of correctly rounded sums, and sample variances. A group's values meet in one task: for score vectors, not for corpora."""
-    orders = t(spark, d, "orders").groupBy("o_orderpriority")
-    return orders.agg(fsum_mean("o_totalprice").alias("m")).select("o_orderpriority", py_round(F.col("m"), 4).alias("mean")).join(orders.agg(F.var_samp("o_totalprice").alias("variance")), "o_orderpriority")
+    orders = t(spark, d, "orders").select("o_orderpriority", (F.col("o_totalprice") / 1000).alias("x")).groupBy("o_orderpriority")
+    both = orders.agg(fsum_mean("x").alias("m")).join(orders.agg(F.var_samp("x").alias("v")), "o_orderpriority")
+    return both.select("o_orderpriority", py_round(F.col("m"), 6).alias("mean"), py_round(F.col("v"), 6).alias("variance"))
 
 
 @query("select n_nationkey, n_nationkey / 24.0::double as weight, 'lambda_' || lpad(round_even(n_nationkey / 24.0::double * 1000, 0)::int::varchar, 4, '0') as slug from nation")
