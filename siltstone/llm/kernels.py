@@ -83,6 +83,25 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
+_lower = np.arange(256, dtype=np.uint8)
+_lower[0x41:0x5B] += 0x20
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z, and nothing else, in lower case."""
+    return _lower[raw]
+
+
+def row_slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have so many bytes at most; a longer text is alone."""
+    _, offsets = buffer(batch.column(text))
+    a = 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most_bytes, "right")) - 1)
+        yield batch.slice(a, z - a)
+        a = z
+
+
 class RangeHash:
     """Hashes of ranges of a sequence of 64-bit codes; equal ranges have equal hashes wherever they stand."""
 
@@ -109,8 +128,10 @@ class Words:
     first: np.ndarray
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~_blank[raw]
+def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> Words:
+    """Words of all texts; inside marks the bytes that belong to words, where these are not just what stands between blanks."""
+    if inside is None:
+        inside = ~_blank[raw]
     before = np.empty(len(raw), bool)
     before[:1] = False
     before[1:] = inside[:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, line_dedup, near_dup, packing, sharding, token_counts, token_files, toxicity, warc
+from siltstone.llm import decontamination, line_dedup, near_dup, packing, resampling, sharding, token_counts, token_files, toxicity, warc
 from siltstone.llm.quality import quality
 from siltstone.llm.storage import new_folder, written
 
@@ -95,6 +95,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighted towards the benchmark's texts, and the ranks of the 5 % that are drawn."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -106,7 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_resampling": op11_resampling,
 }
 
-#: None of the ten can be written in SQL: they hash, tokenise, train, draw or write files. Tests hold them against brute force.
+#: None of these can be written in SQL: they hash, tokenise, train, draw or write files. Tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
