@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, line_dedup, near_dup, packing, resampling, sharding, token_counts, token_files, toxicity, warc
+from siltstone.llm import decontamination, line_dedup, near_dup, packing, resampling, sharding, simhash, token_counts, token_files, toxicity, warc
 from siltstone.llm.quality import quality
 from siltstone.llm.storage import new_folder, written
 
@@ -100,6 +100,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the component that links of 4 bits at most put it in."""
+    return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
     "op11_resampling": op11_resampling,
+    "op13_simhash": op13_simhash,
 }
 
 #: None of these can be written in SQL: they hash, tokenise, train, draw or write files. Tests hold them against brute force.
