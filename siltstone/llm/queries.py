@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, line_dedup, near_dup, packing, resampling, sharding, simhash, token_counts, token_files, toxicity, warc
+from siltstone.llm import codebooks, decontamination, line_dedup, near_dup, packing, resampling, sharding, simhash, token_counts, token_files, toxicity, warc
 from siltstone.llm.quality import quality
 from siltstone.llm.storage import new_folder, written
 
@@ -100,6 +100,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of 16 codebooks of 64 entries, trained on all of them."""
+    return codebooks.coded(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every document and the component that links of 4 bits at most put it in."""
     return simhash.simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -117,8 +122,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
     "op11_resampling": op11_resampling,
+    "op12_vector_codes": op12_vector_codes,
     "op13_simhash": op13_simhash,
 }
 
-#: None of these can be written in SQL: they hash, tokenise, train, draw or write files. Tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _assigned(books: str) -> str:
+    """SQL: the nearest entry of every part, the lowest of equals, and its squared distance."""
+    return f"""select rn, p, any_value(x) as x, arg_min(e, d * 64 + e) as e, min(d) as d from (
+        select a.rn, a.p, a.x, b.e, list_inner_product(a.x, a.x) - 2 * list_inner_product(a.x, b.x) + list_inner_product(b.x, b.x) as d
+        from parts a join {books} b on a.p = b.p) group by rn, p"""
+
+
+def _moved(books: str, assigned: str) -> str:
+    """SQL: entries at the floor of the mean of their parts; unused ones stay."""
+    return f"""select b.p, b.e, coalesce(m.x, b.x) as x from {books} b left join (
+        select p, e, list(floor(s / n) order by i) as x from (
+            select p, e, i, sum(x[i]) as s, count(*) as n from (select p, e, x, unnest(generate_series(1, len(x))) as i from {assigned}) group by p, e, i
+        ) group by p, e) m on b.p = m.p and b.e = m.e"""
+
+
+OP12_SQL = f"""
+with kept as (
+    select vec_id, label, row_number() over (order by vec_id) as rn, list_transform(embedding, lambda c: floor(256 * c::double)) as v
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), parts as (
+    select rn, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) as x from kept, (select unnest(range(16)) as p)
+), book0 as (select p, rn - 1 as e, x from parts where rn <= 64),
+near0 as materialized ({_assigned("book0")}), book1 as materialized ({_moved("book0", "near0")}),
+near1 as materialized ({_assigned("book1")}), book2 as materialized ({_moved("book1", "near1")}),
+near2 as materialized ({_assigned("book2")}),
+sums as (select rn, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from near2 group by rn),
+digest as (
+    select sha256(string_agg(x[i]::bigint::varchar, ',' order by p, e, i)) as h
+    from (select p, e, x, unnest(generate_series(1, len(x))) as i from book2)
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, (select h from digest) as codebooks_sha256
+from kept join sums using (rn)
+"""
+
+#: The others cannot be written in SQL: they hash, tokenise, train, draw or write files. Tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op12_vector_codes": OP12_SQL}
