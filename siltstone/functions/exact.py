@@ -50,13 +50,3 @@ def py_round(value: Column, digits: int) -> Column:
 
     return rounded(value)
 
-
-def fsum_mean(value: Column | str) -> Column:
-    """Mean of a group of bounded size with a correctly rounded sum, as math.fsum gives it: an aggregate."""
-
-    @F.pandas_udf(T.DoubleType())
-    def mean(x: pd.Series) -> float | None:
-        kept = [float(v) for v in x if v is not None and not math.isnan(v)]
-        return math.fsum(kept) / len(kept) if kept else None
-
-    return mean(value)

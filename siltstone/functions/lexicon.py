@@ -68,3 +68,16 @@ RUBRIC_AXES = {
 }
 ENTITY_AXES = ("ip_presence", "ip_identity_match")
 EDITS_WITHOUT_ENTITY = ("reasoning", "removal")
+
+# Wording of requests that results must have.
+#: Verbs at the beginning of a request, and what is said instead; a please before them goes.
+REWORDINGS = {"Remove": "get rid of", "Add": "put", "Replace": "swap", "Change": "make"}
+POLITE = "please"
+#: Words that point at something.
+GROUNDING_PHRASES = ("it", "this", "that", "this one", "that one", "the one")
+#: Lines of the checklist that a rewriter gets.
+KEEP_TERM = "retain the concept '{value}'"
+KEEP_ACTION = "express the '{}' edit action"
+KEEP_PRONOUN = "use a demonstrative or grounding pronoun such as 'that', 'this', or 'the one'"
+KEEP_IDENTITY = "name the searched identity '{value}'"
+KEEP_MASK = "identify the mask target with these details: {value}"

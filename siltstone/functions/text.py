@@ -8,6 +8,8 @@ from functools import cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.functions import lexicon
+
 #: What Python's re calls a word character, and the blanks that str.strip drops in ASCII.
 WORD = r"([\p{L}\p{N}_]+)"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -135,11 +137,21 @@ def pluralize(phrase: Column, irregular: dict[str, str]) -> Column:
     return bound(F.split(F.trim(F.regexp_replace(phrase, r"\s+", " ")), " "), ended)
 
 
+def _reworded(request: Column, verb: str, instead: str) -> Column:
+    """The request with its first word, after a please, replaced if it is the verb in any case."""
+    words = F.split(request, " ")
+    at = F.when(F.lower(words[0]) == lexicon.POLITE, 1).otherwise(0)
+    first = F.get(words, at)
+    # Punctuation after the verb belongs to no word.
+    rest = F.substring(first, len(verb) + 1, 1 << 30)
+    is_verb = F.lower(F.left(first, F.lit(len(verb)))).eqNullSafe(F.lit(verb.lower())) & ~F.left(rest, F.lit(1)).rlike(r"\w")
+    return F.when(is_verb, F.array_join(F.concat(F.array(F.concat(F.lit(instead), rest)), F.slice(words, at + 2, F.size(words))), " ")).otherwise(request)
+
+
 def paraphrase(key: Column, request: Column, pick: Column) -> Column:
     """The request, flattened, in one of five wordings that `pick` (0 to 4) chooses, its first letter lowered; if nothing is left, as it was."""
     flat = bound(F.trim(F.regexp_replace(F.rtrim(strip(request), F.lit(".")), r"\s+", " ")), lambda x: x)
-    verbs = (None, ("Remove", "get rid of"), ("Add", "put"), ("Replace", "swap"), ("Change", "make"))
-    said = bound(flat, lambda x: F.get(F.array(*(x if v is None else F.regexp_replace(x, rf"(?i)^(Please\s+)?{v[0]}\b", v[1]) for v in verbs)), pick.cast("int")))
+    said = bound(flat, lambda x: F.get(F.array(x, *(_reworded(x, *v) for v in lexicon.REWORDINGS.items())), pick.cast("int")))
     return bound(said, lambda x: F.when(x == "", request).otherwise(F.concat(F.lower(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))))
 
 

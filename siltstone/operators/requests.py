@@ -66,7 +66,7 @@ def request_errors(source: Column, request: Column, kind: Column, subtask: Colum
         ("search_category_mismatch", searches != (kind == "under_search")),
         ("over_search_category_mismatch", (kind == "over_search_negative") & searches),
         ("insufficient_source_constraints", (kind == "multiple_constraints") & (constraint_groups(source) < 2)),
-        ("missing_grounding_pronoun", (kind == "pronoun_grounding") & ~F.lower(request).rlike(r"\b(it|this|that|this one|that one|the one)\b")),
+        ("missing_grounding_pronoun", (kind == "pronoun_grounding") & ~_any_term(after, lexicon.GROUNDING_PHRASES)),
         ("mask_category_mismatch", (kind == "mask_granularity") & ~masked),
         ("insufficient_mask_detail", (kind == "mask_granularity") & masked & little),
         ("composition_category_mismatch", (kind == "compositional_edit") & (subtask != "combined_tasks")),
@@ -78,11 +78,11 @@ def checklist(source: Column, kind: Column, subtask: Column, search: Column, mas
     """What a rewriter is told to keep, one line each."""
     squashed = text.squash(source)
     line = lambda test, words: F.when(test, words)
-    actions = [line((subtask == "combined_tasks") & _any_term(squashed, w), F.lit(f"express the '{a}' edit action")) for a, w in lexicon.COMBINED_ACTION_GROUPS.items()]
+    actions = [line((subtask == "combined_tasks") & _any_term(squashed, w), F.lit(lexicon.KEEP_ACTION.format(a))) for a, w in lexicon.COMBINED_ACTION_GROUPS.items()]
     rest = [
-        line(kind == "pronoun_grounding", F.lit("use a demonstrative or grounding pronoun such as 'that', 'this', or 'the one'")),
-        line((kind == "under_search") & text.is_enabled(search), F.concat(F.lit("name the searched identity '"), search, F.lit("'"))),
-        line((kind == "mask_granularity") & mask.isNotNull(), F.concat(F.lit("identify the mask target with these details: "), mask)),
+        line(kind == "pronoun_grounding", F.lit(lexicon.KEEP_PRONOUN)),
+        line((kind == "under_search") & text.is_enabled(search), text.template(lexicon.KEEP_IDENTITY, value=search)),
+        line((kind == "mask_granularity") & mask.isNotNull(), text.template(lexicon.KEEP_MASK, value=mask)),
     ]
-    terms = F.transform(F.array_sort(constraint_terms(source)), lambda w: F.concat(F.lit("retain the concept '"), w, F.lit("'")))
+    terms = F.transform(F.array_sort(constraint_terms(source)), lambda w: text.template(lexicon.KEEP_TERM, value=w))
     return F.concat(terms, F.filter(F.array(*actions, *rest), lambda x: x.isNotNull()))

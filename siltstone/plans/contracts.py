@@ -37,9 +37,17 @@ def flt09_phrase_containment(spark, d):
     return t(spark, d, "documents").where(text.contains_phrase(text.normalize(F.col("text")), F.lit("of the"))).select("doc_id")
 
 
-@query("select event_type, count(*) as n from events where props is not null and json_extract(props, '$.error') is null group by event_type")
+@query("""
+select event_type, count_if(not list_contains(json_keys(p), 'error')) as n from (
+  select event_type, case when event_id % 3 = 0 then '{"error": null, "k": ' || event_id || '}' when event_id % 3 = 1 then '{"error": "x"}' else props end as p from events
+) where p is not null group by event_type
+""")
 def flt22_error_rows(spark, d):
-    return t(spark, d, "events").where(F.col("props").isNotNull() & F.get_json_object("props", "$.error").isNull()).groupBy("event_type").agg(F.count("*").alias("n"))
+    """A row is an error if it has the key, whatever its value is."""
+    k = F.col("event_id")
+    text_ = F.when(k % 3 == 0, F.concat(F.lit('{"error": null, "k": '), k.cast("string"), F.lit("}"))).when(k % 3 == 1, '{"error": "x"}').otherwise(F.col("props"))
+    rows = t(spark, d, "events").select("event_type", text_.alias("p")).where("p is not null")
+    return rows.groupBy("event_type").agg(F.count_if(~F.array_contains(F.json_object_keys("p"), "error")).alias("n"))
 
 
 # Joins

@@ -187,10 +187,15 @@ def _small_files(spark, d) -> str:
     return root
 
 
-@query("select n_name as stem, 'prompt ' || n_nationkey as prompt from nation where n_nationkey % 4 <> 0")
+@query("select case when n_nationkey % 2 = 1 then 'a/' else 'b/' end || n_name as stem, 'prompt ' || n_nationkey as prompt from nation where n_nationkey % 4 <> 0 union all select n_name, 'root ' || n_nationkey from nation where n_nationkey < 3 union all select 'deep/a/' || n_name, 'deep ' || n_nationkey from nation where n_nationkey < 3")
 def src17_prompted_media(spark, d):
-    found = documents.prompted_media(spark, _small_files(spark, d), ("mp4", "jpg"))
-    return found.select(F.element_at(F.split("stem", "/"), -1).alias("stem"), "prompt")
+    """Media with the prompt beside them; files of one name in several folders have each its own."""
+    root = _small_files(spark, d)
+    for r in t(spark, d, "nation").where("n_nationkey < 3").collect():
+        for place, word in (("", "root"), ("deep/a/", "deep")):
+            documents.replace_text(spark, f"{root}/{place}{r['n_name']}.jpg", "j")
+            documents.replace_text(spark, f"{root}/{place}{r['n_name']}.txt", f"{word} {r['n_nationkey']}")
+    return documents.prompted_media(spark, root, ("mp4", "jpg")).select("stem", "prompt")
 
 
 @query("select 'cache/deep/' || n_nationkey || '.pth' as path from nation")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import lexicon, numbers, text
-from siltstone.functions.exact import fsum_mean, py_round
+from siltstone.functions.exact import py_round
 from siltstone.operators import audits, metrics, ranking, relations, transforms
+from siltstone.operators.exact_sums import exact_statistics
 from siltstone.plans.catalog import _WORDS, query, t
 from siltstone.sources.shared import fixed
 
@@ -380,10 +381,19 @@ def mth01_safe_ratios(spark, d):
     return s.select("lang", *(numbers.ratio(F.col("a"), F.col("b"), x).alias(n) for n, x in (("zero", 0.0), ("one", 1.0), ("none", None))))
 
 
-@query("select o_orderkey, round_even(o_totalprice / 8, 0)::double as whole, (o_orderkey % 8 / 8.0 * 8)::double as eighths from orders")
+#: Thousandths at two places: a tie in decimals is none in binary, where it is above or below by what the double is exactly.
+_THOUSANDTH = "floor(i / 10) + case when i % 10 > 5 then 1 when i % 10 < 5 then 0 when exact > half then 1 when exact < half then 0 else floor(i / 10) % 2 end"
+
+
+@query(f"""
+select o_orderkey, round_even(o_totalprice / 8, 0)::double as whole, (o_orderkey % 8 / 8.0 * 8)::double as eighths, ({_THOUSANDTH})::double / 100 as thousandths, 2.67::double as two, 1.0::double as one
+from (select *, o_orderkey % 1000 as i, ((o_orderkey % 1000)::double / 1000 * 2.0::double ** 60)::hugeint * 1000 as exact, (o_orderkey % 1000)::hugeint << 60 as half from orders)
+""")
 def mth02_python_rounding(spark, d):
-    """round() as Python does it, on exact binary values: halves go to even."""
-    return t(spark, d, "orders").select("o_orderkey", py_round(F.col("o_totalprice") / 8, 0).alias("whole"), py_round(F.col("o_orderkey") % 8 / 8.0 * 8, 1).alias("eighths"))
+    """round() as Python does it, of the exact binary value: halves go to even, and 2.675 and 1.005 are below their decimal forms."""
+    k = F.col("o_orderkey")
+    rounded = {"whole": (F.col("o_totalprice") / 8, 0), "eighths": (k % 8 / 8.0 * 8, 1), "thousandths": ((k % 1000).cast("double") / 1000, 2), "two": (F.lit(2.675), 2), "one": (F.lit(1.005), 2)}
+    return t(spark, d, "orders").select("o_orderkey", *(py_round(x, n).alias(name) for name, (x, n) in rounded.items()))
 
 
 @query("select doc_id, [round_even(i * (n - 1) / 7.0::double, 0)::bigint for i in range(8)] as positions from (select doc_id, greatest(1, n_chars) as n from documents)")
@@ -421,12 +431,21 @@ def mth08_warmup_steps(spark, d):
     return t(spark, d, "documents").groupBy("source").agg(numbers.warmup_steps(F.sum("n_chars")).cast("long").alias("warmup"))
 
 
-@query("select o_orderpriority, round_even(favg(o_totalprice / 1000), 6) as mean, round_even(var_samp(o_totalprice / 1000), 6) as variance from orders group by o_orderpriority")
+def _once_rounded(whole: str, bits: int) -> str:
+    """SQL: whole / 2 ** bits as the nearest double: the lowest bits become one that says whether any was set."""
+    cut = f"greatest(0, floor(log2({whole}::double))::int - 60)"
+    return f"((({whole} >> {cut}) | ({whole} & ((1::hugeint << {cut}) - 1) <> 0)::int::hugeint)::bigint::double * 2.0::double ** ({cut} - {bits}))"
+
+
+@query(f"""
+with s as (select o_orderpriority, count(*) as n, sum((o_totalprice * 2.0::double ** 44)::hugeint)::hugeint as h from orders group by o_orderpriority),
+m as (select o_orderpriority, n, {_once_rounded("h", 44)} / n as mean from s),
+v as (select o_orderpriority, n, mean, sum(((o_totalprice - mean) * (o_totalprice - mean) * 2.0::double ** 66)::hugeint)::hugeint as h from orders join m using (o_orderpriority) group by all)
+select o_orderpriority, n, mean, {_once_rounded("h", 66)} / (n - 1) as variance from v
+""")
 def mth09_accurate_means(spark, d):
-    """Means of correctly rounded sums, and sample variances. A group's values meet in one task: for score vectors, not for corpora."""
-    orders = t(spark, d, "orders").select("o_orderpriority", (F.col("o_totalprice") / 1000).alias("x")).groupBy("o_orderpriority")
-    both = orders.agg(fsum_mean("x").alias("m")).join(orders.agg(F.var_samp("x").alias("v")), "o_orderpriority")
-    return both.select("o_orderpriority", py_round(F.col("m"), 6).alias("mean"), py_round(F.col("v"), 6).alias("variance"))
+    """Means and sample variances of prices, of sums that are rounded once; the SQL adds whole numbers of 128 bits."""
+    return exact_statistics(t(spark, d, "orders"), ["o_orderpriority"], "o_totalprice")
 
 
 @query("select n_nationkey, n_nationkey / 24.0::double as weight, 'lambda_' || lpad(round_even(n_nationkey / 24.0::double * 1000, 0)::int::varchar, 4, '0') as slug from nation")
@@ -490,20 +509,17 @@ def udf02_predicate_callback(spark, d):
     return fixed(t(spark, d, "documents").where(predicate()).select("lang", "n_chars"), "picked").groupBy("lang").agg(*(f.alias(n) for n, f in {"n": F.count("*"), "total": F.sum("n_chars")}.items()))
 
 
-@query("select source, k as member, case when k = 'json' then 1 else 2 end as size from (select distinct source from documents), (values ('json'), ('mp4')) v(k)")
+@query("select item_id, place - 1 as place, word from (select item_id, unnest(w) as word, generate_subscripts(w, 1) as place from (select item_id, list_filter(string_split(text, ' '), lambda x: x <> '') as w from benchmark))")
 def udf05_table_function(spark, d):
-    """A table function: one archive, many rows."""
+    """A table function: one text, many rows; it is an object that is joined laterally, without a name in the session."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="member string, size int")
-    class Members:
-        def eval(self, names: str):
-            for n in names.split(","):
-                yield n, 1 if n == "json" else 2
+    @udtf(returnType="place int, word string")
+    class Words:
+        def eval(self, text: str):
+            yield from enumerate(w for w in (text or "").split(" ") if w)
 
-    spark.udtf.register("siltstone_members", Members)
-    t(spark, d, "documents").select("source").distinct().createOrReplaceTempView("siltstone_archives")
-    return spark.sql("select source, member, size from siltstone_archives, lateral siltstone_members('json,mp4')")
+    return t(spark, d, "benchmark").lateralJoin(Words(F.col("text").outer())).select("item_id", "place", "word")
 
 
 @query("select doc_id, lang in ('" + "', '".join(lexicon.SEARCHABLE_SUBTASKS) + "') as searchable, 'interp_' || lpad(doc_id::varchar, 4, '0') as name from documents")

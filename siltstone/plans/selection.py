@@ -143,9 +143,8 @@ select place, n_name, p_type, size from (select row_number() over (order by n_na
 """)
 def win18_truncated_catalog(spark, d):
     """Nations, types and sizes in nested order; the first 40 eligible combinations."""
-    sizes = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("size")
-    types = t(spark, d, "part").select("p_type").distinct()
-    all_ = t(spark, d, "nation").join(F.broadcast(types)).select("n_nationkey", "n_name", "p_type", sizes)
+    sizes = spark.createDataFrame([(1,), (2,), (3,)], "size int")
+    all_ = relations.product([t(spark, d, "nation").select("n_nationkey", "n_name"), t(spark, d, "part").select("p_type").distinct(), sizes])
     eligible = all_.where((F.col("n_nationkey") * 7 + F.length("p_type") + F.col("size")) % 3 != 0)
     head = eligible.orderBy("n_nationkey", "p_type", "size").limit(40)
     return ranking.with_positions(head, ["n_nationkey", "p_type", "size"], "place").select("place", "n_name", "p_type", "size")
@@ -163,11 +162,13 @@ def srt01_hash_order(spark, d):
     return _rows(spark, d).select("doc_id", numbers.stable_hash(F.lit("salt"), "fingerprint").alias("rank_hash"))
 
 
-@query("select lang, case when best_ok then best else fallback end as chosen, best_ok as primary_used from (select lang, max_by(source, n) as best, max(n) >= 8 as best_ok, min(source) as fallback from (select lang, source, count(*) * 1000 + length(source) as n from documents group by lang, source) group by lang)")
+@query("select lang, case when best_ok then best else fallback end as chosen, best_ok as primary_used from (select lang, first(source order by n desc, source desc) as best, max(n) >= 20 as best_ok, min(source) as fallback from (select lang, source, count(*) as n from documents group by lang, source) group by lang)")
 def srt06_primary_or_fallback(spark, d):
-    counts = t(spark, d, "documents").groupBy("lang", "source").agg((F.count("*") * 1000 + F.length("source")).alias("n"))
-    s = counts.groupBy("lang").agg(F.max_by("source", "n").alias("best"), (F.max("n") >= 8).alias("best_ok"), F.min("source").alias("fallback"))
-    return s.select("lang", selection.decide(F.col("best"), F.col("best_ok"), F.col("fallback")).alias("chosen"), F.col("best_ok").alias("primary_used"))
+    """The commonest source of a language, the last by name of equals, if it has 20 documents; else the first by name."""
+    counts = t(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    s = counts.groupBy("lang").agg(F.max(F.struct("n", "source")).alias("b"), F.min("source").alias("fallback"))
+    ok = F.col("b.n") >= 20
+    return s.select("lang", selection.decide(F.col("b.source"), ok, F.col("fallback")).alias("chosen"), ok.alias("primary_used"))
 
 
 @query("select doc_id from documents order by doc_id limit 64")

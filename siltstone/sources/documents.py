@@ -12,6 +12,7 @@ from siltstone.functions import text
 from siltstone.functions.exact import canonical, strict_object
 from siltstone.operators.ranking import last_wins, with_positions
 from siltstone.sources.records import numbered_lines
+from siltstone.sources.shared import fixed
 
 
 def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -27,10 +28,14 @@ def editing_cases(rows: DataFrame, prompt: str, video: str, root: str, ids: list
 
 
 def indexed_csv(spark: SparkSession, path: str, schema: str, root: str, media: str) -> DataFrame:
-    """Rows with idx, their number in the file, and the media path joined to a root; a byte-order mark and quoted line breaks are read as such."""
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("_at", F.monotonically_increasing_id())
+    """Rows with idx, their number in the order of files and lines, and the media path joined to a root.
+
+    A byte-order mark and quoted line breaks are read as such, so a file is read by one task, in which ids ascend.
+    """
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = fixed(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")), "csv")
     joined = F.when(F.col(media).startswith("/"), F.col(media)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), media))
-    return with_positions(rows, ["_at"], "idx").drop("_at").withColumn(media, joined)
+    return with_positions(rows, ["_file", "_at"], "idx").drop("_file", "_at").withColumn(media, joined)
 
 
 def field(name: str) -> Column:
@@ -81,24 +86,27 @@ def text_pool(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.explode(F.when(is_list & listed.isNotNull(), listed).otherwise(plain)).alias("value"))
 
 
-def files(spark: SparkSession, root: str, glob: str = "*", deep: bool = True, without: tuple[str, ...] = ()) -> DataFrame:
-    """path (relative to root), length: files below a folder whose names match, without excluded ones; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", deep).option("pathGlobFilter", glob).load(root).select("path", "length")
+def inside(spark: SparkSession, root: str, path: Column) -> Column:
+    """A file's path relative to a folder that holds it, however either is written."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = str(base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base)).rstrip("/") + "/"
     plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
-    relative = F.substr(plain(F.col("path")), F.length(plain(F.lit(base))) + 1)
-    return found.select(relative.alias("path"), "length").where(~F.col("path").isin(*without) if without else F.lit(True))
+    return F.substr(plain(path), F.length(plain(F.lit(base))) + 1)
+
+
+def files(spark: SparkSession, root: str, glob: str = "*", deep: bool = True, without: tuple[str, ...] = ()) -> DataFrame:
+    """path (relative to root), length: files below a folder whose names match, without excluded ones; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", deep).option("pathGlobFilter", glob).load(root).select("path", "length")
+    return found.select(inside(spark, root, F.col("path")).alias("path"), "length").where(~F.col("path").isin(*without) if without else F.lit(True))
 
 
 def prompted_media(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
     """stem, path, prompt: media files with the text of the sibling .txt; those without one are left out."""
     stems = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
     media = files(spark, root).where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*suffixes))
-    prompts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select("value", F.col("_metadata.file_path").alias("_file"))
-    listed = files(spark, root, "*.txt").select(F.col("path").alias("_text"))
-    prompts = prompts.join(F.broadcast(listed), F.col("_file").endswith(F.concat(F.lit("/"), F.col("_text"))))
-    return media.select(stems(F.col("path")).alias("stem"), "path").join(prompts.select(stems(F.col("_text")).alias("stem"), text.strip(F.col("value")).alias("prompt")), "stem")
+    prompts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
+    said = text.strip(F.decode("content", "UTF-8")).alias("prompt")
+    return media.select(stems(F.col("path")).alias("stem"), "path").join(prompts.select(stems(inside(spark, root, F.col("path"))).alias("stem"), said), "stem")
 
 
 def metric_means(wide: DataFrame, ids: list[str]) -> DataFrame:
