@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import audits
 from siltstone.plans.catalog import query, t
-from siltstone.sources import documents, records
+from siltstone.sources import documents, records, tar
 from siltstone.sources.shared import fixed, folder
 from siltstone.streaming import batches, incremental
 
@@ -26,6 +26,15 @@ def _lines(df: DataFrame, label: str, line, parts: int | None = None) -> str:
     return path
 
 
+def _numbered(df: DataFrame, label: str, line, key: str, most: int) -> str:
+    """Lines in order of a key, in files of `most` keys each that many tasks write; file names sort like the keys."""
+    path = folder(df.sparkSession, label)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(line.alias("value"), F.format_string("%08d", F.floor(F.col(key) / most)).alias("part"), key)
+    rows.repartition(n, "part").sortWithinPartitions("part", key).select("value", "part").write.partitionBy("part").text(path)
+    return path
+
+
 def _event():
     return F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
 
@@ -50,24 +59,26 @@ def src03_strict_lines(spark, d):
     return s.join(F.broadcast(bad.agg(F.count("*").alias("bad"))))
 
 
-@query("select item_id, line from (select item_id, row_number() over (order by item_id) as line from benchmark) where item_id % 8 in (1, 2, 3, 4)")
+@query("select item_id, line from (select item_id, row_number() over (partition by item_id // 16 order by item_id) as line from benchmark) where item_id % 8 in (1, 2, 3, 4)")
 def src02_located_errors(spark, d):
-    """Bad lines with their places: errors name the line of the file."""
+    """Bad lines with their places: errors name the file and the line in it."""
     k, ok = F.col("item_id") % 8, F.concat(F.lit('{"id": '), F.col("item_id").cast("string"), F.lit("}"))
     line = F.when(k.isin(1, 2, 3, 4), F.concat(F.col("item_id").cast("string"), F.lit(": no object"))).otherwise(ok)
-    path = _lines(t(spark, d, "benchmark").orderBy("item_id").coalesce(1), "located", line, 1)
+    path = _numbered(t(spark, d, "benchmark"), "located", line, "item_id", 16)
     _, bad = records.strict_jsonl(spark, path)
     lines = records.numbered_lines(spark, path).select("path", "line", "value")
     return bad.join(lines, ["path", "line"]).select(F.split_part("value", F.lit(":"), F.lit(1)).cast("long").alias("item_id"), "line")
 
 
-@query("select count(*) - 1 as good, 0::bigint as bad from benchmark")
+@query("select count(*) - count(distinct item_id // 16) as good, 0::bigint as bad from benchmark")
 def src04_truncated_tail(spark, d):
-    """A file whose writer died in its last line: what was whole is kept, the rest is no error."""
+    """Files whose writer died in their last line: what was whole is kept, the rest is no error."""
     path = folder(spark, "tail")
-    ids = [r["item_id"] for r in t(spark, d, "benchmark").select("item_id").orderBy("item_id").collect()]
-    documents.replace_text(spark, f"{path}/part.jsonl", "".join(f'{{"id": {i}}}\n' for i in ids[:-1]) + f'{{"id": {ids[-1]}')
-    good, bad = records.resumable_jsonl(spark, f"{path}/part.jsonl")
+    line = F.concat(F.lit('{"id": '), F.col("item_id").cast("string"), F.lit("}"))
+    whole = t(spark, d, "benchmark").groupBy(F.floor(F.col("item_id") / 16).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("value"))
+    # A blank, not a line feed, ends what Spark writes: each file stops in its last object.
+    whole.select(F.expr("left(value, length(value) - 1)").alias("value"), "part").repartition("part").write.option("lineSep", " ").partitionBy("part").text(path)
+    good, bad = records.resumable_jsonl(spark, path)
     return good.agg(F.count("*").alias("good")).join(F.broadcast(bad.agg(F.count("*").alias("bad"))))
 
 
@@ -113,12 +124,12 @@ def src09_indexed_csv(spark, d):
     return documents.indexed_csv(spark, path, "item_id long, text string, media string", "/data", "media").select("item_id", "idx", "media")
 
 
-@query("select case when item_id % 3 = 0 then 'b' || item_id when item_id % 3 = 1 then 'i' || item_id else 'custom_' || (row_number() over (order by item_id)) end as bench_id, case when item_id % 2 = 0 then 'custom' else 'swap' end as edit_type, 'p ' || item_id as prompt from benchmark")
+@query("select case when item_id % 3 = 0 then 'b' || item_id when item_id % 3 = 1 then 'i' || item_id else 'custom_' || (row_number() over (partition by item_id // 16 order by item_id)) end as bench_id, case when item_id % 2 = 0 then 'custom' else 'swap' end as edit_type, 'p ' || item_id as prompt from benchmark")
 def src10_custom_cases(spark, d):
     i, k = F.col("item_id").cast("string"), F.col("item_id")
     names = F.concat(F.lit('"bench_id": "'), F.when(k % 3 == 0, F.concat(F.lit("b"), i)).otherwise(""), F.lit('", "id": "'), F.when(k % 3 == 1, F.concat(F.lit("i"), i)).otherwise(""), F.lit('"'))
     line = F.concat(F.lit("{"), names, F.when(k % 2 == 1, ', "edit_type": "swap"').otherwise(""), F.lit(', "prompt": " p '), i, F.lit(' ", "video_path": "v"}'))
-    path = _lines(t(spark, d, "benchmark").orderBy("item_id").coalesce(1), "custom", line, 1)
+    path = _numbered(t(spark, d, "benchmark"), "custom", line, "item_id", 16)
     return documents.custom_cases(spark, path).select("bench_id", "edit_type", "prompt")
 
 
@@ -130,40 +141,43 @@ def _record():
 @query("select case when doc_id % 11 = 0 then 'x' else (doc_id % 150)::varchar end as bench_id, max(doc_id) as doc from documents where doc_id % 5 <> 0 group by all")
 def src11_agent_records(spark, d):
     """Records without an error, the last of each id."""
-    path = _lines(t(spark, d, "documents").select("doc_id").orderBy("doc_id").coalesce(1), "agent", _record(), 1)
+    path = _numbered(t(spark, d, "documents"), "agent", _record(), "doc_id", 300)
     return documents.records_by_id(documents.agent_records(spark, path)).select("bench_id", F.get_json_object("value", "$.doc").cast("long").alias("doc"))
 
 
 @query("select doc_id as doc, row_number() over (order by case when doc_id % 11 = 0 then -1 else doc_id % 150 end, doc_id) - 1 as place from documents where doc_id % 5 <> 0")
 def src12_records_in_order(spark, d):
-    path = _lines(t(spark, d, "documents").select("doc_id").orderBy("doc_id").coalesce(1), "order", _record(), 1)
+    path = _numbered(t(spark, d, "documents"), "order", _record(), "doc_id", 300)
     return documents.records_in_order(documents.agent_records(spark, path)).select(F.get_json_object("value", "$.doc").cast("long").alias("doc"), "place")
 
 
-@query("select item_id, length(text)::int as n from benchmark where item_id % 2 = 0")
-def src14_ranged_members(spark, d):
-    """Tar shards of the items' texts; of every other one only its own bytes are read."""
-    import io
-    import tarfile
-
-    rows = t(spark, d, "benchmark").select("item_id", "text").collect()  # the fixture: benchmark has a few hundred rows
+def _shards(spark, d) -> str:
+    """Tar shards of documents: a text member for each, and for two of three a record beside it, with a name too long for a plain header now and then."""
+    docs = t(spark, d, "documents").where("text is not null").select("doc_id", "text", "lang")
+    key = F.concat(F.when(F.col("doc_id") % 50 == 0, F.lit("deep/" * 30)).otherwise("a/"), F.col("doc_id").cast("string"))
+    record = F.struct(F.concat(key, F.lit(".json")).alias("name"), F.to_json(F.struct("doc_id", "lang")).cast("binary").alias("content"))
+    clip = F.struct(F.concat(key, F.lit(".source.mp4")).alias("name"), F.col("text").cast("binary").alias("content"))
+    rows = docs.select(F.pmod(F.col("doc_id"), F.lit(12)).alias("shard"), F.inline(F.when(F.col("doc_id") % 3 == 0, F.array(clip)).otherwise(F.array(record, clip))))
     root = folder(spark, "tar")
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for shard in range(3):
-        raw = io.BytesIO()
-        with tarfile.open(fileobj=raw, mode="w") as tar:
-            for r in rows[shard::3]:
-                member = tarfile.TarInfo(f"{r['item_id']}.txt")
-                body = r["text"].encode()
-                member.size = len(body)
-                tar.addfile(member, io.BytesIO(body))
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{shard}.tar"))
-        out.write(bytearray(raw.getvalue()))
-        out.close()
-    wanted = t(spark, d, "benchmark").where("item_id % 2 = 0").select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(".txt")).alias("name"))
-    read = records.read_members(records.tar_index(spark, f"{root}/*.tar"), wanted, "item_id")
-    return read.select("item_id", F.length(F.col("content").cast("string")).alias("n"))
+    tar.write_shards(rows, "shard", "name", "content", root)
+    return root
+
+
+@query("select doc_id, lang, strlen(text) as bytes from documents where doc_id % 3 <> 0 and text is not null")
+def src13_paired_shards(spark, d):
+    """Records with the clip of their key in the same shard; of the clips only headers are read."""
+    pairs = tar.paired_members(tar.tar_index(spark, _shards(spark, d)), ["json", "source.mp4"])
+    found = tar.read_members(pairs.select("shard", F.col("json.offset").alias("offset"), F.col("json.size").alias("size"), F.col("`source.mp4`.size").alias("bytes")))
+    return found.select(F.from_json(F.col("content").cast("string"), "doc_id long, lang string").alias("r"), "bytes").select("r.*", "bytes")
+
+
+@query("select doc_id, md5(text) as digest from documents where doc_id % 7 = 2")
+def src14_ranged_members(spark, d):
+    """A stored index of tar shards; of some clips only their own bytes are read."""
+    index = tar.store_index(tar.tar_index(spark, _shards(spark, d)), folder(spark, "tar-index"))
+    wanted = t(spark, d, "documents").where("doc_id % 7 = 2").select("doc_id", F.col("doc_id").cast("string").alias("key"))
+    lies = index.where("suffix = 'source.mp4'").select("key", "shard", "offset", "size")
+    return tar.read_members(wanted.join(lies, "key")).select("doc_id", F.md5("content").alias("digest"))
 
 
 @query("select case when n_nationkey % 3 = 0 then 'unsafe_path' when n_nationkey % 3 = 1 then 'format' else 'duplicate_path' end as rule, case when n_nationkey % 3 = 0 then '../' || n_name when n_nationkey % 3 = 1 then 'no digest ' || n_name else n_name end as key from nation")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from siltstone.functions.exact import lenient_object
 from siltstone.sources.shared import fixed
@@ -28,22 +26,27 @@ def collecting_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataF
     return good, lines.where("_object is null").select(F.concat(F.lit("bad JSON: "), "value").alias("error"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 1), value of all lines of files that a task can hold.
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, line (from 1), value, open_end of all lines of files of any size; open_end marks a last line without its line feed.
 
-    Lines have no numbers once a file is split, so each file is read whole, by one task.
+    Files are read in splits, and so is the index that numbers their lines: the line feeds of every byte range, summed up range
+    by range. A line's number is what lies before its range and its place in it. Lines end at a line feed alone; a byte-order mark
+    is no part of the first. Of compressed files open_end is not known and false.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, raw in zip(pdf["path"], pdf["content"], strict=True):
-                lines = raw.decode("utf-8-sig").split("\n")
-                closed = lines[-1] == ""
-                lines = lines[:-1] if closed else lines
-                yield pd.DataFrame({"path": p, "line": range(1, len(lines) + 1), "value": lines, "open_end": [False] * (len(lines) - 1) + [not closed] if lines else []})
-
-    return files.mapInPandas(cut, "path string, line long, value string, open_end boolean")
+    place = ["_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size"]
+    # Ids ascend within a task, which reads a range from its beginning to its end.
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", *(F.col(c).alias(n) for c, n in zip(place, ("path", "_from", "_size"), strict=True)), F.monotonically_increasing_id().alias("_at"))
+    bytes_ = F.sum(F.octet_length("value") + 1).cast("long")
+    ranges = lines.groupBy("path", "_from").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), bytes_.alias("_bytes"), F.first("_size").alias("_size"))
+    before, whole = Window.partitionBy("path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path")
+    # Without a feed at the end the lines and their feeds are one byte more than the file; a mark that was dropped makes them three less.
+    open_end = (F.sum("_bytes").over(whole) - F.col("_size")).isin(1, -2) & ~F.lower("path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
+    index = ranges.select("path", "_from", "_n", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"), open_end.alias("_open"))
+    joined = lines.join(index, ["path", "_from"], "left")
+    in_range = F.col("_at") - F.col("_first")
+    # Both reads cut the files alike; were that ever not so, a number would be missing or out of its range.
+    sure = F.when((in_range >= 0) & (in_range < F.col("_n")), F.col("_before") + in_range + 1).otherwise(F.raise_error(F.lit("the ranges of a file changed while it was read")))
+    return joined.select("path", sure.cast("long").alias("line"), "value", "_open", "_all").select("path", "line", "value", (F.col("_open") & (F.col("line") == F.col("_all"))).alias("open_end"))
 
 
 def _strict(text: str | None) -> str | None:
@@ -95,66 +98,6 @@ def metadata_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """shard, key, suffix, offset, size, content: the files of tar shards, keyed by the name up to its first dot."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, raw in zip(pdf["path"], pdf["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            key, _, suffix = m.name.rpartition("/")[2].partition(".")
-                            yield pd.DataFrame({"shard": [p], "key": [key], "suffix": [suffix], "offset": [m.offset_data], "size": [m.size], "content": [tar.extractfile(m).read()]})
-
-    return files.mapInPandas(scan, "shard string, key string, suffix string, offset long, size long, content binary")
-
-
-def tar_index(spark: SparkSession, path: str) -> DataFrame:
-    """shard, name, offset, size of the files of tar shards, without their contents."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, raw in zip(pdf["path"], pdf["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
-                    rows = [(p, m.name, m.offset_data, m.size) for m in tar if m.isfile()]
-                    yield pd.DataFrame(rows, columns=["shard", "name", "offset", "size"])
-
-    return files.mapInPandas(scan, "shard string, name string, offset long, size long")
-
-
-def read_members(index: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """wanted (key, name) with content: only the bytes of the wanted members are read, shard by shard, each shard opened once a task."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        opened = {}
-        for pdf in batches:
-            out = []
-            for shard, offset, size in zip(pdf["shard"], pdf["offset"], pdf["size"], strict=True):
-                if shard not in opened:
-                    system, inside = fs.FileSystem.from_uri(shard)
-                    opened[shard] = system.open_input_file(inside)
-                opened[shard].seek(int(offset))
-                out.append(opened[shard].read(int(size)))
-            yield pd.DataFrame({key: pdf[key], "name": pdf["name"], "content": out})
-        for f in opened.values():
-            f.close()
-
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = wanted.join(index, "name").repartition(n, "shard").sortWithinPartitions("shard", "offset")
-    return found.select(key, "name", "shard", "offset", "size").mapInPandas(read, f"{key} {wanted.schema[key].dataType.simpleString()}, name string, content binary")
-
-
-def paired_members(members: DataFrame, needed: list[str]) -> DataFrame:
-    """Members whose key has all the needed suffixes in its shard; others are dropped."""
-    whole = members.groupBy("shard", "key").agg(F.collect_set("suffix").alias("_s")).where(F.size(F.array_intersect("_s", F.array(*map(F.lit, needed)))) == len(needed))
-    return members.join(whole.select("shard", "key"), ["shard", "key"], "left_semi")
-
-
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """sha256, path of a manifest's lines; and violations: bad lines, paths that stand twice or leave the bundle."""
     lines = spark.read.text(path).where("value <> ''")

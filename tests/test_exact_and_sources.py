@@ -1,8 +1,11 @@
 """Exact arithmetic, scores in prose, and files: against Python's own results."""
 
+import io
 import math
+import os
 import random
 import struct
+import tarfile
 from fractions import Fraction
 
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.operators import judging
 from siltstone.operators.exact_sums import exact_statistics, exact_sums, limbs
-from siltstone.sources import documents
+from siltstone.sources import documents, records, tar
 
 
 def any_double(rnd):
@@ -107,3 +110,98 @@ def test_row_numbers_go_by_files(spark, tmp_path):
     found = documents.indexed_csv(spark, str(tmp_path), "name string, media string", "/data", "media").orderBy("idx").collect()
     assert [r.name for r in found] == [f"{f}\n{i}" for f, n in (("a.csv", 2), ("b.csv", 40), ("c.csv", 3)) for i in range(n)]
     assert [r.idx for r in found] == list(range(45)) and found[0].media == "/data/v0"
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in ranges of 2000 bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("2000", "10"), strict=True):
+        spark.conf.set(n, v)
+    yield
+    for n, v in zip(names, old, strict=True):
+        spark.conf.set(n, v)
+
+
+def test_lines_of_split_files_have_their_numbers(spark, tmp_path, small_splits):
+    rnd = random.Random(1)
+    want = []
+    for name, n, tail, mark in (("a", 500, True, False), ("b", 3, False, False), ("c", 400, False, True), ("e", 0, True, False), ("f", 1, False, True), ("g", 200, True, True)):
+        lines = ["é" * rnd.randint(0, 30) + str(i) + ("\r" if rnd.random() < 0.1 else "") + "x" * 5000 * (i == 150) for i in range(n)]
+        raw = "\n".join(lines) + ("\n" if tail and n else "")
+        (tmp_path / f"{name}.jsonl").write_bytes((b"\xef\xbb\xbf" if mark else b"") + raw.encode())
+        want += [(name, i + 1, x, not tail and i == n - 1) for i, x in enumerate(lines)]
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    found = records.numbered_lines(spark, str(tmp_path)).collect()
+    assert sorted((os.path.basename(r.path)[0], r.line, r.value, r.open_end) for r in found) == sorted(want)
+
+
+def test_repair_of_a_large_file(spark, tmp_path, small_splits):
+    lines = [f'{{"id": {i}}}' for i in range(900)]
+    lines[500] = '{"id": 1, "id": 2}'
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + '\n{"id": 9')
+    good, bad = records.resumable_jsonl(spark, str(tmp_path / "x.jsonl"))
+    assert good.count() == 899 and [(r.line, r.error) for r in bad.collect()] == [(501, "duplicate key")]
+    assert [r.line for r in records.strict_jsonl(spark, str(tmp_path / "x.jsonl"))[1].orderBy("line").collect()] == [501, 901]
+    (tmp_path / "y.jsonl").write_text("\n".join(lines) + "\n{cut}\n")
+    assert [r.line for r in records.resumable_jsonl(spark, str(tmp_path / "y.jsonl"))[1].orderBy("line").collect()] == [501, 901]
+
+
+def shard(path, files):
+    with tarfile.open(path, "w") as out:
+        for name, raw in files:
+            info = tarfile.TarInfo(name)
+            info.size = len(raw)
+            out.addfile(info, io.BytesIO(raw))
+
+
+def test_tar_index_reads_headers_alone(spark, tmp_path):
+    rnd = random.Random(5)
+    everything = {}
+    for k in range(11):
+        files = [(f"{'deep/' * 40 if i % 7 == 0 else ''}{k}_{i}.{s}", rnd.randbytes(rnd.choice([0, 1, 511, 512, 513, 200_000]))) for i in range(20) for s in ("json", "source.mp4") if rnd.random() < 0.8]
+        shard(tmp_path / f"{k:02}.tar", files)
+        everything |= {name: raw for name, raw in files}
+    (tmp_path / "other.txt").write_text("no shard")
+    index = tar.store_index(tar.tar_index(spark, str(tmp_path)), str(tmp_path / "index"))
+    rows = index.collect()
+    assert {r.name for r in rows} == set(everything) and len(rows) == len(everything)
+    for uri in {r.shard for r in rows}:
+        raw = open(uri.removeprefix("file://"), "rb").read()
+        mine = [r for r in rows if r.shard == uri]
+        assert all(raw[r.offset : r.offset + r.size] == everything[r.name] for r in mine)
+        # A long name has two headers and a block of its own.
+        assert max(r.header_bytes for r in mine) <= 512 * 4 * (len(mine) + 2) and len(raw) > 10 * max(r.header_bytes for r in mine)
+    keys = {n.rpartition("/")[2].partition(".")[0] for n in everything}
+    by_name = {n.rpartition("/")[2]: raw for n, raw in everything.items()}
+    pairs = {k for k in keys if f"{k}.json" in by_name and f"{k}.source.mp4" in by_name}
+    found = tar.paired_members(index, ["json", "source.mp4"])
+    assert {r.key for r in found.collect()} == pairs
+    wanted = found.select("key", "shard", F.col("json.offset").alias("offset"), F.col("json.size").alias("size"))
+    read = tar.read_members(wanted).collect()
+    assert {r.key: r.content for r in read} == {k: by_name[f"{k}.json"] for k in pairs}
+    assert sum(r.range_bytes for r in read) <= sum(r.size for r in read) + len(read) * tar.GAP
+
+
+def test_tar_folders_without_shards(spark, tmp_path):
+    assert tar.tar_index(spark, str(tmp_path)).count() == 0
+    shard(tmp_path / "x.tar", [])
+    shard(tmp_path / "y.tar", [("a", b"1"), ("a", b"22")])
+    rows = tar.tar_index(spark, str(tmp_path)).orderBy("offset").collect()
+    assert [(r.name, r.key, r.suffix, r.size) for r in rows] == [("a", "a", "", 1), ("a", "a", "", 2)]
+    assert tar.tar_index(spark, str(tmp_path / "y.tar")).count() == 2
+
+
+def test_written_shards(spark, tmp_path):
+    rows = [(i % 4, f"{i:03}.txt", f"{i}" * i) for i in range(80)]
+    df = spark.createDataFrame(rows, "s int, n string, c string").withColumn("c", F.col("c").cast("binary"))
+    made = tar.write_shards(df, "s", "n", "c", f"file://{tmp_path}/out")
+    assert made.count() == 4
+    found = []
+    for r in made.collect():
+        with tarfile.open(r.uri.removeprefix("file://")) as t:
+            names = [m.name for m in t]
+            assert names == sorted(names)
+            found += [(r.shard, m, t.extractfile(m).read().decode()) for m in names]
+    assert sorted(found) == sorted(rows)

@@ -1,9 +1,7 @@
 import hashlib
-import io
 import json
 import random
 import statistics
-import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,20 +140,11 @@ def test_strict_and_resumable_lines(spark, tmp_path):
     assert sorted(str(r.a) for r in good.collect()) == ["1", "2", "None", "None"] and errors.count() == 3
 
 
-def test_documents_tables_and_tars(spark, tmp_path):
+def test_documents_and_tables(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"10": {"p": "x"}, "9": {"p": "y"}}))
     assert [r.id for r in records.json_map_rows(spark, str(tmp_path / "m.json"), "p: string").collect()] == ["9", "10"]
     (tmp_path / "c.csv").write_text('﻿a,b\n1,"x\ny"\n')
     assert [tuple(r) for r in records.metadata_csv(spark, str(tmp_path / "c.csv"), "a int, b string").collect()] == [(1, "x\ny")]
-    with tarfile.open(tmp_path / "s.tar", "w") as tar:
-        for name in ("1.json", "1.source.mp4", "2.json"):
-            info = tarfile.TarInfo(name)
-            info.size = 3
-            tar.addfile(info, io.BytesIO(b"abc"))
-    members = records.tar_members(spark, str(tmp_path / "s.tar"))
-    assert sorted(r.suffix for r in records.paired_members(members, ["json", "source.mp4"]).collect()) == ["json", "source.mp4"]
-    raw = (tmp_path / "s.tar").read_bytes()
-    assert all(raw[r.offset : r.offset + r.size] == r.content for r in members.collect())
 
 
 def test_manifests(spark, tmp_path):
