@@ -10,17 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 _local: dict[str, str] = {}
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """URI of a new folder, deleted when the driver's JVM ends. Only a local session without the setting gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local") or "cluster" in context.master:
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="siltstone-"))
-    uri = f"{root.rstrip('/')}/siltstone/{label}-{uuid.uuid4().hex}"
+def located(spark: SparkSession, uri: str):
+    """Hadoop's path of a URI and the file system that holds it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """URI of the shared folder, with its scheme: a path without one lies on the cluster's default file system.
+
+    Only a local session without the setting, as in tests, gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        path, fs = located(spark, named.rstrip("/"))
+        return str(path.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
+    context = spark.sparkContext
+    if not context.master.startswith("local") or "cluster" in context.master:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+    return _local[context.applicationId]
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """URI of a new folder, which is not created yet and is deleted when the driver's JVM ends."""
+    uri = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    path, fs = located(spark, uri)
+    fs.deleteOnExit(path)
     return uri
 
 
