@@ -11,8 +11,13 @@ bucket's lowest node. Within a block a text is compared with those it is not yet
 of one text costs one comparison a text; only a spanning forest of the links is emitted. Buckets with the same texts are
 searched once. The texts of large buckets that are not one component by then are dealt anew by longer bands, which keep
 apart what is merely related and still bring a pair at the threshold together, and searched alike; texts that are
-connected already are not compared. Blocks of a long band's bucket that are still not connected are compared pairwise, so
-no pair of it is left out. Classes are the connected components, found by alternating large-star and small-star steps.
+connected already are not compared. What is open even then (many texts of one template, say) is dealt by prefixes: the runs of
+these texts are ordered by rarity. If the runs that two texts have in common are shares a and b of their weights, their similarity
+t is a * b / (a + b - a * b) at most; so both shares are t at least and one of them is 2t / (1 + t). The rarest common run thus lies
+among the rarest runs that make up just over 1 - t of the weight of either text, and over (1 - t) / (1 + t) of one of them. A text
+ships the hashes of the former, and a run that is among the latter in no text is dropped, as are those of one text alone: a template's
+pages that differ by more than the threshold allows do not meet. Only buckets of such a run that exceed a block and are still not
+connected are compared block by block, so no pair is left out. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -23,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.llm.kernels import RangeHash, buffer, distinct_counts, frugal, mix, shingles, words
 from siltstone.llm.storage import set_aside, written
+from siltstone.operators.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -163,24 +170,6 @@ def _verified(blocks: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(frugal(run), "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the lowest node of its connected component, for every node of edges (u, v)."""
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        new = written(small.where("u <> v").distinct(), "edges")
-        # Done when every node has one edge, to a node that has none: each component is a star around its lowest node.
-        n, nodes = new.agg(F.count("*"), F.count_distinct("u")).first()
-        if n == nodes and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0:
-            break
-        edges = new
-    return new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-
-
 def _keys() -> dict:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(7), text)}
@@ -232,10 +221,34 @@ def _open_members(dealt: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets of several blocks that are not one component, with their present labels."""
     split = dealt.where("parts > 1").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = written(split, "labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+    open_ = written(labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket"), "open-buckets")
     return written(labelled.join(open_, "bucket", "left_semi"), "open")
 
 
+def _by_prefixes(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """members (node, label, keys) by the runs of their prefixes, as buckets, where two texts can have their rarest common run."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                hashes, counts, first = weighted_shingles(part.column("text"))
+                n = np.diff(first)
+                total = np.add.reduceat(np.append(counts, 0), first[:-1]) * (n > 0)
+                share = counts / np.repeat(np.maximum(1, total), n)
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(hashes.view(np.int64)), pa.array(share)], names=["node", "bucket", "share"])
+
+    held = members.join(texts, _KEYS).dropDuplicates(["node"]).select("node", "text")
+    every = written(held.mapInArrow(frugal(runs), "node long, bucket long, share double"), "runs")
+    common = written(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "run-counts")
+    before = F.coalesce(F.sum("share").over(Window.partitionBy("node").orderBy("n", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ordered = every.join(common, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("before", before)
+    short = F.col("before") <= (1 - similarity) / (1 + similarity) + 1e-9
+    prefix = written(ordered.where((F.col("before") <= 1 - similarity + 1e-9) & (F.col("n") > 1)).select("node", "bucket", short.alias("short")), "prefixes")
+    meets = written(prefix.groupBy("bucket").agg(F.count("*").alias("n"), F.max("short").alias("short")).where("short and n > 1").select("bucket"), "meeting-runs")
+    return members.join(prefix.drop("short").join(meets, "bucket", "left_semi"), "node")
+
+
 def text_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """_k1, _k2 (128 bits of a text), class_id, r1, r2: the class of every distinct text, and the text that stands for it.
 
@@ -254,6 +267,11 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         dealt = _dealt(long.select("node", "label", *_KEYS, F.explode("bands").alias("bucket")), block)
         links = links.unionByName(_links_in_blocks(dealt, texts, similarity))
         labels = written(components(links), "labels")
+        again = _open_members(dealt, labels).select("node", "label", *_KEYS).distinct() if dealt.where("parts > 1").limit(1).count() else None
+        if again is not None and again.limit(1).count():
+            dealt = _dealt(written(_by_prefixes(written(again, "open-texts"), texts, similarity), "prefixes"), block)
+            links = links.unionByName(_links_in_blocks(dealt, texts, similarity))
+            labels = written(components(links), "labels")
         if dealt.where("parts > 1").limit(1).count():
             # A text meets every other block: block pairs are numbered by their lower and their higher block.
             other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
@@ -263,7 +281,8 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
             more = _verified(cells.join(texts, _KEYS).dropDuplicates(["bucket", "block", "node"]), similarity)
             labels = written(components(links.unionByName(written(more, "links"))), "labels")
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = named.groupBy("label").agg(F.min(F.struct("_id", "_k1", "_k2")).alias("b"), F.count("*").alias("n_texts"))
+    named = written(named, "named")
+    best = written(named.groupBy("label").agg(F.min(F.struct("_id", "_k1", "_k2")).alias("b"), F.count("*").alias("n_texts")), "best")
     return named.join(best, "label").select("_k1", "_k2", F.col("b._id").alias("class_id"), F.col("b._k1").alias("r1"), F.col("b._k2").alias("r2"), "n_texts")
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.kernels import buffer, frugal, lowered, mix, row_slices, words
-from siltstone.llm.near_dup import components
 from siltstone.llm.storage import written
+from siltstone.operators.graph import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BITS = 64

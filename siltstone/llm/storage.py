@@ -7,62 +7,30 @@ Hadoop when the driver's JVM ends.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
+from siltstone.sources.shared import fixed as written
+from siltstone.sources.shared import folder as new_folder
+from siltstone.sources.shared import located, shared_dir
+
+__all__ = ["filesystem", "new_folder", "set_aside", "shared_dir", "worker_folder", "written"]
 
 #: Schemes that workers can open, and what pyarrow calls them.
 _SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfss": "abfss"}
 
 
-def _path(spark: SparkSession, uri: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder, with its scheme: a path without one lies on the cluster's default file system."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        path, fs = _path(spark, named.rstrip("/"))
-        return str(path.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    return _local[app]
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """URI of a new folder, which is not created yet."""
-    uri = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
-    path, fs = _path(spark, uri)
-    fs.deleteOnExit(path)
-    return uri
-
-
 def worker_folder(spark: SparkSession, label: str, folder: str | None = None) -> str:
     """URI of a folder (a new one, unless given) whose files Python workers write and read; an error if they cannot."""
-    path, fs = _path(spark, folder or new_folder(spark, label))
+    path, fs = located(spark, folder or new_folder(spark, label))
     uri = str(path.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
     if uri.partition(":")[0] not in _SCHEMES:
         raise ValueError(f"Python workers cannot open {uri}")
     return uri
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows as Parquet in the shared folder and read them again: lineage ends here."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """doc_id, text and all other columns in one, so that none can clash with an operator's own; and what brings them back as they were."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -346,3 +346,30 @@ def test_registered_queries_have_the_columns(spark, tmp_path):
     assert classes == {1: 1, 2: 1, 3: 3}
     assert {r.doc_id for r in queries.op10_decontamination(spark, str(tmp_path)).collect()} == {1, 2}
     assert queries.op7_line_dedup(spark, str(tmp_path)).count() == 3
+
+
+def test_a_family_of_a_template_is_dealt_by_prefixes(spark):
+    """Pages of one template that differ in a part of their own, at 0.76: what is rare is that part, so hardly any two meet."""
+    rnd = random.Random(8)
+    template = [f"w{i}" for i in range(160)]
+    texts = [" ".join(template + [f"own{rnd.getrandbits(40)}" for _ in range(25)]) for _ in range(300)]
+    copy = texts[0].split()
+    copy[170] = "other"
+    texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns(near_dup._keys())
+    members = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"), "_id", "_k1", "_k2")
+    dealt = near_dup._by_prefixes(members, docs.select("_id", "_k1", "_k2", "text"), 0.8)
+    # All pairs would be 45,150.
+    meets = [set(r.n) for r in dealt.groupBy("bucket").agg(F.collect_list("node").alias("n")).collect()]
+    assert any({0, 300} <= x for x in meets)
+    assert sum(len(x) * (len(x) - 1) // 2 for x in meets) < 4000
+
+
+def test_shares_bound_the_similarity():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        n = rnd.integers(1, 12, 2)
+        a, b = (np.sort(rnd.choice(14, k, replace=False)).astype(np.uint64) for k in n)
+        x, y = (rnd.integers(1, 30, k) for k in n)
+        p, q = (float(w[np.isin(own, other)].sum() / w.sum()) for w, own, other in ((x, a, b), (y, b, a)))
+        assert near_dup.probability_jaccard(a, x, b, y) <= (p * q / (p + q - p * q) if p and q else 0) + 1e-9
