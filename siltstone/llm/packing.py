@@ -28,8 +28,8 @@ from siltstone.llm.storage import written
 from siltstone.llm.tokens import encoder, slices
 
 CAPACITY = 4096
-#: Groups among which the pieces of one size are dealt before they are numbered.
-SALTS = 64
+#: Pieces of a group, on average: the pieces of one size are dealt to groups before they are numbered.
+GROUP = 1_000_000
 
 
 @dataclass
@@ -161,7 +161,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(cut), kinds)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """pieces, which have a column `length` from 1 to capacity, with sequence_id and offset.
 
     Offsets are gapless from 0 in every sequence. Pieces of one length are ranked by their number in
@@ -169,19 +169,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     """
     own = ["sequence_id", "offset", "_row", "_salt", "_rank", "_upto"]
     numbered = pieces.drop(*own).withColumn("_row", F.monotonically_increasing_id())
-    fixed = written(numbered.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")), "pieces")
-    counted = fixed.groupBy("length", "_salt").agg(F.count("*").alias("n")).groupBy("length").agg(F.sum("n").alias("n"), F.collect_list(F.struct("_salt", "n")).alias("parts"))
-    upto = lambda k: F.aggregate(F.filter("parts", lambda p: p["_salt"] < k), F.lit(0).cast("long"), lambda x, p: x + p["n"])
-    counted = written(counted.select("length", "n", F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), upto).alias("_upto")), "piece-counts")
-    totals = counted.select("length", "n").collect()  # capacity rows at most
-    found = plan({int(r["length"]): int(r["n"]) for r in totals}, capacity)
+    fixed = written(numbered, "pieces")
+    totals = {int(r["length"]): int(r["n"]) for r in fixed.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    found = plan(totals, capacity)
+    # A size has a group for each `group` of its pieces, so there are capacity groups and one for each `group` of all pieces at most.
+    groups = fixed.sparkSession.createDataFrame([(size, -(-n // group)) for size, n in totals.items()], "length long, _groups long")
+    fixed = fixed.join(F.broadcast(groups), "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), "_groups")).drop("_groups")
+    counted = fixed.groupBy("length", "_salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = written(counted.select("length", "_salt", before.alias("_upto")), "piece-counts")
     # Segments of a size begin at key size * (n + 1) + rank, so one binary search finds a piece's segment.
-    wide = max((int(r["n"]) for r in totals), default=0) + 1
+    wide = max(totals.values(), default=0) + 1
     keys = found.size * wide + found.rank
 
     ranked = fixed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1)
-    # One row a size, capacity rows of `salts` numbers at most (2 MB): the bound is what allows the broadcast.
-    placed = ranked.join(F.broadcast(counted.select("length", "_upto")), "length")
+    placed = ranked.join(counted, ["length", "_salt"])
     names = [c for c in fixed.columns if c not in ("_salt", "_row")]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,4 +195,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     schema = fixed.select(names).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return placed.select(*names, (F.col("_rank") + F.get("_upto", F.col("_salt"))).cast("long").alias("_rank")).mapInArrow(frugal(assign), schema)
+    return placed.select(*names, (F.col("_rank") + F.col("_upto")).cast("long").alias("_rank")).mapInArrow(frugal(assign), schema)

@@ -88,3 +88,20 @@ def test_pieces_keep_their_ids_and_an_empty_table_gives_none(spark):
     rows = sorted(packing.pack(pieces, 3).collect(), key=lambda r: r.piece)
     assert [len(r.ids) for r in rows] == [3, 1] and rows[1].ids == [1]
     assert packing.pack(pieces.where("doc_id = 9"), 3).count() == 0
+
+
+@pytest.mark.parametrize("group", [1, 3, 1000])
+def test_sizes_are_numbered_in_groups_by_their_count(spark, group):
+    rnd = random.Random(group)
+    sizes = [rnd.choice([64, 64, 64, 30, 7, rnd.randint(1, 64)]) for _ in range(200)]
+    packed = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").repartition(5), 64, group).collect()
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.doc_id for r in packed) == list(range(200))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
