@@ -30,14 +30,51 @@ PART_ROWS = 50_000
 BROADCAST_NUMBERS = 1 << 20
 
 
+def _stirling_rest(n: int) -> float:
+    """ln n! without Stirling's formula: what (n + 1/2) ln n - n + ln(2 pi) / 2 leaves."""
+    if n <= 15:
+        return math.log(math.factorial(n)) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    s = 1 / (n * n)
+    return (1 / 12 - s * (1 / 360 - s * (1 / 1260 - s / 1680))) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x, without cancellation where the two are close."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        k += 2
+        if total + term / k == total:
+            return total
+        total += term / k
+
+
+def _binomial(x: int, n: int, p: float) -> float:
+    """The probability of x hits in n tries, by the saddle point: no differences of large logarithms."""
+    if x in (0, n):
+        return math.exp(n * (math.log1p(-p) if x == 0 else math.log(p))) if n else 1.0
+    log = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+    return math.exp(log) * math.sqrt(n / (2 * math.pi * x * (n - x)))
+
+
+def hypergeometric_probability(k: int, good: int, bad: int, n: int) -> float:
+    """The probability that k of n draws without replacement are good, to about 14 digits at any size: three binomial ones."""
+    p = n / (good + bad)
+    if p == 1:
+        return float(k == good)
+    return _binomial(k, good, p) * _binomial(n - k, bad, p) / _binomial(n, good + bad, p)
+
+
 def hypergeometric(rnd: random.Random, good: int, bad: int, n: int) -> int:
     """How many of n draws without replacement from good + bad are good: inversion, outwards from the mode."""
     low, high = max(0, n - bad), min(good, n)
     if low == high:
         return low
     mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    comb = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-    p = math.exp(comb(good, mode) + comb(bad, n - mode) - comb(good + bad, n))
+    p = hypergeometric_probability(mode, good, bad, n)
     u = rnd.random() - p
     up = down = mode
     p_up = p_down = p
