@@ -225,20 +225,29 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     """Write a record per row of pages (page_id, url, html) and return the manifest: folder, path, n_records.
 
     Of the records with equal payloads of at least least_bytes, that with the largest page_id is the response and the
-    others revisit it. A null html is an empty payload; a null page_id counts as the smallest. Of rows that share the
-    largest page_id and the payload one is the response and the others revisit it, by its page_id. Packages hold
+    others revisit it. A null html is an empty payload; a null page_id counts as the smallest; an empty table gives an empty manifest. Of rows that share the
+    largest page_id and the payload the one of the last url is the response and the others revisit it, by its page_id. Packages hold
     package_bytes and a record at most, however much a task is given. Only packages that the manifest names count, so
     attempts of lost executors leave nothing that is read.
     """
     folder = worker_folder(pages.sparkSession, "warc", folder)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    # The number of a row parts those that share page_id and payload.
-    rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "n": F.octet_length("html"), "x": F.xxhash64("html"), "row": F.monotonically_increasing_id()})
-    # Payloads are equal if length, SHA-1 and a second hash are.
-    best = rows.groupBy("n", "sha", "x").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count("*").alias("copies")).where(f"copies > 1 and n >= {int(least_bytes)}").drop("copies")
-    is_best = F.col("best").isNull() | (F.col("row") == F.col("best.row"))
-    joined = rows.join(best, ["n", "sha", "x"], "left").select("page_id", "url", "html", F.col("best.page_id").alias("refers_to"), is_best.alias("response"))
+    key = ["n", "sha", "x"]
+    rows = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "n": F.octet_length("html"), "x": F.xxhash64("html")})
+    # Payloads are equal if length, SHA-1 and a second hash are. What is best is written before it is joined, without any html, so that
+    # a payload which many pages have can be split between tasks.
+    same = rows.groupBy(*key, "page_id", "url").agg(F.count("*").alias("rows"))
+    best = same.groupBy(*key).agg(F.max(F.struct("page_id", "url", "rows")).alias("best"), F.sum("rows").alias("copies")).where(f"copies > 1 and n >= {int(least_bytes)}")
+    best = written(best.drop("copies"), "warc-best")
+    tied = F.coalesce(F.col("page_id").eqNullSafe(F.col("best.page_id")) & F.col("url").eqNullSafe(F.col("best.url")) & F.col("best").isNotNull(), F.lit(False))
+    every = rows.join(best, key, "left").withColumns({"tied": tied, "refers_to": F.col("best.page_id")})
+    columns = ["page_id", "url", "html", "refers_to", "response"]
+    joined = every.where(~F.col("tied") | (F.col("best.rows") == 1)).withColumn("response", F.col("best").isNull() | F.col("tied")).select(columns)
+    if best.where("best.rows > 1").limit(1).count():
+        # Rows that agree in everything are one text so many times: the first is the response.
+        one = every.where(F.col("tied") & (F.col("best.rows") > 1)).groupBy(*key, "page_id", "url", "refers_to").agg(F.first("html").alias("html"), F.count("*").alias("rows"))
+        joined = joined.unionByName(one.select("page_id", "url", "html", "refers_to", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "rows"), lambda i: i == 1)).alias("response")))
     joined = joined.withColumn("part", F.spark_partition_id())
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

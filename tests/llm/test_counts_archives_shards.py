@@ -1,5 +1,7 @@
 import io
+import math
 import random
+from decimal import Decimal, localcontext
 import struct
 import zipfile
 import zlib
@@ -234,3 +236,41 @@ def test_foreign_and_broken_archives():
     with pytest.raises(warc.BadArchive):
         list(warc.package_records(io.BytesIO(raw), len(raw)))
     assert struct.calcsize("<I") == 4
+
+
+@pytest.mark.parametrize("total", [10**2, 10**5, 10**9, 10**10, 10**12, 10**15])
+@pytest.mark.parametrize(("part", "share"), [(16, 1000), (2, 3), (16, 16384)])
+def test_the_law_is_exact_at_any_size(total, part, share):
+    """Against 80 digits: the lost digits of differences of logarithms of factorials were 1 % at 10 ** 12."""
+    good, n = total // part, max(1, total // share)
+    mode = (n + 1) * (good + 1) // (total + 2)
+
+    def log_factorial(x):
+        if x < 2000:
+            return Decimal(math.factorial(x)).ln()
+        d = Decimal(x)
+        pi = Decimal("3.14159265358979323846264338327950288419716939937510582097494459230781640628620899862803482534211706798")
+        return d * d.ln() - d + (2 * pi * d).ln() / 2 + 1 / (12 * d) - 1 / (360 * d**3) + 1 / (1260 * d**5) - 1 / (1680 * d**7) + 1 / (1188 * d**9)
+
+    with localcontext() as c:
+        c.prec = 80
+        comb = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+        for k in {mode, max(0, mode - 3), min(good, n, mode + 3)}:
+            want = float((comb(good, k) + comb(total - good, n - k) - comb(total, n)).exp())
+            assert sharding.hypergeometric_probability(k, good, total - good, n) == pytest.approx(want, rel=1e-11)
+
+
+def test_probabilities_add_up_to_one():
+    for good, bad, n in ((6, 4, 5), (1, 9, 10), (300, 40, 77), (5, 0, 3), (0, 5, 2)):
+        assert sum(sharding.hypergeometric_probability(k, good, bad, n) for k in range(max(0, n - bad), min(good, n) + 1)) == pytest.approx(1, abs=1e-12)
+
+
+def test_a_payload_that_half_the_pages_share(spark):
+    """Rows that share page_id and payload too: one response a payload, whatever the number of copies."""
+    rows = [(i, f"http://x/{i}", "same" * 50 if i % 2 else f"own {i}") for i in range(400)] + [(399, "http://x/again", "same" * 50)] * 5 + [(None, None, "same" * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    found = warc.read_archives(warc.write_archives(pages)).collect()
+    same = [r for r in found if r.payload_bytes == 200]
+    assert len(found) == 406 and sum(r.record_type == "response" for r in same) == 1
+    assert next(r for r in same if r.record_type == "response").page_id == 399
+    assert {r.refers_to for r in same if r.record_type == "revisit"} == {399}
