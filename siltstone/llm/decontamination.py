@@ -40,6 +40,8 @@ STRIDES = 8
 #: Items that are searched at once, which bounds what a worker holds (some 11 KB a fingerprint, of which an item has one
 #: or two). More items are searched in further passes over the texts.
 ITEMS_A_PASS = 8192
+#: Bytes of the items of a pass, unless one item alone has more: they and what is made of them reach the driver and every worker.
+BYTES_A_PASS = 16 << 20
 #: Pairs of windows and fingerprints that are compared at once.
 _PAIRS_AT_ONCE = 1 << 20
 #: Words of texts that are fingerprinted at once: their running sums stay in a core's own cache.
@@ -278,13 +280,13 @@ def matches(column: pa.Array, index: Index, similarity: float = SIMILARITY) -> I
         yield t, item, value, where, min(len(index.codes[item]), int(w.first[t + 1] - w.first[t]))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_a_pass: int = ITEMS_A_PASS, bytes_a_pass: int = BYTES_A_PASS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: documents that hold a passage similar to a benchmark item.
 
     docs: doc_id, text. benchmark: item_id, text. Items without words match nothing; items of fewer words than a
     shingle are one shingle. Null texts hold nothing; rows that stand twice give two rows; either table can be empty.
-    Items come to the driver in passes of items_a_pass, so what it and a task hold of them is bounded; where there are
-    more, the result of each pass is written before the next.
+    Items come to the driver in passes of items_a_pass and bytes_a_pass at most (one longer item is a pass), so what it and a
+    task hold of them is bounded; where there are more, the result of each pass is written before the next.
     """
     fields = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]
     kinds = "doc_id long, item_id long, similarity double, first_word long, n_words long"
@@ -303,13 +305,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return rows.mapInArrow(frugal(run), kinds)
 
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().orderBy("item_id", "text")
-    done, ids, texts = [], [], []
+    done, ids, texts, held = [], [], [], 0
     for item_id, text in items.toLocalIterator():
-        if len(ids) == items_a_pass:
+        size = len((text or "").encode())
+        if ids and (len(ids) == items_a_pass or held + size > bytes_a_pass):
             done.append(written(search(Index(ids, texts)), "hits"))
-            ids, texts = [], []
+            ids, texts, held = [], [], 0
         ids.append(item_id)
         texts.append(text)
+        held += size
     return functools.reduce(DataFrame.unionByName, done, search(Index(ids, texts)))
 
 

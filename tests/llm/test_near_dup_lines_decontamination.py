@@ -271,8 +271,8 @@ def test_contaminated_documents_against_brute_force(spark):
     docs += [(200, items[3][1]), (201, None), (202, ""), (203, "a tiny b"), (None, items[4][1])]
     table = spark.createDataFrame([(i, t, 0.5) for i, t in docs], "doc_id long, text string, similarity double")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (20_000, 10):
-        got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(table, bench, items_a_pass=size).collect()}
+    for size in ({}, {"items_a_pass": 10}, {"bytes_a_pass": 1500}):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(table, bench, **size).collect()}
         want = brute_hits(docs, items)
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     left = decontamination.decontaminate(table, bench)
