@@ -28,14 +28,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one holds; n_chars, where there is such a column, follows the text.
 
-    A later copy is left with an empty text. Rows that share id and text are one document that stands twice: both keep what it keeps.
+    A document of which no word is left, as of a later copy, goes: it has nothing to train on. Rows that share id and text are one
+    document that stands twice: both keep what it keeps.
     """
-    out = without_repeats(docs)
+    # A word is what is not an ASCII blank.
+    out = without_repeats(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of the lowest doc_id; emptied copies are one class. Of rows that share id and text one stays."""
+    """One document of each near-duplicate class, that of the lowest doc_id. Of rows that share id and text one stays."""
     return without_near_duplicates(docs)
 
 
