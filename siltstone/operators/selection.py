@@ -1,14 +1,20 @@
 """Selections that depend on what was selected before: exact counts, quotas, replays, diverse picks and fresh sources.
 
-Greedy rules are stated as sets where that is the same, and else run on a bounded head of each pool, or in rounds.
+Greedy rules are stated as sets where that is the same; else a task walks through a bounded head of each pool, or through
+each component of rows that can decide about each other.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.numbers import stable_hash
+from siltstone.operators.graph import components
 from siltstone.operators.ranking import first_wins, quota, ranked, with_positions
 from siltstone.sources.shared import fixed
 
@@ -69,53 +75,111 @@ def stratified(rows: DataFrame, category: str, categories: list[str], position:
     return place.withColumn("_at", F.col("_place") - 1).join(slots, [category, "_at"]).drop("_at", "_place")
 
 
-def diverse(rows: DataFrame, pool: str, pools: list[str], video: str, key: str, salt: str, count: int) -> list[str]:
-    """Keys of `count` rows, taken pool by pool in turn: first rows of videos that no row was taken of yet, then any. Pools are in salted hash order.
+def diverse(rows: DataFrame, pool: str, pools: list[str], video: str, key: str, salt: str, count: int) -> DataFrame:
+    """place, key of `count` rows, taken pool by pool in turn: first rows of videos that no row was taken of yet, then any. Pools are in salted hash order.
 
     Each turn looks at a pool's first row that will do. Of the videos at most `count` are taken, so the first rows of 2 * count
-    videos and the first 2 * count rows of each pool are all that the walk can reach: these reach the driver.
+    videos and the first 2 * count rows of each pool are all that the walk can reach: a task walks through these. TooFew if rows do not suffice.
     """
     hashed = rows.where(F.col(pool).isin(*pools)).withColumn("_rank", stable_hash(F.concat(F.lit(f"{salt}-"), F.col(pool)), key))
     heads = quota(first_wins(hashed, [pool, video], ["_rank", key]), [pool], ["_rank", key], 2 * count)
     any_ = quota(hashed, [pool], ["_rank", key], 2 * count)
-    reach = heads.unionByName(any_).select(pool, video, key, "_rank").distinct().orderBy(pool, "_rank", key).collect()
-    left = {p: [(r[video], r[key]) for r in reach if r[pool] == p] for p in pools}
-    taken, seen = [], set()
-    for new_only in (True, False):
-        moved = True
-        while len(taken) < count and moved:
-            moved = False
-            for p in pools:
+    reach = heads.unionByName(any_).select(F.col(pool).alias("pool"), F.col(video).alias("video"), F.col(key).alias("key"), "_rank").distinct()
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: dict[str, list[tuple]] = {p: [] for p in pools}
+        for pdf in batches:
+            for p, v, k in zip(pdf["pool"], pdf["video"], pdf["key"], strict=True):
+                left[p].append((v, k))
+        taken, seen = [], set()
+        for new_only in (True, False):
+            idle = 0
+            for p in itertools.cycle(pools):
+                if len(taken) == count or idle == len(pools):
+                    break
                 k = next((i for i, (v, _) in enumerate(left[p]) if not new_only or v not in seen), None)
-                if k is not None and len(taken) < count:
+                idle = idle + 1 if k is None else 0
+                if k is not None:
                     v, one = left[p].pop(k)
                     taken.append(one)
                     seen.add(v)
-                    moved = True
-    if len(taken) < count:
-        raise TooFew(f"{salt}: {len(taken)} of {count} rows")
-    return taken
+        yield pd.DataFrame({"place": range(len(taken)), "key": taken})
+
+    kind = rows.schema[key].dataType.simpleString()
+    chosen = fixed(reach.repartition(1).sortWithinPartitions("pool", "_rank", "key").mapInPandas(walk, f"place long, key {kind}"), "diverse")
+    if (n := chosen.count()) < count:
+        raise TooFew(f"{salt}: {n} of {count} rows")
+    return chosen
+
+
+#: Links (a row and one of its keys) up to which one task walks through all of them: some 200 MB.
+LINKS_A_TASK = 2_000_000
+
+
+def _walked(rows: DataFrame, position: str) -> DataFrame:
+    """rows (group, position, keys) in order of group and position, as accepted rows: position. What a task holds are the keys taken in one group."""
 
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, taken = None, set()
+        for pdf in batches:
+            out = []
+            for g, p, keys in zip(pdf["_group"], pdf[position], pdf["_keys"], strict=True):
+                if g != group:
+                    group, taken = g, set()
+                if taken.isdisjoint(keys):
+                    taken.update(keys)
+                    out.append(p)
+            yield pd.DataFrame({position: out})
 
-def first_come(rows: DataFrame, position: str, keys: str) -> DataFrame:
+    return rows.sortWithinPartitions("_group", position).mapInPandas(walk, f"{position} {rows.schema[position].dataType.simpleString()}")
+
+
+def first_come(rows: DataFrame, position: str, keys: str, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     """rows with accepted: those that a walk by position takes, if a row is refused when one taken before shares any of its keys (an array).
 
-    In rounds: a row that comes first for all its keys is taken, and those that share a key with it are refused. There are as
-    many rounds as the longest chain of rows of which each depends on the one before.
+    Positions are unique. Up to links_a_task links one task walks through all rows. Beyond that rows that are connected by keys
+    are a component, and components are walked through by many tasks at once; one with more links is decided in rounds, in
+    which no task holds more than a share of it. A row without keys is taken.
+    """
+    held = F.array_distinct(F.filter(F.coalesce(F.col(keys), F.array().cast("array<string>")), lambda k: k.isNotNull()))
+    keyed = fixed(rows.select(position, held.alias("_keys")), "keyed")
+    n = keyed.agg(F.sum(F.size("_keys"))).first()[0] or 0
+    if n <= links_a_task:
+        taken = _walked(keyed.withColumn("_group", F.lit(0)).repartition(1), position)
+    else:
+        # A row and a key are one node each; where two had the same hash, components would only be larger.
+        node = F.xxhash64(F.lit(1), position)
+        links = keyed.select(node.alias("u"), F.explode("_keys").alias("_key")).select("u", F.xxhash64(F.lit(2), "_key").alias("v"))
+        labels = fixed(components(links), "components")
+        alone = F.coalesce("label", node)
+        grouped = fixed(keyed.withColumn("node", node).join(labels, "node", "left").select(position, "_keys", alone.alias("_group")), "grouped")
+        sizes = fixed(grouped.groupBy("_group").agg(F.sum(F.size("_keys")).alias("_n")).where(F.col("_n") > links_a_task).select("_group"), "giants")
+        spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        taken = _walked(grouped.join(sizes, "_group", "left_anti").repartition(spread, "_group"), position)
+        if sizes.limit(1).count():
+            taken = taken.unionByName(_in_rounds(grouped.join(sizes, "_group", "left_semi"), position))
+    taken = fixed(taken, "taken")
+    return rows.join(taken.withColumn("accepted", F.lit(True)), position, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def _in_rounds(rows: DataFrame, position: str) -> DataFrame:
+    """Positions that the walk takes, without a walk: a row that comes first for all its keys is taken, and those that share a key with it are refused.
+
+    There are as many rounds as the longest chain of rows of which each depends on the one before.
     """
-    undecided = fixed(rows.select(position, F.explode_outer(keys).alias("_key")).distinct(), "undecided")
+    undecided = fixed(rows.select(position, F.explode("_keys").alias("_key")), "undecided")
     taken = None
     while True:
-        first = undecided.groupBy("_key").agg(F.min(position).alias("_first"))
-        firsts = undecided.join(first.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left")
-        new = fixed(firsts.groupBy(position).agg(F.min((F.col("_first") == F.col(position)) | F.col("_key").isNull()).alias("ok")).where("ok").select(position), "taken")
+        # Written first: the rows of a key that very many have can then be split.
+        first = fixed(undecided.groupBy("_key").agg(F.min(position).alias("_first")), "first")
+        new = undecided.join(first, "_key").groupBy(position).agg(F.min(F.col("_first") == F.col(position)).alias("ok")).where("ok").select(position)
+        new = fixed(new, "taken")
         taken = new if taken is None else taken.unionByName(new)
-        closed = undecided.join(new, position, "left_semi").select("_key").where("_key is not null").distinct()
-        gone = undecided.join(closed, "_key", "left_semi").select(position).unionByName(new).distinct()
-        undecided = fixed(undecided.join(gone, position, "left_anti"), "undecided")
+        closed = fixed(undecided.join(new, position, "left_semi").select("_key").distinct(), "closed")
+        gone = undecided.join(closed, "_key", "left_semi").select(position).distinct()
+        undecided = fixed(undecided.join(fixed(gone, "gone"), position, "left_anti"), "undecided")
         if not undecided.limit(1).count():
-            break
-    return rows.join(taken.withColumn("accepted", F.lit(True)), position, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+            return taken
 
 
 def fresh_sources(rows: DataFrame, prior_names: DataFrame, prior_hashes: DataFrame, position: str = "position") -> DataFrame:

@@ -495,7 +495,21 @@ def stm01_bounded_pull(spark, d):
     docs.unionByName(docs.where("doc_id % 3 = 0")).write.parquet(f"{root}/in")
     for _ in range(2):
         incremental.bounded_pull(spark.readStream.schema(docs.schema).parquet(f"{root}/in"), "grp", "doc_id", 5, f"{root}/out", f"{root}/state")
-    return spark.read.schema(docs.schema).option("recursiveFileLookup", True).parquet(f"{root}/out").groupBy("grp").agg(F.count_distinct("doc_id").alias("n"))
+    return spark.read.schema(docs.schema).parquet(f"{root}/out").groupBy("grp").agg(F.count_distinct("doc_id").alias("n"))
+
+
+@query("""
+select doc_id, grp from (select doc_id, grp, row_number() over (partition by grp order by part, sha256('mix' || chr(31) || doc_id)) as place
+  from (select doc_id, lang as grp, (doc_id % 5 >= 3)::int as part from documents)) where place <= 20
+""")
+def src15_shuffled_pull(spark, d):
+    """20 rows a language of a stream that comes in two parts, shuffled within each; the second run goes on where the first one stopped."""
+    root = folder(spark, "shuffled")
+    docs = t(spark, d, "documents").select("doc_id", F.col("lang").alias("grp"))
+    for rest in ("doc_id % 5 < 3", "doc_id % 5 >= 3"):
+        docs.where(rest).write.mode("append").parquet(f"{root}/in")
+        incremental.bounded_pull(spark.readStream.schema(docs.schema).parquet(f"{root}/in"), "grp", "doc_id", 20, f"{root}/out", f"{root}/state", "mix")
+    return spark.read.schema(docs.schema).parquet(f"{root}/out")
 
 
 @query("select 'good' as route, count(*) as n from labels where quality = 1 union all select 'bad', count(*) from labels where quality is distinct from 1")

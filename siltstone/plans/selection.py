@@ -70,12 +70,22 @@ def win04_round_robin(spark, d):
     return ranking.round_robin(t(spark, d, "documents").select("doc_id", "lang", "n_chars"), "lang", [F.desc("n_chars"), "doc_id"]).select("doc_id", "lang", "turn", "place")
 
 
-@query()
+@query(f"""
+with recursive r as (select *, row_number() over (partition by route order by h, key) as place from (
+    select route, list_position([{', '.join(repr(x) for x in lexicon.SUBTASKS)}], route) - 1 as pool, video, doc_id::varchar as key, sha256('replay-' || route || chr(31) || doc_id) as h from {_ROWS})),
+g as (select 0 as step, 0 as pool, 0 as again, 0 as idle, []::varchar[] as keys, []::varchar[] as seen
+  union all select step + 1, case when idle_now = {len(lexicon.SUBTASKS)} then 0 else (pool + 1) % {len(lexicon.SUBTASKS)} end, case when idle_now = {len(lexicon.SUBTASKS)} then 1 else again end, case when idle_now = {len(lexicon.SUBTASKS)} then 0 else idle_now end, keys_now, seen_now from (
+    select g.step, g.pool, g.again, case when p.key is null then g.idle + 1 else 0 end as idle_now,
+      case when p.key is null then g.keys else list_append(g.keys, p.key) end as keys_now, case when p.key is null then g.seen else list_append(g.seen, p.video) end as seen_now
+    from g left join lateral (select arg_min(r.key, r.place) as key, arg_min(r.video, r.place) as video from r
+      where r.pool = g.pool and not list_contains(g.keys, r.key) and (g.again = 1 or not list_contains(g.seen, r.video))) p on true
+    where len(g.keys) < 40 and g.step < 2000))
+select unnest(range(40)) as place, unnest(keys) as key from (select keys from g where len(keys) = 40 order by step limit 1)
+""")
 def win04_diverse_replay(spark, d):
     """40 rows, route by route in turn, first of videos that were not taken yet."""
     rows = _rows(spark, d).select("route", "video", F.col("doc_id").cast("string").alias("key"))
-    keys = selection.diverse(rows, "route", list(lexicon.SUBTASKS), "video", "key", "replay", 40)
-    return spark.createDataFrame(list(enumerate(keys)), "place int, key string")
+    return selection.diverse(rows, "route", list(lexicon.SUBTASKS), "video", "key", "replay", 40)
 
 
 _SOURCES = """

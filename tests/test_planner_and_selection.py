@@ -48,7 +48,11 @@ def test_greedy_walks_against_plain_loops(spark):
     for seed in range(3):
         rnd = random.Random(seed)
         rows = [(i, [f"k{rnd.randrange(25)}" for _ in range(rnd.randint(0, 3))]) for i in range(60)]
-        got = {r.p: r.accepted for r in selection.first_come(spark.createDataFrame(rows, "p int, keys array<string>"), "p", "keys").collect()}
+        rows += [(60, None), (61, []), (62, ["k1", None, "k1"]), (63, [None])]
+        table = spark.createDataFrame(rows, "p int, keys array<string>")
+        # In one task, by components, and with components that are decided in rounds.
+        got = {r.p: r.accepted for r in selection.first_come(table, "p", "keys", (2_000_000, 40, 3)[seed]).collect()}
+        rows = [(p, [k for k in keys or [] if k]) for p, keys in rows]
         seen, want = set(), {}
         for p, keys in rows:
             want[p] = not seen & set(keys)
@@ -57,6 +61,26 @@ def test_greedy_walks_against_plain_loops(spark):
         assert got == want
 
 
+def test_a_long_chain_takes_few_jobs(spark):
+    """Each row shares a key with the next: rounds would be 50,000."""
+    chain = spark.range(100_000).select(F.col("id").alias("p"), F.array(F.concat(F.lit("k"), F.col("id").cast("string")), F.concat(F.lit("k"), (F.col("id") + 1).cast("string"))).alias("keys"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    found = selection.first_come(chain, "p", "keys")
+    assert found.where("accepted <> (p % 2 = 0)").count() == 0 and found.count() == 100_000
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 20
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_a_large_table_are_walked_apart(spark):
+    rows = [(i, [f"c{i % 50}-{(i * 7) % 11}", f"c{i % 50}-{(i * 5) % 11}"]) for i in range(1500)]
+    got = {r.p: r.accepted for r in selection.first_come(spark.createDataFrame(rows, "p long, keys array<string>"), "p", "keys", 200).collect()}
+    seen = set()
+    for p, keys in rows:
+        ok = not seen & set(keys)
+        seen |= set(keys) if ok else set()
+        assert got[p] == ok
+
+
 def test_diverse_picks_against_a_plain_loop(spark):
     for seed in range(4):
         rnd = random.Random(seed)
@@ -76,7 +100,8 @@ def test_diverse_picks_against_a_plain_loop(spark):
                         want.append(r[2])
                         seen.add(r[1])
                         moved = True
-        assert selection.diverse(df, "pool", list("bca"), "video", "key", "s", 20) == want
+        got = selection.diverse(df, "pool", list("bca"), "video", "key", "s", 20).orderBy("place").collect()
+        assert [r.key for r in got] == want and [r.place for r in got] == list(range(20))
     with pytest.raises(selection.TooFew):
         selection.diverse(df, "pool", ["a"], "video", "key", "s", 999)
 
