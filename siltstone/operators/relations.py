@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import ngrams, padded, signature_pattern, tokens
+from siltstone.functions.text import ngrams, padded, tokens
 
 
 #: Distinct runs of the right side up to which their hashes are broadcast (8 bytes each) to thin out the left side's.
@@ -27,29 +27,6 @@ def shared_ngrams(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return held.join(wanted, "_run").groupBy(left_id, right_id).agg(F.count("*").alias("n_shared"))
 
 
-def paired_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, texts: list[str], n: int) -> DataFrame:
-    """Pairs of rows that share runs of n words in every one of the texts."""
-    pairs = [shared_ngrams(left, right, left_id, right_id, t, n).withColumnRenamed("n_shared", f"n_{t}") for t in texts]
-    return reduce(lambda a, b: a.join(b, [left_id, right_id]), pairs)
-
-
-def signature_matches(signatures: DataFrame, texts: DataFrame, signature: str, text: str, at_once: int = 10_000) -> DataFrame:
-    """Texts that match a template signature, __slot__ standing for any words.
-
-    Signatures without a slot are an equi-join. The others are a theta join, which needs one side on every executor: the
-    signatures, at_once of them; more are matched in further passes.
-    """
-    distinct = signatures.select(signature).where(F.col(signature).isNotNull()).distinct()
-    slotted = F.col(signature).contains("__slot__")
-    out = texts.join(distinct.where(~slotted), F.col(text) == F.col(signature))
-    patterns = distinct.where(slotted).withColumn("_pattern", signature_pattern(F.col(signature)))
-    parts = max(1, -(-patterns.count() // at_once))
-    for k in range(parts):
-        part = patterns.where(F.pmod(F.xxhash64(signature), F.lit(parts)) == k)
-        out = out.unionByName(texts.join(F.broadcast(part), F.rlike(F.col(text), F.col("_pattern"))).drop("_pattern"))
-    return out
-
-
 def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, normal: str, phrase: str, most_words: int = 8) -> DataFrame:
     """key, phrase: normalised texts that contain a normalised phrase. An equi-join on runs of words of the phrase's length.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import numbers, text
-from siltstone.operators import metrics, ranking, relations
+from siltstone.operators import metrics, overlap, patterns, ranking, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,8 +172,25 @@ def join11_ngram_contamination(spark, d):
 
 @query(f"select count(*) as pair_count, count(distinct doc_id) as n_docs, count(distinct item_id) as n_items from (select a.doc_id, b.item_id from {_grams('documents', 'doc_id', 'text', 4)} a join {_grams('benchmark', 'item_id', 'text', 4)} b on a.g = b.g group by a.doc_id, b.item_id)")
 def agg20_overlap_summary(spark, d):
-    pairs = relations.shared_ngrams(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id", "text", 4)
-    return pairs.agg(F.count("*").alias("pair_count"), F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("item_id").alias("n_items"))
+    """Of all pairs that share a run of four words, counted without a row for each of those that common runs make."""
+    found = overlap.paired_overlap(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id", {"text": 4}, rare=100)
+    return found.summary().select("pair_count", F.col("n_left").alias("n_docs"), F.col("n_right").alias("n_items"))
+
+
+_TONES = "(select *, 'keep the ' || {0} || ' voice of it all in {1}' as tone from {1})"
+
+
+@query(f"""
+with a as {_grams(_TONES.format("lang", "documents"), 'doc_id', 'text', 4)}, b as {_grams(_TONES.format("['en', 'de', 'fr', 'es'][item_id % 4 + 1]", "benchmark"), 'item_id', 'text', 4)},
+x as {_grams(_TONES.format("lang", "documents"), 'doc_id', 'tone', 5)}, y as {_grams(_TONES.format("['en', 'de', 'fr', 'es'][item_id % 4 + 1]", "benchmark"), 'item_id', 'tone', 5)}
+select doc_id, count(*) as n from (select distinct a.doc_id, b.item_id from a join b on a.g = b.g intersect select distinct x.doc_id, y.item_id from x join y on x.g = y.g) group by doc_id
+""")
+def join11_paired_overlap(spark, d):
+    """Texts and instructions must both overlap; instructions of a language are alike in a quarter of either side, which makes no rows."""
+    docs = t(spark, d, "documents").withColumn("tone", F.concat(F.lit("keep the "), "lang", F.lit(" voice of it all in documents")))
+    langs = F.get(F.array(*(F.lit(x) for x in ("en", "de", "fr", "es"))), (F.col("item_id") % 4).cast("int"))
+    items = t(spark, d, "benchmark").withColumn("tone", F.concat(F.lit("keep the "), langs, F.lit(" voice of it all in benchmark")))
+    return overlap.paired_overlap(docs, items, "doc_id", "item_id", {"text": 4, "tone": 5}, rare=100).partners().select(F.col("left").alias("doc_id"), "n")
 
 
 @query("""
@@ -184,7 +201,7 @@ def join12_template_signatures(spark, d):
     """Texts by template: the patterns come from the brands, __slot__ for their digits, and some brands as they are."""
     part = t(spark, d, "part").select("p_partkey", F.lower("p_brand").alias("brand"))
     signatures = part.select(F.regexp_replace("brand", "[0-9]", "__slot__").alias("signature")).unionByName(part.where("p_partkey % 50 = 0").select(F.col("brand").alias("signature")))
-    return relations.signature_matches(signatures, part, "signature", "brand").groupBy("p_partkey").agg(F.count("*").alias("n"))
+    return patterns.signature_matches(signatures, part, "signature", "brand").groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
 @query(f"""

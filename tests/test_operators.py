@@ -123,9 +123,6 @@ def test_relations(spark):
     done = spark.createDataFrame([(1, "a", "p", 0, 5), (2, "changed", "q", 1, 6), (9, "c", "r", 2, 6), (None, "c", "r", 2, 7), (1, "a", "p", 3, 8), (1, "new", "p", 4, 9)], "idx int, v string, prompt string, pos int, score int")
     got = relations.resume_by_identity(todo, done, "idx", ["v", "prompt"], "pos", "score")
     assert {r.idx: r.score for r in got.collect()} == {1: 8, 2: None, 3: 7}
-    left = spark.createDataFrame([(1, "a b c d e", "u v w x")], "l int, p string, q string")
-    right = spark.createDataFrame([(1, "b c d e f", "u v w x"), (2, "b c d e f", "none")], "r int, p string, q string")
-    assert [(x.l, x.r) for x in relations.paired_overlap(left, right, "l", "r", ["p", "q"], 4).collect()] == [(1, 1)]
 
 
 def test_strict_and_resumable_lines(spark, tmp_path):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import exact, numbers, text
-from siltstone.operators import audits, metrics, planner, ranking, relations, selection, transforms
+from siltstone.operators import audits, metrics, patterns, planner, ranking, relations, selection, transforms
 from siltstone.sources import documents, records
 from siltstone.sources.shared import folder
 from siltstone.streaming import batches
@@ -132,7 +132,7 @@ def test_positions_and_ranks_over_many_partitions(spark):
 def test_signatures_and_long_phrases(spark):
     texts = spark.createDataFrame([(1, "put a red car there"), (2, "a b c d e f g h i j k"), (3, "x (y)")], "i int, n string")
     marks = spark.createDataFrame([("put a __slot__ there",), ("x (y)",), ("__slot__ b",)], "s string")
-    assert sorted((r.i, r.s) for r in relations.signature_matches(marks, texts, "s", "n", at_once=1).collect()) == [(1, "put a __slot__ there"), (3, "x (y)")]
+    assert sorted((r.i, r.s) for r in patterns.signature_matches(marks, texts, "s", "n", at_once=1).collect()) == [(1, "put a __slot__ there"), (3, "x (y)")]
     phrases = spark.createDataFrame([("b c d e f g h i j",), ("b c d e f g h i z",), ("red",), ("",)], "p string")
     assert sorted((r.i, r.p) for r in relations.phrase_hits(texts, phrases, "i", "n", "p").collect()) == [(1, "red"), (2, "b c d e f g h i j")]
 
