@@ -100,11 +100,6 @@ def examples(df: DataFrame, reason: str, order: str, key: str, most: int) -> Dat
     return df.groupBy(reason).agg(F.count("*").alias("n")).join(head, reason)
 
 
-def set_digest(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """SHA-256 of the distinct values, sorted and joined by line feeds. A digest of a set needs all of it in one place."""
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(value)), "\n"), 256).alias("digest"), F.count_distinct(value).alias("n"))
-
-
 def gates(metrics: DataFrame, thresholds: list[tuple[str, str, float]]) -> DataFrame:
     """name, value, operator, bound, passed for each threshold (name, one of >= <= == > <, bound); no value fails."""
     spark = metrics.sparkSession

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import numbers, text
-from siltstone.operators import metrics, overlap, patterns, ranking, relations
+from siltstone.operators import digests, metrics, overlap, patterns, ranking, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -320,7 +320,7 @@ def agg18_reasons_with_examples(spark, d):
 
 @query("select lang, sha256(string_agg(source, chr(10) order by source)) as digest, count(*) as n from (select distinct lang, source from documents) group by lang")
 def agg21_set_digest(spark, d):
-    return metrics.set_digest(t(spark, d, "documents"), "source", ["lang"])
+    return digests.set_digest(t(spark, d, "documents"), "source", ["lang"])
 
 
 @query("select source, max(case when lang = 'en' then n_chars end) as en, max(case when lang = 'fr' then n_chars end) as fr, max(case when lang = 'de' then n_chars end) as de from documents group by source")
@@ -333,11 +333,6 @@ def agg26_counts_and_sums(spark, d):
     return t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"), F.max("l_extendedprice").alias("high"))
 
 
-@query("select toxic, count(*) as n, avg(quality) as mean, sum(quality)::bigint as total from labels group by toxic")
-def agg22_stratum_summary(spark, d):
-    return t(spark, d, "labels").groupBy("toxic").agg(F.count("*").alias("n"), F.avg("quality").alias("mean"), F.sum("quality").alias("total"))
-
-
 @query()
 def agg24_paired_bootstrap(spark, d):
     """Standard errors of two candidates' mean scores, strata by toxicity; the indices of 10,000 draws come from one stream of Python's generator."""

@@ -11,9 +11,9 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators import audits
+from siltstone.operators import audits, digests
 from siltstone.plans.catalog import query, t
-from siltstone.sources import documents, records, tar
+from siltstone.sources import commits, documents, records, tar
 from siltstone.sources.shared import fixed, folder
 from siltstone.streaming import batches, incremental
 
@@ -335,12 +335,14 @@ def snk04_replaced_and_upserted(spark, d):
     return spark.createDataFrame(sorted(whole.items()), "key string, value long")
 
 
-@query("select (quality = 1)::varchar as route, count(*) as n from labels where quality is not null group by all")
+@query("select doc_id % 3 as writer, case when quality = 1 then 'accepted' else 'rejected' end as route, count(*) as n from labels group by all")
 def snk05_routed_append(spark, d):
-    root = folder(spark, "routes")
-    records.write_routed(t(spark, d, "labels").where("quality is not null"), F.col("quality") == 1, f"{root}/true", f"{root}/false")
-    parts = [spark.read.json(f"{root}/{r}").agg(F.lit(r).alias("route"), F.count("*").alias("n")) for r in ("true", "false")]
-    return parts[0].unionByName(parts[1]).where("n > 0")
+    """Three writers append their rows, accepted or rejected; each repeats its batch, as after a failure, which changes nothing."""
+    log = commits.CommitLog(spark, folder(spark, "routes"), snapshot_every=2)
+    rows = t(spark, d, "labels").withColumn("writer", F.col("doc_id") % 3)
+    for k in (0, 1, 2, 1, 0):
+        commits.append_routed(log, f"writer-{k}", 0, rows.where(F.col("writer") == k), F.col("quality") == 1)
+    return log.read(f"{rows.schema.simpleString()[7:-1].replace(':', ' ')}, route string").groupBy("writer", "route").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -348,23 +350,38 @@ with s as (select (doc_id % 300)::int as idx, lang as bench_id, source as edited
 select idx, bench_id, edited_type, coalesce(nullif(refined_prompt, ''), raw_prompt) as prompt from (select *, row_number() over (partition by idx, bench_id order by doc_id desc) as k from s) where k = 1 and success
 """)
 def snk06_merged_shards(spark, d):
+    """Ranks append their results to one table; the last of each key that succeeded is written as CSV and read again."""
     k = F.col("doc_id")
     rows = t(spark, d, "documents").select((k % 300).cast("int").alias("idx"), F.col("lang").alias("bench_id"), F.col("source").alias("edited_type"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("refined "), k.cast("string"))).alias("refined_prompt"), F.concat(F.lit("raw "), k.cast("string")).alias("raw_prompt"), (k % 6 != 0).alias("success"), "doc_id")
-    path = folder(spark, "shards")
-    rows.write.json(path)
-    return documents.merged_results(spark.read.schema(rows.schema).json(path), "doc_id")
+    log = commits.CommitLog(spark, folder(spark, "shards"))
+    for rank in range(2):
+        log.append(f"rank-{rank}", 0, rows.where(k % 2 == rank))
+    path = folder(spark, "merged")
+    merged = documents.merged_results(log.read(rows.schema), "doc_id")
+    records.write_csv(merged.orderBy("idx", "bench_id"), path)
+    return records.metadata_csv(spark, path, merged.schema)
 
 
 @query("select lang, mean from (select lang, avg(n_chars) as mean from documents group by lang) union all select 'Average', avg(mean) from (select avg(n_chars) as mean from documents group by lang)")
 def snk07_average_row(spark, d):
-    return records.with_average_row(t(spark, d, "documents").groupBy("lang").agg(F.avg("n_chars").alias("mean")), "lang", ["mean"])
+    """A table and its last row of means as CSV, read again."""
+    path = folder(spark, "averages")
+    records.write_csv(records.with_average_row(t(spark, d, "documents").groupBy("lang").agg(F.avg("n_chars").alias("mean")), "lang", ["mean"]), path)
+    return records.metadata_csv(spark, path, "lang string, mean double")
+
+
+@query("select printf('%08d', doc_id // 100) as part, sha256(string_agg(text || chr(10), '' order by doc_id)) as digest from documents where text is not null group by doc_id // 100")
+def hsh03_file_digests(spark, d):
+    """Digests of files of a hundred texts each, read a chunk at a time."""
+    root = _numbered(t(spark, d, "documents").where("text is not null"), "texts", F.col("text"), "doc_id", 100)
+    return digests.file_manifest(spark, root, "part-*").select(F.regexp_extract("path", "part=([0-9]+)/", 1).alias("part"), F.col("sha256").alias("digest"))
 
 
 @query("select sha256(repeat('m', n_nationkey + 1)) || '  ' || case when n_nationkey % 2 = 1 then 'a/' else 'b/' end || n_name || '.mp4' as line from nation")
 def snk08_sorted_manifest(spark, d):
     """Digests of files as a manifest's lines, in order of their paths."""
     root = _small_files(spark, d)
-    manifest = records.file_manifest(spark, root).where(F.col("path").endswith(".mp4")).orderBy("path").select(F.concat("sha256", F.lit("  "), "path").alias("line"))
+    manifest = digests.file_manifest(spark, root).where(F.col("path").endswith(".mp4")).orderBy("path").select(F.concat("sha256", F.lit("  "), "path").alias("line"))
     path = folder(spark, "manifest")
     manifest.coalesce(1).write.text(path)
     return spark.read.text(path).select(F.col("value").alias("line"))
@@ -376,7 +393,7 @@ def snk08_sorted_manifest(spark, d):
 @query("select case when n_nationkey = 3 then 'changed' when n_nationkey = 4 then 'missing' else 'unlisted' end as rule, case when n_nationkey % 2 = 1 then 'a/' else 'b/' end || n_name || '.mp4' as path from nation where n_nationkey in (3, 4, 5)")
 def int01_manifest_audit(spark, d):
     """A manifest against the files: one file changed, one is listed but not there, one is there but not listed."""
-    found = records.file_manifest(spark, _small_files(spark, d)).where(F.col("path").endswith(".mp4")).select("path", "sha256")
+    found = digests.file_manifest(spark, _small_files(spark, d)).where(F.col("path").endswith(".mp4")).select("path", "sha256")
     listed = found.where("path not like '%NATION_5.mp4'").withColumn("sha256", F.when(F.col("path").endswith("NATION_3.mp4"), "0" * 64).otherwise(F.col("sha256")))
     return records.verify_manifest(listed, found.where("path not like '%NATION_4.mp4'"))
 

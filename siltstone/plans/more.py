@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import lexicon, numbers, text
 from siltstone.functions.exact import py_round
-from siltstone.operators import audits, metrics, ranking, relations, transforms
+from siltstone.operators import audits, digests, metrics, ranking, relations, transforms
 from siltstone.operators.exact_sums import exact_statistics
 from siltstone.plans.catalog import _WORDS, query, t
 from siltstone.sources.shared import fixed
@@ -448,6 +448,17 @@ def mth09_accurate_means(spark, d):
     return exact_statistics(t(spark, d, "orders"), ["o_orderpriority"], "o_totalprice")
 
 
+@query(f"""
+with x as (select lang, doc_id, (n_chars % 1000)::double / 1000 as score from documents),
+s as (select lang, count(*) as n, sha256('[' || string_agg(score::varchar, ',' order by doc_id) || ']') as digest, sum((score * 2.0::double ** 70)::hugeint)::hugeint as h from x group by lang)
+select lang, n, digest, {_once_rounded("h", 70)} as total, {_once_rounded("h", 70)} / n as mean from s
+""")
+def agg22_stratum_summary(spark, d):
+    """Scores of every stratum: how many, their sum, their mean, and the digest of all of them in order."""
+    scores = t(spark, d, "documents").select("lang", "doc_id", ((F.col("n_chars") % 1000).cast("double") / 1000).alias("score"))
+    return digests.score_summary(scores, "score", ["lang"], ["doc_id"])
+
+
 @query("select n_nationkey, n_nationkey / 24.0::double as weight, 'lambda_' || lpad(round_even(n_nationkey / 24.0::double * 1000, 0)::int::varchar, 4, '0') as slug from nation")
 def mth10_lambda_slugs(spark, d):
     weight = F.col("n_nationkey") / 24.0

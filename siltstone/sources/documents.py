@@ -86,18 +86,33 @@ def text_pool(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.explode(F.when(is_list & listed.isNotNull(), listed).otherwise(plain)).alias("value"))
 
 
+def _plain(uri: Column) -> Column:
+    return F.regexp_replace(uri, "^[a-z0-9]+:/+", "/")
+
+
 def inside(spark: SparkSession, root: str, path: Column) -> Column:
     """A file's path relative to a folder that holds it, however either is written."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = str(base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base)).rstrip("/") + "/"
-    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
-    return F.substr(plain(path), F.length(plain(F.lit(base))) + 1)
+    return F.substr(_plain(path), F.length(_plain(F.lit(base))) + 1)
+
+
+def listed(spark: SparkSession, root: str, glob: str = "*", deep: bool = True) -> DataFrame:
+    """uri, length of the files below a folder whose names match; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", deep).option("pathGlobFilter", glob).load(root).select(F.col("path").alias("uri"), "length")
+    names = found._jdf.inputFiles()
+    if len(names) == found.count():
+        return found
+    # Scans leave out empty files; the listing has them, with their names as in URLs.
+    every = spark.createDataFrame([(n,) for n in names], "uri string").select(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))).alias("uri"))
+    empty = every.join(found.select(_plain(F.col("uri")).alias("_known")), _plain(F.col("uri")) == F.col("_known"), "left_anti")
+    return found.unionByName(empty.withColumn("length", F.lit(0).cast("long")))
 
 
 def files(spark: SparkSession, root: str, glob: str = "*", deep: bool = True, without: tuple[str, ...] = ()) -> DataFrame:
     """path (relative to root), length: files below a folder whose names match, without excluded ones; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", deep).option("pathGlobFilter", glob).load(root).select("path", "length")
-    return found.select(inside(spark, root, F.col("path")).alias("path"), "length").where(~F.col("path").isin(*without) if without else F.lit(True))
+    found = listed(spark, root, glob, deep)
+    return found.select(inside(spark, root, F.col("uri")).alias("path"), "length").where(~F.col("path").isin(*without) if without else F.lit(True))
 
 
 def prompted_media(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:

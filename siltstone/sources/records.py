@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.functions.exact import lenient_object
-from siltstone.sources.shared import fixed
 
 
 def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -111,13 +110,6 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return rows.where("sha256 <> ''").select("sha256", "path"), bad
 
 
-def file_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """sha256 and path (relative to root) of all files below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    inside = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    return files.select(F.sha2("content", 256).alias("sha256"), inside.alias("path"), "length")
-
-
 def verify_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
     """rule, path: files that are missing, unlisted or differ."""
     a, b = listed.select("path", F.col("sha256").alias("want")), found.select("path", F.col("sha256").alias("have"))
@@ -130,14 +122,6 @@ def write_jsonl(df: DataFrame, path: str, create_only: bool = False) -> None:
     df.write.mode("errorifexists" if create_only else "overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_routed(df: DataFrame, accepted: Column, good: str, bad: str) -> None:
-    """Append rows to one of two places, by a test; null counts as rejected."""
-    # Written once, so a step that is not deterministic cannot send a row to both places or to none.
-    done = fixed(df.withColumn("_good", F.coalesce(accepted, F.lit(False))), "routed")
-    done.where("_good").drop("_good").write.mode("append").json(good)
-    done.where("not _good").drop("_good").write.mode("append").json(bad)
-
-
 def with_average_row(df: DataFrame, label: str, values: list[str]) -> DataFrame:
     """The rows and, last, one labelled Average with the means of the values."""
     rest = [c for c in df.columns if c not in (label, *values)]
@@ -145,3 +129,8 @@ def with_average_row(df: DataFrame, label: str, values: list[str]) -> DataFrame:
     for c in rest:
         mean = mean.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
     return df.withColumn("_last", F.lit(0)).unionByName(mean.withColumn("_last", F.lit(1))).orderBy("_last", label).drop("_last")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header in each file, in the order of the rows: files sort by name as rows do."""
+    df.write.option("header", True).option("escape", '"').csv(path)

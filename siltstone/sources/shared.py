@@ -46,3 +46,17 @@ def fixed(df: DataFrame, label: str) -> DataFrame:
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def opened(uri: str):
+    """A pyarrow file system and the path in it, for workers that read or write single files by a URI as Hadoop writes it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file" or "/" in scheme:
+        # Hadoop writes local paths with one slash after the scheme, or without one.
+        return fs.LocalFileSystem(), "/" + (rest if scheme == "file" else uri).lstrip("/")
+    host, _, inside = rest.lstrip("/").partition("/")
+    # The path is taken as it is: characters that URIs have to escape stand in it plainly.
+    system, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{host}/")
+    return system, f"{base.rstrip('/')}/{inside}"

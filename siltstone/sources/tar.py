@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from siltstone.sources.shared import fixed
+from siltstone.sources.shared import fixed, opened
 
 INDEX = "shard string, name string, key string, suffix string, offset long, size long, header_bytes long"
 #: Members that lie at most so far apart are read in one range, of so many bytes at most unless one member is larger.
@@ -46,20 +46,9 @@ class _Counted:
         return self.file.tell()
 
 
-def _opened(uri: str):
-    from pyarrow import fs
-
-    # Hadoop writes local paths with one slash and names S3 otherwise.
-    scheme, colon, rest = uri.partition(":")
-    if colon and not rest.startswith("//"):
-        uri = f"{scheme}://{rest}"
-    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if colon else f"file://{uri}")
-    return system, path
-
-
 def members(uri: str) -> Iterator[tuple]:
     """shard, name, key, suffix, offset, size, header_bytes (read so far) of the files of one shard, in their order."""
-    system, path = _opened(uri)
+    system, path = opened(uri)
     with system.open_input_file(path) as raw:
         counted = _Counted(raw)
         # Without compression the module reads headers (long names and all) and seeks past contents.
@@ -83,7 +72,7 @@ class _IndexReader(DataSourceReader):
         from pyarrow import fs
 
         root = self.options["path"].rstrip("/")
-        system, path = _opened(root)
+        system, path = opened(root)
         found = system.get_file_info(fs.FileSelector(path, recursive=True)) if system.get_file_info(path).type == fs.FileType.Directory else [system.get_file_info(path)]
         base = root[: len(root) - len(path)] if root.endswith(path) else root.partition(":")[0] + "://"
         uris = sorted(base + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(self.options.get("suffix", ".tar")))
@@ -157,7 +146,7 @@ def read_members(wanted: DataFrame) -> DataFrame:
                 if uris[k] != shard:
                     if file is not None:
                         file.close()
-                    system, path = _opened(uris[k])
+                    system, path = opened(uris[k])
                     shard, file = uris[k], system.open_input_file(path)
                 raw = memoryview(file.read_at(end - offsets[k], offsets[k]))
                 content = pa.array([raw[a - offsets[k] : a - offsets[k] + n].tobytes() for a, n in zip(offsets[k:z], sizes[k:z], strict=True)], pa.binary())
@@ -195,7 +184,7 @@ def write_shards(rows: DataFrame, shard: str, name: str, content: str, folder: s
                     if open_ is not None:
                         yield closed()
                     uri = f"{folder.rstrip('/')}/{which}-{uuid.uuid4().hex}.tar"
-                    system, path = _opened(uri)
+                    system, path = opened(uri)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     stream = system.open_output_stream(path)
                     open_ = which, uri, stream, tarfile.open(fileobj=stream, mode="w|")
