@@ -31,6 +31,24 @@ def not_as_expected(observed: DataFrame, expected: DataFrame, rule: str) -> Data
     return _found(both.withColumn("_m", message).where("_m is not null"), rule, F.col("key"), F.col("_m"))
 
 
+def not_unique(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """not_unique:<name>, key, how often: values of each named column that stand in several rows; null counts as a value."""
+    parts = [df.groupBy(c.cast("string").alias("k")).agg(F.count("*").alias("n")).where("n > 1").withColumn("rule", F.lit(f"not_unique:{name}")) for name, c in columns.items()]
+    return _found_of(reduce(DataFrame.unionByName, parts))
+
+
+def _found_of(rows: DataFrame) -> DataFrame:
+    return rows.select("rule", F.col("k").alias("key"), F.concat(F.lit("stands "), F.col("n").cast("string"), F.lit(" times")).alias("message"))
+
+
+def off_distribution(df: DataFrame, column: Column, expected: dict[str, int], rule: str, where: Column | None = None) -> DataFrame:
+    """Groups, of the rows that count, whose numbers are not the expected ones."""
+    rows = df.where(where) if where is not None else df
+    have = rows.groupBy(column.cast("string").alias("key")).agg(F.count("*").cast("string").alias("value"))
+    want = df.sparkSession.createDataFrame([(k, str(n)) for k, n in expected.items()], "key string, value string")
+    return not_as_expected(have, want, rule)
+
+
 def not_recomputed(reported: DataFrame, computed: DataFrame, rule: str, tolerance: float = 1e-15) -> DataFrame:
     """Both: key, value (numbers). Figures of a report that the raw rows do not give, within a tolerance."""
     both = reported.select("key", F.col("value").alias("said")).join(computed.select("key", F.col("value").alias("real")), "key", "full")

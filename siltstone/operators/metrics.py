@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import random
 
 import numpy as np
@@ -9,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import fixed
+
 from siltstone.functions.numbers import precision_recall_f1, ratio
 
 LABELS = ("A", "B", "tie")
@@ -100,6 +104,28 @@ def examples(df: DataFrame, reason: str, order: str, key: str, most: int) -> Dat
     return df.groupBy(reason).agg(F.count("*").alias("n")).join(head, reason)
 
 
+def compared_sides(pairs: DataFrame, methods: dict[str, list[str]], a: str, b: str) -> DataFrame:
+    """pairs with method, a_score, b_score and label for each method: the mean of its dimensions (fields of the structs a and b) on either side, and which side has more."""
+    mean = lambda side, dims: reduce(lambda x, y: x + y, [F.col(f"{side}.{d}").cast("double") for d in dims]) / len(dims)
+    rows = F.array(*(F.struct(F.lit(m).alias("method"), mean(a, dims).alias("a_score"), mean(b, dims).alias("b_score")) for m, dims in methods.items()))
+    each = pairs.select("*", F.inline(rows))
+    return each.withColumn("label", F.when(F.col("a_score") > F.col("b_score"), "A").when(F.col("a_score") < F.col("b_score"), "B").otherwise("tie"))
+
+
+def best_marked(table: DataFrame, columns: dict[str, bool]) -> DataFrame:
+    """table with best_<column>: whether a row has the column's best value, the highest (true) or the lowest (false); null is never best."""
+    best = fixed(table, "scores").agg(*((F.max(c) if high else F.min(c)).alias(f"_best_{c}") for c, high in columns.items()))
+    marked = table.join(F.broadcast(best))  # one row
+    return marked.select(*table.columns, *(F.coalesce(F.col(c) == F.col(f"_best_{c}"), F.lit(False)).alias(f"best_{c}") for c in columns))
+
+
+def means_by_type(rows: DataFrame, kind: str, value: str, every: str = "global") -> DataFrame:
+    """kind, n, total, mean of each kind and, as `every`, of all rows; without rows the count of all is 0 and there is no mean."""
+    sums = rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    whole = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("total")).select(F.lit(every).alias("kind"), "n", "total")
+    return sums.unionByName(whole).withColumn("mean", F.try_divide(F.col("total").cast("double"), F.col("n")))
+
+
 def gates(metrics: DataFrame, thresholds: list[tuple[str, str, float]]) -> DataFrame:
     """name, value, operator, bound, passed for each threshold (name, one of >= <= == > <, bound); no value fails."""
     spark = metrics.sparkSession

@@ -61,6 +61,16 @@ def distinct_first(df: DataFrame, concept: str, concept_order: Column, order: li
     return with_positions(counted, keys, "place").drop("_concept_order")
 
 
+def cell_selection(df: DataFrame, cell: list[str], concept: str, concept_order: Column, order: list[str], prompt: str, most: int) -> DataFrame:
+    """At most so many rows of every cell, with place: first one row of each concept, concepts in their order, then the others; of a prompt only the first row of its cell counts."""
+    again = F.least(F.row_number().over(Window.partitionBy(*cell, concept).orderBy(*order)), F.lit(2))
+    ranked_ = df.withColumn("_concept_order", concept_order).withColumn("_again", again)
+    by = ["_again", "_concept_order", *order]
+    once = first_wins(ranked_, [*cell, prompt], by)
+    placed = once.withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy(*by)) - 1)
+    return placed.where(F.col("place") < most).drop("_again", "_concept_order")
+
+
 def round_robin(df: DataFrame, group: str, order: list[Column | str]) -> DataFrame:
     """df with turn (one row of each group a turn) and place: turn by turn, groups in order within it."""
     return with_positions(ranked(df, group, order, "turn"), ["turn", group], "place")
@@ -73,8 +83,9 @@ def evenly_spaced_rows(df: DataFrame, position: str, total: int, count: int) ->
     return wanted.join(df, position)
 
 
-def shard(position: Column, n: int) -> Column:
-    return F.pmod(position, F.lit(n))
+def shard(position: Column, n: int, total: Column | None = None) -> Column:
+    """The shard of a position by its remainder; of positions counted from the end, if total is given."""
+    return F.pmod(position if total is None else total - 1 - position, F.lit(n))
 
 
 def contiguous_rank(position: Column, total: Column, ranks: int) -> Column:

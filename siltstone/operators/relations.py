@@ -53,6 +53,20 @@ def value_overlap(values: DataFrame, texts: DataFrame, keys: list[str], value: s
     return own.join(known.distinct(), "_run", "left_semi").groupBy(*keys).agg(F.count("*").alias("n_shared"))
 
 
+def overridden(base: DataFrame, extra: DataFrame, key: str, position: str) -> DataFrame:
+    """base with the columns of extra by key, in base's order, and status: joined, missing (no partner in extra) or unknown (in extra alone, without a position)."""
+    rest = [c for c in extra.columns if c != key]
+    both = base.withColumn("_b", F.lit(True)).join(extra.withColumn("_x", F.lit(True)), key, "full")
+    status = F.when(F.col("_b").isNull(), "unknown").when(F.col("_x").isNull(), "missing").otherwise("joined")
+    return both.select(key, position, *[c for c in base.columns if c not in (key, position)], *rest, status.alias("status"))
+
+
+def zipped(left: DataFrame, right: DataFrame, position: str) -> DataFrame:
+    """Rows of equal positions, with whole: whether both sides have the position. Tables of unequal lengths show in rows that are not whole."""
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), position, "full")
+    return both.withColumn("whole", F.col("_l").isNotNull() & F.col("_r").isNotNull()).drop("_l", "_r")
+
+
 def missing_partners(rows: DataFrame, partners: DataFrame, key: str, message: str) -> DataFrame:
     """key, violation: rows without a partner."""
     return rows.join(partners, key, "left_anti").select(key, F.lit(message).alias("violation"))

@@ -54,11 +54,19 @@ def prj07_route_by_rule(spark, d):
     return t(spark, d, "events").select("event_id", F.when(e.contains("purchase"), "buy").when(e.contains("click"), "tap").otherwise("other").alias("route"))
 
 
-@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn, role, text) as chat, count(*) as turns from conversations group by conv_id")
+@query("""
+select conv_id, coalesce(first(text order by turn) filter (where role = 'system'), '') as system, ['conv_' || conv_id || '.mp4'] as videos,
+  to_json(list({'role': role, 'content': case when role = 'user' then '<video>' || chr(10) || text else text end} order by turn, role) filter (where role in ('user', 'assistant')))::varchar as messages
+from conversations group by conv_id having count_if(role in ('user', 'assistant')) > 0
+""")
 def prj04_chat_record(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    chat = F.array_join(F.transform(rows, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
-    return t(spark, d, "conversations").groupBy("conv_id").agg(chat.alias("chat"), F.count("*").alias("turns"))
+    """One record a conversation: system, messages in order (a request names its video) and videos."""
+    rows = t(spark, d, "conversations")
+    said = F.when(F.col("role") == "user", F.concat(F.lit("<video>\n"), "text")).otherwise(F.col("text"))
+    message = F.when(F.col("role").isin("user", "assistant"), F.struct("turn", "role", said.alias("content")))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"), F.min_by(F.when(F.col("role") == "system", F.col("text")), F.when(F.col("role") == "system", F.col("turn"))).alias("s"))
+    messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return grouped.where(F.size("m") > 0).select("conv_id", F.coalesce("s", F.lit("")).alias("system"), F.array(F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".mp4"))).alias("videos"), F.to_json(messages).alias("messages"))
 
 
 @query("select doc_id, 'Rewrite ' || source || ' in ' || lang as request from documents")
@@ -153,11 +161,12 @@ def join03_anti(spark, d):
     return t(spark, d, "documents").select("doc_id", "text").join(t(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("select a.pos, a.item_id, b.conv_id from (select row_number() over (order by item_id) - 1 as pos, item_id from benchmark) a join (select row_number() over (order by conv_id) - 1 as pos, conv_id from (select distinct conv_id from conversations)) b on a.pos = b.pos")
+@query("select coalesce(a.pos, b.pos) as pos, a.item_id, b.conv_id, a.pos is not null and b.pos is not null as whole from (select row_number() over (order by item_id) - 1 as pos, item_id from benchmark) a full join (select row_number() over (order by conv_id) - 1 as pos, conv_id from (select distinct conv_id from conversations)) b on a.pos = b.pos")
 def join05_positional_zip(spark, d):
+    """Items and conversations by their places; the longer table's rest shows that the lengths differ."""
     a = ranking.with_positions(t(spark, d, "benchmark").select("item_id"), ["item_id"], "pos")
     b = ranking.with_positions(t(spark, d, "conversations").select("conv_id").distinct(), ["conv_id"], "pos")
-    return a.join(b, "pos").select("pos", "item_id", "conv_id")
+    return relations.zipped(a, b, "pos").select("pos", "item_id", "conv_id", "whole")
 
 
 def _grams(table: str, key: str, column: str, n: int) -> str:
@@ -323,14 +332,20 @@ def agg21_set_digest(spark, d):
     return digests.set_digest(t(spark, d, "documents"), "source", ["lang"])
 
 
-@query("select source, max(case when lang = 'en' then n_chars end) as en, max(case when lang = 'fr' then n_chars end) as fr, max(case when lang = 'de' then n_chars end) as de from documents group by source")
+@query("""
+with p as (select source, max(case when lang = 'en' then n_chars end) as en, max(case when lang = 'fr' then n_chars end) as fr, max(case when lang = 'de' then n_chars end) as de from documents group by source)
+select source, en, fr, de, coalesce(en = (select max(en) from p), false) as best_en, coalesce(fr = (select max(fr) from p), false) as best_fr, coalesce(de = (select min(de) from p), false) as best_de from p
+""")
 def agg19_score_pivot(spark, d):
-    return t(spark, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de"]).agg(F.max("n_chars"))
+    """Methods by types, and who is best in each: two columns where more is better, one where less is."""
+    pivot = t(spark, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de"]).agg(F.max("n_chars"))
+    return metrics.best_marked(pivot, {"en": True, "fr": True, "de": False})
 
 
-@query("select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, count(*) as n, max(l_extendedprice) as high from lineitem group by l_returnflag, l_linestatus")
+@query("select kind, n, total, total::double / n as mean from (select coalesce(l_returnflag, 'global') as kind, count(*) as n, sum(l_quantity) as total from lineitem group by rollup (l_returnflag))")
 def agg26_counts_and_sums(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"), F.max("l_extendedprice").alias("high"))
+    """Counts, sums and means of each kind, and of all rows."""
+    return metrics.means_by_type(t(spark, d, "lineitem"), "l_returnflag", "l_quantity")
 
 
 @query()
@@ -374,10 +389,14 @@ def win07_evenly_spaced(spark, d):
     return ranking.evenly_spaced_rows(docs, "pos", t(spark, d, "documents").count(), 50).select("slot", "pos", "doc_id")
 
 
-@query("select shard, count(*) as n from (select (row_number() over (order by doc_id) - 1) % 8 as shard from documents) group by shard")
+@query("select case when backwards then 'backwards' else 'forwards' end as way, shard, count(*) as n, min(doc_id) as low from (select doc_id, backwards, case when backwards then row_number() over (partition by backwards order by doc_id desc) - 1 else row_number() over (partition by backwards order by doc_id) - 1 end % 8 as shard from documents, (values (true), (false)) v(backwards)) group by all")
 def win11_modulo_shards(spark, d):
+    """Shards by remainder, of positions from the beginning and from the end."""
     docs = ranking.with_positions(t(spark, d, "documents").select("doc_id"), ["doc_id"])
-    return docs.groupBy(ranking.shard(F.col("_pos"), 8).alias("shard")).agg(F.count("*").alias("n"))
+    total = F.lit(docs.count())
+    ways = {"forwards": ranking.shard(F.col("_pos"), 8), "backwards": ranking.shard(F.col("_pos"), 8, total)}
+    rows = docs.select("doc_id", F.inline(F.array(*(F.struct(F.lit(w).alias("way"), s.alias("shard")) for w, s in ways.items()))))
+    return rows.groupBy("way", "shard").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
 
 
 @query("select rank, min(doc_id) as low, max(doc_id) as high, count(*) as n from (select doc_id, ntile(7) over (order by doc_id) - 1 as rank from documents) group by rank")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import numbers, text
-from siltstone.operators import metrics, ranking, relations
+from siltstone.operators import audits, metrics, ranking, relations
 from siltstone.plans.catalog import _WORDS, query, t
 
 # Projections and row transforms
@@ -53,22 +53,45 @@ def flt22_error_rows(spark, d):
 # Joins
 
 
-@query("select d.doc_id, coalesce(l.quality, d.n_chars) as value from documents d left join labels l on d.doc_id = l.doc_id")
+@query("""
+with b as (select doc_id, row_number() over (order by doc_id) - 1 as place, n_chars from documents), x as (select doc_id * 3 as doc_id, quality from labels)
+select coalesce(b.doc_id, x.doc_id) as doc_id, place, n_chars, quality, case when b.doc_id is null then 'unknown' when x.doc_id is null then 'missing' else 'joined' end as status from b full join x on b.doc_id = x.doc_id
+""")
 def join04_override_base(spark, d):
-    return t(spark, d, "documents").select("doc_id", "n_chars").join(t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", "n_chars").alias("value"))
-
-
-@query("select a.doc_id // 2 as pair, a.n_chars as a_chars, b.n_chars as b_chars from documents a join documents b on b.doc_id = a.doc_id + 1 where a.doc_id % 2 = 0")
-def join08_self_pairs(spark, d):
-    """Both members of a pair come from one pass: grouped by the pair's key instead of joined with itself."""
-    docs = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("side"), "n_chars")
-    both = docs.groupBy("pair").agg(F.max(F.when(F.col("side") == 0, F.col("n_chars"))).alias("a_chars"), F.max(F.when(F.col("side") == 1, F.col("n_chars"))).alias("b_chars"), F.count("*").alias("n"))
-    return both.where("n = 2").drop("n")
+    """Base rows in their order with what overrides them; ids that the base does not know and those without an override are told."""
+    base = ranking.with_positions(t(spark, d, "documents").select("doc_id", "n_chars"), ["doc_id"], "place")
+    return relations.overridden(base, t(spark, d, "labels").select((F.col("doc_id") * 3).alias("doc_id"), "quality"), "doc_id", "place")
 
 
-@query("select doc_id, source from documents where doc_id in (select doc_id from labels where toxic = 1)")
-def join19_semi(spark, d):
-    return t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi")
+@query("""
+with r as (select (doc_id // 2)::varchar || case when doc_id % 2 = 0 then '_A' else '_B' end as id, n_chars as score from documents where lang in ('en', 'de', 'fr')),
+h as (select doc_id::varchar as pair, case quality when 1 then 'A' when 0 then 'B' end as human from labels)
+select h.pair, a.score as a_score, b.score as b_score, human, case when a.score > b.score then 'A' when a.score < b.score then 'B' else 'tie' end as label
+from h join r a on a.id = h.pair || '_A' join r b on b.id = h.pair || '_B' where human is not null
+""")
+def join08_judged_pairs(spark, d):
+    """Judged results of both sides of a pair, by the pair's id and the side, with the human label; pairs with one side alone are left out."""
+    k = F.col("doc_id")
+    results = t(spark, d, "documents").where(F.col("lang").isin("en", "de", "fr")).select(F.concat(F.floor(k / 2).cast("string"), F.when(k % 2 == 0, "_A").otherwise("_B")).alias("id"), F.col("n_chars").alias("score"))
+    human = t(spark, d, "labels").select(k.cast("string").alias("pair"), F.when(F.col("quality") == 1, "A").when(F.col("quality") == 0, "B").alias("human")).where("human is not null")
+    sides = results.select(F.regexp_replace("id", "_[AB]$", "").alias("pair"), F.right("id", F.lit(1)).alias("side"), "score")
+    both = sides.groupBy("pair").agg(F.max(F.when(F.col("side") == "A", F.col("score"))).alias("a_score"), F.max(F.when(F.col("side") == "B", F.col("score"))).alias("b_score"))
+    label = F.when(F.col("a_score") > F.col("b_score"), "A").when(F.col("a_score") < F.col("b_score"), "B").otherwise("tie")
+    return both.where("a_score is not null and b_score is not null").join(human, "pair").select("pair", "a_score", "b_score", "human", label.alias("label"))
+
+
+@query("select doc_id::varchar as key from documents where doc_id % 4 <> 0 and text is not null")
+def join19_paired_members(spark, d):
+    """Members of tar shards that have a partner of their stem: three of four records have their clip in the same shard, the others in none."""
+    from siltstone.sources import tar
+    from siltstone.sources.shared import folder
+
+    k = F.col("doc_id")
+    record, clip = F.struct(F.concat(k.cast("string"), F.lit(".json")).alias("name"), F.lit(b"{}").alias("content")), F.struct(F.concat(k.cast("string"), F.lit(".mp4")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    rows = t(spark, d, "documents").where("text is not null").select((k % 5).alias("shard"), F.inline(F.when(k % 4 == 0, F.array(record)).otherwise(F.array(record, clip))))
+    root = folder(spark, "pairs")
+    tar.write_shards(rows, "shard", "name", "content", root)
+    return tar.paired_members(tar.tar_index(spark, root), ["json", "mp4"]).select("key")
 
 
 # Aggregations
@@ -80,10 +103,28 @@ def agg03_ratio_with_default(spark, d):
     return joined.groupBy("lang").agg(numbers.ratio(F.sum("quality"), F.count("quality"), 1.0).alias("retention"))
 
 
-@query("select source, a, b, case when a > b then 'A' when a < b then 'B' else 'tie' end as label from (select source, count_if(lang = 'en') as a, count_if(lang = 'fr') as b from documents group by source)")
-def agg12_label_by_comparison(spark, d):
-    s = t(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("a"), F.count_if(F.col("lang") == "fr").alias("b"))
-    return s.withColumn("label", F.when(F.col("a") > F.col("b"), "A").when(F.col("a") < F.col("b"), "B").otherwise("tie"))
+_METHODS = {"five": ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"], "four": ["l_quantity", "l_discount", "l_tax", "l_partkey"], "one": ["l_quantity"]}
+
+
+def _method_sql(name: str, dims: list[str]) -> str:
+    side = lambda x: f"({' + '.join(f'{x}.{c}::double' for c in dims)}) / {len(dims)}"
+    return f"select '{name}' as method, case when {side('a')} > {side('b')} then 'A' when {side('a')} < {side('b')} then 'B' else 'tie' end as label from a join b using (l_orderkey)"
+
+
+@query(f"""
+with u as (select *, row_number() over (partition by l_orderkey, l_linenumber order by {", ".join(f"{c} desc" for c in _METHODS["five"])}) as k from lineitem),
+a as (select * from u where l_linenumber = 1 and k = 1), b as (select * from u where l_linenumber = 2 and k = 1),
+l as ({' union all '.join(_method_sql(m, dims) for m, dims in _METHODS.items())})
+select method, count_if(label = 'A') as n_a, count_if(label = 'B') as n_b, count_if(label = 'tie') as n_tie from l group by method
+""")
+def agg12_three_methods(spark, d):
+    """Sides A and B of every order by the means of five, four and one dimensions; of a side that stands twice the highest counts."""
+    items = t(spark, d, "lineitem").where("l_linenumber in (1, 2)")
+    dims = _METHODS["five"]
+    side = lambda k: F.max(F.when(F.col("l_linenumber") == k, F.struct(*dims)))
+    pairs = items.groupBy("l_orderkey").agg(side(1).alias("a"), side(2).alias("b")).where("a is not null and b is not null")
+    labels = metrics.compared_sides(pairs, _METHODS, "a", "b")
+    return labels.groupBy("method").agg(*(F.count_if(F.col("label") == x).alias(f"n_{x.lower()}") for x in ("A", "B", "tie")))
 
 
 @query("select source || ':' || lang as cell, count(*) as n, count(distinct text) as n_distinct from documents group by source, lang")
@@ -92,19 +133,36 @@ def agg16_distribution_matrix(spark, d):
     return cells.select(F.concat("source", F.lit(":"), "lang").alias("cell"), "n", "n_distinct")
 
 
-@query("select count(*) = count(distinct doc_id) as ids_unique, count(*) = count(distinct text) as texts_unique, count(distinct lang) as n_langs from documents")
+_UNIQUE = {"id": "doc_id", "text": "md5(text)", "length": "n_chars", "head": "substr(text, 1, 40)", "place": "source || ':' || doc_id", "kind": "lang || n_chars"}
+_SHARES = {"lang": ("lang", {"en": 40, "de": 12, "fr": 1}), "long": ("(n_chars > 500)", {"true": 60, "false": 40}), "source": ("source", {"src1": 5, "none": 2}), "quality": ("(n_chars % 3)", {"0": 1, "1": 2, "2": 3})}
+
+
+@query(" union all ".join(
+    [f"select 'not_unique:{n}' as rule, ({e})::varchar as key, 'stands ' || count(*) || ' times' as message from documents group by ({e}) having count(*) > 1" for n, e in _UNIQUE.items()]
+    + [f"select 'distribution:{n}', coalesce(w.k, h.k), case when h.k is null then 'missing' when w.k is null then 'not expected' else 'is ' || h.n || ', expected ' || w.n end from (values {', '.join(f"('{k}', {v})" for k, v in want.items())}) w(k, n) full join (select ({e})::varchar as k, count(*) as n from documents group by ({e})) h on w.k is not distinct from h.k where w.n is distinct from h.n" for n, (e, want) in _SHARES.items()]
+))
 def agg23_uniqueness_contract(spark, d):
-    n = F.count("*")
-    return t(spark, d, "documents").agg((n == F.count_distinct("doc_id")).alias("ids_unique"), (n == F.count_distinct("text")).alias("texts_unique"), F.count_distinct("lang").alias("n_langs"))
+    """Ten assertions on a set of cases, six of uniqueness and four of distributions, and what breaks each."""
+    docs = t(spark, d, "documents").select("doc_id", "text", "n_chars", "source", "lang")
+    unique = audits.not_unique(docs, {n: F.expr(e) for n, e in _UNIQUE.items()})
+    return audits.together(unique, *(audits.off_distribution(docs, F.expr(e), want, f"distribution:{n}") for n, (e, want) in _SHARES.items()))
 
 
 # Windows and ranking
 
 
-@query("select source, lang, doc_id from (select *, row_number() over (partition by source, lang order by sha256('m' || chr(31) || doc_id::varchar), doc_id) as k from documents) where k <= 32")
+@query("""
+with c as (select doc_id, source, lang, n_chars % 7 as concept, n_chars // 50 as prompt, sha256('concept' || chr(31) || (n_chars % 7)) as ch, sha256('row' || chr(31) || doc_id) as rh from documents),
+o as (select *, row_number() over (partition by source, lang, concept order by rh) as again from c),
+f as (select *, row_number() over (partition by source, lang, prompt order by least(again, 2), ch, rh) as same from o),
+p as (select *, row_number() over (partition by source, lang order by least(again, 2), ch, rh) as place from f where same = 1)
+select source, lang, place - 1 as place, doc_id from p where place <= 4
+""")
 def win10_matrix_selection(spark, d):
-    h = numbers.stable_hash(F.lit("m"), F.col("doc_id").cast("string"))
-    return ranking.quota(t(spark, d, "documents").select("source", "lang", "doc_id"), ["source", "lang"], [h, "doc_id"], 32)
+    """Four rows of every cell of source and language, of as many concepts as there are, without a prompt twice in a cell."""
+    k = F.col("doc_id").cast("string")
+    docs = t(spark, d, "documents").select("doc_id", "source", "lang", (F.col("n_chars") % 7).alias("concept"), F.floor(F.col("n_chars") / 50).alias("prompt"), numbers.stable_hash(F.lit("row"), k).alias("_row"))
+    return ranking.cell_selection(docs, ["source", "lang"], "concept", numbers.stable_hash(F.lit("concept"), F.col("concept").cast("string")), ["_row"], "prompt", 4).select("source", "lang", "place", "doc_id")
 
 
 @query("select item_id, i % 6 as concept, (i % 6 + i // 6) % 4 as template from (select item_id, row_number() over (order by item_id) - 1 as i from benchmark)")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import audits, digests
 from siltstone.plans.catalog import query, t
-from siltstone.sources import commits, documents, records, tar
+from siltstone.sources import commits, documents, positions, records, tar
 from siltstone.sources.shared import fixed, folder
 from siltstone.streaming import batches, incremental
 
@@ -603,6 +603,30 @@ def stm08_run_events(spark, d):
     return spark.read.schema("label string, began string, seconds double, code int").json(events).select("label", "code", (F.col("began").rlike(r"^\d{4}-\d\d-\d\dT.*Z$") & (F.col("seconds") >= 0)).alias("timed"))
 
 
+@query("""
+with r as (select rank, total // 3 * rank + least(rank, total % 3) as first, total // 3 + (rank < total % 3)::int as size, total from (select count(*) as total from documents), (values (0), (1), (2)) v(rank))
+select rank, doc_id from r, (select doc_id, row_number() over (order by doc_id) - 1 as position from documents) p where position >= first + 20 and position < first + size
+""")
+def win12_resumed_ranks(spark, d):
+    """Three ranks take up their contiguous ranges after twenty rows; files that lie before are not opened."""
+    table = positions.write_positioned(t(spark, d, "documents").select("doc_id"), ["doc_id"], folder(spark, "ranks"), 16)
+    parts = [table.read(spark, [positions.rank_range(table.rows, 3, k, 20)]).select(F.lit(k).alias("rank"), "doc_id") for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+with c as (select least((select count(*) from benchmark) // 2 // 1, (select count(*) from part) // 2 // 2) as cycles), n as (select count(*) as b from benchmark), m as (select count(*) as p from part),
+s as (select unnest(range((select cycles * 3 from c))) as slot), k as (select slot, (slot + 1) % 3 as spot, slot // 3 as cycle from s)
+select slot, case when spot = 1 then 'items' else 'parts' end as loader,
+  case when spot = 1 then (select b // 2 + least(1, b % 2) from n) + cycle else (select p // 2 + least(1, p % 2) from m) + cycle * 2 + case when spot = 2 then 0 else 1 end end as position
+from k where slot >= 7
+""")
+def win13_resumed_mix(spark, d):
+    """The second of two staggered ranks takes up a mix of parts, items, parts at its eighth place."""
+    tables = {"items": positions.write_positioned(t(spark, d, "benchmark").select("item_id"), ["item_id"], folder(spark, "items"), 4), "parts": positions.write_positioned(t(spark, d, "part").select("p_partkey"), ["p_partkey"], folder(spark, "parts"), 64)}
+    return positions.mixed(spark, tables, ["parts", "items", "parts"], ranks=2, rank=1, staggered=True, skip=7)
+
+
 @query("select count(*) as n, sum(size)::bigint as bytes from (select octet_length(encode(html)) as size from pages where octet_length(encode(html)) >= 1024)")
 def flt20_media_checks(spark, d):
     """Candidates whose file is there and large enough."""
