@@ -29,6 +29,13 @@ def balanced_counts(total: int, keys: list[str]) -> dict[str, int]:
     return {k: each + (i < rest) for i, k in enumerate(keys)}
 
 
+def balanced_quotas(keys: DataFrame, key: str, total: int) -> DataFrame:
+    """key, ord, quota: equal shares of the total for the keys of a table; the first in order get what is left over."""
+    placed = with_positions(keys.select(key), [key], "ord")
+    n = F.lit(keys.count())
+    return placed.select(key, "ord", (F.floor(F.lit(total) / n) + (F.col("ord") < F.lit(total) % n).cast("long")).alias("quota"))
+
+
 def select_exact(rows: DataFrame, count: int, salt: str, fingerprint: str, used: DataFrame | None = None, prompt: str | None = None, used_prompts: DataFrame | None = None, order: list[Column | str] | None = None) -> DataFrame:
     """The first `count` rows by salted hash (or by order) whose fingerprint, and prompt if named, was not used before or earlier in this selection.
 

@@ -458,7 +458,7 @@ select rule, item_id::varchar as key, 'broken' as message from (select 'in_both'
 """)
 def int10_case_gold_contract(spark, d):
     k = F.col("item_id")
-    cases = t(spark, d, "benchmark").select("item_id", F.col("item_id").alias("at"), F.substring("text", 1, 20).alias("prompt"), F.when(k % 2 == 0, "search").otherwise("plain").alias("category"))
+    cases = t(spark, d, "benchmark").select("item_id", F.col("item_id").alias("at"), F.col("text").alias("prompt"), F.when(k % 2 == 0, "search").otherwise("plain").alias("category"))
     gold = cases.where("item_id % 20 <> 1").select("item_id", F.when(k % 20 == 2, -1).otherwise(F.col("at")).alias("at"), F.when(k % 20 == 3, "other").otherwise(F.col("prompt")).alias("prompt"), ((k % 2 == 0) != (k % 20 == 4)).alias("search"))
     return audits.case_gold_contract(cases, gold, "item_id", "at", ["prompt"], "category", F.col("search"), ["search"])
 
@@ -574,8 +574,11 @@ def stm05_unfinished(spark, d):
 
 @query("select step, generation from (values ('first', 0), ('second rank', 0), ('full again', 1), ('other data', 2), ('more ranks', 3)) v(step, generation)")
 def stm06_generations(spark, d):
+    """Which generation ranks join: a new one for other data, by the signature of all of it, for other numbers of ranks, and after all have joined."""
     g = batches.Generation(spark, folder(spark, "generation") + "/state.json")
-    steps = [("first", 0, 2, "s"), ("second rank", 1, 2, "s"), ("full again", 0, 2, "s"), ("other data", 1, 2, "t"), ("more ranks", 0, 3, "t")]
+    docs = t(spark, d, "documents")
+    s, t_ = batches.signature(docs, "doc_id", ["text"]), batches.signature(docs.withColumn("text", F.upper("text")), "doc_id", ["text"])
+    steps = [("first", 0, 2, s), ("second rank", 1, 2, s), ("full again", 0, 2, s), ("other data", 1, 2, t_), ("more ranks", 0, 3, t_)]
     return spark.createDataFrame([(name, g.join(rank, ranks, sign)) for name, rank, ranks, sign in steps], "step string, generation int")
 
 

@@ -266,8 +266,8 @@ _ID = "original || '|' || result"
 
 
 @query("""
-with todo as (select (doc_id - 1) as idx, lang as original, source || (doc_id % 40) as result from documents where doc_id > 0), dup as (select original, result from todo group by all having count(*) > 1),
-scored as (select doc_id as pos, case when doc_id % 3 <> 0 then doc_id - 1 end as idx, case when doc_id % 10 = 1 then 'changed' else lang end as original, source || (doc_id % 40) as result, n_chars as score from documents where doc_id > 0),
+with todo as (select doc_id as idx, lang as original, source || (doc_id % 40) as result from documents), dup as (select original, result from todo group by all having count(*) > 1),
+scored as (select doc_id as pos, case when doc_id % 3 <> 0 then doc_id end as idx, case when doc_id % 10 = 1 then 'changed' else lang end as original, source || (doc_id % 40) as result, n_chars as score from documents),
 by_idx as (select s.idx, s.score from scored s join todo t on t.idx = s.idx and t.original = s.original and t.result = s.result),
 by_id as (select t.idx, s.score, s.pos from scored s join todo t on t.original = s.original and t.result = s.result where s.idx is null and (t.original, t.result) not in (select (original, result) from dup))
 select t.idx, coalesce(a.score, b.score) as score from todo t left join by_idx a on a.idx = t.idx left join (select idx, max_by(score, pos) as score from by_id group by idx) b on b.idx = t.idx
@@ -275,10 +275,10 @@ select t.idx, coalesce(a.score, b.score) as score from todo t left join by_idx a
 def join15_resumed_scores(spark, d):
     """Earlier scores by index if their row is still the same, else (for rows without an index) by an identity that is unique."""
     k = F.col("doc_id")
-    docs = t(spark, d, "documents").where("doc_id > 0")
+    docs = t(spark, d, "documents")
     result = F.concat("source", (k % 40).cast("string"))
-    todo = docs.select((k - 1).alias("idx"), F.col("lang").alias("original"), result.alias("result"))
-    scored = docs.select(k.alias("pos"), F.when(k % 3 != 0, k - 1).alias("idx"), F.when(k % 10 == 1, "changed").otherwise(F.col("lang")).alias("original"), result.alias("result"), F.col("n_chars").alias("score"))
+    todo = docs.select(k.alias("idx"), F.col("lang").alias("original"), result.alias("result"))
+    scored = docs.select(k.alias("pos"), F.when(k % 3 != 0, k).alias("idx"), F.when(k % 10 == 1, "changed").otherwise(F.col("lang")).alias("original"), result.alias("result"), F.col("n_chars").alias("score"))
     return relations.resume_by_identity(todo, scored, "idx", ["original", "result"], "pos", "score").select("idx", "score")
 
 

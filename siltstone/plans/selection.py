@@ -162,9 +162,7 @@ def win18_truncated_catalog(spark, d):
 
 @query("select lang, ord, total // m + (ord < total % m)::int as quota from (select lang, row_number() over (order by lang) - 1 as ord, count(*) over () as m, 1234 as total from (select distinct lang from documents))")
 def win09_balanced_counts(spark, d):
-    langs = sorted(r["lang"] for r in t(spark, d, "documents").select("lang").distinct().collect())
-    counts = selection.balanced_counts(1234, langs)
-    return spark.createDataFrame([(x, i, n) for i, (x, n) in enumerate(counts.items())], "lang string, ord long, quota long")
+    return selection.balanced_quotas(t(spark, d, "documents").select("lang").distinct(), "lang", 1234)
 
 
 @query("select doc_id, sha256('salt' || chr(31) || sha256(source || '|' || lang || (doc_id % 29)::varchar)) as rank_hash from documents")
@@ -239,11 +237,11 @@ def str07_template_signatures(spark, d):
 
 @query(f"""
 with r as (select distinct array_to_string(w[i:i+2], ' ') as g from (select w, unnest(range(1, len(w) - 1)) as i from (select {_WORDS.format('text')} as w from documents) where len(w) >= 3)),
-v as (select distinct item_id, kind, array_to_string(w, ' ') as norm, w from (select item_id, 'head' as kind, {_WORDS.format("substr(text, 1, 40)")} as w from benchmark union all select item_id, 'tail', {_WORDS.format("substr(text, 41, 60)")} from benchmark)),
+v as (select distinct item_id, kind, array_to_string(w, ' ') as norm, w from (select item_id, 'head' as kind, {_WORDS.format("substr(text, 1, length(text) // 2)")} as w from benchmark union all select item_id, 'tail', {_WORDS.format("substr(text, length(text) // 2 + 1)")} from benchmark)),
 e as (select item_id, kind, array_to_string(w[i:i+2], ' ') as g from (select *, unnest(range(1, len(w) - 1)) as i from v where len(w) >= 3))
 select item_id, kind, count(distinct g) as n_shared from e where g in (select g from r) group by item_id, kind
 """)
 def agg29_value_ngrams(spark, d):
     """Runs of three words of items' values that stand anywhere in the documents: a semi-join with the union of their runs."""
-    values = t(spark, d, "benchmark").select("item_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.substring("text", a, n).alias("value")) for k, a, n in (("head", 1, 40), ("tail", 41, 60))))))
+    values = t(spark, d, "benchmark").select("item_id", F.inline(F.array(F.struct(F.lit("head").alias("kind"), F.expr("left(text, length(text) div 2)").alias("value")), F.struct(F.lit("tail").alias("kind"), F.expr("substr(text, length(text) div 2 + 1)").alias("value")))))
     return relations.value_overlap(values, t(spark, d, "documents"), ["item_id", "kind"], "value", "text", 3)

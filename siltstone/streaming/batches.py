@@ -58,18 +58,20 @@ def called(df: DataFrame, key: str, prompt: str, client: Callable[[list[str]], l
 
 
 def in_parts(todo: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], output: str, parts: int, accepted: Column | None = None) -> int:
-    """Work in `parts` parts, each appended to output when it is done; rows that output holds already (accepted ones, if given) are skipped.
+    """Work in `parts` parts, each appended to its own folder of output when it is done; rows that are there already (accepted ones, if given) are skipped.
 
-    Returns how many parts had work. A run that stops goes on with the parts that are missing.
+    Returns how many parts had work. A run that stops goes on with the parts that are missing. A part reads only what the same part wrote
+    before, so all parts together read the output once.
     """
     spark, worked = todo.sparkSession, 0
     for k in range(parts):
         rows = todo.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
-        if exists(spark, output):
-            done = spark.read.parquet(output)
+        place = f"{output}/part={k}"
+        if exists(spark, place):
+            done = spark.read.parquet(place)
             rows = rows.join((done.where(accepted) if accepted is not None else done).select(key), key, "left_anti")
         if rows.limit(1).count():
-            work(rows).write.mode("append").parquet(output)
+            work(rows).write.mode("append").parquet(place)
             worked += 1
     return worked
 
