@@ -133,7 +133,8 @@ def _open(gaps: dict[int, list[tuple[int, int]]], spaces: list[int], space: int,
 def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids: documents cut into pieces of at most capacity ids.
 
-    A null text is an empty one and still has its end id. Repeated rows are packed as often as they stand.
+    A null text is an empty one and still has its end id. Repeated rows are packed as often as they stand. A text of any length is
+    tokenised whole and cut after its ids are known. An empty table gives no rows; other columns are left aside.
     """
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     fields += [("ids", pa.list_(pa.int32()))] * with_ids

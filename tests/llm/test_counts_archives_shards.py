@@ -274,3 +274,30 @@ def test_a_payload_that_half_the_pages_share(spark):
     assert len(found) == 406 and sum(r.record_type == "response" for r in same) == 1
     assert next(r for r in same if r.record_type == "response").page_id == 399
     assert {r.refers_to for r in same if r.record_type == "revisit"} == {399}
+
+
+def test_token_files_of_odd_tables(spark):
+    """One document is longer than a block; null and repeated ids, repeated rows, clashing columns and an empty table."""
+    vocabulary = queries.vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(vocabulary)
+    rows = [(None, "no id"), (None, None), (3, "twice"), (3, "twice"), (3, "another text"), (1, ""), (2, "a long one " * 750_000), (9, None)]
+    docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, path string, start int").repartition(3)
+    found = token_files.read_token_files(token_files.write_token_files(docs, vocabulary, end_id=0)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want, at = [], 0
+    for doc_id, text in order:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert max(n for _, _, n, _ in want) > token_files.BLOCK_IDS
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found), key=str) == sorted(want, key=str)
+    assert token_files.read_token_files(token_files.write_token_files(docs.where("false"), vocabulary, end_id=0)).count() == 0
+
+
+def test_archives_of_long_pages_and_of_none(spark):
+    rows = [(1, "http://x/1", "é" * 3_000_000), (2, "http://x/2", "é" * 3_000_000), (3, None, None), (None, "http://x/4", "")]
+    pages = spark.createDataFrame([(*r, "sha", 1) for r in rows], "page_id long, url string, html string, sha string, n int")
+    found = {r.page_id: r for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    assert found[1].payload_bytes == found[2].payload_bytes == 6_000_000 and (found[1].record_type, found[1].refers_to, found[2].record_type) == ("revisit", 2, "response")
+    assert (found[3].record_type, found[None].record_type, found[None].refers_to) == ("response", "revisit", 3)
+    assert warc.read_archives(warc.write_archives(pages.where("false"))).count() == 0

@@ -373,3 +373,18 @@ def test_shares_bound_the_similarity():
         x, y = (rnd.integers(1, 30, k) for k in n)
         p, q = (float(w[np.isin(own, other)].sum() / w.sum()) for w, own, other in ((x, a, b), (y, b, a)))
         assert near_dup.probability_jaccard(a, x, b, y) <= (p * q / (p + q - p * q) if p and q else 0) + 1e-9
+
+
+def test_line_dedup_of_odd_tables(spark):
+    passage = "one two three four five six seven\neight nine ten eleven twelve thirteen\n"
+    long = "\n".join(f"line {i} of a very long text" for i in range(30_000))
+    rows = [(1, passage + "first"), (2, "second\n" + passage), (2, "second\n" + passage), (None, passage + "none"), (4, None), (5, ""), (6, " \n"), (7, long), (8, long)]
+    docs = spark.createDataFrame([(*r, "f", 1, "n") for r in rows], "doc_id long, text string, found string, _id int, n_lines string").repartition(3)
+    out = line_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    # The null id comes first and keeps its passage; both rows of document 2 lose it; the later copy is emptied.
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(None, passage + "none"), (1, "first"), (2, "second\n"), (2, "second\n"), (4, None), (5, ""), (6, " \n"), (7, long), (8, "")], key=str)
+    assert {(r.found, r._id, r.n_lines) for r in out.collect()} == {("f", 1, "n")}
+    empty = line_dedup.without_repeats(docs.where("false"))
+    assert empty.columns == docs.columns and empty.count() == 0
