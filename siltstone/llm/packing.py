@@ -29,7 +29,7 @@ from siltstone.llm.tokens import encoder, slices
 
 CAPACITY = 4096
 #: Pieces of a group, on average: the pieces of one size are dealt to groups before they are numbered.
-GROUP = 1_000_000
+GROUP = 1_000
 
 
 @dataclass
