@@ -31,6 +31,15 @@ def not_as_expected(observed: DataFrame, expected: DataFrame, rule: str) -> Data
     return _found(both.withColumn("_m", message).where("_m is not null"), rule, F.col("key"), F.col("_m"))
 
 
+def media_faults(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """wanted: path, least (bytes) and sha256 (null: any); found: path, length, sha256. Files that are missing, too_small or changed, the first that holds."""
+    have = found.select("path", "length", F.col("sha256").alias("_sha"))
+    rule = F.when(F.col("length").isNull(), "missing").when(F.col("length") < F.col("least"), "too_small").when(F.col("_sha") != F.col("sha256"), "changed")
+    told = F.concat(F.lit("has "), F.coalesce(F.col("length").cast("string"), F.lit("no")), F.lit(" bytes"))
+    both = wanted.join(have, "path", "left").withColumn("rule", rule).where("rule is not null")
+    return both.select("rule", F.col("path").alias("key"), told.alias("message"))
+
+
 def not_unique(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """not_unique:<name>, key, how often: values of each named column that stand in several rows; null counts as a value."""
     parts = [df.groupBy(c.cast("string").alias("k")).agg(F.count("*").alias("n")).where("n > 1").withColumn("rule", F.lit(f"not_unique:{name}")) for name, c in columns.items()]

@@ -36,6 +36,21 @@ def balanced_quotas(keys: DataFrame, key: str, total: int) -> DataFrame:
     return placed.select(key, "ord", (F.floor(F.lit(total) / n) + (F.col("ord") < F.lit(total) % n).cast("long")).alias("quota"))
 
 
+def resampled(rows: DataFrame, key: str, fits: Column, salt: str) -> DataFrame:
+    """Every key with taken, the key of a row that fits, and that row's other columns: its own row, or one that a salted hash of the key picks.
+
+    Keys are unique. Without a row that fits there are no rows.
+    """
+    good = fixed(with_positions(rows.where(fits), [key], "_place"), "fitting")
+    n = good.count()
+    if not n:
+        return rows.where("false").withColumn("taken", F.col(key))
+    hit = F.conv(F.substring(stable_hash(F.lit(salt), F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % n
+    own = good.drop("_place").withColumn("taken", F.col(key))
+    again = rows.where(~F.coalesce(fits, F.lit(False))).select(key, hit.alias("_place"))
+    return own.unionByName(again.join(good.withColumnRenamed(key, "taken"), "_place").select(own.columns))
+
+
 def select_exact(rows: DataFrame, count: int, salt: str, fingerprint: str, used: DataFrame | None = None, prompt: str | None = None, used_prompts: DataFrame | None = None, order: list[Column | str] | None = None) -> DataFrame:
     """The first `count` rows by salted hash (or by order) whose fingerprint, and prompt if named, was not used before or earlier in this selection.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import lexicon, numbers, text
 from siltstone.functions.exact import py_round
-from siltstone.operators import audits, digests, metrics, ranking, relations, transforms
+from siltstone.operators import audits, digests, metrics, ranking, relations, selection, transforms
 from siltstone.operators.exact_sums import exact_statistics
 from siltstone.plans.catalog import _WORDS, query, t
 from siltstone.sources.shared import fixed
@@ -184,11 +184,14 @@ def flt13_signature_match(spark, d):
 # Filters and predicates
 
 
-@query("select doc_id, n_chars % 6 as n_refs from documents where n_chars % 6 <= 3")
+@query("""
+with d as (select doc_id, n_chars % 6 as n_refs from documents), v as (select doc_id, n_refs, row_number() over (order by doc_id) - 1 as place, count(*) over () as n from d where n_refs <= 3)
+select d.doc_id, v.doc_id as taken, v.n_refs from d join v on case when d.n_refs <= 3 then v.doc_id = d.doc_id else v.place = ('0x' || substr(sha256('again' || chr(31) || d.doc_id), 1, 8))::bigint % v.n end
+""")
 def flt07_reference_limit(spark, d):
-    """Rows with at most three reference images."""
-    refs = F.when(F.col("n_chars") % 6 > 0, F.sequence(F.lit(1).cast("long"), F.col("n_chars") % 6)).otherwise(F.array().cast("array<bigint>"))
-    return t(spark, d, "documents").select("doc_id", refs.alias("refs")).where(F.size("refs") <= 3).select("doc_id", F.size("refs").cast("long").alias("n_refs"))
+    """Rows with at most three reference images; for one with more another row is taken, by a hash of its id."""
+    rows = t(spark, d, "documents").select("doc_id", (F.col("n_chars") % 6).alias("n_refs"))
+    return selection.resampled(rows, "doc_id", F.col("n_refs") <= 3, "again").select("doc_id", "taken", "n_refs")
 
 
 @query("select id, known from (select doc_id as id, true as known from documents where doc_id in (select o_custkey from orders) union select o_custkey, false from orders where o_custkey not in (select doc_id from documents))")
