@@ -24,11 +24,11 @@ BROADCAST_RUNS = 500_000
 
 
 def run_hashes(text: Column, n: int) -> Column:
-    """The set of 128-bit hashes of the runs of n words: words are hashed once, runs from the hashes of their words."""
+    """128-bit hashes of the runs of n words, repeats included: words are hashed once, runs from the hashes of their words."""
 
     def runs(h: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(h) - n)
-        return F.array_distinct(F.transform(at, lambda i: F.struct(F.xxhash64(*(F.get(h, i + k) for k in range(n))).alias("a"), F.xxhash64(F.lit(1), *(F.get(h, i + k) for k in range(n))).alias("b"))))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(*(F.get(h, i + k) for k in range(n))).alias("a"), F.xxhash64(F.lit(1), *(F.get(h, i + k) for k in range(n))).alias("b")))
 
     hashed = F.transform(tokens(text), lambda w: F.xxhash64(w))
     return bound(hashed, lambda h: F.when(F.size(h) < n, F.array().cast("array<struct<a:bigint,b:bigint>>")).otherwise(runs(h)))
@@ -63,11 +63,11 @@ class Overlap:
 def _shared_runs(left: DataFrame, right: DataFrame, text: str, n: int, rare: int) -> tuple[DataFrame, DataFrame]:
     """left, run, bundle and right, run, bundle: of the runs that stand in both sides; bundle is null for rare ones."""
     own = lambda df, side: df.select(side, F.explode(run_hashes(F.col(text), n)).alias("run"))
-    held, wanted = own(left, "left"), fixed(own(right, "right"), "right-runs")
+    held, wanted = own(left, "left"), fixed(own(right, "right").distinct(), "right-runs")
     known = wanted.select("run").distinct()
     if known.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
         held = held.join(F.broadcast(known), "run", "left_semi")
-    held = fixed(held, "left-runs")
+    held = fixed(held.distinct(), "left-runs")
     # Rows are counted and, as a set, signed: two runs with the same signs stand in the same rows.
     signed = lambda df, side: df.groupBy("run").agg(F.count("*").alias(f"n_{side}"), F.sum(F.xxhash64(side).cast("decimal(38,0)")).alias(f"s_{side}"), F.bit_xor(F.xxhash64(F.lit(1), side)).alias(f"x_{side}"))
     both = signed(held, "left").join(signed(wanted, "right"), "run")
