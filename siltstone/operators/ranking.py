@@ -29,19 +29,25 @@ def quota(df: DataFrame, keys: list[str], order: list[Column | str], most: int |
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
 
 
-def with_positions(df: DataFrame, order: list[Column | str], name: str = "_pos") -> DataFrame:
-    """df with gapless positions from 0 in a total order, without gathering the rows in one task.
-
-    Rows are range-partitioned, written once and numbered in their partitions; the counts of the partitions give the offsets.
-    """
+def dealt_by_range(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """df range-partitioned in a total order and written once, with _part, the number of a row's partition."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = fixed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "positions")
+    return fixed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "positions")
+
+
+def numbered(dealt: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Rows of dealt_by_range with gapless positions from 0: rows are numbered in their partitions, whose counts give the offsets."""
     local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(before.select("_part", "_before"), "_part").withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_part", "_rn", "_before")
 
 
+def with_positions(df: DataFrame, order: list[Column | str], name: str = "_pos") -> DataFrame:
+    """df with gapless positions from 0 in a total order, without gathering the rows in one task."""
+    return numbered(dealt_by_range(df, order), order, name)
+
+
 def ranked(df: DataFrame, group: str, order: list[Column | str], name: str) -> DataFrame:
     """df with the place of each row in its group, from 1. A group that holds most rows is in many tasks: places are differences of positions."""
     placed = with_positions(df, [group, *order], "_position")

@@ -1,7 +1,8 @@
 """Tables by position, of which a range is read without opening what lies before it, and mixed streams that can be taken up at any place.
 
 Files hold equal ranges of positions and lie in folders named by their number, so the place of a position is known without an index that
-would have to be read; Spark drops the folders outside a range before it opens anything.
+would have to be read; Spark drops the folders outside a range before it opens anything. The driver lists the folders, so there are no more of
+them than MOST_FILES, however many rows there are.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.ranking import with_positions
+from siltstone.operators.ranking import dealt_by_range, numbered
 from siltstone.operators.selection import consumed
 from siltstone.sources.documents import read_text, replace_text
 
 ROWS_A_FILE = 1_000_000
+#: Files of a table; one with more rows than so many files of the wanted size has longer files.
+MOST_FILES = 1024
 
 
 @dataclass(frozen=True)
@@ -39,12 +42,17 @@ class Positioned:
 
 
 def write_positioned(df: DataFrame, order: list[Column | str], path: str, rows_a_file: int = ROWS_A_FILE) -> Positioned:
-    """Number the rows in a total order and write them by position; the folder can be opened again by open_positioned."""
+    """Number the rows in a total order and write them by position; the folder can be opened again by open_positioned.
+
+    Files hold rows_a_file rows, or more where that would make more than MOST_FILES of them.
+    """
     spark = df.sparkSession
-    placed = with_positions(df, order, "position").withColumn("_file", F.floor(F.col("position") / rows_a_file))
+    dealt = dealt_by_range(df, order)
+    rows = dealt.count()
+    made = Positioned(path, rows, max(rows_a_file, -(-rows // MOST_FILES)))
+    files = numbered(dealt, order, "position").withColumn("_file", F.floor(F.col("position") / made.rows_a_file))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed.repartition(n, "_file").sortWithinPartitions("_file", "position").write.partitionBy("_file").parquet(path)
-    made = Positioned(path, spark.read.parquet(path).count(), rows_a_file)
+    files.repartition(n, "_file").sortWithinPartitions("_file", "position").write.partitionBy("_file").parquet(path)
     replace_text(spark, f"{path}/_positions.json", json.dumps(asdict(made)))
     return made
 

@@ -44,6 +44,16 @@ def test_a_resumed_read_opens_no_file_before_its_place(spark, tables):
     assert [positions.rank_range(10, 3, r) for r in range(3)] == [(0, 4), (4, 7), (7, 10)] and positions.rank_range(10, 3, 1, 99) == (7, 7)
 
 
+def test_the_number_of_files_does_not_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(positions, "MOST_FILES", 8)
+    table = positions.write_positioned(spark.range(103), ["id"], f"file://{tmp_path}/t", 2)
+    assert sum(n.startswith("_file=") for n in os.listdir(tmp_path / "t")) == 8
+    assert table == positions.open_positioned(spark, table.path) and (table.rows, table.rows_a_file) == (103, 13)
+    for ranges in ([(0, 103)], [(12, 14), (90, 200)], [(102, 103)]):
+        want = [i for a, z in ranges for i in range(a, min(z, 103))]
+        assert sorted((r.id, r.position) for r in table.read(spark, ranges).collect()) == [(i, i) for i in want]
+
+
 def test_what_cannot_be_mixed(spark, tables):
     with pytest.raises(ValueError):
         positions.mixed(spark, tables, ["img", "none"])
