@@ -25,12 +25,15 @@ def collecting_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataF
     return good, lines.where("_object is null").select(F.concat(F.lit("bad JSON: "), "value").alias("error"))
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], through: bool = False) -> DataFrame:
     """path, line (from 1), value, open_end of all lines of files of any size; open_end marks a last line without its line feed.
 
     Files are read in splits, and so is the index that numbers their lines: the line feeds of every byte range, summed up range
     by range. A line's number is what lies before its range and its place in it. Lines end at a line feed alone; a byte-order mark
     is no part of the first. Of compressed files open_end is not known and false.
+
+    through: the files are parts of one text, in the order of their names, and lines are counted through all of them. Each part
+    ends at a line's end, as Spark writes them.
     """
     place = ["_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size"]
     # Ids ascend within a task, which reads a range from its beginning to its end.
@@ -40,12 +43,16 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     before, whole = Window.partitionBy("path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path")
     # Without a feed at the end the lines and their feeds are one byte more than the file; a mark that was dropped makes them three less.
     open_end = (F.sum("_bytes").over(whole) - F.col("_size")).isin(1, -2) & ~F.lower("path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
-    index = ranges.select("path", "_from", "_n", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"), open_end.alias("_open"))
+    in_file = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    # One row a range is summed up through all files, not the lines themselves.
+    through_all = Window.orderBy("path", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_n").over(through_all), F.lit(0)) - in_file if through else F.lit(0)
+    index = ranges.select("path", "_from", "_n", "_first", in_file.alias("_before"), earlier.cast("long").alias("_earlier"), F.sum("_n").over(whole).alias("_all"), open_end.alias("_open"))
     joined = lines.join(index, ["path", "_from"], "left")
     in_range = F.col("_at") - F.col("_first")
     # Both reads cut the files alike; were that ever not so, a number would be missing or out of its range.
     sure = F.when((in_range >= 0) & (in_range < F.col("_n")), F.col("_before") + in_range + 1).otherwise(F.raise_error(F.lit("the ranges of a file changed while it was read")))
-    return joined.select("path", sure.cast("long").alias("line"), "value", "_open", "_all").select("path", "line", "value", (F.col("_open") & (F.col("line") == F.col("_all"))).alias("open_end"))
+    return joined.select("path", sure.cast("long").alias("line"), "value", "_open", "_all", "_earlier").select("path", (F.col("line") + F.col("_earlier")).alias("line"), "value", (F.col("_open") & (F.col("line") == F.col("_all"))).alias("open_end"))
 
 
 def _strict(text: str | None) -> str | None:
@@ -72,9 +79,9 @@ def strict_error(text: pd.Series) -> pd.Series:
     return text.map(_strict)
 
 
-def strict_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """path, line, value of the good lines; path, line, error of the others."""
-    lines = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("error", strict_error("value"))
+def strict_jsonl(spark: SparkSession, path: str, through: bool = False) -> tuple[DataFrame, DataFrame]:
+    """path, line, value of the good lines; path, line, error of the others. Lines are numbered in their file, or through all files."""
+    lines = numbered_lines(spark, path, through).where(F.trim("value") != "").withColumn("error", strict_error("value"))
     return lines.where("error is null").drop("error", "open_end"), lines.where("error is not null").select("path", "line", "error")
 
 

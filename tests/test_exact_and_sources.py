@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.operators import judging
 from siltstone.operators.exact_sums import exact_statistics, exact_sums, limbs
+from siltstone.plans import files
 from siltstone.sources import documents, records, tar
 
 
@@ -137,6 +138,28 @@ def test_lines_of_split_files_have_their_numbers(spark, tmp_path, small_splits):
     assert sorted((os.path.basename(r.path)[0], r.line, r.value, r.open_end) for r in found) == sorted(want)
 
 
+def test_lines_are_counted_through_the_parts_of_a_text(spark, tmp_path, small_splits):
+    parts = [[f"{name} {i}" for i in range(n)] for name, n in (("a", 300), ("b", 0), ("c", 1), ("d", 500))]
+    for name, lines in zip("abcd", parts, strict=True):
+        (tmp_path / f"part-{name}.txt").write_text("".join(x + "\n" for x in lines))
+    found = records.numbered_lines(spark, str(tmp_path), through=True).collect()
+    assert sorted((r.line, r.value) for r in found) == list(enumerate(sum(parts, []), 1)) and not any(r.open_end for r in found)
+
+
+@pytest.fixture
+def shuffled_items(spark, tmp_path):
+    """A benchmark table of 700 items in no order, with gaps between their ids; the ids in order."""
+    ids = sorted(random.Random(2).sample(range(5000), 700))
+    mixed = random.Random(3).sample(ids, len(ids))
+    spark.createDataFrame([(i, f"t {i}") for i in mixed], "item_id long, text string").repartition(3).write.parquet(str(tmp_path / "benchmark.parquet"))
+    return ids
+
+
+def test_located_errors_count_the_lines_of_the_whole_text(spark, tmp_path, shuffled_items, small_splits):
+    found = files.src02_located_errors(spark, str(tmp_path)).collect()
+    assert sorted((r.item_id, r.line) for r in found) == [(i, n) for n, i in enumerate(shuffled_items, 1) if i % 8 in (1, 2, 3, 4)]
+
+
 def test_repair_of_a_large_file(spark, tmp_path, small_splits):
     lines = [f'{{"id": {i}}}' for i in range(900)]
     lines[500] = '{"id": 1, "id": 2}'
