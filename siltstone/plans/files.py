@@ -132,13 +132,13 @@ def src09_indexed_csv(spark, d):
     return documents.indexed_csv(spark, path, "item_id long, text string, media string", "/data", "media").select("item_id", "idx", "media")
 
 
-@query("select case when item_id % 3 = 0 then 'b' || item_id when item_id % 3 = 1 then 'i' || item_id else 'custom_' || (row_number() over (partition by item_id // 16 order by item_id)) end as bench_id, case when item_id % 2 = 0 then 'custom' else 'swap' end as edit_type, 'p ' || item_id as prompt from benchmark")
+@query("select case when item_id % 3 = 0 then 'b' || item_id when item_id % 3 = 1 then 'i' || item_id else 'custom_' || (row_number() over (order by item_id)) end as bench_id, case when item_id % 2 = 0 then 'custom' else 'swap' end as edit_type, 'p ' || item_id as prompt from benchmark")
 def src10_custom_cases(spark, d):
     i, k = F.col("item_id").cast("string"), F.col("item_id")
     names = F.concat(F.lit('"bench_id": "'), F.when(k % 3 == 0, F.concat(F.lit("b"), i)).otherwise(""), F.lit('", "id": "'), F.when(k % 3 == 1, F.concat(F.lit("i"), i)).otherwise(""), F.lit('"'))
     line = F.concat(F.lit("{"), names, F.when(k % 2 == 1, ', "edit_type": "swap"').otherwise(""), F.lit(', "prompt": " p '), i, F.lit(' ", "video_path": "v"}'))
-    path = _numbered(t(spark, d, "benchmark"), "custom", line, "item_id", 16)
-    return documents.custom_cases(spark, path).select("bench_id", "edit_type", "prompt")
+    path = _in_order(t(spark, d, "benchmark"), "custom", line, "item_id")
+    return documents.custom_cases(spark, path, through=True).select("bench_id", "edit_type", "prompt")
 
 
 def _record():

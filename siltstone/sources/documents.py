@@ -44,9 +44,9 @@ def field(name: str) -> Column:
     return F.when(~x.isin("", "0", "false"), x)
 
 
-def custom_cases(spark: SparkSession, path: str) -> DataFrame:
-    """bench_id, edit_type, prompt, video_path, ref_image_path: the id is bench_id, else id, else custom_ and the number of the line."""
-    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+def custom_cases(spark: SparkSession, path: str, through: bool = False) -> DataFrame:
+    """bench_id, edit_type, prompt, video_path, ref_image_path: the id is bench_id, else id, else custom_ and the number of the line, in its file or through all files."""
+    lines = numbered_lines(spark, path, through).where(F.trim("value") != "")
     name = F.coalesce(field("bench_id"), field("id"), F.concat(F.lit("custom_"), F.col("line").cast("string")))
     kind = F.coalesce(F.get_json_object("value", "$.edit_type"), F.lit("custom"))
     return lines.select(name.alias("bench_id"), kind.alias("edit_type"), text.strip(F.get_json_object("value", "$.prompt")).alias("prompt"), F.get_json_object("value", "$.video_path").alias("video_path"), F.coalesce(field("ref_image_path"), F.lit("")).alias("ref_image_path"))

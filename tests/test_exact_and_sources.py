@@ -160,6 +160,13 @@ def test_located_errors_count_the_lines_of_the_whole_text(spark, tmp_path, shuff
     assert sorted((r.item_id, r.line) for r in found) == [(i, n) for n, i in enumerate(shuffled_items, 1) if i % 8 in (1, 2, 3, 4)]
 
 
+def test_custom_cases_are_named_by_the_lines_of_the_whole_text(spark, tmp_path, shuffled_items, small_splits):
+    found = files.src10_custom_cases(spark, str(tmp_path)).collect()
+    names = lambda n, i: f"b{i}" if i % 3 == 0 else f"i{i}" if i % 3 == 1 else f"custom_{n}"
+    want = [(names(n, i), "swap" if i % 2 else "custom", f"p {i}") for n, i in enumerate(shuffled_items, 1)]
+    assert sorted(tuple(r) for r in found) == sorted(want)
+
+
 def test_repair_of_a_large_file(spark, tmp_path, small_splits):
     lines = [f'{{"id": {i}}}' for i in range(900)]
     lines[500] = '{"id": 1, "id": 2}'
